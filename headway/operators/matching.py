@@ -120,7 +120,8 @@ def with_matches(predictions: DataFrame, matches: DataFrame) -> DataFrame:
     """Predictions with vehicle_event key columns (null when unmatched) and the
     vehicle id a terminal match fills in."""
     m = matches.select(
-        F.col("prediction_id").alias("id"), "ev_vehicle_id", "ev_arrival_snapshot", "match_type"
+        F.col("prediction_id").alias("id"), "ev_environment", "ev_vehicle_id", "ev_stop_id", "ev_arrival_snapshot",
+        "match_type",
     )
     return (
         predictions.join(m, "id", "left")

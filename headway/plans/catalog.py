@@ -336,3 +336,289 @@ def q_filter_all(spark, d):
     q, err = FL.filter_accuracy(D.accuracy_hist(spark, d), ALL_FILTERS)
     assert err is None, err
     return ST.stats_by_chart_range(q, "By Station").withColumns(r6c("mean_error", "root_mean_squared_error"))
+
+
+# ---- departures -----------------------------------------------------------------------------
+
+from headway.operators import departures as DP  # noqa: E402
+from headway.operators import maintenance as MT  # noqa: E402
+from headway.operators import monitoring as MO  # noqa: E402
+from headway.operators import stops as SP  # noqa: E402
+from headway.operators import ingest as IN  # noqa: E402
+from headway.plans.oracle import ROUTE_SQL, STOP_DIM_KEY_SQL, TERMINALS_SQL, fmt_unix  # noqa: E402
+from headway.sources import adapters as A  # noqa: E402
+
+
+def _matched(spark, d):
+    ev = D.vehicle_events(spark, d)
+    return ev, M.with_matches(D.predictions(spark, d), D.matches(spark, d, ev))
+
+
+ROUTE_RANK_SQL = ("CASE route_id WHEN 'Red' THEN 0 WHEN 'Blue' THEN 1 WHEN 'Orange' THEN 2 WHEN 'Green-B' THEN 3 "
+                  "WHEN 'Green-C' THEN 4 WHEN 'Green-D' THEN 5 WHEN 'Green-E' THEN 6 WHEN 'Mattapan' THEN 7 ELSE 0 END")
+
+
+@register("unpredicted_summary", with_ctes(["flagged_departures"], f"""
+SELECT environment, service_day, route_id, CAST(count(*) AS BIGINT) AS departures,
+       CAST(count(*) FILTER (WHERE NOT predicted) AS BIGINT) AS unpredicted,
+       {r6('count(*) FILTER (WHERE NOT predicted) * 100.0 / count(*)')} AS pct_unpredicted
+FROM flagged_departures WHERE stop_id IN {TERMINALS_SQL}
+GROUP BY environment, service_day, route_id"""))
+def q_unpredicted_summary(spark, d):
+    ev, mp = _matched(spark, d)
+    return DP.unpredicted_summary(ev, mp).withColumns(r6c("pct_unpredicted"))
+
+
+@register("unpredicted_by_stop", with_ctes(["flagged_departures", "stops_dim"], f"""
+SELECT f.environment, f.service_day, f.route_id, f.stop_id, f.departures, f.unpredicted, f.pct_unpredicted,
+       CASE WHEN s.id IS NULL THEN f.stop_id ELSE s.description END AS stop_name
+FROM (SELECT environment, service_day, route_id, stop_id, CAST(count(*) AS BIGINT) AS departures,
+             CAST(count(*) FILTER (WHERE NOT predicted) AS BIGINT) AS unpredicted,
+             {r6('count(*) FILTER (WHERE NOT predicted) * 100.0 / count(*)')} AS pct_unpredicted,
+             {STOP_DIM_KEY_SQL} AS dim_key
+      FROM flagged_departures WHERE stop_id IN {TERMINALS_SQL}
+      GROUP BY environment, service_day, route_id, stop_id) f
+LEFT JOIN stops_dim s ON s.id = f.dim_key"""))
+def q_unpredicted_by_stop(spark, d):
+    ev, mp = _matched(spark, d)
+    return DP.unpredicted_by_stop(ev, mp, A.stops_dim(spark, d), dim_key=A.stop_dim_key(F.col("stop_id"))).withColumns(
+        r6c("pct_unpredicted")
+    )
+
+
+@register("unpredicted_detail", with_ctes(["flagged_departures"], f"""
+SELECT environment, service_day, route_id, stop_id, vehicle_id, trip_id, departure_time,
+       {fmt_unix('departure_time')} AS departure
+FROM flagged_departures WHERE NOT predicted"""))
+def q_unpredicted_detail(spark, d):
+    ev, mp = _matched(spark, d)
+    return DP.unpredicted_detail(ev, mp)
+
+
+@register("unpredicted_totals", with_ctes(["flagged_departures"], """
+SELECT environment, service_day, CAST(sum(departures) AS BIGINT) AS total_departures,
+       CAST(sum(unpredicted) AS BIGINT) AS total_unpredicted,
+       round(CASE WHEN sum(departures) > 0 THEN sum(unpredicted) * 100.0 / sum(departures) ELSE 0.0 END, 6) AS total_pct
+FROM (SELECT environment, service_day, route_id, count(*) AS departures,
+             count(*) FILTER (WHERE NOT predicted) AS unpredicted
+      FROM flagged_departures WHERE stop_id IN ('70061', '70105', '70036', '70001', '70197', '70260')
+      GROUP BY ALL)
+GROUP BY environment, service_day"""))
+def q_unpredicted_totals(spark, d):
+    ev, mp = _matched(spark, d)
+    return DP.totals(DP.unpredicted_summary(ev, mp), "departures", "unpredicted", ["environment", "service_day"]).withColumns(
+        r6c("total_pct")
+    )
+
+
+_MISSED_INNER = """
+      SELECT environment, service_day, route_id, {extra} trip_id, max(CASE WHEN NOT matched THEN 1 ELSE 0 END) AS um
+      FROM eligible_departure_predictions
+      WHERE stop_id IN {terms} AND trip_id IS NOT NULL
+      GROUP BY ALL"""
+
+
+@register("missed_summary", with_ctes(["eligible_departure_predictions"], f"""
+SELECT environment, service_day, route_id, CAST(count(*) AS BIGINT) AS trips, CAST(sum(um) AS BIGINT) AS missed_trips,
+       {r6('sum(um) * 100.0 / count(*)')} AS pct_missed
+FROM ({_MISSED_INNER.format(extra='', terms=TERMINALS_SQL)})
+GROUP BY environment, service_day, route_id"""))
+def q_missed_summary(spark, d):
+    _, mp = _matched(spark, d)
+    return DP.missed_summary(mp).withColumns(r6c("pct_missed"))
+
+
+@register("missed_by_stop", with_ctes(["eligible_departure_predictions", "stops_dim"], f"""
+SELECT f.environment, f.service_day, f.route_id, f.stop_id, f.trips, f.missed_trips, f.pct_missed,
+       CASE WHEN s.id IS NULL THEN f.stop_id ELSE s.description END AS stop_name
+FROM (SELECT environment, service_day, route_id, stop_id, CAST(count(*) AS BIGINT) AS trips,
+             CAST(sum(um) AS BIGINT) AS missed_trips, {r6('sum(um) * 100.0 / count(*)')} AS pct_missed,
+             {STOP_DIM_KEY_SQL} AS dim_key
+      FROM ({_MISSED_INNER.format(extra='stop_id,', terms=TERMINALS_SQL)})
+      GROUP BY environment, service_day, route_id, stop_id) f
+LEFT JOIN stops_dim s ON s.id = f.dim_key"""))
+def q_missed_by_stop(spark, d):
+    _, mp = _matched(spark, d)
+    return DP.missed_by_stop(mp, A.stops_dim(spark, d), dim_key=A.stop_dim_key(F.col("stop_id"))).withColumns(r6c("pct_missed"))
+
+
+@register("missed_detail", with_ctes(["eligible_departure_predictions"], f"""
+SELECT environment, service_day, route_id, stop_id, vehicle_id, trip_id,
+       {fmt_unix('min(departure_time)')} AS first_departure, {fmt_unix('max(departure_time)')} AS last_departure,
+       {fmt_unix('min(file_timestamp)')} AS first_file, {fmt_unix('max(file_timestamp)')} AS last_file,
+       CAST(count(*) AS BIGINT) AS predictions, min(departure_time) AS min_departure
+FROM eligible_departure_predictions WHERE NOT matched
+GROUP BY environment, service_day, route_id, stop_id, vehicle_id, trip_id"""))
+def q_missed_detail(spark, d):
+    _, mp = _matched(spark, d)
+    return DP.missed_detail(mp)
+
+
+@register("missed_totals", with_ctes(["eligible_departure_predictions"], f"""
+SELECT environment, service_day, CAST(sum(trips) AS BIGINT) AS total_trips, CAST(sum(missed_trips) AS BIGINT) AS total_missed_trips,
+       round(CASE WHEN sum(trips) > 0 THEN sum(missed_trips) * 100.0 / sum(trips) ELSE 0.0 END, 6) AS total_pct
+FROM (SELECT environment, service_day, route_id, count(*) AS trips, sum(um) AS missed_trips
+      FROM ({_MISSED_INNER.format(extra='', terms=TERMINALS_SQL)}) GROUP BY ALL)
+GROUP BY environment, service_day"""))
+def q_missed_totals(spark, d):
+    _, mp = _matched(spark, d)
+    return DP.totals(DP.missed_summary(mp), "trips", "missed_trips", ["environment", "service_day"]).withColumns(r6c("total_pct"))
+
+
+# ---- monitoring ---------------------------------------------------------------------------------
+
+@register("route_daily_accuracy", with_ctes(["route_daily", "route_spine"], """
+SELECT s.route_id, s.service_date, coalesce(r.num_predictions, 0) AS num_predictions,
+       coalesce(r.num_accurate_predictions, 0) AS num_accurate_predictions,
+       round(CASE WHEN coalesce(r.num_predictions, 0) <> 0 THEN r.num_accurate_predictions / r.num_predictions ELSE 0.0 END, 6) AS accuracy
+FROM route_spine s LEFT JOIN route_daily r ON r.route_id = s.route_id AND r.service_date = s.service_date"""))
+def q_route_daily_accuracy(spark, d):
+    return MO.route_daily_accuracy(D.accuracy_hist(spark, d)).withColumns(r6c("accuracy"))
+
+
+@register("accuracy_drop", with_ctes(["route_daily"], f"""
+SELECT s.route_id, s.service_date, round(coalesce(y.acc, 0.0), 6) AS yesterday_accuracy,
+       round(coalesce(p.acc, 0.0), 6) AS previous_day_accuracy,
+       coalesce(y.acc, 0.0) < coalesce(p.acc, 0.0) - 0.1 AS "drop"
+FROM (SELECT DISTINCT d.service_date, unnest({ROUTE_SQL}) AS route_id
+      FROM (SELECT service_date FROM route_daily UNION SELECT service_date + 1 FROM route_daily) d) s
+LEFT JOIN (SELECT route_id, service_date, CASE WHEN num_predictions <> 0 THEN num_accurate_predictions / num_predictions ELSE 0.0 END AS acc FROM route_daily) y
+  ON y.route_id = s.route_id AND y.service_date = s.service_date
+LEFT JOIN (SELECT route_id, service_date, CASE WHEN num_predictions <> 0 THEN num_accurate_predictions / num_predictions ELSE 0.0 END AS acc FROM route_daily) p
+  ON p.route_id = s.route_id AND p.service_date = s.service_date - 1"""))
+def q_accuracy_drop(spark, d):
+    return MO.accuracy_drops(D.accuracy_hist(spark, d)).withColumns(r6c("yesterday_accuracy", "previous_day_accuracy"))
+
+
+# ---- stops ------------------------------------------------------------------------------------------
+
+@register("stop_dim", with_ctes(["stops_dim"], """
+SELECT id, mode, name, platform_name, description, unique_info,
+       CASE WHEN unique_info THEN base ELSE base || ' - ' || id END AS display_name
+FROM (SELECT *, count(*) OVER (PARTITION BY mode, description, name, platform_name) = 1 AS unique_info,
+             CASE WHEN platform_name IS NULL THEN name ELSE name || ' (' || platform_name || ')' END AS base
+      FROM stops_dim)"""))
+def q_stop_dim(spark, d):
+    return SP.stop_dim(A.stops_dim(spark, d))
+
+
+# ---- maintenance ------------------------------------------------------------------------------------
+
+PRUNE_AS_OF = 1705363200 + 6 * 3600 + 7 * 86400  # cutoff = 2024-01-16 01:00 New York
+
+
+@register("prune_predictions", with_ctes(["predictions"], f"""
+SELECT id, environment, file_timestamp FROM predictions WHERE file_timestamp >= {PRUNE_AS_OF - 7 * 86400}"""))
+def q_prune_predictions(spark, d):
+    return MT.prune_predictions(D.predictions(spark, d), PRUNE_AS_OF).select("id", "environment", "file_timestamp")
+
+
+@register("prune_events", with_ctes(["vehicle_events"], f"""
+SELECT environment, vehicle_id, stop_id, arrival_snapshot, arrival_time FROM vehicle_events
+WHERE arrival_time IS NULL OR arrival_time >= {PRUNE_AS_OF - 7 * 86400 - 1800}"""))
+def q_prune_events(spark, d):
+    return MT.prune_events(D.vehicle_events(spark, d), PRUNE_AS_OF).select(
+        "environment", "vehicle_id", "stop_id", "arrival_snapshot", "arrival_time"
+    )
+
+
+@register("weekly_partitions", with_ctes(["hist"], """
+SELECT CAST(date_trunc('week', service_date) AS DATE) AS week_start,
+       'week_of_' || strftime(date_trunc('week', service_date), '%Y_%m_%d') AS week_label,
+       CAST(count(*) AS BIGINT) AS n_rows, min(service_date) AS first_date, max(service_date) AS last_date
+FROM hist GROUP BY ALL"""))
+def q_weekly_partitions(spark, d):
+    return MT.with_week_partition(D.accuracy_hist(spark, d)).groupBy("week_start", "week_label").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("service_date").alias("first_date"), F.max("service_date").alias("last_date")
+    )
+
+
+@register("backfill_window", with_ctes(["hist"], """
+SELECT first_service_date, CAST(first_service_date + 6 AS DATE) AS last_service_date,
+       CAST(count(*) FILTER (WHERE service_date BETWEEN first_service_date AND first_service_date + 6) AS BIGINT) AS rows_copied,
+       CAST(first_service_date + 7 AS DATE) AS next_cursor
+FROM hist, (SELECT min(service_date) AS first_service_date FROM hist) GROUP BY first_service_date"""))
+def q_backfill_window(spark, d):
+    """One backfill run from the earliest service date: copy a week of rows and
+    move the cursor (today is far in the future, so the window is safe)."""
+    acc = D.accuracy_hist(spark, d)
+    first = MT.earliest_service_date(acc)
+    copied = acc.join(first, (acc.service_date >= first.first_service_date) & (acc.service_date <= F.date_add(first.first_service_date, 6)), "inner")
+    return copied.groupBy("first_service_date").agg(F.count(F.lit(1)).alias("rows_copied")).select(
+        "first_service_date",
+        F.date_add("first_service_date", 6).alias("last_service_date"),
+        "rows_copied",
+        F.date_add("first_service_date", 7).alias("next_cursor"),
+    )
+
+
+@register("reconcile_copies", """
+WITH a AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS service_date FROM orders WHERE o_orderkey % 97 <> 0),
+     b AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS service_date FROM orders WHERE o_orderkey % 89 <> 0),
+     u AS (SELECT CASE WHEN b.id IS NULL THEN 'monolithic' ELSE 'partitioned' END AS side,
+                  coalesce(a.service_date, b.service_date) AS service_date
+           FROM a FULL OUTER JOIN b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL)
+SELECT t.side, t.row_count, CAST(coalesce(s.unmatched, 0) AS BIGINT) AS unmatched, s.min_service_date, s.max_service_date
+FROM (SELECT 'monolithic' AS side, CAST(count(*) AS BIGINT) AS row_count FROM a
+      UNION ALL SELECT 'partitioned', CAST(count(*) AS BIGINT) FROM b) t
+LEFT JOIN (SELECT side, count(*) AS unmatched, min(service_date) AS min_service_date, max(service_date) AS max_service_date
+           FROM u GROUP BY side) s ON s.side = t.side""")
+def q_reconcile_copies(spark, d):
+    a, b = A.accuracy_copies(spark, d)
+    return MT.reconcile(a, b).select("side", "row_count", F.col("unmatched").cast("long").alias("unmatched"), "min_service_date", "max_service_date")
+
+
+@register("reconcile_by_date", """
+WITH a AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS service_date FROM orders WHERE o_orderkey % 97 <> 0),
+     b AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS service_date FROM orders WHERE o_orderkey % 89 <> 0)
+SELECT CASE WHEN b.id IS NULL THEN 'monolithic' ELSE 'partitioned' END AS side,
+       coalesce(a.service_date, b.service_date) AS service_date, CAST(count(*) AS BIGINT) AS unmatched
+FROM a FULL OUTER JOIN b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL GROUP BY ALL""")
+def q_reconcile_by_date(spark, d):
+    a, b = A.accuracy_copies(spark, d)
+    return MT.reconcile_by_date(a, b)
+
+
+@register("consolidate_bins", with_ctes(["hist"], f"""
+SELECT environment, service_date, hour_of_day, minute_of_hour, route_id, stop_id, direction_id,
+       CASE WHEN bin = '6-8 min' THEN '6-12 min' ELSE bin END AS bin, kind, in_next_two, num_predictions,
+       num_accurate_predictions, {r6('mean_error')} AS mean_error, {r6('root_mean_squared_error')} AS root_mean_squared_error
+FROM hist WHERE bin NOT IN ('8-10 min', '10-12 min')"""))
+def q_consolidate_bins(spark, d):
+    return MT.consolidate_bins(_hist_r(spark, d))
+
+
+# ---- ingest ---------------------------------------------------------------------------------------------
+
+FLAT_COLS = ["file_timestamp", "environment", "trip_id", "vehicle_id", "is_deleted", "stop_id", "route_id",
+             "arrival_time", "departure_time", "stops_away", "direction_id", "kind", "nth_at_stop"]
+
+
+@register("flatten_trip_updates", with_ctes(["predictions_raw"], f"""
+SELECT {', '.join(FLAT_COLS)} FROM (
+  SELECT *, false AS is_deleted, CAST(row_number() OVER (
+           PARTITION BY environment, file_timestamp, stop_id
+           ORDER BY CASE WHEN stops_away = 0 THEN 0 ELSE 1 END, coalesce(arrival_time, departure_time) NULLS LAST,
+                    first_id, id) AS INTEGER) AS nth_at_stop
+  FROM (SELECT *, min(id) OVER (PARTITION BY environment, file_timestamp, trip_id, vehicle_id, route_id, direction_id) AS first_id
+        FROM predictions_raw)
+  WHERE stops_away IS NOT NULL AND (arrival_time IS NOT NULL OR departure_time IS NOT NULL))"""))
+def q_flatten_trip_updates(spark, d):
+    return IN.flatten_trip_updates(A.trip_update_docs(spark, d)).select(*FLAT_COLS)
+
+
+@register("classify_kind", with_ctes(["predictions_raw"], """
+SELECT kind, CAST(count(*) AS BIGINT) AS n FROM predictions_raw
+WHERE stops_away IS NOT NULL AND (arrival_time IS NOT NULL OR departure_time IS NOT NULL) GROUP BY kind"""))
+def q_classify_kind(spark, d):
+    return IN.flatten_trip_updates(A.trip_update_docs(spark, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("generic_stop_id", with_ctes(["predictions_raw"], """
+SELECT stop_id, CAST(count(*) AS BIGINT) AS n FROM predictions_raw GROUP BY stop_id"""))
+def q_generic_stop_id(spark, d):
+    from headway.functions.columns import generic_stop_id
+
+    docs = A.trip_update_docs(spark, d)
+    raw = docs.select(F.explode("entity").alias("e")).select(F.explode("e.trip_update.stop_time_update").alias("u"))
+    return raw.groupBy(generic_stop_id(F.col("u.stop_id")).alias("stop_id")).agg(F.count(F.lit(1)).alias("n"))

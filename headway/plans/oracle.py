@@ -260,3 +260,51 @@ def with_ctes(deps: list[str], body: str) -> str:
 
 def r6(x: str) -> str:
     return f"round({x}, 6)"
+
+
+def dep_day(x: str) -> str:
+    """Departure service day (04:00 .. 02:00 next day local, inclusive)."""
+    d = f"CAST({local_ts(x)} AS DATE)"
+    at = lambda h: f"CAST(epoch(timezone('America/New_York', CAST({d} + INTERVAL {h} HOUR AS TIMESTAMP))) AS BIGINT)"
+    return f"(CASE WHEN {x} >= {at(4)} THEN {d} WHEN {x} <= {at(2)} THEN {d} - 1 END)"
+
+
+def fmt_unix(x: str) -> str:
+    off = f"(CAST(epoch({local_ts(x)}) AS BIGINT) - {x}) // 3600"
+    return (
+        f"(CASE WHEN {x} IS NULL THEN 'N/A' ELSE strftime({local_ts(x)}, '%Y-%m-%d %H:%M:%S') || ' ' || "
+        f"CASE {off} WHEN -4 THEN 'EDT' WHEN -5 THEN 'EST' ELSE 'UTC' || {off} END END)"
+    )
+
+
+STOP_DIM_KEY_SQL = (
+    "CASE stop_id WHEN '70061' THEN '0' WHEN '70063' THEN '1' WHEN '70105' THEN '2' WHEN '70036' THEN '3' "
+    "WHEN '70001' THEN '4' WHEN '70197' THEN '5' END"
+)
+
+cte("eligible_departures", ["vehicle_events"], f"""
+  SELECT *, {dep_day('departure_time')} AS service_day FROM vehicle_events
+  WHERE trip_id IS NOT NULL AND departure_time IS NOT NULL AND is_deleted = false
+    AND {dep_day('departure_time')} IS NOT NULL""")
+
+cte("flagged_departures", ["eligible_departures", "matched_predictions"], """
+  SELECT d.*, EXISTS (SELECT 1 FROM matched_predictions p
+                      WHERE p.environment = d.environment AND p.ev_vehicle_id = d.vehicle_id
+                        AND p.stop_id = d.stop_id AND p.ev_arrival_snapshot = d.arrival_snapshot
+                        AND p.file_timestamp < d.departure_time AND p.departure_time IS NOT NULL) AS predicted
+  FROM eligible_departures d""")
+
+cte("eligible_departure_predictions", ["matched_predictions"], f"""
+  SELECT *, {dep_day('file_timestamp')} AS service_day FROM matched_predictions
+  WHERE departure_time IS NOT NULL AND {dep_day('file_timestamp')} IS NOT NULL""")
+
+cte("route_daily", ["hist"], f"""
+  SELECT route_id, service_date,
+         CAST(sum(num_predictions) AS BIGINT) AS num_predictions,
+         CAST(sum(num_accurate_predictions) AS BIGINT) AS num_accurate_predictions
+  FROM hist WHERE environment = 'prod' AND route_id IN {SUBWAY_ROUTES_SQL}
+  GROUP BY route_id, service_date""")
+
+cte("route_spine", ["hist"], f"""
+  SELECT DISTINCT service_date, unnest({ROUTE_SQL}) AS route_id
+  FROM hist WHERE environment = 'prod' AND route_id IN {SUBWAY_ROUTES_SQL}""")

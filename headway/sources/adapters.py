@@ -93,7 +93,7 @@ def vehicle_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def predictions_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def predictions_raw(spark: SparkSession, sf_dir: str, keep_k: bool = False) -> DataFrame:
     """Flat prediction rows before the P2 filter and the nth-at-stop rank."""
     b = base_events(spark, sf_dir)
     v, t, k = F.col("v"), F.col("t"), F.col("k")
@@ -125,6 +125,7 @@ def predictions_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.pmod(k, F.lit(11)) == 0, F.lit(None).cast("int")).otherwise(F.pmod(k, F.lit(4))).cast("int").alias("stops_away"),
         F.pmod(v, F.lit(2)).cast("int").alias("direction_id"),
         kind.alias("kind"),
+        *([k.alias("k")] if keep_k else []),
     )
 
 
@@ -183,9 +184,69 @@ def stops_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def stop_id_aliases(spark: SparkSession) -> DataFrame:
-    """Fixture stop ids -> part keys used as stop-dim ids (first six only)."""
-    return spark.createDataFrame([(s, str(i)) for i, s in enumerate(STOP[:6])], "stop_id string, dim_id string")
+def stop_dim_key(stop: Column) -> Column:
+    """Fixture stop id -> stop-dim id: the first six fixture stops map onto
+    part keys 0..5, the other two stay unknown (null)."""
+    out = None
+    for i, sid in enumerate(STOP[:6]):
+        out = F.when(stop == sid, F.lit(str(i))) if out is None else out.when(stop == sid, F.lit(str(i)))
+    return out
+
+
+# platform-specific ids a feed may report for the terminal fixture stops
+PLATFORM_IDS = {"70061": "Alewife-0", "70105": "Braintree-0", "70001": "Forest Hills-0", "70036": "Oak Grove-0"}
+KIND_UNCERTAINTY = {"mid_trip": 60, "at_terminal": 120, "reverse": 360}
+
+
+def trip_update_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested trip-update snapshots (``TRIP_UPDATES`` schema) built from the flat
+    fixture rows: one document per (environment, file time), one entity per
+    trip/vehicle, updates in event order.  Terminal stops are reported by
+    platform id on every third row, and a kind is encoded as its uncertainty
+    (rows without a kind carry 90 s or nothing, which maps to no kind)."""
+    raw = predictions_raw(spark, sf_dir, keep_k=True)
+    unc = F.when(F.col("kind").isNull(), F.when(F.pmod(F.col("k"), F.lit(2)) == 0, F.lit(90)))
+    for kind, u in KIND_UNCERTAINTY.items():
+        unc = unc.when(F.col("kind") == kind, F.lit(u))
+    raw_stop = F.col("stop_id")
+    for sid, prefix in PLATFORM_IDS.items():
+        raw_stop = F.when(
+            (F.col("stop_id") == sid) & (F.pmod(F.col("k"), F.lit(3)) == 0),
+            F.concat(F.lit(prefix), (F.lit(1) + F.pmod(F.col("k"), F.lit(2))).cast("string")),
+        ).otherwise(raw_stop)
+    upd = raw.select(
+        "environment", "file_timestamp", "trip_id", "vehicle_id", "route_id", "direction_id", "id",
+        F.struct(
+            F.when(F.col("arrival_time").isNotNull(), F.struct(F.col("arrival_time").alias("time"), unc.cast("int").alias("uncertainty"))).alias("arrival"),
+            F.when(F.col("departure_time").isNotNull(), F.struct(F.col("departure_time").alias("time"), unc.cast("int").alias("uncertainty"))).alias("departure"),
+            F.col("boarding_status"),
+            F.col("schedule_relationship"),
+            raw_stop.alias("stop_id"),
+            F.col("stop_sequence"),
+            F.col("stops_away"),
+        ).alias("u"),
+    )
+    trip_keys = ["environment", "file_timestamp", "trip_id", "vehicle_id", "route_id", "direction_id"]
+    ent = upd.groupBy(*trip_keys).agg(
+        F.min("id").alias("first_id"),
+        F.transform(F.array_sort(F.collect_list(F.struct("id", "u"))), lambda x: x["u"]).alias("updates"),
+    )
+    ent = ent.select(
+        "environment", "file_timestamp", "first_id",
+        F.struct(
+            F.concat(F.lit("E"), F.col("first_id").cast("string")).alias("id"),
+            F.lit(False).alias("is_deleted"),
+            F.struct(
+                F.struct("trip_id", "route_id", "direction_id").alias("trip"),
+                F.struct(F.col("vehicle_id").alias("id")).alias("vehicle"),
+                F.col("updates").alias("stop_time_update"),
+            ).alias("trip_update"),
+        ).alias("e"),
+    )
+    docs = ent.groupBy("environment", "file_timestamp").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("first_id", "e"))), lambda x: x["e"]).alias("entity")
+    )
+    return docs.select(F.struct(F.col("file_timestamp").alias("timestamp")).alias("header"), "entity", "environment")
 
 
 def accuracy_copies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
