@@ -28,15 +28,17 @@ def snapshot_sequence(snapshots: DataFrame) -> DataFrame:
     return neighbors(s, FEED_KEYS, "snapshot_time", prev_name="prev_snapshot_time", next_name="next_snapshot_time")
 
 
-def vehicle_transitions(positions: DataFrame, snapshots: DataFrame) -> DataFrame:
+def vehicle_transitions(positions: DataFrame, snapshots: DataFrame, sequence: DataFrame | None = None) -> DataFrame:
     """One row per vehicle record with its previous record (if it was in the
     previous snapshot) and the transition it causes:
 
     ``new`` / ``new_arrival`` (first sight, stopped or not), ``arrival``
     (same stop, now stopped, was not), ``departure`` (left a stop where it
     was stopped, not stopped now), ``departure_arrival`` (stopped at one stop,
-    now stopped at another), ``none`` (anything else)."""
-    seq = snapshot_sequence(snapshots)
+    now stopped at another), ``none`` (anything else).
+
+    ``sequence`` may pass a precomputed ``snapshot_sequence(snapshots)``."""
+    seq = snapshot_sequence(snapshots) if sequence is None else sequence
     cur = positions.join(seq, [*FEED_KEYS, "snapshot_time"], "inner")
     old = positions.select(
         *FEED_KEYS,
@@ -158,11 +160,11 @@ def departure_anomalies(events: DataFrame) -> DataFrame:
     )
 
 
-def dropped_vehicles(positions: DataFrame, snapshots: DataFrame) -> DataFrame:
+def dropped_vehicles(positions: DataFrame, snapshots: DataFrame, sequence: DataFrame | None = None) -> DataFrame:
     """Vehicles present in a snapshot and missing from the next one of the same
     feed: count and sorted labels per (environment, mode, next snapshot).
     The label list is bounded by one snapshot's vehicles."""
-    seq = snapshot_sequence(snapshots).filter(F.col("next_snapshot_time").isNotNull())
+    seq = (snapshot_sequence(snapshots) if sequence is None else sequence).filter(F.col("next_snapshot_time").isNotNull())
     cur = positions.join(seq, [*FEED_KEYS, "snapshot_time"], "inner")
     nxt = positions.select(*FEED_KEYS, "id", F.col("snapshot_time").alias("next_snapshot_time"))
     lost = cur.join(nxt, [*FEED_KEYS, "id", "next_snapshot_time"], "left_anti")

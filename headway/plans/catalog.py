@@ -110,7 +110,7 @@ WHERE s.next_snapshot_time IS NOT NULL
                   AND n.id = c.id AND n.snapshot_time = s.next_snapshot_time)
 GROUP BY c.environment, c.mode, s.next_snapshot_time"""))
 def q_dropped_vehicles(spark, d):
-    return E.dropped_vehicles(D.positions(spark, d), D.snapshots(spark, d))
+    return E.dropped_vehicles(D.positions(spark, d), None, sequence=D.snapshot_log(spark, d))
 
 
 @register("vehicle_events_top100", with_ctes(["vehicle_events"], f"""

@@ -11,32 +11,52 @@ from pyspark.sql import DataFrame, SparkSession
 
 from headway.operators import events as E
 from headway.operators import matching as M
+from headway.session import materialize
 from headway.sources import adapters as A
 
 
 def positions(spark: SparkSession, d: str) -> DataFrame:
-    return A.vehicle_positions(spark, d)
+    """The landed vehicle-position records (one per vehicle and snapshot)."""
+    return materialize(spark, lambda: A.vehicle_positions(spark, d), "vehicle_positions", (d,))
 
 
 def snapshots(spark: SparkSession, d: str) -> DataFrame:
     return A.vehicle_snapshots(spark, d)
 
 
+def snapshot_log(spark: SparkSession, d: str) -> DataFrame:
+    """Processed snapshots with their previous / next snapshot per feed."""
+    return materialize(spark, lambda: E.snapshot_sequence(snapshots(spark, d)), "snapshot_log", (d,))
+
+
 def transitions(spark: SparkSession, d: str) -> DataFrame:
-    return E.vehicle_transitions(positions(spark, d), snapshots(spark, d))
+    """Transition log (one row per vehicle record), stored once per session."""
+    return materialize(
+        spark,
+        lambda: E.vehicle_transitions(positions(spark, d), None, sequence=snapshot_log(spark, d)),
+        "transitions",
+        (d,),
+    )
 
 
 def vehicle_events(spark: SparkSession, d: str) -> DataFrame:
-    return E.vehicle_events(transitions(spark, d))
+    """The stored vehicle_events table (dwells), written once per session."""
+    return materialize(spark, lambda: E.vehicle_events(transitions(spark, d)), "vehicle_events", (d,))
 
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:
-    return A.predictions(spark, d)
+    """The stored predictions table (flattened, ranked), written once per session."""
+    return materialize(spark, lambda: A.predictions(spark, d), "predictions", (d,))
 
 
 def matches(spark: SparkSession, d: str, ev: DataFrame | None = None) -> DataFrame:
-    ev = vehicle_events(spark, d) if ev is None else ev
-    return M.match_all(predictions(spark, d), E.event_touches(ev))
+    """The stored prediction -> event links, written once per session."""
+    return materialize(
+        spark,
+        lambda: M.match_all(predictions(spark, d), E.event_touches(vehicle_events(spark, d) if ev is None else ev)),
+        "matches",
+        (d,),
+    )
 
 
 def accuracy_hist(spark: SparkSession, d: str) -> DataFrame:

@@ -49,3 +49,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     return os.path.join(ensure_checkpoint_dir(spark), *parts)
+
+
+_MATERIALIZED: dict[tuple, str] = {}
+
+
+def materialize(spark: SparkSession, build, name: str, key: tuple = (), partition_by: list[str] | None = None):
+    """Write ``build()`` once as a Parquet table under the shared checkpoint folder
+    and return a DataFrame reading it back.
+
+    This cuts the lineage like a stored table does (downstream plans start from
+    a scan with column pruning and filter pushdown; a lost executor re-reads
+    files instead of recomputing the upstream jobs).  Tables are memoised per
+    application and ``key`` so a session builds (and even analyses) each one
+    once."""
+    app = spark.sparkContext.applicationId
+    k = (app, name, *key)
+    path = _MATERIALIZED.get(k)
+    if path is None:
+        import hashlib
+
+        tag = hashlib.sha1(repr(k).encode()).hexdigest()[:12]
+        path = shared_path(spark, "headway-tables", app, f"{name}-{tag}")
+        w = build().write.mode("overwrite")
+        if partition_by:
+            w = w.partitionBy(*partition_by)
+        w.parquet(path)
+        _MATERIALIZED[k] = path
+    return spark.read.parquet(path)
