@@ -59,7 +59,7 @@ def flatten_trip_updates(docs: DataFrame) -> DataFrame:
     row.  Trip fields are copied onto each update."""
     snap = docs.filter(F.col("entity").isNotNull() & F.col("header.timestamp").isNotNull())
     ent = snap.select(
-        F.col("environment"),
+        environment_label("environment").alias("environment"),
         F.col("header.timestamp").alias("file_timestamp"),
         F.posexplode("entity").alias("entity_pos", "e"),
     )
