@@ -96,6 +96,17 @@ def flatten_trip_updates(docs: DataFrame) -> DataFrame:
     return rank_at_stop(keep_scorable_updates(rows), tie_break=["entity_pos", "update_pos"])
 
 
+def prediction_id():
+    """Deterministic prediction key from (environment, file time, entity
+    position, update position); positions are bounded by the feed size."""
+    env_idx = F.when(F.col("environment") == "prod", 0).when(F.col("environment") == "dev-green", 1).when(
+        F.col("environment") == "dev-blue", 2
+    ).otherwise(3)
+    return (
+        ((F.col("file_timestamp") * 4 + env_idx) * 4096 + F.col("entity_pos")) * 1024 + F.col("update_pos")
+    ).cast("long")
+
+
 def environment_label(env_name):
     """Internal environment names (``dev_green``) -> stored labels (``dev-green``)."""
     c = F.col(env_name) if isinstance(env_name, str) else env_name

@@ -257,3 +257,37 @@ def accuracy_copies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     a = o.filter(F.pmod(F.col("id"), F.lit(97)) != 0)
     b = o.filter(F.pmod(F.col("id"), F.lit(89)) != 0)
     return a, b
+
+
+def vehicle_feed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested vehicle-position snapshots (``VEHICLE_FEED`` schema): one document
+    per polled snapshot of each environment, with an empty entity list when
+    the feed had no vehicle."""
+    pos = vehicle_positions(spark, sf_dir)
+    ent = pos.groupBy("environment", "mode", "snapshot_time").agg(
+        F.transform(
+            F.array_sort(
+                F.collect_list(
+                    F.struct(
+                        F.col("id").alias("_k"),
+                        F.struct(
+                            F.col("is_deleted"),
+                            F.struct(
+                                "current_status", "stop_id", "timestamp",
+                                F.struct("direction_id", "route_id", "trip_id").alias("trip"),
+                                F.struct("id", "label").alias("vehicle"),
+                            ).alias("vehicle"),
+                        ).alias("e"),
+                    )
+                )
+            ),
+            lambda x: x["e"],
+        ).alias("entity")
+    )
+    snaps = vehicle_snapshots(spark, sf_dir)
+    docs = snaps.join(ent, ["environment", "mode", "snapshot_time"], "left")
+    return docs.select(
+        F.coalesce("entity", F.array().cast(ent.schema["entity"].dataType)).alias("entity"),
+        "environment", "mode", "snapshot_time",
+        F.concat(F.lit("t"), F.col("snapshot_time").cast("string")).alias("last_modified"),
+    )
