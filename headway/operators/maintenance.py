@@ -41,19 +41,20 @@ def next_partition(today: _dt.date) -> tuple[_dt.date, _dt.date, str]:
 
 
 def write_accuracy(acc: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Weekly-partitioned Parquet, rows clustered by (route, environment) in each
-    file so min/max statistics prune like the composite index did.  Dynamic
-    partition overwrite replaces only the weeks present in ``acc``, which
-    makes re-scoring a block idempotent."""
+    """Parquet partitioned by week (then service date), rows clustered by
+    (route, environment) in each file so min/max statistics prune like the
+    composite index did.  Dynamic partition overwrite replaces only the
+    service dates present in ``acc``: re-running a scoring run rewrites the
+    same rows (idempotent) and leaves every other date alone."""
     spark = acc.sparkSession
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     (
         with_week_partition(acc)
         .drop("week_label")
-        .repartition("week_start")
-        .sortWithinPartitions("route_id", "environment", "service_date")
+        .repartition("week_start", "service_date")
+        .sortWithinPartitions("route_id", "environment")
         .write.mode(mode)
-        .partitionBy("week_start")
+        .partitionBy("week_start", "service_date")
         .parquet(path)
     )
 

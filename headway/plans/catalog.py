@@ -622,3 +622,37 @@ def q_generic_stop_id(spark, d):
     docs = A.trip_update_docs(spark, d)
     raw = docs.select(F.explode("entity").alias("e")).select(F.explode("e.trip_update.stop_time_update").alias("u"))
     return raw.groupBy(generic_stop_id(F.col("u.stop_id")).alias("stop_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+POS_COLS = ["environment", "mode", "snapshot_time", "id", "label", "is_deleted", "trip_id", "route_id", "direction_id",
+            "current_status", "stop_id", "timestamp"]
+
+
+@register("vehicle_positions", with_ctes(["vehicle_positions"], f"SELECT {', '.join(POS_COLS)} FROM vehicle_positions"))
+def q_vehicle_positions(spark, d):
+    return IN.vehicle_positions_from_feed(A.vehicle_feed_docs(spark, d)).select(*POS_COLS)
+
+
+@register("dedupe_snapshots", with_ctes(["snapshots"], """
+SELECT environment, mode, min(snapshot_time) AS snapshot_time FROM snapshots
+GROUP BY environment, mode, snapshot_time // 600"""))
+def q_dedupe_snapshots(spark, d):
+    return IN.dedupe_snapshots(A.refetched_vehicle_docs(spark, d)).select("environment", "mode", "snapshot_time")
+
+
+CR_COLS = ["environment", "file_timestamp", "vehicle_id", "trip_id", "route_id", "direction_id", "arrival_time",
+           "departure_time", "stop_id"]
+
+
+@register("flatten_cr_predictions", with_ctes(["predictions_raw"], """
+SELECT 'prod' AS environment, file_timestamp, vehicle_id, trip_id, route_id, direction_id, arrival_time, departure_time, stop_id
+FROM predictions_raw WHERE vehicle_id IS NOT NULL"""))
+def q_flatten_cr_predictions(spark, d):
+    return IN.flatten_cr_predictions(A.cr_prediction_docs(spark, d)).select(*CR_COLS)
+
+
+@register("cr_vehicle_positions", with_ctes(["vehicle_positions"], f"""
+SELECT 'prod' AS environment, 'commuter_rail' AS mode, snapshot_time, id, label, false AS is_deleted, trip_id, route_id,
+       direction_id, current_status, stop_id, timestamp FROM vehicle_positions"""))
+def q_cr_vehicle_positions(spark, d):
+    return IN.parse_cr_vehicles(A.cr_vehicle_docs(spark, d)).select(*POS_COLS)

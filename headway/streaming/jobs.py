@@ -18,11 +18,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.functions.constants import VISIBILITY_LAG_S
+from headway.functions.constants import MAX_DWELL_S, TERMINAL_MATCH_WINDOW_S, VISIBILITY_LAG_S
 from headway.operators import events as E
 from headway.operators import ingest as IN
 from headway.operators import matching as M
 from headway.operators import scoring as S
+from headway.operators.maintenance import write_accuracy
 from headway.sources import schemas as SC
 from headway.streaming.tracker import tracker_input, track
 
@@ -76,11 +77,31 @@ def start_prediction_ingest(spark: SparkSession, landing: str, out_path: str, ch
 
 
 def score_closed_blocks(transitions: DataFrame, predictions: DataFrame, now_s: int,
-                        lag_s: int = VISIBILITY_LAG_S) -> DataFrame:
+                        lag_s: int = VISIBILITY_LAG_S, since_s: int | None = None) -> DataFrame:
     """Accuracy rows of every block closed at ``now_s`` (block_start + lag <=
-    now); write them with a partition overwrite keyed by block."""
-    t = transitions.filter(F.col("transition") != "dropped")
+    now), optionally only blocks starting at or after ``since_s``.  Inputs
+    are pruned to the time range that can influence those blocks (a
+    prediction's file time lies in its block; events and touches up to the
+    scoring horizon)."""
+    lo = None if since_s is None else since_s - MAX_DWELL_S - TERMINAL_MATCH_WINDOW_S
+    t = transitions.filter(F.col("transition") != "dropped").filter(F.col("snapshot_time") <= now_s)
+    p = predictions.filter(F.col("file_timestamp") < now_s)
+    if lo is not None:
+        t = t.filter(F.col("snapshot_time") >= lo)
+        p = p.filter(F.col("file_timestamp") >= since_s)
     ev = E.vehicle_events(t)
-    m = M.match_all(predictions, E.event_touches(ev))
-    acc = S.score(predictions, m, visibility_lag_s=lag_s)
-    return acc.filter(F.col("block_start") + lag_s <= now_s)
+    m = M.match_all(p, E.event_touches(ev))
+    acc = S.score(p, m, visibility_lag_s=lag_s)
+    acc = acc.filter(F.col("block_start") + lag_s <= now_s)
+    return acc if since_s is None else acc.filter(F.col("block_start") >= since_s)
+
+
+def run_scoring(spark: SparkSession, transitions_path: str, predictions_path: str, out_path: str, now_s: int,
+                day_start_s: int) -> None:
+    """One scheduled scoring run: re-score every closed block of the current
+    service day (from ``day_start_s``) and overwrite that day's partition.
+    Re-running it, or running it after a failure, writes the same rows."""
+    acc = score_closed_blocks(
+        spark.read.parquet(transitions_path), spark.read.parquet(predictions_path), now_s, since_s=day_start_s
+    )
+    write_accuracy(acc.drop("block_start"), out_path)

@@ -79,3 +79,6 @@ def test_write_accuracy_weekly_partitions(spark, tmp_path):
     MT.write_accuracy(df, str(tmp_path / "acc"))
     parts = sorted(p.name for p in (tmp_path / "acc").iterdir() if p.name.startswith("week_start="))
     assert parts == ["week_start=2026-01-05", "week_start=2026-01-12"]
+    # overwriting one date leaves the other alone
+    MT.write_accuracy(df.filter("service_date = DATE'2026-01-07'"), str(tmp_path / "acc"))
+    assert spark.read.parquet(str(tmp_path / "acc")).count() == 2

@@ -57,3 +57,25 @@ def test_read_feed_schema_multiline(spark, tmp_path):
     p.write_text(json.dumps({"entity": [], "environment": "prod", "mode": "subway", "snapshot_time": 5, "last_modified": "x"}, indent=2))
     s = J.read_feed(spark, str(tmp_path), SC.VEHICLE_FEED)
     assert s.isStreaming
+
+
+def test_scoring_run_is_idempotent(spark, tmp_path):
+    from headway.plans import domain as D
+
+    tr = str(tmp_path / "tr")
+    pr = str(tmp_path / "pr")
+    D.transitions(spark, SF).write.parquet(tr)
+    D.predictions(spark, SF).write.parquet(pr)
+    out = str(tmp_path / "acc")
+    day_start = 1705363200 - 3600 * 16  # before the first prediction
+    now = 1705363200 + 13 * 3600
+    J.run_scoring(spark, tr, pr, out, now, day_start)
+    first = sorted(map(tuple, spark.read.parquet(out).collect()), key=str)
+    J.run_scoring(spark, tr, pr, out, now, day_start)
+    second = sorted(map(tuple, spark.read.parquet(out).collect()), key=str)
+    assert first == second and len(first) > 0
+    # same rows as the batch scorer over the whole history
+    from headway.operators import scoring as S
+
+    batch = S.score(D.predictions(spark, SF), D.matches(spark, SF))
+    assert batch.count() == len(first)
