@@ -269,15 +269,19 @@ HIST_COLS = [
 HIST_SEL = ", ".join(HIST_COLS[:-2]) + ", " + r6("mean_error") + " AS mean_error, " + r6("root_mean_squared_error") + " AS root_mean_squared_error"
 
 
+def _hist_out(df):
+    return df.select(*HIST_COLS).withColumns(r6c("mean_error", "root_mean_squared_error"))
+
+
 def _hist_r(spark, d):
-    return D.accuracy_hist(spark, d).withColumns(r6c("mean_error", "root_mean_squared_error"))
+    return _hist_out(D.accuracy_hist(spark, d))
 
 
 @register("filter_route", with_ctes(["hist"], f"""
 SELECT {HIST_SEL} FROM hist WHERE route_id IN ('Green-B', 'Green-C', 'Green-D', 'Green-E')"""))
 def q_filter_route(spark, d):
     # the "Green-All" option intersected with the subway mode
-    return FL.filter_by_route(_hist_r(spark, d), "Green-B,Green-C,Green-D,Green-E,CR-Lowell", "subway")
+    return _hist_out(FL.filter_by_route(D.accuracy_hist(spark, d), "Green-B,Green-C,Green-D,Green-E,CR-Lowell", "subway"))
 
 
 @register("filter_stop_group", with_ctes(["hist"], f"""
@@ -285,33 +289,33 @@ SELECT {HIST_SEL} FROM hist WHERE stop_id IN (SELECT unnest(['70001','70036','70
   '70105','70106','70160','70161','70196','70197','70198','70199','70201','70202','70205','70206','70238','70260',
   '70261','70276','71199','70503']) UNION ALL SELECT '70065')"""))
 def q_filter_stop_group(spark, d):
-    return FL.filter_by_stop(_hist_r(spark, d), ["_terminal", "70065"])
+    return _hist_out(FL.filter_by_stop(D.accuracy_hist(spark, d), ["_terminal", "70065"]))
 
 
 @register("filter_direction", with_ctes(["hist"], f"SELECT {HIST_SEL} FROM hist WHERE direction_id = 1"))
 def q_filter_direction(spark, d):
-    return FL.filter_by_direction(_hist_r(spark, d), "1")
+    return _hist_out(FL.filter_by_direction(D.accuracy_hist(spark, d), "1"))
 
 
 @register("filter_bin", with_ctes(["hist"], f"SELECT {HIST_SEL} FROM hist WHERE bin IN ('0-3 min', '12-30 min')"))
 def q_filter_bin(spark, d):
-    return FL.filter_by_bin(_hist_r(spark, d), "0-3 min,12-30 min")
+    return _hist_out(FL.filter_by_bin(D.accuracy_hist(spark, d), "0-3 min,12-30 min"))
 
 
 @register("filter_kind", with_ctes(["hist"], f"SELECT {HIST_SEL} FROM hist WHERE kind IN ('mid_trip', 'reverse')"))
 def q_filter_kind(spark, d):
-    return FL.filter_by_kind(_hist_r(spark, d), ["mid_trip", "reverse"])
+    return _hist_out(FL.filter_by_kind(D.accuracy_hist(spark, d), ["mid_trip", "reverse"]))
 
 
 @register("filter_in_next_two", with_ctes(["hist"], f"SELECT {HIST_SEL} FROM hist WHERE NOT in_next_two"))
 def q_filter_in_next_two(spark, d):
-    return FL.filter_by_in_next_two(_hist_r(spark, d), "false")
+    return _hist_out(FL.filter_by_in_next_two(D.accuracy_hist(spark, d), "false"))
 
 
 @register("filter_timeframe", with_ctes(["hist"], f"""
 SELECT {HIST_SEL} FROM hist WHERE service_date BETWEEN DATE '1996-03-01' AND DATE '1996-04-05'"""))
 def q_filter_timeframe(spark, d):
-    return FL.filter_by_timeframe(_hist_r(spark, d), "Daily", None, "1996-03-01", "1996-04-05")
+    return _hist_out(FL.filter_by_timeframe(D.accuracy_hist(spark, d), "Daily", None, "1996-03-01", "1996-04-05"))
 
 
 ALL_FILTERS = {

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from headway.functions.times import week_start
 from headway.operators import events as E
 from headway.operators import matching as M
 from headway.session import materialize
@@ -60,4 +61,12 @@ def matches(spark: SparkSession, d: str, ev: DataFrame | None = None) -> DataFra
 
 
 def accuracy_hist(spark: SparkSession, d: str) -> DataFrame:
-    return A.prediction_accuracy_hist(spark, d)
+    """The stored prediction_accuracy history: partitioned by week (the
+    service's weekly range partitions), clustered by (route, environment)
+    inside each file."""
+
+    def build() -> DataFrame:
+        h = A.prediction_accuracy_hist(spark, d).withColumn("week_start", week_start("service_date"))
+        return h.repartition("week_start").sortWithinPartitions("route_id", "environment", "service_date")
+
+    return materialize(spark, build, "prediction_accuracy", (d,), partition_by=["week_start"])
