@@ -77,6 +77,25 @@ def earliest_service_date(acc: DataFrame) -> DataFrame:
     return acc.agg(F.min("service_date").alias("first_service_date"))
 
 
+def backfill_run(source: DataFrame, cursor: _dt.date, today: _dt.date) -> tuple[DataFrame, DataFrame]:
+    """One run of the windowed copy from ``cursor``: the rows to copy (an
+    inclusive week, pruned through the week partition column when present)
+    and a one-row report (first, last, status, next cursor, rows copied)."""
+    first, last, status, nxt = backfill_window(cursor, today)
+    rows = backfill_copy(source, first, last) if status == "copied" else source.filter(F.lit(False))
+    if "week_start" in source.columns:
+        lo = first - _dt.timedelta(days=first.weekday())
+        rows = rows.filter((F.col("week_start") >= F.lit(lo)) & (F.col("week_start") <= F.lit(last)))
+    report = rows.agg(F.count(F.lit(1)).alias("rows_copied")).select(
+        F.lit(first).alias("first_service_date"),
+        F.lit(last).alias("last_service_date"),
+        F.lit(status).alias("status"),
+        F.lit(nxt).alias("next_cursor"),
+        "rows_copied",
+    )
+    return rows, report
+
+
 def unmatched_rows(a: DataFrame, b: DataFrame, key: str = "id") -> DataFrame:
     """Full outer join of two copies on the id; rows present on one side only,
     with the side they come from."""

@@ -538,22 +538,19 @@ def q_weekly_partitions(spark, d):
 
 
 @register("backfill_window", with_ctes(["hist"], """
-SELECT first_service_date, CAST(first_service_date + 6 AS DATE) AS last_service_date,
-       CAST(count(*) FILTER (WHERE service_date BETWEEN first_service_date AND first_service_date + 6) AS BIGINT) AS rows_copied,
-       CAST(first_service_date + 7 AS DATE) AS next_cursor
+SELECT first_service_date, CAST(first_service_date + 6 AS DATE) AS last_service_date, 'copied' AS status,
+       CAST(first_service_date + 7 AS DATE) AS next_cursor,
+       CAST(count(*) FILTER (WHERE service_date BETWEEN first_service_date AND first_service_date + 6) AS BIGINT) AS rows_copied
 FROM hist, (SELECT min(service_date) AS first_service_date FROM hist) GROUP BY first_service_date"""))
 def q_backfill_window(spark, d):
-    """One backfill run from the earliest service date: copy a week of rows and
-    move the cursor (today is far in the future, so the window is safe)."""
+    """One backfill run: the cursor starts at the earliest service date (read
+    once, like the migration-state row); ``today`` is far after the window."""
+    import datetime as _dt
+
     acc = D.accuracy_hist(spark, d)
-    first = MT.earliest_service_date(acc)
-    copied = acc.join(first, (acc.service_date >= first.first_service_date) & (acc.service_date <= F.date_add(first.first_service_date, 6)), "inner")
-    return copied.groupBy("first_service_date").agg(F.count(F.lit(1)).alias("rows_copied")).select(
-        "first_service_date",
-        F.date_add("first_service_date", 6).alias("last_service_date"),
-        "rows_copied",
-        F.date_add("first_service_date", 7).alias("next_cursor"),
-    )
+    cursor = MT.earliest_service_date(acc).first()["first_service_date"]
+    _, report = MT.backfill_run(acc, cursor, today=cursor + _dt.timedelta(days=3650))
+    return report
 
 
 @register("reconcile_copies", """

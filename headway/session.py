@@ -52,7 +52,7 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), *parts)
 
 
-_MATERIALIZED: dict[tuple, str] = {}
+_MATERIALIZED: dict[tuple, object] = {}
 
 
 def materialize(spark: SparkSession, build, name: str, key: tuple = (), partition_by: list[str] | None = None):
@@ -66,8 +66,8 @@ def materialize(spark: SparkSession, build, name: str, key: tuple = (), partitio
     once."""
     app = spark.sparkContext.applicationId
     k = (app, name, *key)
-    path = _MATERIALIZED.get(k)
-    if path is None:
+    df = _MATERIALIZED.get(k)
+    if df is None:
         import hashlib
 
         tag = hashlib.sha1(repr(k).encode()).hexdigest()[:12]
@@ -76,5 +76,7 @@ def materialize(spark: SparkSession, build, name: str, key: tuple = (), partitio
         if partition_by:
             w = w.partitionBy(*partition_by)
         w.parquet(path)
-        _MATERIALIZED[k] = path
-    return spark.read.parquet(path)
+        # keep the DataFrame: its file index (partition listing) is reused
+        df = spark.read.parquet(path)
+        _MATERIALIZED[k] = df
+    return df
