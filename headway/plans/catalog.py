@@ -605,14 +605,14 @@ SELECT {', '.join(FLAT_COLS)} FROM (
         FROM predictions_raw)
   WHERE stops_away IS NOT NULL AND (arrival_time IS NOT NULL OR departure_time IS NOT NULL))"""))
 def q_flatten_trip_updates(spark, d):
-    return IN.flatten_trip_updates(A.trip_update_docs(spark, d)).select(*FLAT_COLS)
+    return IN.flatten_trip_updates(D.landed(spark, d, "trip_updates")).select(*FLAT_COLS)
 
 
 @register("classify_kind", with_ctes(["predictions_raw"], """
 SELECT kind, CAST(count(*) AS BIGINT) AS n FROM predictions_raw
 WHERE stops_away IS NOT NULL AND (arrival_time IS NOT NULL OR departure_time IS NOT NULL) GROUP BY kind"""))
 def q_classify_kind(spark, d):
-    return IN.flatten_trip_updates(A.trip_update_docs(spark, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return IN.flatten_trip_updates(D.landed(spark, d, "trip_updates")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("generic_stop_id", with_ctes(["predictions_raw"], """
@@ -620,7 +620,7 @@ SELECT stop_id, CAST(count(*) AS BIGINT) AS n FROM predictions_raw GROUP BY stop
 def q_generic_stop_id(spark, d):
     from headway.functions.columns import generic_stop_id
 
-    docs = A.trip_update_docs(spark, d)
+    docs = D.landed(spark, d, "trip_updates")
     raw = docs.select(F.explode("entity").alias("e")).select(F.explode("e.trip_update.stop_time_update").alias("u"))
     return raw.groupBy(generic_stop_id(F.col("u.stop_id")).alias("stop_id")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -631,14 +631,14 @@ POS_COLS = ["environment", "mode", "snapshot_time", "id", "label", "is_deleted",
 
 @register("vehicle_positions", with_ctes(["vehicle_positions"], f"SELECT {', '.join(POS_COLS)} FROM vehicle_positions"))
 def q_vehicle_positions(spark, d):
-    return IN.vehicle_positions_from_feed(A.vehicle_feed_docs(spark, d)).select(*POS_COLS)
+    return IN.vehicle_positions_from_feed(D.landed(spark, d, "vehicle_feed")).select(*POS_COLS)
 
 
 @register("dedupe_snapshots", with_ctes(["snapshots"], """
 SELECT environment, mode, min(snapshot_time) AS snapshot_time FROM snapshots
 GROUP BY environment, mode, snapshot_time // 600"""))
 def q_dedupe_snapshots(spark, d):
-    return IN.dedupe_snapshots(A.refetched_vehicle_docs(spark, d)).select("environment", "mode", "snapshot_time")
+    return IN.dedupe_snapshots(A.refetched(D.landed(spark, d, "vehicle_feed"))).select("environment", "mode", "snapshot_time")
 
 
 CR_COLS = ["environment", "file_timestamp", "vehicle_id", "trip_id", "route_id", "direction_id", "arrival_time",
@@ -649,11 +649,11 @@ CR_COLS = ["environment", "file_timestamp", "vehicle_id", "trip_id", "route_id",
 SELECT 'prod' AS environment, file_timestamp, vehicle_id, trip_id, route_id, direction_id, arrival_time, departure_time, stop_id
 FROM predictions_raw WHERE vehicle_id IS NOT NULL"""))
 def q_flatten_cr_predictions(spark, d):
-    return IN.flatten_cr_predictions(A.cr_prediction_docs(spark, d)).select(*CR_COLS)
+    return IN.flatten_cr_predictions(D.landed(spark, d, "cr_predictions")).select(*CR_COLS)
 
 
 @register("cr_vehicle_positions", with_ctes(["vehicle_positions"], f"""
 SELECT 'prod' AS environment, 'commuter_rail' AS mode, snapshot_time, id, label, false AS is_deleted, trip_id, route_id,
        direction_id, current_status, stop_id, timestamp FROM vehicle_positions"""))
 def q_cr_vehicle_positions(spark, d):
-    return IN.parse_cr_vehicles(A.cr_vehicle_docs(spark, d)).select(*POS_COLS)
+    return IN.parse_cr_vehicles(D.landed(spark, d, "cr_vehicles")).select(*POS_COLS)

@@ -14,6 +14,7 @@ from headway.operators import events as E
 from headway.operators import matching as M
 from headway.session import materialize
 from headway.sources import adapters as A
+from headway.sources import schemas as SC
 
 
 def positions(spark: SparkSession, d: str) -> DataFrame:
@@ -70,3 +71,19 @@ def accuracy_hist(spark: SparkSession, d: str) -> DataFrame:
         return h.repartition("week_start").sortWithinPartitions("route_id", "environment", "service_date")
 
     return materialize(spark, build, "prediction_accuracy", (d,), partition_by=["week_start"])
+
+
+# ---- landed feed documents (JSON Lines, read back with explicit schemas) ----------------
+
+
+def landed(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """Feed snapshots landed once as JSON Lines files and read back through the
+    JSON source with the feed's explicit schema (no inference)."""
+    builders = {
+        "trip_updates": (A.trip_update_docs, SC.TRIP_UPDATES),
+        "cr_predictions": (A.cr_prediction_docs, SC.CR_PREDICTIONS),
+        "vehicle_feed": (A.vehicle_feed_docs, SC.VEHICLE_FEED),
+        "cr_vehicles": (A.cr_vehicle_docs, SC.CR_VEHICLES),
+    }
+    build, schema = builders[name]
+    return materialize(spark, lambda: build(spark, d), "landed_" + name, (d,), fmt="json", schema=schema)

@@ -55,7 +55,8 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
 _MATERIALIZED: dict[tuple, object] = {}
 
 
-def materialize(spark: SparkSession, build, name: str, key: tuple = (), partition_by: list[str] | None = None):
+def materialize(spark: SparkSession, build, name: str, key: tuple = (), partition_by: list[str] | None = None,
+                fmt: str = "parquet", schema=None):
     """Write ``build()`` once as a Parquet table under the shared checkpoint folder
     and return a DataFrame reading it back.
 
@@ -75,8 +76,9 @@ def materialize(spark: SparkSession, build, name: str, key: tuple = (), partitio
         w = build().write.mode("overwrite")
         if partition_by:
             w = w.partitionBy(*partition_by)
-        w.parquet(path)
+        w.format(fmt).save(path)
         # keep the DataFrame: its file index (partition listing) is reused
-        df = spark.read.parquet(path)
+        r = spark.read.format(fmt)
+        df = (r.schema(schema) if schema is not None else r).load(path)
         _MATERIALIZED[k] = df
     return df

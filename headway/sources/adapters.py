@@ -298,12 +298,10 @@ def vehicle_feed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def refetched_vehicle_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def refetched(docs: DataFrame) -> DataFrame:
     """Vehicle snapshots where the feed's Last-Modified only changes every ten
     minutes, so every other fetch repeats the previous one."""
-    return vehicle_feed_docs(spark, sf_dir).withColumn(
-        "last_modified", F.concat(F.lit("lm"), idiv(F.col("snapshot_time"), 600).cast("string"))
-    )
+    return docs.withColumn("last_modified", F.concat(F.lit("lm"), idiv(F.col("snapshot_time"), 600).cast("string")))
 
 
 def _iso_local(x: Column) -> Column:
