@@ -58,14 +58,17 @@ def flatten_trip_updates(docs: DataFrame) -> DataFrame:
     ``header.timestamp`` yield nothing; an entity without updates yields no
     row.  Trip fields are copied onto each update."""
     snap = docs.filter(F.col("entity").isNotNull() & F.col("header.timestamp").isNotNull())
+    page = F.coalesce(F.col("page"), F.lit(0)) if "page" in docs.columns else F.lit(0)
     ent = snap.select(
         environment_label("environment").alias("environment"),
         F.col("header.timestamp").alias("file_timestamp"),
+        page.cast("int").alias("page"),
         F.posexplode("entity").alias("entity_pos", "e"),
     )
     upd = ent.select(
         "environment",
         "file_timestamp",
+        "page",
         "entity_pos",
         F.col("e.is_deleted").alias("is_deleted"),
         F.col("e.trip_update.trip.trip_id").alias("trip_id"),
@@ -90,20 +93,23 @@ def flatten_trip_updates(docs: DataFrame) -> DataFrame:
         F.col("u.stops_away").alias("stops_away"),
         "direction_id",
         kind_from_uncertainty(F.col("u.arrival.uncertainty"), F.col("u.departure.uncertainty")).alias("kind"),
+        "page",
         "entity_pos",
         "update_pos",
     )
-    return rank_at_stop(keep_scorable_updates(rows), tie_break=["entity_pos", "update_pos"])
+    return rank_at_stop(keep_scorable_updates(rows), tie_break=["page", "entity_pos", "update_pos"])
 
 
 def prediction_id():
-    """Deterministic prediction key from (environment, file time, entity
-    position, update position); positions are bounded by the feed size."""
+    """Deterministic prediction key from (environment, file time, page,
+    entity position, update position); each is bounded by the feed size
+    (pages < 16, entities < 2048, updates < 256 per entity)."""
     env_idx = F.when(F.col("environment") == "prod", 0).when(F.col("environment") == "dev-green", 1).when(
         F.col("environment") == "dev-blue", 2
     ).otherwise(3)
     return (
-        ((F.col("file_timestamp") * 4 + env_idx) * 4096 + F.col("entity_pos")) * 1024 + F.col("update_pos")
+        (((F.col("file_timestamp") * 4 + env_idx) * 16 + F.col("page")) * 2048 + F.col("entity_pos")) * 256
+        + F.col("update_pos")
     ).cast("long")
 
 

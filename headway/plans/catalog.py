@@ -600,8 +600,9 @@ SELECT {', '.join(FLAT_COLS)} FROM (
   SELECT *, false AS is_deleted, CAST(row_number() OVER (
            PARTITION BY environment, file_timestamp, stop_id
            ORDER BY CASE WHEN stops_away = 0 THEN 0 ELSE 1 END, coalesce(arrival_time, departure_time) NULLS LAST,
-                    first_id, id) AS INTEGER) AS nth_at_stop
-  FROM (SELECT *, min(id) OVER (PARTITION BY environment, file_timestamp, trip_id, vehicle_id, route_id, direction_id) AS first_id
+                    id // 500, first_id, id) AS INTEGER) AS nth_at_stop
+  FROM (SELECT *, min(id) OVER (PARTITION BY environment, file_timestamp, id // 500, trip_id, vehicle_id, route_id,
+                                direction_id) AS first_id
         FROM predictions_raw)
   WHERE stops_away IS NOT NULL AND (arrival_time IS NOT NULL OR departure_time IS NOT NULL))"""))
 def q_flatten_trip_updates(spark, d):

@@ -193,6 +193,10 @@ def stop_dim_key(stop: Column) -> Column:
     return out
 
 
+# A landed document holds at most PAGE_ROWS consecutive event ids, so no
+# document (one collect_list group) grows with the data volume.
+PAGE_ROWS = 500
+
 # platform-specific ids a feed may report for the terminal fixture stops
 PLATFORM_IDS = {"70061": "Alewife-0", "70105": "Braintree-0", "70001": "Forest Hills-0", "70036": "Oak Grove-0"}
 KIND_UNCERTAINTY = {"mid_trip": 60, "at_terminal": 120, "reverse": 360}
@@ -203,7 +207,8 @@ def trip_update_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixture rows: one document per (environment, file time), one entity per
     trip/vehicle, updates in event order.  Terminal stops are reported by
     platform id on every third row, and a kind is encoded as its uncertainty
-    (rows without a kind carry 90 s or nothing, which maps to no kind)."""
+    (rows without a kind carry 90 s or nothing, which maps to no kind).  A
+    snapshot is landed in pages of at most ``PAGE_ROWS`` consecutive rows."""
     raw = predictions_raw(spark, sf_dir, keep_k=True)
     unc = F.when(F.col("kind").isNull(), F.when(F.pmod(F.col("k"), F.lit(2)) == 0, F.lit(90)))
     for kind, u in KIND_UNCERTAINTY.items():
@@ -226,13 +231,14 @@ def trip_update_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("stops_away"),
         ).alias("u"),
     )
-    trip_keys = ["environment", "file_timestamp", "trip_id", "vehicle_id", "route_id", "direction_id"]
+    upd = upd.withColumn("page", idiv(F.col("id"), PAGE_ROWS).cast("int"))
+    trip_keys = ["environment", "file_timestamp", "page", "trip_id", "vehicle_id", "route_id", "direction_id"]
     ent = upd.groupBy(*trip_keys).agg(
         F.min("id").alias("first_id"),
         F.transform(F.array_sort(F.collect_list(F.struct("id", "u"))), lambda x: x["u"]).alias("updates"),
     )
     ent = ent.select(
-        "environment", "file_timestamp", "first_id",
+        "environment", "file_timestamp", "page", "first_id",
         F.struct(
             F.concat(F.lit("E"), F.col("first_id").cast("string")).alias("id"),
             F.lit(False).alias("is_deleted"),
@@ -243,10 +249,10 @@ def trip_update_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
             ).alias("trip_update"),
         ).alias("e"),
     )
-    docs = ent.groupBy("environment", "file_timestamp").agg(
+    docs = ent.groupBy("environment", "file_timestamp", "page").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("first_id", "e"))), lambda x: x["e"]).alias("entity")
     )
-    return docs.select(F.struct(F.col("file_timestamp").alias("timestamp")).alias("header"), "entity", "environment")
+    return docs.select(F.struct(F.col("file_timestamp").alias("timestamp")).alias("header"), "entity", "environment", "page")
 
 
 def accuracy_copies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -341,10 +347,10 @@ def cr_prediction_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
             _rel(F.col("route_id")).alias("route"), _rel(F.col("stop_id")).alias("stop"),
         ).alias("relationships"),
     )
-    docs = raw.groupBy("file_timestamp").agg(
+    docs = raw.groupBy("file_timestamp", idiv(F.col("id"), PAGE_ROWS).cast("int").alias("page")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct(F.col("id").alias("_k"), item.alias("p")))), lambda x: x["p"]).alias("data")
     )
-    return docs.select("data", _http_date(F.col("file_timestamp")).alias("last_modified"))
+    return docs.select("data", _http_date(F.col("file_timestamp")).alias("last_modified"), "page")
 
 
 def cr_vehicle_docs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,6 +60,7 @@ TRIP_UPDATES = _struct(
         ),
     ),
     ("environment", S),
+    ("page", I),  # landing metadata: part number when a snapshot is landed in several documents
 )
 
 _REL = _struct(("data", _struct(("id", S))))
@@ -80,6 +81,7 @@ CR_PREDICTIONS = _struct(
         ),
     ),
     ("last_modified", S),
+    ("page", I),
 )
 
 VEHICLE_FEED = _struct(
