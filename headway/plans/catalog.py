@@ -503,7 +503,7 @@ FROM (SELECT *, count(*) OVER (PARTITION BY mode, description, name, platform_na
              CASE WHEN platform_name IS NULL THEN name ELSE name || ' (' || platform_name || ')' END AS base
       FROM stops_dim)"""))
 def q_stop_dim(spark, d):
-    return SP.stop_dim(A.stops_dim(spark, d))
+    return SP.stop_dim(SP.stops_from_feed(D.landed(spark, d, "stops")))
 
 
 # ---- maintenance ------------------------------------------------------------------------------------

@@ -84,6 +84,7 @@ def landed(spark: SparkSession, d: str, name: str) -> DataFrame:
         "cr_predictions": (A.cr_prediction_docs, SC.CR_PREDICTIONS),
         "vehicle_feed": (A.vehicle_feed_docs, SC.VEHICLE_FEED),
         "cr_vehicles": (A.cr_vehicle_docs, SC.CR_VEHICLES),
+        "stops": (A.stops_docs, SC.STOPS),
     }
     build, schema = builders[name]
     return materialize(spark, lambda: build(spark, d), "landed_" + name, (d,), fmt="json", schema=schema)

@@ -369,3 +369,14 @@ def cr_vehicle_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct(F.col("id").alias("_k"), item.alias("d")))), lambda x: x["d"]).alias("data")
     )
     return docs.select("data", "snapshot_time", F.concat(F.lit("t"), F.col("snapshot_time").cast("string")).alias("last_modified"))
+
+
+def stops_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stops documents (``STOPS`` schema) of the subway mode, in pages of
+    ``PAGE_ROWS`` stops."""
+    st = stops_dim(spark, sf_dir)
+    item = F.struct(F.col("id"), F.struct("description", "name", "platform_name").alias("attributes"))
+    docs = st.groupBy(idiv(F.col("id").cast("long"), PAGE_ROWS).alias("page")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct(F.col("id").cast("long").alias("_k"), item.alias("s")))), lambda x: x["s"]).alias("data")
+    )
+    return docs.select("data", F.lit("subway").alias("mode"))
