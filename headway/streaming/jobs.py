@@ -64,8 +64,9 @@ def start_vehicle_tracker(spark: SparkSession, landing: str, out_path: str, chec
     return w.start()
 
 
-def start_prediction_ingest(spark: SparkSession, landing: str, out_path: str, checkpoint: str, available_now: bool = True):
-    docs = read_feed(spark, landing, SC.TRIP_UPDATES)
+def start_prediction_ingest(spark: SparkSession, landing: str, out_path: str, checkpoint: str, available_now: bool = True,
+                            one_doc_per_file: bool = True):
+    docs = read_feed(spark, landing, SC.TRIP_UPDATES, one_doc_per_file=one_doc_per_file)
 
     def write(batch: DataFrame, epoch_id: int) -> None:
         rows = IN.flatten_trip_updates(batch).withColumn("id", IN.prediction_id())

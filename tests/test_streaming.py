@@ -79,3 +79,18 @@ def test_scoring_run_is_idempotent(spark, tmp_path):
 
     batch = S.score(D.predictions(spark, SF), D.matches(spark, SF))
     assert batch.count() == len(first)
+
+
+def test_prediction_ingest_stream_equals_batch_flatten(spark, tmp_path):
+    docs = A.trip_update_docs(spark, SF)
+    landing = str(tmp_path / "tu")
+    docs.write.json(landing)
+    out, ckpt = str(tmp_path / "pred"), str(tmp_path / "ckpt")
+    q = J.start_prediction_ingest(spark, landing, out, ckpt, available_now=True, one_doc_per_file=False)
+    q.awaitTermination(300)
+    got = spark.read.parquet(out)
+    cols = ["environment", "file_timestamp", "trip_id", "stop_id", "arrival_time", "departure_time", "kind", "nth_at_stop"]
+    exp = IN.flatten_trip_updates(docs).select(*cols)
+    assert got.count() == exp.count()
+    assert got.select(*cols).exceptAll(exp).count() == 0
+    assert got.select("id").distinct().count() == got.count()
