@@ -276,7 +276,7 @@ def validate_environment(df: DataFrame) -> DataFrame:
 
 
 def required_present(*cols: str):
-    """Ecto-style required check: null or blank strings count as missing."""
+    """Required-field check: null or blank strings count as missing."""
     cond = None
     for c in cols:
         x = blank_to_null(F.col(c)) if c not in ("is_deleted", "direction_id", "arrival_time") else F.col(c)

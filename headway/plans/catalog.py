@@ -1,4 +1,4 @@
-"""Registered queries: name -> (DataFrame builder, reference SQL).
+"""Registered queries: name -> (DataFrame builder, oracle SQL).
 
 Every builder takes (spark, sf_dir) and returns a lazy DataFrame over the
 whole driver tables.  Every SQL string is the same computation written

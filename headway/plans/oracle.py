@@ -1,4 +1,4 @@
-"""Reference SQL (DuckDB dialect) for every registered query.
+"""Oracle SQL (DuckDB dialect) for every registered query.
 
 Written independently of the DataFrame code: the adapter mapping is
 re-stated as CTEs over the driver's pre-registered views and every query
