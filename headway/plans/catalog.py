@@ -554,8 +554,9 @@ def q_backfill_window(spark, d):
 
 
 @register("reconcile_copies", """
-WITH a AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS service_date FROM orders WHERE o_orderkey % 97 <> 0),
-     b AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS service_date FROM orders WHERE o_orderkey % 89 <> 0),
+WITH a AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS service_date FROM orders),
+     b AS (SELECT CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' THEN -o_orderkey ELSE o_orderkey END AS id,
+                  CAST(o_orderdate AS DATE) AS service_date FROM orders),
      u AS (SELECT CASE WHEN b.id IS NULL THEN 'monolithic' ELSE 'partitioned' END AS side,
                   coalesce(a.service_date, b.service_date) AS service_date
            FROM a FULL OUTER JOIN b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL)
@@ -570,8 +571,9 @@ def q_reconcile_copies(spark, d):
 
 
 @register("reconcile_by_date", """
-WITH a AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS service_date FROM orders WHERE o_orderkey % 97 <> 0),
-     b AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS service_date FROM orders WHERE o_orderkey % 89 <> 0)
+WITH a AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS service_date FROM orders),
+     b AS (SELECT CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' THEN -o_orderkey ELSE o_orderkey END AS id,
+                  CAST(o_orderdate AS DATE) AS service_date FROM orders)
 SELECT CASE WHEN b.id IS NULL THEN 'monolithic' ELSE 'partitioned' END AS side,
        coalesce(a.service_date, b.service_date) AS service_date, CAST(count(*) AS BIGINT) AS unmatched
 FROM a FULL OUTER JOIN b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL GROUP BY ALL""")

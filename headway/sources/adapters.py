@@ -256,12 +256,16 @@ def trip_update_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accuracy_copies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two copies of an id-keyed table that disagree on a few rows."""
-    o = _table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("service_date")
+    """Two whole copies of an id-keyed table that disagree: the second copy
+    re-keys the urgent pending orders (as a faulty copy would), so each side
+    has rows the other lacks while no row is dropped."""
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
+    a = o.select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("service_date"))
+    rekey = (F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT")
+    b = o.select(
+        F.when(rekey, -F.col("o_orderkey")).otherwise(F.col("o_orderkey")).alias("id"),
+        F.to_date("o_orderdate").alias("service_date"),
     )
-    a = o.filter(F.pmod(F.col("id"), F.lit(97)) != 0)
-    b = o.filter(F.pmod(F.col("id"), F.lit(89)) != 0)
     return a, b
 
 
