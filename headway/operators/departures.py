@@ -49,6 +49,11 @@ def _day_filter(df: DataFrame, time_col: str, date: _dt.date | None, env: str |
     if date is not None:
         lo, hi = service_day_window(date)
         df = df.filter((F.col(time_col) >= lo) & (F.col(time_col) <= hi)).withColumn("service_day", F.lit(date))
+        if time_col == "file_timestamp" and "file_date" in df.columns:
+            # stored predictions are partitioned by UTC file date: prune to the window's dates
+            d0 = _dt.datetime.fromtimestamp(lo, _dt.timezone.utc).date()
+            d1 = _dt.datetime.fromtimestamp(hi, _dt.timezone.utc).date()
+            df = df.filter(F.col("file_date").between(F.lit(d0), F.lit(d1)))
     else:
         df = df.withColumn("service_day", departure_service_day(time_col)).filter(F.col("service_day").isNotNull())
     return df

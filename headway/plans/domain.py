@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from headway.functions.times import week_start
+from pyspark.sql import functions as F
+
+from headway.functions.times import epoch_to_utc_ntz, week_start
 from headway.operators import events as E
 from headway.operators import matching as M
 from headway.session import materialize
@@ -47,8 +49,15 @@ def vehicle_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:
-    """The stored predictions table (flattened, ranked), written once per session."""
-    return materialize(spark, lambda: A.predictions(spark, d), "predictions", (d,))
+    """The stored predictions table (flattened, ranked), written once per
+    session, partitioned by the UTC date of the file time and sorted by
+    (environment, file time) inside files, so day and block filters prune."""
+
+    def build() -> DataFrame:
+        p = A.predictions(spark, d).withColumn("file_date", F.to_date(epoch_to_utc_ntz("file_timestamp")))
+        return p.sortWithinPartitions("file_date", "environment", "file_timestamp")
+
+    return materialize(spark, build, "predictions", (d,), partition_by=["file_date"])
 
 
 def matches(spark: SparkSession, d: str, ev: DataFrame | None = None) -> DataFrame:

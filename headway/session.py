@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 
 from pyspark.sql import SparkSession
 
@@ -53,6 +54,7 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
 
 
 _MATERIALIZED: dict[tuple, object] = {}
+_LOCK = threading.RLock()
 
 
 def materialize(spark: SparkSession, build, name: str, key: tuple = (), partition_by: list[str] | None = None,
@@ -67,6 +69,12 @@ def materialize(spark: SparkSession, build, name: str, key: tuple = (), partitio
     once."""
     app = spark.sparkContext.applicationId
     k = (app, name, *key)
+    with _LOCK:
+        return _materialize_locked(spark, build, k, name, partition_by, fmt, schema)
+
+
+def _materialize_locked(spark, build, k, name, partition_by, fmt, schema):
+    app = k[0]
     df = _MATERIALIZED.get(k)
     if df is None:
         import hashlib

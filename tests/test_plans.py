@@ -62,3 +62,15 @@ def test_scoring_is_one_grouped_pass(spark):
     p = _plan(S.score(D.predictions(spark, SF), D.matches(spark, SF)))
     assert p.count("Exchange hashpartitioning") <= 2
     assert "partial_count" in p or "partial_sum" in p
+
+
+def test_one_day_report_prunes_prediction_partitions(spark):
+    import datetime as dt
+
+    from headway.operators import departures as DP
+    from headway.operators import matching as M
+    from headway.plans import domain as D
+
+    mp = M.with_matches(D.predictions(spark, SF), D.matches(spark, SF))
+    p = _plan(DP.missed_summary(mp, date=dt.date(2024, 1, 15), env="prod"))
+    assert "PartitionFilters: [isnotnull(file_date" in p
