@@ -399,13 +399,13 @@ def q_unpredicted_detail(spark, d):
     return DP.unpredicted_detail(ev, mp)
 
 
-@register("unpredicted_totals", with_ctes(["flagged_departures"], """
+@register("unpredicted_totals", with_ctes(["flagged_departures"], f"""
 SELECT environment, service_day, CAST(sum(departures) AS BIGINT) AS total_departures,
        CAST(sum(unpredicted) AS BIGINT) AS total_unpredicted,
        round(CASE WHEN sum(departures) > 0 THEN sum(unpredicted) * 100.0 / sum(departures) ELSE 0.0 END, 6) AS total_pct
 FROM (SELECT environment, service_day, route_id, count(*) AS departures,
              count(*) FILTER (WHERE NOT predicted) AS unpredicted
-      FROM flagged_departures WHERE stop_id IN ('70061', '70105', '70036', '70001', '70197', '70260')
+      FROM flagged_departures WHERE stop_id IN {TERMINALS_SQL}
       GROUP BY ALL)
 GROUP BY environment, service_day"""))
 def q_unpredicted_totals(spark, d):
