@@ -54,7 +54,8 @@ def accuracy_drops(acc: DataFrame) -> DataFrame:
     daily = prod.groupBy("route_id", "service_date").agg(
         accuracy_ratio(F.sum("num_accurate_predictions"), F.sum("num_predictions")).alias("accuracy")
     )
-    days = prod.select("service_date").distinct()
+    # days with data come from the same aggregate, so its exchange is reused
+    days = daily.select("service_date").distinct()
     candidates = days.union(days.select(F.date_add("service_date", 1).alias("service_date"))).distinct()
     spine = candidates.select("service_date", F.explode(F.array(*[F.lit(r) for r in SUBWAY_ROUTES])).alias("route_id"))
     y = daily.select("route_id", "service_date", F.col("accuracy").alias("yesterday_accuracy"))

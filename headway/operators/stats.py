@@ -113,23 +113,20 @@ def write_csv(rows: DataFrame, path: str, chart_range: str) -> None:
 
 def accuracy_series(acc: DataFrame, chart_range: str, resolution=None) -> DataFrame:
     """Chart data in long form: (scope, environment, accuracy ratio), zero when
-    an environment has no predictions for the scope."""
+    an environment has no predictions for the scope.  One aggregation; the
+    wide row is turned into three long rows with ``inline``."""
     wide = env_comparison(acc, chart_range, resolution)
     names = _names(chart_range, resolution)
-    parts = []
+    per_env = []
     for env in ENVIRONMENTS:
         p = env.replace("-", "_")
-        parts.append(
-            wide.select(
-                *names,
+        per_env.append(
+            F.struct(
                 F.lit(env).alias("environment"),
                 accuracy_ratio(f"{p}_num_accurate", f"{p}_num_predictions").alias("accuracy"),
             )
         )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return wide.select(*names, F.inline(F.array(*per_env)))
 
 
 def stations_by_accuracy(acc: DataFrame) -> DataFrame:
