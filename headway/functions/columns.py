@@ -21,6 +21,12 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def floor_div(c: Column | str, n: int) -> Column:
+    """Exact integer floor division by a positive literal (no doubles)."""
+    x = _col(c)
+    return ((x - F.pmod(x, F.lit(n))) / n).cast("long")
+
+
 def pick(values: list, idx: Column) -> Column:
     """``values[idx]`` for a 0-based integer column (a literal array lookup)."""
     return F.element_at(F.array(*[F.lit(v) for v in values]), (idx + 1).cast("int"))

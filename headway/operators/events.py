@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from headway.functions.columns import blank_to_null, is_stopped
+from headway.functions.columns import blank_to_null, floor_div, is_stopped
 from headway.functions.constants import MATTAPAN_MAX_DWELL_S, MAX_DWELL_S
 from headway.operators.sequence import neighbors
 
@@ -121,18 +121,7 @@ def vehicle_events(transitions: DataFrame, bucket_s: int = MAX_DWELL_S) -> DataF
     (usually one or two) buckets that window touches.  No key -- however hot
     one vehicle at one stop is -- pairs more than a dwell's worth of rows."""
     arr = arrivals(transitions)
-    dep = departures(transitions)
-    first_b = F.floor(F.col("arrival_snapshot") / bucket_s)
-    last_b = F.floor((F.col("arrival_time") + F.lit(MAX_DWELL_S)) / bucket_s)
-    arr_b = arr.withColumn(
-        "bucket", F.explode(F.when(last_b >= first_b, F.sequence(first_b, last_b)).otherwise(F.array()))
-    )
-    dep_b = dep.select(
-        "environment", "vehicle_id", "stop_id",
-        F.floor(F.col("departure_snapshot") / bucket_s).alias("bucket"),
-        F.col("route_id").alias("dep_route_id"), "departure_time", "departure_snapshot",
-    )
-    pairs = arr_b.join(dep_b, ["environment", "vehicle_id", "stop_id", "bucket"], "inner").filter(
+    pairs = dwell_candidates(arr, departures(transitions), bucket_s).filter(
         (F.col("departure_snapshot") > F.col("arrival_snapshot"))
         & (F.col("arrival_time") > F.col("departure_snapshot") - _dwell_limit(F.col("dep_route_id")))
     )
@@ -146,6 +135,24 @@ def vehicle_events(transitions: DataFrame, bucket_s: int = MAX_DWELL_S) -> DataF
     )
 
 
+def dwell_candidates(arr: DataFrame, dep: DataFrame, bucket_s: int = MAX_DWELL_S) -> DataFrame:
+    """(arrival, departure) pairs sharing (environment, vehicle, stop, time
+    bucket), before the exact range test.  Each arrival is copied to the
+    buckets its closing window (arrival_snapshot, arrival_time + max dwell)
+    touches; an empty window gives no copy."""
+    first_b = floor_div("arrival_snapshot", bucket_s)
+    last_b = floor_div(F.col("arrival_time") + F.lit(MAX_DWELL_S), bucket_s)
+    arr_b = arr.withColumn(
+        "bucket", F.explode(F.when(last_b >= first_b, F.sequence(first_b, last_b)).otherwise(F.array()))
+    )
+    dep_b = dep.select(
+        "environment", "vehicle_id", "stop_id",
+        floor_div("departure_snapshot", bucket_s).alias("bucket"),
+        F.col("route_id").alias("dep_route_id"), "departure_time", "departure_snapshot",
+    )
+    return arr_b.join(dep_b, ["environment", "vehicle_id", "stop_id", "bucket"], "inner")
+
+
 def departure_anomalies(events: DataFrame) -> DataFrame:
     """Departures that closed more than one open dwell (logged as an error for
     subway routes, info for commuter rail; they match no predictions)."""

@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from headway.functions.columns import floor_div
 from headway.functions.constants import STANDARD_MATCH_WINDOW_S, TERMINAL_MATCH_WINDOW_S
 from headway.operators.events import EVENT_KEY
 
@@ -33,14 +34,15 @@ MATCH_COLUMNS = [
 
 
 def _bucketed(p: DataFrame, window_s: int) -> DataFrame:
-    lo = F.floor(F.col("file_timestamp") / BUCKET_S)
-    hi = F.floor((F.col("file_timestamp") + window_s) / BUCKET_S)
+    """Copy each prediction to the (at most two) buckets its window reaches."""
+    lo = floor_div("file_timestamp", BUCKET_S)
+    hi = floor_div(F.col("file_timestamp") + window_s, BUCKET_S)
     return p.withColumn("bucket", F.explode(F.array_distinct(F.array(lo, hi))))
 
 
 def _touch_side(touches: DataFrame) -> DataFrame:
     return touches.select(
-        F.floor(F.col("touch_time") / BUCKET_S).alias("bucket"),
+        floor_div("touch_time", BUCKET_S).alias("bucket"),
         "touch_time",
         F.col("environment"),
         F.col("vehicle_id").alias("ev_vehicle_id"),
@@ -77,19 +79,21 @@ def _first_touch(cands: DataFrame, match_type: str) -> DataFrame:
     )
 
 
-def match_standard(predictions: DataFrame, touches: DataFrame) -> DataFrame:
+def standard_candidates(predictions: DataFrame, touches: DataFrame) -> DataFrame:
+    """(prediction, touch) pairs sharing (environment, vehicle, stop, bucket),
+    before the exact window test."""
     p = predictions.filter(F.col("vehicle_id").isNotNull()).select(
-        "id", "environment", "vehicle_id", "stop_id", "file_timestamp"
+        "id", "environment", F.col("vehicle_id").alias("ev_vehicle_id"), "stop_id", "file_timestamp"
     )
-    t = _touch_side(touches)
-    c = (
-        _bucketed(p, STANDARD_MATCH_WINDOW_S)
-        .withColumnRenamed("vehicle_id", "ev_vehicle_id")
-        .join(t, ["environment", "ev_vehicle_id", "stop_id", "bucket"], "inner")
-        .filter(
-            (F.col("file_timestamp") <= F.col("touch_time"))
-            & (F.col("file_timestamp") > F.col("touch_time") - STANDARD_MATCH_WINDOW_S)
-        )
+    return _bucketed(p, STANDARD_MATCH_WINDOW_S).join(
+        _touch_side(touches), ["environment", "ev_vehicle_id", "stop_id", "bucket"], "inner"
+    )
+
+
+def match_standard(predictions: DataFrame, touches: DataFrame) -> DataFrame:
+    c = standard_candidates(predictions, touches).filter(
+        (F.col("file_timestamp") <= F.col("touch_time"))
+        & (F.col("file_timestamp") > F.col("touch_time") - STANDARD_MATCH_WINDOW_S)
     )
     return _first_touch(c, "standard")
 

@@ -100,3 +100,30 @@ def test_first_touch_wins(spark):
     preds = spark.createDataFrame([(1, "prod", "v1", "x", 0, "A", 9999)], PRED)
     [r] = M.match_all(preds, E.event_touches(ev)).collect()
     assert r.touch_time == 10000
+
+
+def test_hot_vehicle_stop_pairs_stay_bounded(spark):
+    """One vehicle cycling at one stop for 50 hours (stopped at A, moving to
+    B, incoming at A, ...): 1000 arrivals and 1000 departures on the same
+    (environment, vehicle, stop).  A plain equi-join would pair ~500k
+    candidates; the bucketed joins pair a few rows per arrival / prediction."""
+    t = 1_700_000_000
+    cycle = [("STOPPED_AT", "A"), ("IN_TRANSIT_TO", "B"), ("INCOMING_AT", "A")]
+    rows = [("v1", *cycle[i % 3], t + 60 * i) for i in range(3000)]
+    p, s = _pos(spark, rows)
+    tr = E.vehicle_transitions(p, s)
+    arr, dep = E.arrivals(tr), E.departures(tr)
+    n_arr = arr.count()
+    assert n_arr == 1000 and dep.count() == 1000
+    # each arrival meets only the departures of the buckets its dwell window
+    # touches (~20 here: a dwell every 3 minutes, two 30-minute buckets),
+    # not all 1000 departures of the key
+    assert E.dwell_candidates(arr, dep).count() <= 25 * n_arr
+    ev = E.vehicle_events(tr)
+    assert ev.filter("closed_with = 1").count() == 1000
+    touches = E.event_touches(ev)
+    preds = spark.createDataFrame([(i, "prod", "v1", "x", 0, "A", t + 60 * i - 30) for i in range(0, 3000, 3)], PRED)
+    cands = M.standard_candidates(preds, touches).count()
+    # two 40-minute buckets of touches per prediction, not the key's 2000 touches
+    assert cands <= 60 * preds.count()
+    assert M.match_standard(preds, touches).count() == 1000
