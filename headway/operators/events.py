@@ -128,11 +128,11 @@ def vehicle_events(transitions: DataFrame, bucket_s: int = MAX_DWELL_S) -> DataF
     first = pairs.groupBy(*EVENT_KEY).agg(
         F.min(F.struct("departure_snapshot", "departure_time")).alias("d")
     ).select(*EVENT_KEY, F.col("d.departure_snapshot").alias("departure_snapshot"), F.col("d.departure_time").alias("departure_time"))
-    ev = arr.join(first, EVENT_KEY, "left")
+    # dwells closed by the same departure; counted on closed pairs only, so
+    # open dwells (no departure) never share one window partition
     w = Window.partitionBy("environment", "vehicle_id", "stop_id", "departure_snapshot")
-    return ev.withColumn(
-        "closed_with", F.when(F.col("departure_snapshot").isNotNull(), F.count(F.lit(1)).over(w)).cast("int")
-    )
+    first = first.withColumn("closed_with", F.count(F.lit(1)).over(w).cast("int"))
+    return arr.join(first, EVENT_KEY, "left")
 
 
 def dwell_candidates(arr: DataFrame, dep: DataFrame, bucket_s: int = MAX_DWELL_S) -> DataFrame:
