@@ -36,15 +36,19 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    Only when the session has none (local tests) is a private folder set."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """Return the shared checkpoint folder: ``spark.checkpoint.dir`` as the
+    cluster configures it, else the context's checkpoint dir.  Only when
+    neither is set (local tests) is a private folder created and registered
+    with ``SparkContext.setCheckpointDir`` (the core config itself cannot be
+    changed at runtime)."""
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="headway-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+        sc.setCheckpointDir(d)
+        d = sc.getCheckpointDir() or d
+    elif sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
 
 
