@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from headway.functions.constants import (
     BINS,
-    ENVIRONMENTS,
     GENERIC_STOP_IDS,
     GENERIC_STOP_PREFIXES,
     GENERIC_STOP_RENAMES,
@@ -128,10 +127,6 @@ def is_stopped(status: Column | str) -> Column:
     return F.coalesce(_col(status) == STATUS_STOPPED, F.lit(False))
 
 
-def is_known_environment(env: Column | str) -> Column:
-    return _col(env).isin(ENVIRONMENTS)
-
-
 def blank_to_null(c: Column | str) -> Column:
     x = _col(c)
     return F.when(F.trim(x) == "", F.lit(None).cast("string")).otherwise(x)

@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from headway.functions.columns import blank_to_null, generic_stop_id, kind_from_uncertainty
-from headway.functions.constants import ENVIRONMENTS, VEHICLE_STATUSES
+from headway.functions.columns import generic_stop_id, kind_from_uncertainty
+from headway.functions.constants import VEHICLE_STATUSES
 from headway.functions.times import iso8601_to_epoch, rfc1123_to_epoch
 
 ENV_LABELS = {"prod": "prod", "dev_green": "dev-green", "dev_blue": "dev-blue"}
@@ -225,8 +225,6 @@ def vehicle_positions_from_feed(docs: DataFrame) -> DataFrame:
 def parse_cr_vehicles(docs: DataFrame, environment: str = "prod") -> DataFrame:
     """Commuter-rail vehicles: only the prod tracker reads them.  Records
     missing any required key are rejected."""
-    if environment != "prod":
-        return docs.limit(0).select(F.lit(None).cast("string").alias("id"))
     ent = docs.filter(F.col("data").isNotNull()).select(
         "snapshot_time", F.posexplode("data").alias("pos", "d")
     )
@@ -250,7 +248,8 @@ def parse_cr_vehicles(docs: DataFrame, environment: str = "prod") -> DataFrame:
     ok = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("_updated_at").isNotNull() & F.col(
         "current_status"
     ).isin(VEHICLE_STATUSES) & F.col("route_id").isNotNull() & F.col("trip_id").isNotNull()
-    return last_record_per_vehicle(recs.filter(F.coalesce(ok, F.lit(False))).drop("_updated_at"))
+    keep = F.coalesce(ok, F.lit(False)) & F.lit(environment == "prod")
+    return last_record_per_vehicle(recs.filter(keep).drop("_updated_at"))
 
 
 # ---- S6: snapshot dedupe ----------------------------------------------------
@@ -269,16 +268,3 @@ def snapshots_of(docs: DataFrame) -> DataFrame:
     """One row per processed vehicle snapshot (environment, mode, snapshot_time);
     a snapshot counts even when it holds no valid vehicle."""
     return docs.select("environment", "mode", "snapshot_time").distinct()
-
-
-def validate_environment(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("environment").isin(ENVIRONMENTS))
-
-
-def required_present(*cols: str):
-    """Required-field check: null or blank strings count as missing."""
-    cond = None
-    for c in cols:
-        x = blank_to_null(F.col(c)) if c not in ("is_deleted", "direction_id", "arrival_time") else F.col(c)
-        cond = x.isNotNull() if cond is None else cond & x.isNotNull()
-    return F.coalesce(cond, F.lit(False))

@@ -70,6 +70,7 @@ def test_vehicle_parse_status(spark, tmp_path):
     p = tmp_path / "vp.json"
     p.write_text(json.dumps(doc))
     docs = spark.read.schema(SC.VEHICLE_FEED).json(str(p))
+    assert [tuple(r) for r in IN.snapshots_of(docs).collect()] == [("prod", "subway", 100)]
     st = {r.id: r.parse_status for r in IN.parse_vehicle_feed(docs).collect()}
     assert st == {"v1": "valid", "v2": "ignore", "v3": "error", "v4": "error", "v5": "valid"}
     pos = {r.id: r.stop_id for r in IN.vehicle_positions_from_feed(docs).collect()}
@@ -96,8 +97,12 @@ def test_commuter_rail_vehicles(spark, tmp_path):
            "snapshot_time": 10, "last_modified": "x"}
     p = tmp_path / "cr.json"
     p.write_text(json.dumps(doc))
-    rows = IN.parse_cr_vehicles(spark.read.schema(SC.CR_VEHICLES).json(str(p))).collect()
+    docs = spark.read.schema(SC.CR_VEHICLES).json(str(p))
+    rows = IN.parse_cr_vehicles(docs).collect()
     assert [(r.id, r.timestamp, r.environment, r.is_deleted) for r in rows] == [("1702", 1553795877, "prod", False)]
+    # only the prod tracker reads commuter-rail vehicles
+    other = IN.parse_cr_vehicles(docs, environment="dev-green")
+    assert other.count() == 0 and other.columns == IN.parse_cr_vehicles(docs).columns
 
 
 def test_dedupe_snapshots(spark):

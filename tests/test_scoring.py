@@ -96,3 +96,13 @@ def test_validate_accuracy(spark):
         df = df.withColumn(c, F.lit(0 if t != "string" else "x").cast(t) if t != "date" else F.current_date())
     got = [r.is_valid for r in S.validate_accuracy(df).collect()]
     assert got == [True, False, False, False]
+
+
+def test_score_block_is_one_block_of_score(spark):
+    preds = [_pred(0, FT + 100, None), _pred(1, FT + 400, None, ft=FT + 300)]
+    p = spark.createDataFrame(preds, PRED_SCHEMA)
+    m = spark.createDataFrame([], MATCH_SCHEMA)
+    block = FT - 10
+    one = S.score_block(p, m, block, visibility_lag_s=None).collect()
+    assert [(r.block_start, r.num_predictions) for r in one] == [(block, 1)]
+    assert len(S.score(p, m, visibility_lag_s=None).collect()) == 2
