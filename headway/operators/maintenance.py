@@ -73,6 +73,15 @@ def backfill_copy(source: DataFrame, first_date: _dt.date, last_date: _dt.date)
     return source.filter(F.col("service_date").between(F.lit(first_date), F.lit(last_date)))
 
 
+def final_copy(source: DataFrame, cursor: _dt.date) -> DataFrame:
+    """Rows the finalising copy moves: every service date from the cursor on
+    (the windows before it were copied by the backfill runs)."""
+    rows = source.filter(F.col("service_date") >= F.lit(cursor))
+    if "week_start" in source.columns:
+        rows = rows.filter(F.col("week_start") >= F.lit(cursor - _dt.timedelta(days=cursor.weekday())))
+    return rows
+
+
 def earliest_service_date(acc: DataFrame) -> DataFrame:
     return acc.agg(F.min("service_date").alias("first_service_date"))
 

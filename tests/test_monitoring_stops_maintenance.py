@@ -82,3 +82,13 @@ def test_write_accuracy_weekly_partitions(spark, tmp_path):
     # overwriting one date leaves the other alone
     MT.write_accuracy(df.filter("service_date = DATE'2026-01-07'"), str(tmp_path / "acc"))
     assert spark.read.parquet(str(tmp_path / "acc")).count() == 2
+
+
+def test_backfill_then_final_copy_reconciles(spark):
+    src = spark.createDataFrame([(i, dt.date(2020, 1, 1) + dt.timedelta(days=i)) for i in range(20)], "id long, service_date date")
+    rows, report = MT.backfill_run(src, dt.date(2020, 1, 1), dt.date(2021, 1, 1))
+    r = report.first()
+    assert (r.status, r.rows_copied, r.next_cursor) == ("copied", 7, dt.date(2020, 1, 8))
+    copied = rows.unionByName(MT.final_copy(src, r.next_cursor))
+    got = {x.side: x.unmatched for x in MT.reconcile(src, copied).collect()}
+    assert got == {"monolithic": 0, "partitioned": 0}
