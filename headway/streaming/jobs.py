@@ -5,7 +5,9 @@
   checkpoint);
 * prediction ingest: trip-update snapshots -> flattened, ranked rows ->
   predictions table (``foreachBatch``: the rank is a window, which a
-  streaming plan cannot hold, but each micro-batch is a plain DataFrame);
+  streaming plan cannot hold, but each micro-batch is a plain DataFrame;
+  every batch overwrites its own ``batch_id=`` folder, so replays are
+  idempotent);
 * block scoring: a batch job per run that scores the blocks closed by the
   scoring lag and overwrites exactly those blocks (idempotent re-runs).
 
@@ -69,8 +71,10 @@ def start_prediction_ingest(spark: SparkSession, landing: str, out_path: str, ch
     docs = read_feed(spark, landing, SC.TRIP_UPDATES, one_doc_per_file=one_doc_per_file)
 
     def write(batch: DataFrame, epoch_id: int) -> None:
+        # each micro-batch owns one folder and overwrites it: a batch replayed
+        # after a failure replaces its own rows instead of appending twice
         rows = IN.flatten_trip_updates(batch).withColumn("id", IN.prediction_id())
-        rows.write.mode("append").partitionBy("environment").parquet(out_path)
+        rows.write.mode("overwrite").partitionBy("environment").parquet(f"{out_path}/batch_id={epoch_id}")
 
     w = docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="60 seconds")

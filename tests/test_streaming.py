@@ -89,6 +89,7 @@ def test_prediction_ingest_stream_equals_batch_flatten(spark, tmp_path):
     q = J.start_prediction_ingest(spark, landing, out, ckpt, available_now=True, one_doc_per_file=False)
     q.awaitTermination(300)
     got = spark.read.parquet(out)
+    assert "batch_id" in got.columns
     cols = ["environment", "file_timestamp", "trip_id", "stop_id", "arrival_time", "departure_time", "kind", "nth_at_stop"]
     exp = IN.flatten_trip_updates(docs).select(*cols)
     assert got.count() == exp.count()
