@@ -3,6 +3,7 @@
   python -m headway.cli track-vehicles  --landing L --out T --checkpoint C [--continuous]
   python -m headway.cli ingest-predictions --landing L --out P --checkpoint C [--continuous]
   python -m headway.cli score           --transitions T --predictions P --out A --now EPOCH --day-start EPOCH
+  python -m headway.cli score-blocks    --predictions P --transitions T --out A --checkpoint C [--continuous]
   python -m headway.cli report          --accuracy A --out CSV --chart-range Hourly --service-date 2024-01-15 [filters]
   python -m headway.cli prune           --predictions P --events E --out-predictions P2 --out-events E2 --as-of EPOCH
   python -m headway.cli backfill        --source A --dest B --cursor 2024-01-01 [--today 2024-03-01]
@@ -57,6 +58,13 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--now", type=int, required=True)
     p.add_argument("--day-start", type=int, required=True)
 
+    p = sub.add_parser("score-blocks")
+    p.add_argument("--predictions", required=True)
+    p.add_argument("--transitions", required=True)
+    p.add_argument("--out", required=True)
+    p.add_argument("--checkpoint", required=True)
+    p.add_argument("--continuous", action="store_true")
+
     p = sub.add_parser("report")
     p.add_argument("--accuracy", required=True)
     p.add_argument("--out", required=True)
@@ -104,6 +112,12 @@ def main(argv: list[str] | None = None) -> int:
         from headway.streaming.jobs import run_scoring
 
         run_scoring(spark, a.transitions, a.predictions, a.out, a.now, a.day_start)
+    elif a.cmd == "score-blocks":
+        from headway.streaming.jobs import start_block_scorer
+
+        start_block_scorer(
+            spark, a.predictions, a.transitions, a.out, a.checkpoint, available_now=not a.continuous
+        ).awaitTermination()
     elif a.cmd == "report":
         from headway.operators import filters as FL
         from headway.operators import stats as ST

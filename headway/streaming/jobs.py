@@ -110,3 +110,38 @@ def run_scoring(spark: SparkSession, transitions_path: str, predictions_path: st
         spark.read.parquet(transitions_path), spark.read.parquet(predictions_path), now_s, since_s=day_start_s
     )
     write_accuracy(acc.drop("block_start"), out_path)
+
+
+def service_day_start(epoch_s: int) -> int:
+    """Epoch of 03:00 local on the service date holding ``epoch_s``."""
+    import datetime as _dt
+    from zoneinfo import ZoneInfo
+
+    from headway.functions.constants import TIMEZONE
+
+    z = ZoneInfo(TIMEZONE)
+    local = _dt.datetime.fromtimestamp(epoch_s, z)
+    day = local.date() - _dt.timedelta(days=1) if local.hour < 3 else local.date()
+    return int(_dt.datetime.combine(day, _dt.time(3, 0), z).timestamp())
+
+
+def start_block_scorer(spark: SparkSession, predictions_path: str, transitions_path: str, out_path: str,
+                       checkpoint: str, lag_s: int = VISIBILITY_LAG_S, available_now: bool = True):
+    """Event-time scoring trigger: each micro-batch of new prediction files
+    advances "now" to the newest file time seen; the current and previous
+    service days are re-scored up to that horizon (blocks with block_start +
+    lag <= now) and their partitions overwritten.  Replays and overlaps
+    rewrite the same rows."""
+    schema = spark.read.parquet(predictions_path).schema
+    times = spark.readStream.schema(schema).parquet(predictions_path).select("file_timestamp")
+
+    def score(batch: DataFrame, epoch_id: int) -> None:
+        now = batch.agg(F.max("file_timestamp")).first()[0]
+        if now is None:
+            return
+        since = service_day_start(service_day_start(now - lag_s) - 1)
+        run_scoring(spark, transitions_path, predictions_path, out_path, int(now), since)
+
+    w = times.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 minutes")
+    return w.start()

@@ -95,3 +95,25 @@ def test_prediction_ingest_stream_equals_batch_flatten(spark, tmp_path):
     assert got.count() == exp.count()
     assert got.select(*cols).exceptAll(exp).count() == 0
     assert got.select("id").distinct().count() == got.count()
+
+
+def test_block_scorer_stream(spark, tmp_path):
+    from headway.plans import domain as D
+
+    tr, pr = str(tmp_path / "tr"), str(tmp_path / "pr")
+    D.transitions(spark, SF).write.parquet(tr)
+    D.predictions(spark, SF).write.parquet(pr)
+    out = str(tmp_path / "acc")
+    q = J.start_block_scorer(spark, pr, tr, out, str(tmp_path / "ckpt"))
+    q.awaitTermination(300)
+    got = spark.read.parquet(out)
+    now = spark.read.parquet(pr).agg({"file_timestamp": "max"}).first()[0]
+    exp = J.score_closed_blocks(spark.read.parquet(tr), spark.read.parquet(pr), now)
+    assert got.count() == exp.count() > 0
+    assert got.agg({"num_predictions": "sum"}).first()[0] == exp.agg({"num_predictions": "sum"}).first()[0]
+
+
+def test_service_day_start():
+    # 2018-10-30 01:00 New York belongs to the 10-29 service day, which starts 10-29 03:00 EDT
+    assert J.service_day_start(1540875600) == 1540796400
+    assert J.service_day_start(1540908000) == 1540882800
