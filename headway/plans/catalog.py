@@ -51,8 +51,7 @@ SELECT environment, service_date, hour_of_day, minute_of_hour, route_id, stop_id
        {r6('root_mean_squared_error')} AS root_mean_squared_error, block_start
 FROM accuracy"""))
 def q_score_accuracy(spark, d):
-    ev = D.vehicle_events(spark, d)
-    return S.score(D.predictions(spark, d), D.matches(spark, d, ev)).withColumns(r6c("mean_error", "root_mean_squared_error"))
+    return S.score(D.predictions(spark, d), D.matches(spark, d)).withColumns(r6c("mean_error", "root_mean_squared_error"))
 
 
 @register("validate_accuracy", with_ctes(["hist"], """
@@ -355,7 +354,7 @@ from headway.sources import adapters as A  # noqa: E402
 
 def _matched(spark, d):
     ev = D.vehicle_events(spark, d)
-    return ev, M.with_matches(D.predictions(spark, d), D.matches(spark, d, ev))
+    return ev, M.with_matches(D.predictions(spark, d), D.matches(spark, d))
 
 
 ROUTE_RANK_SQL = ("CASE route_id WHEN 'Red' THEN 0 WHEN 'Blue' THEN 1 WHEN 'Orange' THEN 2 WHEN 'Green-B' THEN 3 "

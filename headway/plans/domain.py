@@ -60,11 +60,11 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
     return materialize(spark, build, "predictions", (d,), partition_by=["file_date"])
 
 
-def matches(spark: SparkSession, d: str, ev: DataFrame | None = None) -> DataFrame:
+def matches(spark: SparkSession, d: str) -> DataFrame:
     """The stored prediction -> event links, written once per session."""
     return materialize(
         spark,
-        lambda: M.match_all(predictions(spark, d), E.event_touches(vehicle_events(spark, d) if ev is None else ev)),
+        lambda: M.match_all(predictions(spark, d), E.event_touches(vehicle_events(spark, d))),
         "matches",
         (d,),
     )

@@ -19,7 +19,8 @@ DEFAULT_CONF = {
 }
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int | None = None, app: str = "headway") -> SparkSession:
+def get_spark(master: str | None = None, shuffle_partitions: int | None = None, app: str = "headway",
+              extra: dict[str, str] | None = None) -> SparkSession:
     """Build (or reuse) a session.  On a cluster the master, memory and the
     shared ``spark.checkpoint.dir`` come from the submit configuration."""
     b = SparkSession.builder.appName(app)
@@ -29,6 +30,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for k, v in (extra or {}).items():
+        b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
