@@ -94,3 +94,57 @@ def test_events_and_matches_match_brute_force(spark, seed):
     m = M.match_all(spark.createDataFrame(preds, PRED), E.event_touches(ev))
     gotm = {r.prediction_id: (r.touch_time, r.ev_vehicle_id, r.ev_arrival_snapshot) for r in m.collect()}
     assert gotm == bmatches and len(bmatches) > 50
+
+
+def test_scoring_matches_brute_force(spark):
+    """Score the sf0.001 predictions in plain Python and compare."""
+    import math
+
+    from headway.functions.constants import BINS, ENVIRONMENTS, KIND_VALUES, VISIBILITY_LAG_S
+    from headway.operators import scoring as S
+    from headway.plans import domain as D
+
+    d = "/root/testdata/sf0.001"
+    preds = D.predictions(spark, d)
+    matches = D.matches(spark, d)
+    m = {r.prediction_id: r for r in matches.collect()}
+    groups = {}
+    for p in preds.collect():
+        ft = p.file_timestamp
+        inst = p.arrival_time if p.arrival_time is not None else p.departure_time
+        if p.environment not in ENVIRONMENTS or (p.kind is not None and p.kind not in KIND_VALUES):
+            continue
+        if inst is None or inst <= ft or ft % 300 == 0 or p.stop_id is None:
+            continue
+        lead = inst - ft
+        b = next((n for n, (lo, hi, _, _) in BINS.items() if lo <= lead < hi), None)
+        if b is None:
+            continue
+        block = ft - ft % 300
+        mm = m.get(p.id)
+        seen = mm is not None and mm.touch_time <= block + VISIBILITY_LAG_S
+        va = mm.ev_arrival_time if seen else None
+        vd = mm.ev_departure_time if seen and mm.ev_departure_snapshot is not None and mm.ev_departure_snapshot <= block + VISIBILITY_LAG_S else None
+        if p.arrival_time is not None:
+            err = None if va is None else va - p.arrival_time
+        else:
+            err = None if vd is None else vd - p.departure_time
+        emin, emax = BINS[b][2], BINS[b][3]
+        key = (p.environment, block, p.route_id, p.stop_id, p.direction_id, b, p.kind, p.nth_at_stop in (1, 2))
+        g = groups.setdefault(key, [0, 0, []])
+        g[0] += 1
+        g[1] += 1 if err is not None and emin < err < emax else 0
+        if err is not None:
+            g[2].append(err)
+    exp = {}
+    for k, (n, a, errs) in groups.items():
+        me = sum(errs) / len(errs) if errs else None
+        rm = math.sqrt(sum(e * e for e in errs) / len(errs)) if errs else None
+        exp[k] = (n, a, None if me is None else round(me, 6), None if rm is None else round(rm, 6))
+    got = {}
+    for r in S.score(preds, matches).collect():
+        k = (r.environment, r.block_start, r.route_id, r.stop_id, r.direction_id, r.bin, r.kind, r.in_next_two)
+        got[k] = (r.num_predictions, r.num_accurate_predictions,
+                  None if r.mean_error is None else round(r.mean_error, 6),
+                  None if r.root_mean_squared_error is None else round(r.root_mean_squared_error, 6))
+    assert got == exp and len(exp) > 100
