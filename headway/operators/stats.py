@@ -138,3 +138,18 @@ def stations_by_accuracy(acc: DataFrame) -> DataFrame:
         accuracy_ratio("dev_green_num_accurate", "dev_green_num_predictions").alias("dev_green_accuracy"),
         accuracy_ratio("dev_blue_num_accurate", "dev_blue_num_predictions").alias("dev_blue_accuracy"),
     ).orderBy("prod_accuracy", "dev_green_accuracy", "stop_id")
+
+
+def accuracy_report(acc: DataFrame, params: dict) -> tuple[DataFrame, DataFrame, str | None]:
+    """One accuracy-report request: filters, then the environments side by side
+    per scope (hour, hour+sub-hour bucket, day or station) and the ungrouped
+    totals per environment.  A bad parameter gives empty frames and the
+    message, like the report page."""
+    from headway.operators.filters import filter_accuracy
+
+    q, err = filter_accuracy(acc, params)
+    chart_range = params.get("chart_range") or "Hourly"
+    if chart_range not in SCOPES:
+        chart_range = "Hourly"
+    breakdown = env_comparison(q, chart_range, params.get("timeframe_resolution"))
+    return breakdown, accuracy_context(q), err

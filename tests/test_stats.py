@@ -101,3 +101,15 @@ def test_each_filter(spark):
     assert FL.filter_by_in_next_two(df, "true").count() == 1
     assert FL.filter_by_in_next_two(df, "false").count() == 1
     assert "70105" in expand_stop_groups(["_braintree_branch"])
+
+
+def test_accuracy_report(spark):
+    df = _acc(spark, [("prod", D1, 10, 0, 10, 5, 1.0, 1.0), ("dev-green", D1, 10, 5, 4, 4, 1.0, 1.0),
+                      ("prod", D2, 11, 0, 7, 7, 1.0, 1.0)])
+    rows, ctx, err = ST.accuracy_report(df, {"chart_range": "Hourly", "service_date": "2019-01-01",
+                                             "timeframe_resolution": "15"})
+    assert err is None
+    assert [(r.hour_of_day, r.resolution_bucket, r.prod_num_predictions, r.dev_green_num_predictions) for r in rows.collect()] == [(10, 0, 10, 4)]
+    assert {r.environment: r.num_predictions for r in ctx.collect()} == {"prod": 10, "dev-green": 4}
+    rows, ctx, err = ST.accuracy_report(df, {"chart_range": "Daily"})
+    assert err == "No start or end date given." and rows.count() == 0 and ctx.count() == 0
