@@ -113,3 +113,9 @@ def test_accuracy_report(spark):
     assert {r.environment: r.num_predictions for r in ctx.collect()} == {"prod": 10, "dev-green": 4}
     rows, ctx, err = ST.accuracy_report(df, {"chart_range": "Daily"})
     assert err == "No start or end date given." and rows.count() == 0 and ctx.count() == 0
+
+
+def test_export_subhourly_labels(spark):
+    df = _acc(spark, [("prod", D1, 25, m, 10, 5, 1.0, 1.0) for m in (0, 5, 20)])
+    got = [(r["Hourly"], r["Count"]) for r in ST.export_rows(df, "Hourly", resolution="15").collect()]
+    assert got == [("25:00", 20), ("25:15", 10)]
