@@ -72,6 +72,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--timeframe-resolution", default="60")
     for opt in ["service-date", "date-start", "date-end", "route-ids", "mode", "direction-id", "bin", "in-next-two"]:
         p.add_argument("--" + opt)
+    p.add_argument("--stops", help="landed stops documents (JSON) for station names in By Station reports")
     p.add_argument("--stop-ids", nargs="*")
     p.add_argument("--kinds", nargs="*")
 
@@ -131,7 +132,14 @@ def main(argv: list[str] | None = None) -> int:
         if err:
             print(json.dumps({"error": err}))
             return 2
-        ST.write_csv(ST.export_rows(q, a.chart_range, a.timeframe_resolution), a.out, a.chart_range)
+        names = None
+        if a.stops and a.chart_range == "By Station":
+            from headway.operators import stops as SP
+            from headway.sources import schemas as SC
+
+            dim = SP.stop_dim(SP.stops_from_feed(spark.read.schema(SC.STOPS).json(a.stops)))
+            names = dim.select(F.col("id").alias("stop_id"), F.col("display_name").alias("station_name"))
+        ST.write_csv(ST.export_rows(q, a.chart_range, a.timeframe_resolution, station_names=names), a.out, a.chart_range)
     elif a.cmd == "prune":
         from headway.operators import maintenance as MT
 
