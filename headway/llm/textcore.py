@@ -129,16 +129,27 @@ def word_hashes(buf: np.ndarray, w: Words) -> np.ndarray:
     return mix((total[w.end] - total[w.start]) * down[w.start] + (w.end - w.start).astype(np.uint64))
 
 
-def window_hashes(h: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start (word number in the slice) and hash of every window of ``k`` words inside one row."""
+def rolling(h: np.ndarray, k: int, base: int = _WBASE) -> np.ndarray:
+    """Hash of every ``k`` consecutive words, whatever rows they are in."""
     n = len(h) - k + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    up, down = _powers(_WBASE, len(h) + 1)
+        return np.zeros(0, np.uint64)
+    up, down = _powers(base, len(h) + 1)
     total = np.zeros(len(h) + 1, dtype=np.uint64)
     np.cumsum(h * up[: len(h)], out=total[1:])
-    at = np.flatnonzero(row[:n] == row[k - 1 :])
-    return at, mix((total[at + k] - total[at]) * down[at] + U64(k))
+    return mix((total[k:] - total[:-k]) * down[:n] + U64(k))
+
+
+def window_starts(row: np.ndarray, k: int) -> np.ndarray:
+    """Word numbers at which ``k`` words of one row start."""
+    n = len(row) - k + 1
+    return np.flatnonzero(row[:n] == row[k - 1 :]) if n > 0 else np.zeros(0, np.int64)
+
+
+def window_hashes(h: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start (word number in the slice) and hash of every window of ``k`` words inside one row."""
+    at = window_starts(row, k)
+    return at, rolling(h, k)[at]
 
 
 def first_of_row(count: np.ndarray) -> np.ndarray:
