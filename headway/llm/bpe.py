@@ -31,7 +31,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .tables import small_batches, texts
 
 CACHE_PIECES = 400_000  # pieces in each of the two generations a worker remembers; longer ones than CACHE_CHARS are never kept
 CACHE_CHARS = 40
@@ -295,6 +297,7 @@ def encoded(docs: DataFrame, path: str | None = None, text_col: str = "text", id
 
     Null counts as empty and has no tokens.  Every other column stays; columns
     named like the new ones are replaced."""
+    small_batches(docs.sparkSession)
     path = path or default_path()
     new = [ids_col] + ([decoded_col] if decoded_col else [])
     keep = docs.drop(*new)
@@ -313,7 +316,7 @@ def encoded(docs: DataFrame, path: str | None = None, text_col: str = "text", id
                     cols.append(pa.array([v.decode(x).decode("utf-8", "replace") for x in ids], pa.string()))
                 yield pa.record_batch([*part.columns, *cols], names=[*part.schema.names, *new])
 
-    schema = keep.schema.add(ids_col, "array<int>")
+    schema = StructType(keep.schema.fields.copy()).add(ids_col, "array<int>")
     return keep.mapInArrow(run, schema.add(decoded_col, "string") if decoded_col else schema)
 
 
@@ -334,4 +337,4 @@ def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
                     two.append(hashlib.sha256(v.decode(ids)).hexdigest())
                 yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -17,6 +17,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_ROWS = 512
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows: texts are long, and Spark's default of 10,000 rows can take a gigabyte in a task.
+
+    A setting that is not the default is left alone."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id long, text string)`` of ``docs``, whatever its other columns."""
+    small_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` under the shared checkpoint folder and read it back.
 
@@ -25,6 +43,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     garbage is collected, since Spark deletes the shuffle files of finished
     plans only when their handles are found unreachable."""
     spark = df.sparkSession
+    small_batches(spark)
     path = shared_path(spark, "headway-llm", f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

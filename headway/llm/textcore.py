@@ -1,8 +1,8 @@
 """Vectorised word splitting and hashing over Arrow string columns.
 
-Tasks see Arrow batches.  A batch is cut into slices of about a megabyte of
-UTF-8, so the working arrays stay small whatever the batch size (one longer
-text is a slice of its own).  Word and window hashes are 64-bit polynomial
+Tasks see Arrow batches.  A batch is cut into slices of a quarter of a
+megabyte of UTF-8, so the working arrays stay in the cache whatever the batch
+size (one longer text is a slice of its own).  Word and window hashes are 64-bit polynomial
 prefix hashes: one cumulative sum per slice gives the hash of every word, and
 a second one over the words gives the hash of every window.
 """
@@ -15,7 +15,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 U64 = np.uint64
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -112,12 +112,12 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """``base**i`` and ``base**-i`` modulo 2**64 for i < n (at least)."""
     have = _POW.get(base)
     if have is None or len(have[0]) < n:
-        size = max(1 << 20, 1 << (n - 1).bit_length())
+        size = max(1 << 19, 1 << (n - 1).bit_length())
         up = np.full(size, base, dtype=np.uint64)
         down = np.full(size, pow(base, -1, 1 << 64), dtype=np.uint64)
         up[0] = down[0] = 1
         have = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-        if n <= 1 << 22:  # tables for a rare longer text are not kept
+        if n <= 1 << 20:  # tables for a rare longer text are not kept
             _POW[base] = have
     return have
 
