@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from .tables import small_batches, texts
 
@@ -316,7 +316,7 @@ def encoded(docs: DataFrame, path: str | None = None, text_col: str = "text", id
                     cols.append(pa.array([v.decode(x).decode("utf-8", "replace") for x in ids], pa.string()))
                 yield pa.record_batch([*part.columns, *cols], names=[*part.schema.names, *new])
 
-    schema = StructType(keep.schema.fields.copy()).add(ids_col, "array<int>")
+    schema = StructType(keep.schema.fields.copy()).add(ids_col, ArrayType(IntegerType()))
     return keep.mapInArrow(run, schema.add(decoded_col, "string") if decoded_col else schema)
 
 

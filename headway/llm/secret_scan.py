@@ -37,6 +37,7 @@ _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RANDOM)
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _LABELLED = re.compile(r"(?:sha-?(?:1|224|256|384|512)|md5|integrity|checksum|digest|etag|commit|rev)[\x20:=\"'-]{1,3}\Z", re.IGNORECASE)
+_PREFIXED = re.compile(r"(?:sha-?(?:1|224|256|384|512)|md5)[-_=]", re.IGNORECASE)
 _WORDED = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[-_/=+](?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*")
 _KINDS_OF_CHARS = (re.compile("[a-z]"), re.compile("[A-Z]"), re.compile("[0-9]"))
 
@@ -59,7 +60,7 @@ def known(text: str, start: int, end: int) -> bool:
     s = text[start:end]
     if _DIGEST.fullmatch(s) or _UUID.fullmatch(s) or _WORDED.fullmatch(s) or s.strip("=_-+/").isdigit():
         return True
-    return bool(_LABELLED.search(text, max(0, start - 16), start))
+    return bool(_LABELLED.search(text, max(0, start - 16), start) or _PREFIXED.match(s))
 
 
 def random_looking(s: str, path: str) -> bool:

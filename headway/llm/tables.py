@@ -58,10 +58,10 @@ def _bit(col: str):
     return F.pmod(F.xxhash64(col), F.lit(BITS)).cast("int")
 
 
-def marked(rows: DataFrame, id_col: str, wanted: DataFrame, wanted_col: str) -> DataFrame:
+def marked(rows: DataFrame, id_col: str, wanted: DataFrame, wanted_col: str, inverse: bool = False) -> DataFrame:
     """The rows of ``rows`` whose id may be one of ``wanted``: all that are and, by hash, a few others.
 
-    A filter before a join on the id, so that a join with few ids does not
+    With ``inverse`` the rest: rows whose id is certainly not one of them.  A filter before a join on the id, so that a join with few ids does not
     shuffle every text.  What goes through the driver is a bit table of fixed
     size (1 MB), whatever the number of ids; a full table lets every row pass."""
     spark = rows.sparkSession
@@ -76,8 +76,8 @@ def marked(rows: DataFrame, id_col: str, wanted: DataFrame, wanted_col: str) ->
         t = np.frombuffer(shared.value, dtype=np.uint32)
         for b in batches:
             at = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)
-            hit = (t[at >> 5] >> (at & 31).astype(np.uint32)) & 1
+            hit = ((t[at >> 5] >> (at & 31).astype(np.uint32)) & 1).astype(bool) != inverse
             if hit.any():
-                yield b.filter(pa.array(hit.astype(bool))).drop_columns(["__bit"])
+                yield b.filter(pa.array(hit)).drop_columns(["__bit"])
 
     return rows.withColumn("__bit", _bit(id_col)).mapInArrow(run, rows.schema)
