@@ -2,7 +2,7 @@
 
   python -m headway.cli track-vehicles  --landing L --out T --checkpoint C [--continuous]
   python -m headway.cli ingest-predictions --landing L --out P --checkpoint C [--continuous]
-  python -m headway.cli score           --transitions T --predictions P --out A --now EPOCH --day-start EPOCH
+  python -m headway.cli score           --transitions T --predictions P --out A --now EPOCH [--since EPOCH]
   python -m headway.cli score-blocks    --predictions P --transitions T --out A --checkpoint C [--continuous]
   python -m headway.cli report          --accuracy A --out CSV --chart-range Hourly --service-date 2024-01-15 [filters]
   python -m headway.cli prune           --predictions P --events E --out-predictions P2 --out-events E2 --as-of EPOCH
@@ -56,7 +56,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--predictions", required=True)
     p.add_argument("--out", required=True)
     p.add_argument("--now", type=int, required=True)
-    p.add_argument("--day-start", type=int, required=True)
+    p.add_argument("--since", type=int, help="first block to score; default: start of the service day of the last closed block")
 
     p = sub.add_parser("score-blocks")
     p.add_argument("--predictions", required=True)
@@ -112,7 +112,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.cmd == "score":
         from headway.streaming.jobs import run_scoring
 
-        run_scoring(spark, a.transitions, a.predictions, a.out, a.now, a.day_start)
+        run_scoring(spark, a.transitions, a.predictions, a.out, a.now, a.since)
     elif a.cmd == "score-blocks":
         from headway.streaming.jobs import start_block_scorer
 

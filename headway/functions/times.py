@@ -95,14 +95,14 @@ def format_unix(x: Column | str, tz: str = TIMEZONE) -> Column:
 
 
 def iso8601_to_epoch(s: Column | str) -> Column:
-    """ISO-8601 with offset (``2019-03-28T13:57:57-04:00``) -> epoch seconds."""
-    return F.unix_seconds(F.to_timestamp(_col(s)))
+    """ISO-8601 with offset (``2019-03-28T13:57:57-04:00``) -> epoch seconds; null if it is not a time."""
+    return F.unix_seconds(F.try_to_timestamp(_col(s)))
 
 
 def rfc1123_to_epoch(s: Column | str) -> Column:
-    """HTTP date (``Tue, 30 Oct 2018 17:33:15 GMT``) -> epoch seconds, as UTC."""
+    """HTTP date (``Tue, 30 Oct 2018 17:33:15 GMT``) -> epoch seconds, as UTC; null if it is not a date."""
     body = F.regexp_replace(F.regexp_replace(_col(s), r"^[A-Za-z]{3},\s*", ""), r"\s*GMT$", "")
-    return ntz_to_epoch(F.to_timestamp_ntz(body, F.lit("dd MMM yyyy HH:mm:ss")))
+    return F.unix_seconds(F.try_to_timestamp(F.concat(body, F.lit(" +0000")), F.lit("dd MMM yyyy HH:mm:ss xx")))
 
 
 # ---- driver-side helpers (parameters, not data) ----------------------------
@@ -119,7 +119,10 @@ def service_day_window(date: _dt.date, tz: str = TIMEZONE) -> tuple[int, int]:
 
 
 def parse_iso_date(s) -> _dt.date | None:
+    """A date in the extended form ``YYYY-MM-DD`` only; anything else is None."""
+    if not isinstance(s, str) or len(s) != 10:
+        return None
     try:
-        return _dt.date.fromisoformat(s) if isinstance(s, str) else None
+        return _dt.datetime.strptime(s, "%Y-%m-%d").date()
     except ValueError:
         return None

@@ -74,10 +74,12 @@ def flag_predicted(departures: DataFrame, matched_predictions: DataFrame) -> Dat
     p = matched_predictions.filter(
         F.col("departure_time").isNotNull() & F.col("ev_arrival_snapshot").isNotNull()
     ).select(*[F.col(m).alias(k) for m, k in zip(MATCH_KEY, EVENT_KEY)], F.col("file_timestamp"))
-    d = departures.select(*EVENT_KEY, F.col("departure_time").alias("_dep"))
-    hits = p.join(d, EVENT_KEY, "inner").filter(F.col("file_timestamp") < F.col("_dep")).select(*EVENT_KEY).distinct()
-    return departures.join(hits.withColumn("predicted", F.lit(True)), EVENT_KEY, "left").withColumn(
-        "predicted", F.coalesce("predicted", F.lit(False))
+    # the earliest such prediction decides, so events are read and joined once
+    first = p.groupBy(*EVENT_KEY).agg(F.min("file_timestamp").alias("_first"))
+    return (
+        departures.join(first, EVENT_KEY, "left")
+        .withColumn("predicted", F.coalesce(F.col("_first") < F.col("departure_time"), F.lit(False)))
+        .drop("_first")
     )
 
 

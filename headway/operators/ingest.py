@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
 from headway.functions.columns import generic_stop_id, kind_from_uncertainty
 from headway.functions.constants import VEHICLE_STATUSES
@@ -30,13 +31,15 @@ def keep_scorable_updates(df: DataFrame) -> DataFrame:
 
 
 def rank_at_stop(df: DataFrame, tie_break: list[str]) -> DataFrame:
-    """nth_at_stop: 1-based rank within one snapshot (environment, file_timestamp)
-    per stop, vehicles already at the stop first, then by predicted instant;
-    ``tie_break`` keeps the feed order.  Null stop -> null rank.
+    """nth_at_stop: 1-based rank within one fetch of a snapshot (environment,
+    file_timestamp and, where the rows have it, fetched_at) per stop, vehicles
+    already at the stop first, then by predicted instant; ``tie_break`` keeps
+    the feed order.  Null stop -> null rank.
 
     The window partition is one snapshot at one stop, so it is bounded by the
     feed size, not by the data volume."""
-    w = Window.partitionBy("environment", "file_timestamp", "stop_id").orderBy(
+    fetch = ["fetched_at"] if "fetched_at" in df.columns else []
+    w = Window.partitionBy("environment", "file_timestamp", *fetch, "stop_id").orderBy(
         F.when(F.col("stops_away") == 0, 0).otherwise(1),
         F.coalesce("arrival_time", "departure_time").asc_nulls_last(),
         *[F.col(c) for c in tie_break],
@@ -50,8 +53,18 @@ def rank_at_stop(df: DataFrame, tie_break: list[str]) -> DataFrame:
 # ---- S1 / P1 / P3 / P4 / P5: subway trip updates ------------------------------
 
 
+FEED_ORDER = ["page", "entity_pos", "update_pos"]
+
+
 def flatten_trip_updates(docs: DataFrame) -> DataFrame:
-    """Trip-update snapshots -> prediction rows.
+    """Trip-update snapshots -> prediction rows, ranked at their stop.  Each
+    fetch of a file is ranked for itself: one file fetched twice gives its
+    rows twice with the same ranks."""
+    return rank_at_stop(trip_update_rows(docs), tie_break=FEED_ORDER)
+
+
+def trip_update_rows(docs: DataFrame) -> DataFrame:
+    """Trip-update snapshots -> prediction rows without the rank.
 
     ``docs`` has the ``TRIP_UPDATES`` schema (one row per fetched snapshot,
     with its environment).  Snapshots lacking ``entity`` or
@@ -59,15 +72,18 @@ def flatten_trip_updates(docs: DataFrame) -> DataFrame:
     row.  Trip fields are copied onto each update."""
     snap = docs.filter(F.col("entity").isNotNull() & F.col("header.timestamp").isNotNull())
     page = F.coalesce(F.col("page"), F.lit(0)) if "page" in docs.columns else F.lit(0)
+    fetched = F.coalesce(F.col("fetched_at"), F.lit(0)) if "fetched_at" in docs.columns else F.lit(0)
     ent = snap.select(
         environment_label("environment").alias("environment"),
         F.col("header.timestamp").alias("file_timestamp"),
+        fetched.cast("long").alias("fetched_at"),
         page.cast("int").alias("page"),
         F.posexplode("entity").alias("entity_pos", "e"),
     )
     upd = ent.select(
         "environment",
         "file_timestamp",
+        "fetched_at",
         "page",
         "entity_pos",
         F.col("e.is_deleted").alias("is_deleted"),
@@ -93,24 +109,18 @@ def flatten_trip_updates(docs: DataFrame) -> DataFrame:
         F.col("u.stops_away").alias("stops_away"),
         "direction_id",
         kind_from_uncertainty(F.col("u.arrival.uncertainty"), F.col("u.departure.uncertainty")).alias("kind"),
+        "fetched_at",
         "page",
         "entity_pos",
         "update_pos",
     )
-    return rank_at_stop(keep_scorable_updates(rows), tie_break=["page", "entity_pos", "update_pos"])
+    return keep_scorable_updates(rows)
 
 
 def prediction_id():
-    """Deterministic prediction key from (environment, file time, page,
-    entity position, update position); each is bounded by the feed size
-    (pages < 16, entities < 2048, updates < 256 per entity)."""
-    env_idx = F.when(F.col("environment") == "prod", 0).when(F.col("environment") == "dev-green", 1).when(
-        F.col("environment") == "dev-blue", 2
-    ).otherwise(3)
-    return (
-        (((F.col("file_timestamp") * 4 + env_idx) * 16 + F.col("page")) * 2048 + F.col("entity_pos")) * 256
-        + F.col("update_pos")
-    ).cast("long")
+    """Key of a stored prediction: its place in its feed, without any limit on the parts
+    (environment, file time, fetch, page, entity position, update position)."""
+    return F.concat_ws("/", "environment", *[F.col(c).cast("string") for c in ["file_timestamp", "fetched_at", *FEED_ORDER]])
 
 
 def environment_label(env_name):
@@ -160,8 +170,8 @@ def flatten_cr_predictions(docs: DataFrame) -> DataFrame:
 def parse_vehicle_feed(docs: DataFrame) -> DataFrame:
     """Vehicle snapshots -> records with ``parse_status`` valid / ignore / error.
 
-    error: a required field is missing or has a bad value; ignore: the
-    record is well formed but its stop id is missing.  A document without
+    error: a required field is missing or has a bad value or type; ignore: the
+    record is well formed but its stop id is no string.  A document without
     ``entity`` yields no rows (but still counts as a snapshot, see
     ``snapshots_of``)."""
     ent = docs.filter(F.col("entity").isNotNull()).select(
@@ -173,15 +183,16 @@ def parse_vehicle_feed(docs: DataFrame) -> DataFrame:
         "mode",
         "snapshot_time",
         "pos",
-        F.col(v + "vehicle.id").alias("id"),
-        F.col(v + "vehicle.label").alias("label"),
+        _text(ent, v + "vehicle.id").alias("id"),
+        _text(ent, v + "vehicle.label").alias("label"),
         F.col("e.is_deleted").alias("is_deleted"),
-        F.col(v + "trip.trip_id").alias("trip_id"),
-        F.col(v + "trip.route_id").alias("route_id"),
+        _text(ent, v + "trip.trip_id").alias("trip_id"),
+        _text(ent, v + "trip.route_id").alias("route_id"),
         F.col(v + "trip.direction_id").alias("direction_id"),
-        F.col(v + "current_status").alias("current_status"),
-        generic_stop_id(F.col(v + "stop_id")).alias("stop_id"),
+        _text(ent, v + "current_status").alias("current_status"),
+        generic_stop_id(_text(ent, v + "stop_id")).alias("stop_id"),
         F.col(v + "timestamp").alias("timestamp"),
+        _present(ent, v + "stop_id").alias("_stop"),
     )
     well_formed = (
         F.col("is_deleted").isNotNull()
@@ -192,13 +203,29 @@ def parse_vehicle_feed(docs: DataFrame) -> DataFrame:
         & F.col("direction_id").isin(0, 1)
         & F.col("current_status").isin(VEHICLE_STATUSES)
         & F.col("timestamp").isNotNull()
+        & F.col("_stop")
     )
     status = (
         F.when(~F.coalesce(well_formed, F.lit(False)), F.lit("error"))
         .when(F.col("stop_id").isNull(), F.lit("ignore"))
         .otherwise(F.lit("valid"))
     )
-    return recs.withColumn("parse_status", status)
+    return recs.withColumn("parse_status", status).drop("_stop")
+
+
+def _is_variant(df: DataFrame, path: str) -> bool:
+    return isinstance(df.select(F.col(path).alias("x")).schema["x"].dataType, VariantType)
+
+
+def _text(df: DataFrame, path: str):
+    """A text field; of one read as a variant only a JSON string counts, a number or null does not."""
+    c = F.col(path)
+    return F.when(F.schema_of_variant(c) == "STRING", F.try_variant_get(c, "$", "string")) if _is_variant(df, path) else c
+
+
+def _present(df: DataFrame, path: str):
+    """Whether the record has the field at all, be it with a JSON null (known of variants only)."""
+    return F.col(path).isNotNull() if _is_variant(df, path) else F.lit(True)
 
 
 def last_record_per_vehicle(recs: DataFrame) -> DataFrame:
@@ -224,7 +251,7 @@ def vehicle_positions_from_feed(docs: DataFrame) -> DataFrame:
 
 def parse_cr_vehicles(docs: DataFrame, environment: str = "prod") -> DataFrame:
     """Commuter-rail vehicles: only the prod tracker reads them.  Records
-    missing any required key are rejected."""
+    missing any required key, or whose stop relationship has no data, are rejected."""
     ent = docs.filter(F.col("data").isNotNull()).select(
         "snapshot_time", F.posexplode("data").alias("pos", "d")
     )
@@ -244,12 +271,13 @@ def parse_cr_vehicles(docs: DataFrame, environment: str = "prod") -> DataFrame:
         F.col(r + "stop.data.id").alias("stop_id"),
         iso8601_to_epoch(F.col(a + "updated_at")).alias("timestamp"),
         F.col(a + "updated_at").alias("_updated_at"),
+        F.col(r + "stop.data").isNotNull().alias("_stop"),
     )
     ok = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("_updated_at").isNotNull() & F.col(
         "current_status"
-    ).isin(VEHICLE_STATUSES) & F.col("route_id").isNotNull() & F.col("trip_id").isNotNull()
+    ).isin(VEHICLE_STATUSES) & F.col("route_id").isNotNull() & F.col("trip_id").isNotNull() & F.col("_stop")
     keep = F.coalesce(ok, F.lit(False)) & F.lit(environment == "prod")
-    return last_record_per_vehicle(recs.filter(keep).drop("_updated_at"))
+    return last_record_per_vehicle(recs.filter(keep).drop("_updated_at", "_stop"))
 
 
 # ---- S6: snapshot dedupe ----------------------------------------------------
@@ -258,10 +286,13 @@ def parse_cr_vehicles(docs: DataFrame, environment: str = "prod") -> DataFrame:
 def dedupe_snapshots(docs: DataFrame) -> DataFrame:
     """Drop vehicle snapshots whose Last-Modified equals an earlier fetch of the
     same (environment, mode) feed (the 304 path).  Header names are already
-    normalised when files are landed; the values compare exactly.
+    normalised when files are landed; the values compare exactly.  A snapshot
+    without the header cannot be told to repeat another and is kept.
     Prediction snapshots are never deduplicated."""
-    first = docs.groupBy("environment", "mode", "last_modified").agg(F.min("snapshot_time").alias("snapshot_time"))
-    return docs.join(first, ["environment", "mode", "last_modified", "snapshot_time"], "left_semi")
+    told = docs.filter(F.col("last_modified").isNotNull())
+    first = told.groupBy("environment", "mode", "last_modified").agg(F.min("snapshot_time").alias("snapshot_time"))
+    kept = told.join(first, ["environment", "mode", "last_modified", "snapshot_time"], "left_semi").select(docs.columns)
+    return kept.unionByName(docs.filter(F.col("last_modified").isNull()))
 
 
 def snapshots_of(docs: DataFrame) -> DataFrame:

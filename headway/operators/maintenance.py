@@ -41,20 +41,24 @@ def next_partition(today: _dt.date) -> tuple[_dt.date, _dt.date, str]:
 
 
 def write_accuracy(acc: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Parquet partitioned by week (then service date), rows clustered by
-    (route, environment) in each file so min/max statistics prune like the
-    composite index did.  Dynamic partition overwrite replaces only the
-    service dates present in ``acc``: re-running a scoring run rewrites the
-    same rows (idempotent) and leaves every other date alone."""
-    spark = acc.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    """Parquet partitioned by week, service date and, if ``acc`` has it, the
+    block's start; rows clustered by (route, environment) in each file so
+    min/max statistics prune like the composite index did.
+
+    Dynamic partition overwrite replaces only the partitions present in
+    ``acc``: a scoring run that passes ``block_start`` rewrites exactly the
+    blocks it scored and leaves every other block of the day alone.  The rows
+    are spread by a rebalance on the partition columns, which adaptive
+    execution splits where a partition is large."""
+    keys = ["week_start", "service_date"] + (["block_start"] if "block_start" in acc.columns else [])
     (
         with_week_partition(acc)
         .drop("week_label")
-        .repartition("week_start", "service_date")
-        .sortWithinPartitions("route_id", "environment")
+        .hint("rebalance", *keys)
+        .sortWithinPartitions(*keys, "route_id", "environment")
         .write.mode(mode)
-        .partitionBy("week_start", "service_date")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*keys)
         .parquet(path)
     )
 
@@ -83,6 +87,10 @@ def final_copy(source: DataFrame, cursor: _dt.date) -> DataFrame:
 
 
 def earliest_service_date(acc: DataFrame) -> DataFrame:
+    """One row; of a table partitioned by week only the first week is read."""
+    if "week_start" in acc.columns:
+        first = acc.agg(F.min("week_start")).first()[0]  # partition values only
+        acc = acc.filter(F.col("week_start") == F.lit(first))
     return acc.agg(F.min("service_date").alias("first_service_date"))
 
 

@@ -3,11 +3,10 @@
 The service checks once a day: for each subway route, prod accuracy of
 yesterday vs the day before (sum accurate / sum predictions, 0 without
 predictions), and alerts when yesterday < previous - 0.1.  Here every day
-is checked at once.  Days are completed on a spine of (route, date) built
-by exploding the fixed route list over the dates present and the day after
-each (8 x dates rows), so a day without predictions reads 0; the previous
-day comes from an equi-join on ``date - 1``, not from a window over a
-route's whole history.
+is checked at once, for the fixed list of routes on the dates present and
+the day after each (8 x dates rows), so a day without predictions reads 0.
+A day's value is carried to the day after it, so the history is read once
+and no window runs over a route's whole history.
 """
 
 from __future__ import annotations
@@ -54,18 +53,24 @@ def accuracy_drops(acc: DataFrame) -> DataFrame:
     daily = prod.groupBy("route_id", "service_date").agg(
         accuracy_ratio(F.sum("num_accurate_predictions"), F.sum("num_predictions")).alias("accuracy")
     )
-    # days with data come from the same aggregate, so its exchange is reused
-    days = daily.select("service_date").distinct()
-    candidates = days.union(days.select(F.date_add("service_date", 1).alias("service_date"))).distinct()
-    spine = candidates.select("service_date", F.explode(F.array(*[F.lit(r) for r in SUBWAY_ROUTES])).alias("route_id"))
-    y = daily.select("route_id", "service_date", F.col("accuracy").alias("yesterday_accuracy"))
-    p = daily.select(
-        "route_id", F.date_add("service_date", 1).alias("service_date"), F.col("accuracy").alias("previous_day_accuracy")
+    # each day's value counts for that day and, as the previous one, for the day after: one scan, no self-join
+    day, nothing = F.col("service_date"), F.lit(None).cast("double")
+    value = F.col("accuracy").cast("double")
+    both = daily.select(
+        "route_id",
+        F.explode(
+            F.array(
+                F.struct(day.alias("service_date"), value.alias("y"), nothing.alias("p")),
+                F.struct(F.date_add(day, 1).alias("service_date"), nothing.alias("y"), value.alias("p")),
+            )
+        ).alias("d"),
     )
-    j = spine.join(y, ["route_id", "service_date"], "left").join(p, ["route_id", "service_date"], "left")
-    j = j.withColumn("yesterday_accuracy", F.coalesce("yesterday_accuracy", F.lit(0.0))).withColumn(
-        "previous_day_accuracy", F.coalesce("previous_day_accuracy", F.lit(0.0))
+    of = lambda r, c: F.coalesce(F.max(F.when(F.col("route_id") == r, F.col(f"d.{c}"))), F.lit(0.0))
+    routes = F.array(
+        *[F.struct(F.lit(r).alias("route_id"), of(r, "y").alias("yesterday_accuracy"), of(r, "p").alias("previous_day_accuracy")) for r in SUBWAY_ROUTES]
     )
+    days = both.groupBy(F.col("d.service_date").alias("service_date")).agg(routes.alias("routes"))
+    j = days.select("service_date", F.explode("routes").alias("r")).select("service_date", "r.*")
     return j.withColumn(
         "drop", F.col("yesterday_accuracy") < F.col("previous_day_accuracy") - F.lit(DROP_THRESHOLD)
     )

@@ -596,29 +596,29 @@ FLAT_COLS = ["file_timestamp", "environment", "trip_id", "vehicle_id", "is_delet
              "arrival_time", "departure_time", "stops_away", "direction_id", "kind", "nth_at_stop"]
 
 
-@register("flatten_trip_updates", with_ctes(["predictions_raw"], f"""
+@register("flatten_trip_updates", with_ctes(["fetched_raw"], f"""
 SELECT {', '.join(FLAT_COLS)} FROM (
   SELECT *, false AS is_deleted, CAST(row_number() OVER (
-           PARTITION BY environment, file_timestamp, stop_id
+           PARTITION BY environment, file_timestamp, nth_fetch, stop_id
            ORDER BY CASE WHEN stops_away = 0 THEN 0 ELSE 1 END, coalesce(arrival_time, departure_time) NULLS LAST,
                     id // 500, first_id, id) AS INTEGER) AS nth_at_stop
-  FROM (SELECT *, min(id) OVER (PARTITION BY environment, file_timestamp, id // 500, trip_id, vehicle_id, route_id,
+  FROM (SELECT *, min(id) OVER (PARTITION BY environment, file_timestamp, nth_fetch, id // 500, trip_id, vehicle_id, route_id,
                                 direction_id) AS first_id
-        FROM predictions_raw)
+        FROM fetched_raw)
   WHERE stops_away IS NOT NULL AND (arrival_time IS NOT NULL OR departure_time IS NOT NULL))"""))
 def q_flatten_trip_updates(spark, d):
     return IN.flatten_trip_updates(D.landed(spark, d, "trip_updates")).select(*FLAT_COLS)
 
 
-@register("classify_kind", with_ctes(["predictions_raw"], """
-SELECT kind, CAST(count(*) AS BIGINT) AS n FROM predictions_raw
+@register("classify_kind", with_ctes(["fetched_raw"], """
+SELECT kind, CAST(count(*) AS BIGINT) AS n FROM fetched_raw
 WHERE stops_away IS NOT NULL AND (arrival_time IS NOT NULL OR departure_time IS NOT NULL) GROUP BY kind"""))
 def q_classify_kind(spark, d):
     return IN.flatten_trip_updates(D.landed(spark, d, "trip_updates")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("generic_stop_id", with_ctes(["predictions_raw"], """
-SELECT stop_id, CAST(count(*) AS BIGINT) AS n FROM predictions_raw GROUP BY stop_id"""))
+@register("generic_stop_id", with_ctes(["fetched_raw"], """
+SELECT stop_id, CAST(count(*) AS BIGINT) AS n FROM fetched_raw GROUP BY stop_id"""))
 def q_generic_stop_id(spark, d):
     from headway.functions.columns import generic_stop_id
 
@@ -637,10 +637,11 @@ def q_vehicle_positions(spark, d):
 
 
 @register("dedupe_snapshots", with_ctes(["snapshots"], """
-SELECT environment, mode, min(snapshot_time) AS snapshot_time FROM snapshots
-GROUP BY environment, mode, snapshot_time // 600"""))
+SELECT environment, mode, min(snapshot_time) AS snapshot_time FROM snapshots WHERE snapshot_time // 300 % 7 <> 0
+GROUP BY environment, mode, snapshot_time // 600
+UNION ALL SELECT environment, mode, snapshot_time FROM snapshots WHERE snapshot_time // 300 % 7 = 0"""))
 def q_dedupe_snapshots(spark, d):
-    return IN.dedupe_snapshots(A.refetched(D.landed(spark, d, "vehicle_feed"))).select("environment", "mode", "snapshot_time")
+    return IN.snapshots_of(IN.dedupe_snapshots(A.refetched(D.landed(spark, d, "vehicle_feed"))))
 
 
 CR_COLS = ["environment", "file_timestamp", "vehicle_id", "trip_id", "route_id", "direction_id", "arrival_time",
@@ -654,9 +655,9 @@ def q_flatten_cr_predictions(spark, d):
     return IN.flatten_cr_predictions(D.landed(spark, d, "cr_predictions")).select(*CR_COLS)
 
 
-@register("cr_vehicle_positions", with_ctes(["vehicle_positions"], f"""
+@register("cr_vehicle_positions", with_ctes(["cr_vehicle_positions"], f"""
 SELECT 'prod' AS environment, 'commuter_rail' AS mode, snapshot_time, id, label, false AS is_deleted, trip_id, route_id,
-       direction_id, current_status, stop_id, timestamp FROM vehicle_positions"""))
+       direction_id, current_status, stop_id, timestamp FROM cr_vehicle_positions"""))
 def q_cr_vehicle_positions(spark, d):
     return IN.parse_cr_vehicles(D.landed(spark, d, "cr_vehicles")).select(*POS_COLS)
 

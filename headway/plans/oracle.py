@@ -47,9 +47,9 @@ def cte(name: str, deps: list[str], body: str) -> None:
 
 cte("base", [], """
   SELECT event_id, event_type, value,
-         CAST(user_id % 30 AS INTEGER) AS v,
+         CAST(user_id AS BIGINT) AS v,
          CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
-         1705363200 + (CAST(floor(epoch(ts)) AS BIGINT) - 1704067200) // 60 AS t
+         1705363200 + user_id % 30 * 86400 + (CAST(floor(epoch(ts)) AS BIGINT) - 1704067200) // 60 AS t
   FROM events""")
 
 cte("vehicle_positions", ["base"], f"""
@@ -63,6 +63,16 @@ cte("vehicle_positions", ["base"], f"""
   FROM (SELECT *, row_number() OVER (PARTITION BY v, t // 300 ORDER BY t DESC, event_id DESC) AS rn FROM base)
   WHERE rn = 1""")
 
+cte("cr_vehicle_positions", ["base"], f"""
+  SELECT 'V' || v AS id, 'L' || v AS label, 'T' || v || '-' || (t // 900) AS trip_id, {ROUTE_SQL}[v % 8 + 1] AS route_id,
+         CAST(v % 2 AS INTEGER) AS direction_id,
+         CASE WHEN event_type IN ('purchase', 'error') THEN 'STOPPED_AT'
+              WHEN event_type = 'signup' THEN 'INCOMING_AT' ELSE 'IN_TRANSIT_TO' END AS current_status,
+         {STOP_SQL}[((t // 900) + v) % 8 + 1] AS stop_id, t AS timestamp, (t // 300) * 300 + 300 AS snapshot_time
+  FROM (SELECT *, row_number() OVER (PARTITION BY v, t // 300 ORDER BY t DESC, event_id DESC) AS rn
+        FROM base WHERE event_id % 23 <> 0)
+  WHERE rn = 1""")
+
 cte("snapshots", ["base"], f"""
   SELECT unnest({ENV_SQL}) AS environment, 'subway' AS mode, snapshot_time
   FROM (SELECT DISTINCT (t // 300) * 300 + 300 AS snapshot_time FROM base)""")
@@ -142,6 +152,10 @@ cte("predictions_raw", ["base"], f"""
                          WHEN 'purchase' THEN 'reverse' END AS kind
   FROM base""")
 
+cte("fetched_raw", ["predictions_raw"], """
+  SELECT p.*, f.nth_fetch FROM predictions_raw p JOIN (VALUES (1), (2)) f(nth_fetch)
+    ON f.nth_fetch = 1 OR p.file_timestamp // 60 % 10 = 0""")
+
 cte("predictions", ["predictions_raw"], """
   SELECT *, CAST(CASE WHEN stop_id IS NOT NULL THEN row_number() OVER (
            PARTITION BY environment, file_timestamp, stop_id

@@ -41,12 +41,14 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder: ``spark.checkpoint.dir`` as the
     cluster configures it, else the context's checkpoint dir.  Only when
-    neither is set (local tests) is a private folder created and registered
-    with ``SparkContext.setCheckpointDir`` (the core config itself cannot be
-    changed at runtime)."""
+    neither is set and the master is local (tests) is a private folder created
+    and registered with ``SparkContext.setCheckpointDir``; on a cluster a
+    folder of one machine would not be shared, so a missing setting is an error."""
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="headway-ckpt-")
         sc.setCheckpointDir(d)
         d = sc.getCheckpointDir() or d

@@ -21,9 +21,12 @@ ROUTE = ["Red", "Blue", "Orange", "Green-B", "Green-C", "Green-D", "Green-E", "M
 STOP = ["70061", "70063", "70105", "70036", "70001", "70197", "70260", "70065"]
 HIST_BINS = ["0-3 min", "3-6 min", "6-8 min", "8-10 min", "10-12 min", "6-12 min", "12-30 min"]
 
-# 30 days of events squeezed into 12 hours starting 2024-01-15 19:00 New York
+# Every user is a vehicle with one night shift: its events of 30 days in the 12 hours from 19:00 New York of its day,
+# 2024-01-15 and the 29 days after it in turn.  So the fleet of every day grows with the users.
 EVENTS_ORIGIN = 1704067200
 DOMAIN_ORIGIN = 1705363200
+DAYS = 30
+DAY_S = 86400
 
 
 def idiv(c: Column, n: int) -> Column:
@@ -42,9 +45,9 @@ def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id",
         "event_type",
         "value",
-        F.pmod(F.col("user_id"), F.lit(30)).cast("int").alias("v"),
+        F.col("user_id").cast("long").alias("v"),
         F.get_json_object("props", "$.k").cast("int").alias("k"),
-        (F.lit(DOMAIN_ORIGIN) + idiv(sec - F.lit(EVENTS_ORIGIN), 60)).alias("t"),
+        (F.lit(DOMAIN_ORIGIN) + F.pmod(F.col("user_id"), F.lit(DAYS)) * DAY_S + idiv(sec - F.lit(EVENTS_ORIGIN), 60)).alias("t"),
     )
 
 
@@ -56,6 +59,15 @@ def vehicle_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.max(F.struct("t", "event_id", "k", "event_type")).alias("r"))
         .select("v", "slot", "r.*")
     )
+    return _position_rows(latest)
+
+
+def vehicle_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a vehicle record of its 5-minute snapshot, so a vehicle may stand in a snapshot several times."""
+    return _position_rows(base_events(spark, sf_dir), F.col("event_id"), F.col("v"))
+
+
+def _position_rows(rows: DataFrame, *more: Column) -> DataFrame:
     v, t, k = F.col("v"), F.col("t"), F.col("k")
     hour15 = idiv(t, 900)
     status = (
@@ -63,7 +75,8 @@ def vehicle_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("event_type") == "signup", F.lit("INCOMING_AT"))
         .otherwise(F.lit("IN_TRANSIT_TO"))
     )
-    return latest.select(
+    return rows.select(
+        *more,
         pick(ENV, F.pmod(v, F.lit(3))).alias("environment"),
         F.lit("subway").alias("mode"),
         F.concat(F.lit("V"), v.cast("string")).alias("id"),
@@ -208,7 +221,8 @@ def trip_update_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     trip/vehicle, updates in event order.  Terminal stops are reported by
     platform id on every third row, and a kind is encoded as its uncertainty
     (rows without a kind carry 90 s or nothing, which maps to no kind).  A
-    snapshot is landed in pages of at most ``PAGE_ROWS`` consecutive rows."""
+    snapshot is landed in pages of at most ``PAGE_ROWS`` consecutive rows, and
+    some files are fetched twice."""
     raw = predictions_raw(spark, sf_dir, keep_k=True)
     unc = F.when(F.col("kind").isNull(), F.when(F.pmod(F.col("k"), F.lit(2)) == 0, F.lit(90)))
     for kind, u in KIND_UNCERTAINTY.items():
@@ -252,7 +266,10 @@ def trip_update_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = ent.groupBy("environment", "file_timestamp", "page").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("first_id", "e"))), lambda x: x["e"]).alias("entity")
     )
-    return docs.select(F.struct(F.col("file_timestamp").alias("timestamp")).alias("header"), "entity", "environment", "page")
+    # files of every tenth minute are fetched twice
+    ft = F.col("file_timestamp")
+    fetches = F.when(F.pmod(idiv(ft, 60), F.lit(10)) == 0, F.array(ft + 10, ft + 70)).otherwise(F.array(ft + 10))
+    return docs.select(F.struct(ft.alias("timestamp")).alias("header"), "entity", "environment", "page", F.explode(fetches).alias("fetched_at"))
 
 
 def accuracy_copies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -269,22 +286,28 @@ def accuracy_copies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return a, b
 
 
+# A landed vehicle document holds at most PAGE_VEHICLES consecutive vehicles of a snapshot.
+PAGE_VEHICLES = 100
+
+
 def vehicle_feed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested vehicle-position snapshots (``VEHICLE_FEED`` schema): one document
-    per polled snapshot of each environment, with an empty entity list when
-    the feed had no vehicle."""
-    pos = vehicle_positions(spark, sf_dir).withColumn(
+    """Nested vehicle-position snapshots (``VEHICLE_FEED`` schema): the polled
+    snapshots of each environment in pages of at most ``PAGE_VEHICLES``
+    vehicles, every event of theirs in time order, and one document with an
+    empty entity list for a feed without vehicles."""
+    pos = vehicle_records(spark, sf_dir).withColumn(
         "stop_id",
         F.when((F.col("stop_id") == "70061") & (F.pmod(F.col("timestamp"), F.lit(2)) == 0), F.lit("Alewife-01"))
         .when((F.col("stop_id") == "70036") & (F.pmod(F.col("timestamp"), F.lit(2)) == 0), F.lit("Oak Grove-02"))
         .otherwise(F.col("stop_id")),
     )
-    ent = pos.groupBy("environment", "mode", "snapshot_time").agg(
+    ent = pos.groupBy("environment", "mode", "snapshot_time", idiv(F.col("v"), PAGE_VEHICLES).cast("int").alias("page")).agg(
         F.transform(
             F.array_sort(
                 F.collect_list(
                     F.struct(
-                        F.col("id").alias("_k"),
+                        F.col("timestamp").alias("_t"),
+                        F.col("event_id").alias("_k"),
                         F.struct(
                             F.col("is_deleted"),
                             F.struct(
@@ -305,13 +328,16 @@ def vehicle_feed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("entity", F.array().cast(ent.schema["entity"].dataType)).alias("entity"),
         "environment", "mode", "snapshot_time",
         F.concat(F.lit("t"), F.col("snapshot_time").cast("string")).alias("last_modified"),
+        F.coalesce("page", F.lit(0)).alias("page"),
     )
 
 
 def refetched(docs: DataFrame) -> DataFrame:
     """Vehicle snapshots where the feed's Last-Modified only changes every ten
-    minutes, so every other fetch repeats the previous one."""
-    return docs.withColumn("last_modified", F.concat(F.lit("lm"), idiv(F.col("snapshot_time"), 600).cast("string")))
+    minutes, so every other fetch repeats the previous one; every seventh
+    fetch comes without the header."""
+    changed = F.concat(F.lit("lm"), idiv(F.col("snapshot_time"), 600).cast("string"))
+    return docs.withColumn("last_modified", F.when(F.pmod(idiv(F.col("snapshot_time"), 300), F.lit(7)) != 0, changed))
 
 
 def _iso_local(x: Column) -> Column:
@@ -358,8 +384,9 @@ def cr_prediction_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cr_vehicle_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON:API vehicle snapshots (``CR_VEHICLES`` schema), one per snapshot time."""
-    pos = vehicle_positions(spark, sf_dir)
+    """JSON:API vehicle snapshots (``CR_VEHICLES`` schema), in pages of vehicles like the subway feed;
+    every 23rd record has a stop relationship without data."""
+    pos = vehicle_records(spark, sf_dir).withColumn("stop_id", F.when(F.pmod("event_id", F.lit(23)) != 0, F.col("stop_id")))
     item = F.struct(
         F.col("id"),
         F.struct(
@@ -369,10 +396,13 @@ def cr_vehicle_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
             "relationships"
         ),
     )
-    docs = pos.groupBy("snapshot_time").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(F.col("id").alias("_k"), item.alias("d")))), lambda x: x["d"]).alias("data")
+    docs = pos.groupBy("snapshot_time", idiv(F.col("v"), PAGE_VEHICLES).cast("int").alias("page")).agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct(F.col("timestamp").alias("_t"), F.col("event_id").alias("_k"), item.alias("d")))),
+            lambda x: x["d"],
+        ).alias("data")
     )
-    return docs.select("data", "snapshot_time", F.concat(F.lit("t"), F.col("snapshot_time").cast("string")).alias("last_modified"))
+    return docs.select("data", "snapshot_time", F.concat(F.lit("t"), F.col("snapshot_time").cast("string")).alias("last_modified"), "page")
 
 
 def stops_docs(spark: SparkSession, sf_dir: str) -> DataFrame:

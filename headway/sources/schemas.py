@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 S, L, I, B, D = T.StringType(), T.LongType(), T.IntegerType(), T.BooleanType(), T.DoubleType()
+V = T.VariantType()
 
 
 def _struct(*fields):
@@ -61,6 +62,7 @@ TRIP_UPDATES = _struct(
     ),
     ("environment", S),
     ("page", I),  # landing metadata: part number when a snapshot is landed in several documents
+    ("fetched_at", L),  # landing metadata: when it was fetched; a file may be fetched more than once
 )
 
 _REL = _struct(("data", _struct(("id", S))))
@@ -84,6 +86,7 @@ CR_PREDICTIONS = _struct(
     ("page", I),
 )
 
+# Text fields are read as variants: as strings, numbers in their place would be taken for text.
 VEHICLE_FEED = _struct(
     (
         "entity",
@@ -93,15 +96,15 @@ VEHICLE_FEED = _struct(
                 (
                     "vehicle",
                     _struct(
-                        ("current_status", S), ("stop_id", S), ("timestamp", L),
-                        ("trip", _struct(("direction_id", I), ("route_id", S), ("trip_id", S))),
-                        ("vehicle", _struct(("id", S), ("label", S))),
+                        ("current_status", V), ("stop_id", V), ("timestamp", L),
+                        ("trip", _struct(("direction_id", I), ("route_id", V), ("trip_id", V))),
+                        ("vehicle", _struct(("id", V), ("label", V))),
                     ),
                 ),
             )
         ),
     ),
-    ("environment", S), ("mode", S), ("snapshot_time", L), ("last_modified", S),
+    ("environment", S), ("mode", S), ("snapshot_time", L), ("last_modified", S), ("page", I),
 )
 
 CR_VEHICLES = _struct(
@@ -115,7 +118,7 @@ CR_VEHICLES = _struct(
             )
         ),
     ),
-    ("snapshot_time", L), ("last_modified", S),
+    ("snapshot_time", L), ("last_modified", S), ("page", I),
 )
 
 STOPS = _struct(

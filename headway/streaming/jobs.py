@@ -3,13 +3,15 @@
 * vehicle tracker: vehicle snapshots (JSON files) -> deduped -> stateful
   tracker -> transitions table (Parquet file sink, exactly once through the
   checkpoint);
-* prediction ingest: trip-update snapshots -> flattened, ranked rows ->
-  predictions table (``foreachBatch``: the rank is a window, which a
-  streaming plan cannot hold, but each micro-batch is a plain DataFrame;
-  every batch overwrites its own ``batch_id=`` folder, so replays are
-  idempotent);
+* prediction ingest: trip-update snapshots -> flattened rows -> predictions
+  table by file date and environment (``foreachBatch``: every batch
+  overwrites its own ``batch_id=`` folder, so replays are idempotent).  The
+  rank at the stop is computed on reading (``stored_predictions``), since
+  the pages of one snapshot may land in different batches;
 * block scoring: a batch job per run that scores the blocks closed by the
-  scoring lag and overwrites exactly those blocks (idempotent re-runs).
+  scoring lag and overwrites exactly those blocks (idempotent re-runs).  The
+  streaming scorer keeps the horizon of its last run beside its checkpoint,
+  so every block between two horizons is scored, however far apart they are.
 
 Checkpoint folders must live in shared storage (the cluster's
 ``spark.checkpoint.dir``), never on a machine-local disk.
@@ -17,10 +19,13 @@ Checkpoint folders must live in shared storage (the cluster's
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.functions.constants import MAX_DWELL_S, TERMINAL_MATCH_WINDOW_S, VISIBILITY_LAG_S
+from headway.functions.constants import BLOCK_S, MAX_DWELL_S, TERMINAL_MATCH_WINDOW_S, VISIBILITY_LAG_S
+from headway.functions.times import epoch_to_utc_ntz
 from headway.operators import events as E
 from headway.operators import ingest as IN
 from headway.operators import matching as M
@@ -41,17 +46,22 @@ def read_feed(spark: SparkSession, landing: str, schema, max_files: int | None =
 
 
 def dedupe_stream(docs: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """Drop re-fetched snapshots (same Last-Modified for the same feed)."""
+    """Drop re-fetched snapshots (same Last-Modified for the same feed); of a
+    snapshot landed in pages every page counts for itself.  A snapshot without
+    the header is kept.  ``watermark``: how late a snapshot may land behind the
+    newest one; later ones are not processed, since their vehicles have moved on."""
+    told = F.coalesce("last_modified", F.concat(F.lit("snapshot "), F.col("snapshot_time").cast("string")))
+    page = F.coalesce("page", F.lit(0)) if "page" in docs.columns else F.lit(0)
     return (
-        docs.withColumn("_ts", F.timestamp_seconds("snapshot_time"))
+        docs.withColumns({"_ts": F.timestamp_seconds("snapshot_time"), "_told": told, "_page": page})
         .withWatermark("_ts", watermark)
-        .dropDuplicatesWithinWatermark(["environment", "mode", "last_modified"])
-        .drop("_ts")
+        .dropDuplicatesWithinWatermark(["environment", "mode", "_told", "_page"])
+        .drop("_ts", "_told", "_page")
     )
 
 
-def vehicle_transitions_stream(docs: DataFrame, dedupe: bool = True) -> DataFrame:
-    d = dedupe_stream(docs) if dedupe else docs
+def vehicle_transitions_stream(docs: DataFrame, dedupe: bool = True, watermark: str = "10 minutes") -> DataFrame:
+    d = dedupe_stream(docs, watermark) if dedupe else docs
     recs = IN.parse_vehicle_feed(d).filter(F.col("parse_status") == "valid")
     snaps = d.select("environment", "mode", "snapshot_time")
     return track(tracker_input(recs, snaps))
@@ -59,8 +69,10 @@ def vehicle_transitions_stream(docs: DataFrame, dedupe: bool = True) -> DataFram
 
 def start_vehicle_tracker(spark: SparkSession, landing: str, out_path: str, checkpoint: str,
                           available_now: bool = True, processing_time: str = "1 second",
-                          one_doc_per_file: bool = True):
-    s = vehicle_transitions_stream(read_feed(spark, landing, SC.VEHICLE_FEED, one_doc_per_file=one_doc_per_file))
+                          one_doc_per_file: bool = True, max_files: int = 500, watermark: str = "10 minutes"):
+    """``max_files`` bounds a micro-batch, so a backlog is worked off in steps."""
+    docs = read_feed(spark, landing, SC.VEHICLE_FEED, max_files, one_doc_per_file)
+    s = vehicle_transitions_stream(docs, watermark=watermark)
     w = s.writeStream.format("parquet").option("path", out_path).option("checkpointLocation", checkpoint).outputMode("append")
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
     return w.start()
@@ -73,14 +85,30 @@ def start_prediction_ingest(spark: SparkSession, landing: str, out_path: str, ch
     def write(batch: DataFrame, epoch_id: int) -> None:
         # each micro-batch owns one folder and overwrites it: a batch replayed
         # after a failure replaces its own rows instead of appending twice
-        rows = IN.flatten_trip_updates(batch).withColumn("id", IN.prediction_id())
-        rows.write.mode("overwrite").partitionBy("environment").parquet(f"{out_path}/batch_id={epoch_id}")
+        rows = IN.trip_update_rows(batch).withColumn("id", IN.prediction_id())
+        rows = rows.withColumn("file_date", F.to_date(epoch_to_utc_ntz("file_timestamp")))
+        rows.write.mode("overwrite").partitionBy("file_date", "environment").parquet(f"{out_path}/batch_id={epoch_id}")
 
     w = docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="60 seconds")
     return w.start()
 
 
+def stored_predictions(spark: SparkSession, path: str, from_s: int | None = None, before_s: int | None = None) -> DataFrame:
+    """Stored prediction rows with file times in [from_s, before_s), ranked at
+    their stop if they were stored without a rank.  The dates of the bounds
+    prune the partitions."""
+    p = spark.read.parquet(path)
+    for bound, ops in ((from_s, ("__ge__", "__ge__")), (before_s, ("__lt__", "__le__"))):
+        if bound is None:
+            continue
+        p = p.filter(getattr(F.col("file_timestamp"), ops[0])(bound))
+        if "file_date" in p.columns:
+            day = _dt.datetime.fromtimestamp(bound, _dt.timezone.utc).date()
+            p = p.filter(getattr(F.col("file_date"), ops[1])(F.lit(day)))
+    return p if "nth_at_stop" in p.columns else IN.rank_at_stop(p, IN.FEED_ORDER)
+
+
 def score_closed_blocks(transitions: DataFrame, predictions: DataFrame, now_s: int,
                         lag_s: int = VISIBILITY_LAG_S, since_s: int | None = None) -> DataFrame:
     """Accuracy rows of every block closed at ``now_s`` (block_start + lag <=
@@ -102,19 +130,20 @@ def score_closed_blocks(transitions: DataFrame, predictions: DataFrame, now_s: i
 
 
 def run_scoring(spark: SparkSession, transitions_path: str, predictions_path: str, out_path: str, now_s: int,
-                day_start_s: int) -> None:
-    """One scheduled scoring run: re-score every closed block of the current
-    service day (from ``day_start_s``) and overwrite that day's partition.
-    Re-running it, or running it after a failure, writes the same rows."""
-    acc = score_closed_blocks(
-        spark.read.parquet(transitions_path), spark.read.parquet(predictions_path), now_s, since_s=day_start_s
-    )
-    write_accuracy(acc.drop("block_start"), out_path)
+                since_s: int | None = None) -> None:
+    """One scheduled scoring run: score every block closed at ``now_s`` that
+    starts at or after ``since_s`` (by default: the current service day) and
+    overwrite exactly these blocks.  Re-running it, or running it after a
+    failure, writes the same rows; blocks it does not score stay."""
+    since = service_day_start(now_s - VISIBILITY_LAG_S) if since_s is None else since_s
+    since -= since % BLOCK_S  # whole blocks only: a block is replaced as a whole
+    predictions = stored_predictions(spark, predictions_path, since, now_s)
+    acc = score_closed_blocks(spark.read.parquet(transitions_path), predictions, now_s, since_s=since)
+    write_accuracy(acc, out_path)
 
 
 def service_day_start(epoch_s: int) -> int:
     """Epoch of 03:00 local on the service date holding ``epoch_s``."""
-    import datetime as _dt
     from zoneinfo import ZoneInfo
 
     from headway.functions.constants import TIMEZONE
@@ -125,22 +154,39 @@ def service_day_start(epoch_s: int) -> int:
     return int(_dt.datetime.combine(day, _dt.time(3, 0), z).timestamp())
 
 
+def _horizon(spark: SparkSession, path: str, before: int) -> int | None:
+    """The newest file time that the runs before ``before`` had seen."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        done = spark.read.schema("now long, epoch long").parquet(path)
+    except AnalysisException:  # nothing written yet
+        return None
+    return done.filter(F.col("epoch") < before).agg(F.max("now")).first()[0]
+
+
 def start_block_scorer(spark: SparkSession, predictions_path: str, transitions_path: str, out_path: str,
                        checkpoint: str, lag_s: int = VISIBILITY_LAG_S, available_now: bool = True):
     """Event-time scoring trigger: each micro-batch of new prediction files
-    advances "now" to the newest file time seen; the current and previous
-    service days are re-scored up to that horizon (blocks with block_start +
-    lag <= now) and their partitions overwritten.  Replays and overlaps
-    rewrite the same rows."""
+    advances "now" to the newest file time seen.  Scored are all blocks that
+    closed since the last run's horizon and all older ones that the batch
+    brought predictions for.  The horizon of each run is stored under
+    ``checkpoint`` by batch number, so a replayed batch scores the same blocks."""
     schema = spark.read.parquet(predictions_path).schema
     times = spark.readStream.schema(schema).parquet(predictions_path).select("file_timestamp")
+    horizons = f"{checkpoint}-horizons"
 
     def score(batch: DataFrame, epoch_id: int) -> None:
-        now = batch.agg(F.max("file_timestamp")).first()[0]
+        first, now = batch.agg(F.min("file_timestamp"), F.max("file_timestamp")).first()
         if now is None:
             return
-        since = service_day_start(service_day_start(now - lag_s) - 1)
-        run_scoring(spark, transitions_path, predictions_path, out_path, int(now), since)
+        before = _horizon(spark, horizons, epoch_id)
+        # a block is open until block_start + lag, so the first one not yet scored starts after this
+        since = first if before is None else min(first, before - lag_s)
+        now = max(now, before or now)
+        run_scoring(spark, transitions_path, predictions_path, out_path, int(now), int(since))
+        done = spark.createDataFrame([(int(now), int(epoch_id))], "now long, epoch long")
+        done.write.mode("overwrite").parquet(f"{horizons}/batch={epoch_id}")
 
     w = times.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 minutes")

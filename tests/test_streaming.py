@@ -67,13 +67,18 @@ def test_scoring_run_is_idempotent(spark, tmp_path):
     D.transitions(spark, SF).write.parquet(tr)
     D.predictions(spark, SF).write.parquet(pr)
     out = str(tmp_path / "acc")
-    day_start = 1705363200 - 3600 * 16  # before the first prediction
-    now = 1705363200 + 13 * 3600
-    J.run_scoring(spark, tr, pr, out, now, day_start)
+    start, end = 1705363200, 1705363200 + 31 * 86400
+    J.run_scoring(spark, tr, pr, out, end, start)
     first = sorted(map(tuple, spark.read.parquet(out).collect()), key=str)
-    J.run_scoring(spark, tr, pr, out, now, day_start)
+    J.run_scoring(spark, tr, pr, out, end, start)
     second = sorted(map(tuple, spark.read.parquet(out).collect()), key=str)
     assert first == second and len(first) > 0
+    # a later run that starts in the middle of a service day leaves the blocks before it alone
+    J.run_scoring(spark, tr, pr, out, end, start + 3 * 86400 + 4321)
+    assert sorted(map(tuple, spark.read.parquet(out).collect()), key=str) == first
+    # and the default start scores the current service day only
+    J.run_scoring(spark, tr, pr, out, start + 86400)
+    assert sorted(map(tuple, spark.read.parquet(out).collect()), key=str) == first
     # same rows as the batch scorer over the whole history
     from headway.operators import scoring as S
 
@@ -88,11 +93,15 @@ def test_prediction_ingest_stream_equals_batch_flatten(spark, tmp_path):
     out, ckpt = str(tmp_path / "pred"), str(tmp_path / "ckpt")
     q = J.start_prediction_ingest(spark, landing, out, ckpt, available_now=True, one_doc_per_file=False)
     q.awaitTermination(300)
-    got = spark.read.parquet(out)
-    assert "batch_id" in got.columns
+    assert {"batch_id", "file_date", "environment"} <= set(spark.read.parquet(out).columns)
+    got = J.stored_predictions(spark, out)
     cols = ["environment", "file_timestamp", "trip_id", "stop_id", "arrival_time", "departure_time", "kind", "nth_at_stop"]
     exp = IN.flatten_trip_updates(docs).select(*cols)
-    assert got.count() == exp.count()
+    assert got.count() == exp.count() > 0
+    at = exp.agg({"file_timestamp": "min"}).first()[0] + 86400
+    part = J.stored_predictions(spark, out, at, at + 3600)
+    assert "PartitionFilters: [isnotnull(file_date" in part._jdf.queryExecution().toString()
+    assert part.count() == exp.filter((F.col("file_timestamp") >= at) & (F.col("file_timestamp") < at + 3600)).count()
     assert got.select(*cols).exceptAll(exp).count() == 0
     assert got.select("id").distinct().count() == got.count()
 
@@ -113,6 +122,60 @@ def test_block_scorer_stream(spark, tmp_path):
     assert got.agg({"num_predictions": "sum"}).first()[0] == exp.agg({"num_predictions": "sum"}).first()[0]
 
 
+def test_block_scorer_scores_every_block_between_two_runs(spark, tmp_path):
+    """A backlog over many service dates, in one batch and in two that lie days apart."""
+    from headway.plans import domain as D
+
+    tr, pr = str(tmp_path / "tr"), str(tmp_path / "pr")
+    D.transitions(spark, SF).write.parquet(tr)
+    p = D.predictions(spark, SF)
+    exp = J.score_closed_blocks(spark.read.parquet(tr), p, p.agg({"file_timestamp": "max"}).first()[0])
+    dates = {r.service_date for r in exp.select("service_date").distinct().collect()}
+    assert len(dates) >= 6
+    cols = [c for c in exp.columns if c not in ("mean_error", "root_mean_squared_error")]
+    want = sorted(map(tuple, exp.select(cols).collect()), key=str)
+
+    out, ckpt = str(tmp_path / "acc"), str(tmp_path / "ckpt")
+    cut = 1705363200 + 5 * 86400
+    p.filter(F.col("file_timestamp") < cut).write.parquet(pr)
+    J.start_block_scorer(spark, pr, tr, out, ckpt).awaitTermination(300)
+    p.filter(F.col("file_timestamp") >= cut).write.mode("append").parquet(pr)
+    J.start_block_scorer(spark, pr, tr, out, ckpt).awaitTermination(300)
+    assert sorted(map(tuple, spark.read.parquet(out).select(cols).collect()), key=str) == want
+
+
+def test_pages_of_one_snapshot_in_two_batches_rank_together(spark, tmp_path):
+    def doc(page, stop_times):
+        upd = [{"stop_id": "70063", "stops_away": 1, "arrival": {"time": t}} for t in stop_times]
+        return {"header": {"timestamp": 1000}, "environment": "prod", "page": page, "fetched_at": 1010, "entity": [
+            {"id": "e", "is_deleted": False, "trip_update": {"trip": {"trip_id": f"t{page}"}, "vehicle": {"id": "v"}, "stop_time_update": upd}}]}
+
+    landing, out, ckpt = tmp_path / "l", str(tmp_path / "o"), str(tmp_path / "c")
+    landing.mkdir()
+    for page, times in ((0, [1300, 1100]), (20, [1200])):
+        (landing / f"{page}.json").write_text(json.dumps(doc(page, times)))
+        J.start_prediction_ingest(spark, str(landing), out, ckpt).awaitTermination(300)
+    rows = J.stored_predictions(spark, out).collect()
+    assert sorted((r.arrival_time, r.nth_at_stop) for r in rows) == [(1100, 1), (1200, 2), (1300, 3)]
+    assert len({r.id for r in rows}) == 3
+
+
+def test_stream_keeps_snapshots_without_last_modified(spark, tmp_path):
+    def doc(t, told):
+        d = {"entity": [], "environment": "prod", "mode": "subway", "snapshot_time": t, "page": 0}
+        return d | ({"last_modified": told} if told else {})
+
+    landing = tmp_path / "l"
+    landing.mkdir()
+    for t, told in ((1000, None), (1001, None), (1002, "a"), (1003, "a"), (1004, None), (1005, "b")):
+        (landing / f"{t}.json").write_text(json.dumps(doc(t, told)))
+    q = J.dedupe_stream(J.read_feed(spark, str(landing), SC.VEHICLE_FEED)).writeStream.format("parquet")
+    q = q.option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    got = sorted(r.snapshot_time for r in spark.read.parquet(str(tmp_path / "o")).collect())
+    assert len(got) == 5 and {1000, 1001, 1004, 1005} < set(got)
+
+
 def test_service_day_start():
     # 2018-10-30 01:00 New York belongs to the 10-29 service day, which starts 10-29 03:00 EDT
     assert J.service_day_start(1540875600) == 1540796400
