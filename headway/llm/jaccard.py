@@ -33,10 +33,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import textcore as X
 from .graph import components
-from .tables import stored
+from .tables import marked, stored, texts
 
 SHINGLE = 5
 NUM, DEN = 80, 100  # link: DEN * intersection >= NUM * union
@@ -106,7 +107,7 @@ def profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         yield pa.record_batch([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary())], names=names)
 
     names = ["doc_id", "n", "node", "chunk", "counts"]
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n long, node long, chunk int, counts binary")
+    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n long, node long, chunk int, counts binary")
 
 
 def sum_chunks(parts: DataFrame) -> DataFrame:
@@ -187,7 +188,7 @@ def keys(docs: DataFrame, id_col: str, text_col: str, sketch, cut: int) -> DataF
                 k = np.concatenate([x[1] for x in out])
                 yield pa.record_batch([pa.array(X.signed(k)), pa.array(X.signed(node)[r]), pa.array(count[r], pa.int32())], names=["key", "node", "n"])
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "key long, node long, n int")
+    return texts(docs, id_col, text_col).select("text").mapInArrow(run, "key long, node long, n int")
 
 
 # ---- verification ------------------------------------------------------------------------
@@ -208,7 +209,9 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, tex
                 sets = [raw[8 * first[i] : 8 * first[i + 1]] for i in same]
                 yield pa.record_batch([b.column(0).take(pa.array(s.lo + same)), pa.array(sets, pa.binary())], names=["node", "members"])
 
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = texts(docs, id_col, text_col)
+    wanted = stored(wanted, "wanted")
+    text = marked(text, "doc_id", wanted, "doc_id")
     found = text.join(wanted, text.doc_id.eqNullSafe(wanted.doc_id)).select("node", "text")
     sets = stored(found.mapInArrow(one_per_node, "node long, members binary").dropDuplicates(["node"]), "sets")
 
@@ -234,8 +237,17 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, tex
     return full.mapInArrow(linked, "a long, b long")
 
 
-def similar_sizes(n: str, m: str):
-    return (F.col(n) * NUM <= F.col(m) * DEN) & (F.col(m) * NUM <= F.col(n) * DEN)
+def may_link(n: str, m: str, keys: str, cut: int):
+    """Condition on two set sizes and the number of keys in common that every link meets.
+
+    To link, sizes ``n`` and ``m`` need an overlap of ``o``.  Prefixes of ``size - o + c`` shingles then have ``c`` in
+    common, so those that were indexed (``size - need(size) + 1``) have ``o - need(size) + 1`` for the larger size."""
+    o = F.ceil((F.col(n) + F.col(m)) * NUM / (NUM + DEN) - 1e-9)
+    large, small = F.greatest(n, m), F.least(n, m)
+    c = o - F.ceil(large * NUM / DEN - 1e-9) + 1
+    heavy = F.when(small >= need(cut + 1), c).otherwise(0)
+    light = F.when(large <= cut, c * (c + 1) / 2).otherwise(0)
+    return (small * DEN >= large * NUM) & (F.col(keys) >= heavy + light)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,17 +267,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # set sizes, exact to 64 and then in steps of about 3 %: at most a few hundred rows
     step = F.when(F.col("n") <= 64, F.col("n").cast("double")).otherwise(F.floor(F.pow(F.lit(1.03), F.floor(F.log(1.03, "n")))).cast("double"))
     sizes = [(int(r.s), r.c) for r in rows.where("n > 0").groupBy(step.alias("s")).agg(F.count("*").alias("c")).collect()]
-    total = table.sum(dtype=np.float64)
-    above = np.maximum(table - 2.0 * table.mean(), 0)
-    cut = boundary(sizes, 2.0 + float((above * above).sum() / max(total, 1)) ** 0.5)
+    # prefixes hold the rarest shingles, the share 1 - NUM / DEN of all: what their lists hold above the sketch's noise
+    counts = np.sort(table.ravel()).astype(np.float64)
+    mass = np.cumsum(counts)
+    rare = counts[: int(np.searchsorted(mass, mass[-1] * (DEN - NUM) / DEN)) + 1]
+    above = np.maximum(rare - np.median(counts), 0)
+    cut = boundary(sizes, 2.0 + float((above * rare).sum() / max(rare.sum(), 1)))
     sketch = spark.sparkContext.broadcast(table.tobytes())
 
     k = keys(docs, id_col, text_col, sketch, cut)
     shared = k.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader != other").select("key", "leader")
+    # stored, so that the join deals both sides out anew and Spark can split the rows of a very long list
+    shared = stored(shared, "shared")
     lists = stored(k.join(shared, "key"), "lists")
 
     # one comparison a member: with the leader it meets in most lists
-    meet = lists.where("node != leader").groupBy("node", "leader").agg(F.count("*").alias("c"))
+    meet = lists.where("node != leader").groupBy("node", "leader", "n").agg(F.count("*").alias("c"))
+    meet = meet.join(nodes.select(F.col("node").alias("leader"), F.col("n").alias("ln")), "leader").where(may_link("n", "ln", "c", cut))
     star = meet.groupBy("node").agg(F.max_by("leader", F.struct("c", "leader")).alias("b")).select(F.col("node").alias("a"), "b")
     links = stored(verify(star, docs, nodes, id_col, text_col), "star")
     comp = components(links)
@@ -276,7 +294,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     left = stored(of.join(mixed, "key", "left_semi"), "mixed")
     x = left.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
     y = left.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    cross = x.join(y, "key").where((F.col("ca") < F.col("cb")) & similar_sizes("na", "nb")).select("a", "b").distinct()
+    cross = x.join(y, "key").where((F.col("ca") < F.col("cb")) & (F.col("na") * DEN >= F.col("nb") * NUM) & (F.col("nb") * DEN >= F.col("na") * NUM))
+    cross = cross.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).where(may_link("na", "nb", "c", cut)).select("a", "b")
     cross = stored(cross.join(links, ["a", "b"], "left_anti"), "cross")
     more = verify(cross, docs, nodes, id_col, text_col)
     final = components(links.unionByName(more))
@@ -290,3 +309,35 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     c = jaccard_components(docs, id_col, text_col)
     name = c.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return c.join(name, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of linked texts: that with the smallest id, all its columns as they are.
+
+    Texts without words belong to no group and stay.  A null id counts as
+    larger than any other; of equal rows one stays.  Only rows whose id may
+    occur in a group are shuffled."""
+    c = stored(jaccard_components(docs, id_col, text_col), "components").where("node is not null")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "node")).alias("k")
+    groups = c.groupBy("component").agg(first, F.count("*").alias("c")).where("c > 1")
+    keep = F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("node") == F.col("k.node"))
+    members = stored(c.join(groups, "component").select("doc_id", "node", keep.alias("__keep")).distinct(), "members")
+
+    alone = marked(docs, id_col, members, "doc_id", inverse=True)
+    maybe = marked(docs, id_col, members, "doc_id")
+    at = docs.columns.index(text_col)
+
+    def add_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = []
+            for s in X.slices(b.column(at).cast(pa.string())):
+                row, win, count = shingles(s)
+                parts.append(pa.array(X.signed(set_hash(row, win, count)), mask=count == 0))
+            yield b.append_column("__node", pa.concat_arrays(parts) if parts else pa.nulls(0, pa.int64()))
+
+    maybe = maybe.mapInArrow(add_node, StructType(docs.schema.fields.copy()).add("__node", "long"))
+    same = F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("m.doc_id")) & (F.col("__node") == F.col("m.node"))
+    found = maybe.alias("d").join(members.alias("m"), same, "left").where("__keep or __keep is null")
+    once = F.when(F.col("__keep"), F.lit(-1)).otherwise(F.monotonically_increasing_id())
+    found = found.select("d.*", once.alias("__once"), F.col("m.doc_id").alias("__id")).dropDuplicates(["__id", "__node", "__once"])
+    return alone.unionByName(found.select(docs.columns))
