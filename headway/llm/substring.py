@@ -7,14 +7,14 @@ steps that each shuffle only what is left:
 1. Every window has an anchor, its least 4-gram by hash, the same wherever the
    window stands.  Anchors are about a sixth as many as windows.  An anchor
    seen in one text only proves its windows unshared.
-2. Windows with a shared anchor become edge rows, keyed by 128 bits of hash,
-   with source coordinates (document, word position).  An edge is repeated if
-   it starts in two documents; the smallest is its source.
-3. Edges whose sources follow each other, with equal numbers of documents (no
-   path leaves or enters between them), compact into one path: islands over
-   the source coordinates.
-4. Joined back on the edge, each later document's occurrences collapse into
-   spans (path, offset, length).  The spans' words are removed.
+2. Windows with a shared anchor become edge rows, keyed by 80 bits of hash,
+   with source coordinates (document, word position).  A grouped minimum finds
+   the smallest document of each edge, its source; an edge that has a larger
+   document too is repeated.
+3. Joined back on the edge, every later occurrence knows its source.  Edges
+   that follow each other in a document and have one source lie on one path
+   without a branch between them, and compact into one span.
+4. The spans' words are cut from the text at their own coordinates.
 
 Texts with equal word sequences are one text up to step 2; a later copy is
 removed whole without any edge row.
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textcore as X
-from .tables import marked, stored
+from .tables import marked, stored, texts
 
 K = 13
 ANCHOR = 4
@@ -83,7 +83,7 @@ def profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 d = joined_digests(s, w)
                 yield pa.record_batch([b.column(0).slice(s.lo, s.hi - s.lo), pa.array(w.count, pa.int64()), pa.array(nodes_of(d)), pa.array([x.hex() for x in d], pa.string())], names=["doc_id", "n_words", "node", "sha"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_words long, node long, sha string")
+    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_words long, node long, sha string")
 
 
 def anchors(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -105,23 +105,23 @@ def anchors(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                 a, row = a[new], row[new]
                 yield pa.record_batch([pa.array(X.signed(a)), pa.array(node[row]), pa.array(ids[s.lo + row], pa.int64())], names=["anchor", "node", "doc_id"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    rows = texts(docs, id_col, text_col).where("doc_id is not null")
     return rows.mapInArrow(run, "anchor long, node long, doc_id long")
 
 
-def edges(texts: DataFrame, k: int) -> DataFrame:
-    """Edge rows of the windows whose anchor is in the row's list ``anchors``."""
+def edges(texts_: DataFrame, k: int) -> DataFrame:
+    """Edge rows ``(e1, e2, doc_id, part, pos)`` of the windows whose anchor is in the row's list ``anchors``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, want = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for s in X.slices(b.column(2)):
+            ids, want, part = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+            for s in X.slices(b.column(3)):
                 w = X.split(s)
                 at = X.window_starts(w.row, k)
                 if not len(at):
                     continue
                 node = nodes_of(joined_digests(s, w))
-                lists = b.column(3).slice(s.lo, s.hi - s.lo)
+                lists = b.column(4).slice(s.lo, s.hi - s.lo)
                 of = np.repeat(np.arange(s.hi - s.lo), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
                 shared = np.sort(X.mix(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64) + of.astype(np.uint64) * X.U64(0x9E3779B97F4A7C15)))
                 h = X.word_hashes(s.buf, w)
@@ -132,16 +132,17 @@ def edges(texts: DataFrame, k: int) -> DataFrame:
                 ok = (shared[hit] == mine) & (node[row] == want[s.lo + row])
                 at, row = at[ok], row[ok]
                 first = X.first_of_row(w.count)
+                check = (X.rolling(X.mix(h), k, _BASE2)[at] >> X.U64(48)).astype(np.int32)
                 yield pa.record_batch(
-                    [pa.array(X.signed(X.rolling(h, k)[at])), pa.array(X.signed(X.rolling(X.mix(h), k, _BASE2)[at])), pa.array(ids[s.lo + row], pa.int64()), pa.array(node[row]), pa.array((at - first[row]).astype(np.int32))],
-                    names=["e1", "e2", "doc_id", "node", "pos"],
+                    [pa.array(X.signed(X.rolling(h, k)[at])), pa.array(check), pa.array(ids[s.lo + row], pa.int64()), pa.array(part[s.lo + row], pa.int32()), pa.array((at - first[row]).astype(np.int32))],
+                    names=["e1", "e2", "doc_id", "part", "pos"],
                 )
 
-    return texts.mapInArrow(run, "e1 long, e2 long, doc_id long, node long, pos int")
+    return texts_.mapInArrow(run, "e1 long, e2 int, doc_id long, part int, pos int")
 
 
-def kept(texts: DataFrame) -> DataFrame:
-    """``(doc_id, node, n_removed, n_spans, sha)`` of rows ``(doc_id, node, text, spans)``; a span is (first word, word after the last)."""
+def kept(texts_: DataFrame, k: int) -> DataFrame:
+    """``(doc_id, node, n_removed, n_spans, sha)`` of rows ``(doc_id, node, text, hits)``; a hit is (position, source) of a repeated edge."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,52 +151,51 @@ def kept(texts: DataFrame) -> DataFrame:
                 n = s.hi - s.lo
                 own = nodes_of(joined_digests(s, w)) == b.column(1).slice(s.lo, n).to_numpy(zero_copy_only=False)
                 lists = b.column(3).slice(s.lo, n)
-                flat = lists.flatten()
-                first = X.first_of_row(w.count)
                 of = np.repeat(np.arange(n), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
-                lo, hi = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-                sel = own[of]
+                pos, source = (lists.flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                order = np.lexsort((pos, of))
+                order = order[own[of[order]]]
+                of, pos, source = of[order], pos[order].astype(np.int64), source[order]
+                # path compaction: edges that follow each other and have one source
+                new = np.ones(len(of), dtype=bool)
+                new[1:] = (of[1:] != of[:-1]) | (pos[1:] != pos[:-1] + 1) | (source[1:] != source[:-1])
+                lo = np.flatnonzero(new)
+                hi = np.append(lo[1:], len(of))[: len(lo)] - 1
+                first = X.first_of_row(w.count)
                 cover = np.zeros(len(w.row) + 1, dtype=np.int64)
-                np.add.at(cover, first[of[sel]] + lo[sel], 1)
-                np.add.at(cover, first[of[sel]] + hi[sel], -1)
+                np.add.at(cover, first[of[lo]] + pos[lo], 1)
+                np.add.at(cover, first[of[hi]] + pos[hi] + k, -1)
                 gone = np.cumsum(cover[:-1]) > 0
                 sha = joined_digests(s, w, ~gone)
-                at = pa.array(np.flatnonzero(own))
                 removed = np.bincount(w.row[gone], minlength=n)
                 yield pa.record_batch(
-                    [b.column(0).slice(s.lo, n), b.column(1).slice(s.lo, n), pa.array(removed, pa.int64()), pa.array(np.bincount(of, minlength=n), pa.int64()), pa.array([x.hex() for x in sha], pa.string())],
+                    [b.column(0).slice(s.lo, n), b.column(1).slice(s.lo, n), pa.array(removed, pa.int64()), pa.array(np.bincount(of[lo], minlength=n), pa.int64()), pa.array([x.hex() for x in sha], pa.string())],
                     names=["doc_id", "node", "n_removed", "n_spans", "sha"],
-                ).take(at)
+                ).filter(pa.array(own))
 
-    return texts.mapInArrow(run, "doc_id long, node long, n_removed long, n_spans long, sha string")
+    return texts_.mapInArrow(run, "doc_id long, node long, n_removed long, n_spans long, sha string")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, rows: DataFrame | None = None) -> DataFrame:
-    """``(doc_id, node, path_doc, path_pos, offset, pos, n_edges)``: every span of each text (of the first of equal ones)
-    that also stands in a document with a smaller id; ``offset`` is its place in the path, whose source starts at
-    word ``path_pos`` of ``path_doc``."""
+def repeated_edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, rows: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, node, hits)``: for each text (the first of equal ones) the positions of its edges that also start in a
+    document with a smaller id, and the smallest such document."""
     rows = rows if rows is not None else profile(docs, id_col, text_col)
     a = anchors(docs, id_col, text_col, k)
     shared = a.groupBy("anchor").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("anchor")
-    firsts = rows.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.first("node").alias("node")).select("doc_id", "node")
+    # rows with one id and different texts are parts of one document
+    firsts = rows.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.first("node").alias("node"))
+    firsts = firsts.select("doc_id", "node", (F.row_number().over(Window.partitionBy("doc_id").orderBy("node")) - 1).alias("part"))
     lists = a.join(shared, "anchor").groupBy("doc_id", "node").agg(F.collect_set("anchor").alias("anchors"))
-    lists = stored(lists.join(firsts, ["doc_id", "node"], "left_semi"), "anchors")
-
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    e = stored(edges(marked(text, "doc_id", lists, "doc_id").join(lists, "doc_id").select("doc_id", "node", "text", "anchors"), k), "edges")
-
-    source = F.min(F.struct("doc_id", "pos")).alias("src")
-    r = e.groupBy("e1", "e2").agg(source, F.max("doc_id").alias("last"), F.count("*").alias("c")).where("src.doc_id < last")
-    r = r.select("e1", "e2", F.col("src.doc_id").alias("d0"), F.col("src.pos").alias("p0"), "c")
-    w = Window.partitionBy("d0").orderBy("p0")
-    new = (F.lag("p0").over(w) + 1 == F.col("p0")) & (F.lag("c").over(w) == F.col("c"))
-    path = r.withColumn("path_pos", F.max(F.when(~F.coalesce(new, F.lit(False)), F.col("p0"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    path = path.select("e1", "e2", F.col("d0").alias("path_doc"), "path_pos", (F.col("p0") - F.col("path_pos")).alias("offset"))
-    hit = e.join(path, ["e1", "e2"]).where("doc_id > path_doc")
-    # consecutive occurrences of one path in a document have one (pos - offset)
-    return hit.groupBy("doc_id", "node", "path_doc", "path_pos", (F.col("pos") - F.col("offset")).alias("shift")).agg(
-        F.min("offset").alias("offset"), F.min("pos").alias("pos"), F.max("pos").alias("end"), F.collect_set("pos").alias("at")
-    )
+    lists = stored(lists.join(firsts, ["doc_id", "node"]), "anchors")
+
+    text = texts(docs, id_col, text_col)
+    e = stored(edges(marked(text, "doc_id", lists, "doc_id").join(lists, "doc_id").select("doc_id", "node", "part", "text", "anchors"), k), "edges")
+    # stored, so that the join deals both sides out anew and Spark can split the rows of a very common edge
+    r = e.groupBy("e1", "e2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"))
+    r = stored(r.where("source < last").select("e1", "e2", "source"), "repeats")
+    hit = stored(e.join(r, ["e1", "e2"]).where("doc_id > source").select("doc_id", "part", "pos", "source"), "occurrences")
+    hits = hit.groupBy("doc_id", "part").agg(F.collect_list(F.struct("pos", "source")).alias("hits"))
+    return hits.join(lists.select("doc_id", "part", "node"), ["doc_id", "part"]).select("doc_id", "node", "hits")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
@@ -206,11 +206,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     neither smaller nor larger than others, so its row is kept whole and takes
     nothing from others; rows with one id are one document's."""
     rows = stored(profile(docs, id_col, text_col), "words")
-    spans = repeated_spans(docs, id_col, text_col, k, rows)
-    runs = spans.select("doc_id", "node", F.explode(F.when(F.size("at") == F.col("end") - F.col("pos") + 1, F.array(F.struct(F.col("pos").alias("s"), (F.col("end") + k).alias("t")))).otherwise(F.transform("at", lambda p: F.struct(p.alias("s"), (p + k).alias("t"))))).alias("span"))
-    cut = stored(runs.groupBy("doc_id", "node").agg(F.collect_list("span").alias("spans")), "spans")
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    new = kept(marked(text, "doc_id", cut, "doc_id").join(cut, "doc_id").select("doc_id", "node", "text", "spans")).dropDuplicates(["doc_id", "node"])
+    hits = stored(repeated_edges(docs, id_col, text_col, k, rows), "hits")
+    text = marked(texts(docs, id_col, text_col), "doc_id", hits, "doc_id")
+    new = kept(text.join(hits, "doc_id").select("doc_id", "node", "text", "hits"), k).dropDuplicates(["doc_id", "node"])
     first = rows.where("doc_id is not null").groupBy(F.col("sha").alias("k_sha")).agg(F.min("doc_id").alias("first"))
     out = rows.join(first, rows.sha == first.k_sha, "left").drop("k_sha")
     copy = F.coalesce((F.col("first") < F.col("doc_id")) & (F.col("n_words") >= k), F.lit(False))
