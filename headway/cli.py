@@ -1,7 +1,7 @@
 """Command-line entry points for the scheduled jobs (spark-submit friendly).
 
-  python -m headway.cli track-vehicles  --landing L --out T --checkpoint C [--continuous]
-  python -m headway.cli ingest-predictions --landing L --out P --checkpoint C [--continuous]
+  python -m headway.cli track-vehicles  --landing L --out T --checkpoint C [--mode commuter_rail] [--continuous]
+  python -m headway.cli ingest-predictions --landing L --out P --checkpoint C [--mode commuter_rail] [--continuous]
   python -m headway.cli score           --transitions T --predictions P --out A --now EPOCH [--since EPOCH]
   python -m headway.cli score-blocks    --predictions P --transitions T --out A --checkpoint C [--continuous]
   python -m headway.cli report          --accuracy A --out CSV --chart-range Hourly --service-date 2024-01-15 [filters]
@@ -43,12 +43,14 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--landing", required=True)
     p.add_argument("--out", required=True)
     p.add_argument("--checkpoint", required=True)
+    p.add_argument("--mode", default="subway", choices=["subway", "commuter_rail"])
     p.add_argument("--continuous", action="store_true")
 
     p = sub.add_parser("ingest-predictions")
     p.add_argument("--landing", required=True)
     p.add_argument("--out", required=True)
     p.add_argument("--checkpoint", required=True)
+    p.add_argument("--mode", default="subway", choices=["subway", "commuter_rail"])
     p.add_argument("--continuous", action="store_true")
 
     p = sub.add_parser("score")
@@ -104,11 +106,11 @@ def main(argv: list[str] | None = None) -> int:
     if a.cmd == "track-vehicles":
         from headway.streaming.jobs import start_vehicle_tracker
 
-        start_vehicle_tracker(spark, a.landing, a.out, a.checkpoint, available_now=not a.continuous).awaitTermination()
+        start_vehicle_tracker(spark, a.landing, a.out, a.checkpoint, available_now=not a.continuous, mode=a.mode).awaitTermination()
     elif a.cmd == "ingest-predictions":
         from headway.streaming.jobs import start_prediction_ingest
 
-        start_prediction_ingest(spark, a.landing, a.out, a.checkpoint, available_now=not a.continuous).awaitTermination()
+        start_prediction_ingest(spark, a.landing, a.out, a.checkpoint, available_now=not a.continuous, mode=a.mode).awaitTermination()
     elif a.cmd == "score":
         from headway.streaming.jobs import run_scoring
 

@@ -138,9 +138,11 @@ def environment_label(env_name):
 def flatten_cr_predictions(docs: DataFrame) -> DataFrame:
     """JSON:API prediction snapshots (+ ``last_modified`` header) -> rows.
     Rows without a vehicle are dropped; environment is always prod; stop ids
-    are not normalised."""
+    are not normalised; the key is the row's place in its feed."""
+    page = F.coalesce(F.col("page"), F.lit(0)) if "page" in docs.columns else F.lit(0)
     ent = docs.filter(F.col("data").isNotNull()).select(
         rfc1123_to_epoch("last_modified").alias("file_timestamp"),
+        page.cast("int").alias("page"),
         F.posexplode("data").alias("pos", "p"),
     )
     a, r = "p.attributes.", "p.relationships."
@@ -161,6 +163,7 @@ def flatten_cr_predictions(docs: DataFrame) -> DataFrame:
         F.lit(None).cast("int").alias("stops_away"),
         F.lit(None).cast("string").alias("kind"),
         F.lit(None).cast("int").alias("nth_at_stop"),
+        F.concat_ws("/", F.lit("commuter_rail"), *[F.col(c).cast("string") for c in ["file_timestamp", "page", "pos"]]).alias("id"),
     )
 
 
@@ -250,7 +253,12 @@ def vehicle_positions_from_feed(docs: DataFrame) -> DataFrame:
 
 
 def parse_cr_vehicles(docs: DataFrame, environment: str = "prod") -> DataFrame:
-    """Commuter-rail vehicles: only the prod tracker reads them.  Records
+    """Commuter-rail vehicles, the last record of each in a snapshot (see ``cr_vehicle_records``)."""
+    return last_record_per_vehicle(cr_vehicle_records(docs, environment))
+
+
+def cr_vehicle_records(docs: DataFrame, environment: str = "prod") -> DataFrame:
+    """Valid records of commuter-rail vehicles: only the prod tracker reads them.  Records
     missing any required key, or whose stop relationship has no data, are rejected."""
     ent = docs.filter(F.col("data").isNotNull()).select(
         "snapshot_time", F.posexplode("data").alias("pos", "d")
@@ -277,7 +285,7 @@ def parse_cr_vehicles(docs: DataFrame, environment: str = "prod") -> DataFrame:
         "current_status"
     ).isin(VEHICLE_STATUSES) & F.col("route_id").isNotNull() & F.col("trip_id").isNotNull() & F.col("_stop")
     keep = F.coalesce(ok, F.lit(False)) & F.lit(environment == "prod")
-    return last_record_per_vehicle(recs.filter(keep).drop("_updated_at", "_stop"))
+    return recs.filter(keep).drop("_updated_at", "_stop")
 
 
 # ---- S6: snapshot dedupe ----------------------------------------------------

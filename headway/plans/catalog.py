@@ -681,3 +681,32 @@ LEFT JOIN (SELECT CASE id WHEN '0' THEN '70061' WHEN '1' THEN '70063' WHEN '2' T
 def q_export_rows_station(spark, d):
     names = A.fixture_station_names(SP.stop_dim(SP.stops_from_feed(D.landed(spark, d, "stops"))))
     return ST.export_rows(D.accuracy_hist(spark, d), "By Station", station_names=names)
+
+
+# ---- from the landed feeds to scores --------------------------------------------------------------------
+
+_SCORE_SELECT = f"""
+SELECT environment, service_date, hour_of_day, minute_of_hour, route_id, stop_id, direction_id, bin, kind,
+       in_next_two, num_predictions, num_accurate_predictions, {r6('mean_error')} AS mean_error,
+       {r6('root_mean_squared_error')} AS root_mean_squared_error, block_start
+FROM """
+
+
+def _score_feeds(predictions: DataFrame, positions: DataFrame, snapshots: DataFrame) -> DataFrame:
+    ev = E.vehicle_events(E.vehicle_transitions(positions, snapshots))
+    acc = S.score(predictions, M.match_all(predictions, E.event_touches(ev)))
+    return acc.withColumns(r6c("mean_error", "root_mean_squared_error"))
+
+
+@register("score_subway_feeds", with_ctes(["accuracy_feed"], _SCORE_SELECT + "accuracy_feed"))
+def q_score_subway_feeds(spark, d):
+    p = IN.flatten_trip_updates(D.landed(spark, d, "trip_updates")).withColumn("id", IN.prediction_id())
+    docs = D.landed(spark, d, "vehicle_feed")
+    return _score_feeds(p, IN.vehicle_positions_from_feed(docs), IN.snapshots_of(docs))
+
+
+@register("score_cr_feeds", with_ctes(["accuracy_cr"], _SCORE_SELECT + "accuracy_cr"))
+def q_score_cr_feeds(spark, d):
+    docs = D.landed(spark, d, "cr_vehicles")
+    snaps = docs.select(F.lit("prod").alias("environment"), F.lit("commuter_rail").alias("mode"), "snapshot_time").distinct()
+    return _score_feeds(IN.flatten_cr_predictions(D.landed(spark, d, "cr_predictions")), IN.parse_cr_vehicles(docs), snaps)

@@ -9,6 +9,8 @@ integers cast to the same width as on the Spark side.
 
 from __future__ import annotations
 
+import re
+
 ENV_SQL = "['prod','dev-green','dev-blue']"
 ROUTE_SQL = "['Red','Blue','Orange','Green-B','Green-C','Green-D','Green-E','Mattapan']"
 STOP_SQL = "['70061','70063','70105','70036','70001','70197','70260','70065']"
@@ -322,3 +324,38 @@ cte("route_daily", ["hist"], f"""
 cte("route_spine", ["hist"], f"""
   SELECT DISTINCT service_date, unnest({ROUTE_SQL}) AS route_id
   FROM hist WHERE environment = 'prod' AND route_id IN {SUBWAY_ROUTES_SQL}""")
+
+
+def restate(suffix: str, names: list[str], **swap: str) -> None:
+    """CTEs ``names`` once more, with ``suffix``, over other inputs (``swap``: old name -> new name)."""
+    to = swap | {n: n + suffix for n in names}
+    for n in names:
+        deps, body = CTES[n]
+        body = re.sub(r"\b(FROM|JOIN) (\w+)\b", lambda m: f"{m[1]} {to.get(m[2], m[2])}", body)
+        cte(n + suffix, [to.get(d, d) for d in deps], body)
+
+
+_SCORING = ["match_standard", "match_terminal", "matches", "scorable", "graded", "accuracy"]
+_EVENTS = ["seq", "transitions", "arrivals", "departures", "closing", "vehicle_events", "touches"]
+
+# subway, straight from the landed feeds: every fetch of a file counts
+cte("predictions_feed", ["fetched_raw"], """
+  SELECT * REPLACE (id * 2 + nth_fetch AS id), CAST(CASE WHEN stop_id IS NOT NULL THEN row_number() OVER (
+           PARTITION BY environment, file_timestamp, nth_fetch, stop_id
+           ORDER BY CASE WHEN stops_away = 0 THEN 0 ELSE 1 END, coalesce(arrival_time, departure_time) NULLS LAST,
+                    id // 500, first_id, id) END AS INTEGER) AS nth_at_stop
+  FROM (SELECT *, min(id) OVER (PARTITION BY environment, file_timestamp, nth_fetch, id // 500, trip_id, vehicle_id, route_id,
+                                direction_id) AS first_id
+        FROM fetched_raw)
+  WHERE stops_away IS NOT NULL AND (arrival_time IS NOT NULL OR departure_time IS NOT NULL)""")
+restate("_feed", _SCORING, predictions="predictions_feed")
+
+# commuter rail, from its own two feeds
+cte("vehicle_positions_cr", ["cr_vehicle_positions"], """
+  SELECT *, 'prod' AS environment, 'commuter_rail' AS mode, false AS is_deleted FROM cr_vehicle_positions""")
+cte("snapshots_cr", ["base"], """
+  SELECT DISTINCT 'prod' AS environment, 'commuter_rail' AS mode, (t // 300) * 300 + 300 AS snapshot_time FROM base""")
+cte("predictions_cr", ["predictions_raw"], """
+  SELECT * REPLACE ('prod' AS environment, CAST(NULL AS VARCHAR) AS kind), CAST(NULL AS INTEGER) AS nth_at_stop
+  FROM predictions_raw WHERE vehicle_id IS NOT NULL""")
+restate("_cr", _EVENTS + _SCORING, snapshots="snapshots_cr", vehicle_positions="vehicle_positions_cr", predictions="predictions_cr")

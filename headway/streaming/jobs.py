@@ -67,25 +67,36 @@ def vehicle_transitions_stream(docs: DataFrame, dedupe: bool = True, watermark:
     return track(tracker_input(recs, snaps))
 
 
+def cr_vehicle_transitions_stream(docs: DataFrame, dedupe: bool = True, watermark: str = "10 minutes") -> DataFrame:
+    """The same for commuter rail, which one (the prod) feed reports."""
+    d = docs.withColumns({"environment": F.lit("prod"), "mode": F.lit("commuter_rail")})
+    d = dedupe_stream(d, watermark) if dedupe else d
+    return track(tracker_input(IN.cr_vehicle_records(d), d.select("environment", "mode", "snapshot_time")))
+
+
 def start_vehicle_tracker(spark: SparkSession, landing: str, out_path: str, checkpoint: str,
                           available_now: bool = True, processing_time: str = "1 second",
-                          one_doc_per_file: bool = True, max_files: int = 500, watermark: str = "10 minutes"):
+                          one_doc_per_file: bool = True, max_files: int = 500, watermark: str = "10 minutes",
+                          mode: str = "subway"):
     """``max_files`` bounds a micro-batch, so a backlog is worked off in steps."""
-    docs = read_feed(spark, landing, SC.VEHICLE_FEED, max_files, one_doc_per_file)
-    s = vehicle_transitions_stream(docs, watermark=watermark)
+    rail = mode == "commuter_rail"
+    docs = read_feed(spark, landing, SC.CR_VEHICLES if rail else SC.VEHICLE_FEED, max_files, one_doc_per_file)
+    s = (cr_vehicle_transitions_stream if rail else vehicle_transitions_stream)(docs, watermark=watermark)
     w = s.writeStream.format("parquet").option("path", out_path).option("checkpointLocation", checkpoint).outputMode("append")
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
     return w.start()
 
 
 def start_prediction_ingest(spark: SparkSession, landing: str, out_path: str, checkpoint: str, available_now: bool = True,
-                            one_doc_per_file: bool = True):
-    docs = read_feed(spark, landing, SC.TRIP_UPDATES, one_doc_per_file=one_doc_per_file)
+                            one_doc_per_file: bool = True, mode: str = "subway"):
+    """Commuter-rail rows are stored without a rank, which they never get; give each mode its own folder."""
+    rail = mode == "commuter_rail"
+    docs = read_feed(spark, landing, SC.CR_PREDICTIONS if rail else SC.TRIP_UPDATES, one_doc_per_file=one_doc_per_file)
 
     def write(batch: DataFrame, epoch_id: int) -> None:
         # each micro-batch owns one folder and overwrites it: a batch replayed
         # after a failure replaces its own rows instead of appending twice
-        rows = IN.trip_update_rows(batch).withColumn("id", IN.prediction_id())
+        rows = IN.flatten_cr_predictions(batch) if rail else IN.trip_update_rows(batch).withColumn("id", IN.prediction_id())
         rows = rows.withColumn("file_date", F.to_date(epoch_to_utc_ntz("file_timestamp")))
         rows.write.mode("overwrite").partitionBy("file_date", "environment").parquet(f"{out_path}/batch_id={epoch_id}")
 

@@ -180,3 +180,29 @@ def test_service_day_start():
     # 2018-10-30 01:00 New York belongs to the 10-29 service day, which starts 10-29 03:00 EDT
     assert J.service_day_start(1540875600) == 1540796400
     assert J.service_day_start(1540908000) == 1540882800
+
+
+def test_commuter_rail_streams_equal_batch(spark, tmp_path):
+    docs = A.cr_vehicle_docs(spark, SF)
+    rows = docs.orderBy("snapshot_time").collect()
+    landing, out, ckpt = tmp_path / "landing", str(tmp_path / "tr"), str(tmp_path / "ckpt")
+    landing.mkdir()
+    times = sorted({r.snapshot_time for r in rows})
+    for i in range(3):  # a few micro-batches
+        part = set(times[i * len(times) // 3 : (i + 1) * len(times) // 3])
+        (landing / f"{i}.json").write_text("".join(json.dumps(r.asDict(recursive=True)) + "\n" for r in rows if r.snapshot_time in part))
+        J.start_vehicle_tracker(spark, str(landing), out, ckpt, one_doc_per_file=False, mode="commuter_rail").awaitTermination(300)
+    got = {tuple(r[k] for k in KEY): r.transition for r in spark.read.parquet(out).collect() if r.transition != "dropped"}
+    snaps = docs.select(F.lit("prod").alias("environment"), F.lit("commuter_rail").alias("mode"), "snapshot_time").distinct()
+    exp = E.vehicle_transitions(IN.parse_cr_vehicles(docs), snaps).collect()
+    assert got == {tuple(r[k] for k in KEY): r.transition for r in exp} and len(got) > 100
+
+    docs = A.cr_prediction_docs(spark, SF)
+    land = str(tmp_path / "cp")
+    docs.write.json(land)
+    J.start_prediction_ingest(spark, land, str(tmp_path / "cpo"), str(tmp_path / "cpc"), one_doc_per_file=False, mode="commuter_rail").awaitTermination(300)
+    got = J.stored_predictions(spark, str(tmp_path / "cpo"))
+    cols = ["file_timestamp", "vehicle_id", "trip_id", "stop_id", "arrival_time", "departure_time", "id"]
+    exp = IN.flatten_cr_predictions(docs).select(cols)
+    assert got.count() == exp.count() == got.select("id").distinct().count() > 0
+    assert got.select(cols).exceptAll(exp).count() == 0
