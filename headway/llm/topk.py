@@ -41,7 +41,7 @@ def quantised(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def matrix(lists: pa.Array, dim: int) -> np.ndarray:
-    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), dim)
 
 
 def scores(q: np.ndarray, v: np.ndarray, exact: bool) -> np.ndarray:
