@@ -4,6 +4,8 @@
   python -m headway.cli ingest-predictions --landing L --out P --checkpoint C [--mode commuter_rail] [--continuous]
   python -m headway.cli score           --transitions T --predictions P --out A --now EPOCH [--since EPOCH]
   python -m headway.cli score-blocks    --predictions P --transitions T --out A --checkpoint C [--continuous]
+  python -m headway.cli match           --transitions T --predictions P --events E --matches M --first DATE [--last DATE]
+  python -m headway.cli departures      --events E --predictions P --matches M --report R --date DATE --out CSV [--env prod] [--route R] [--stop S] [--stops DOCS]
   python -m headway.cli report          --accuracy A --out CSV --chart-range Hourly --service-date 2024-01-15 [filters]
   python -m headway.cli prune           --predictions P --events E --out-predictions P2 --out-events E2 --as-of EPOCH
   python -m headway.cli backfill        --source A --dest B --cursor 2024-01-01 [--today 2024-03-01]
@@ -35,6 +37,38 @@ def _date(s: str) -> dt.date:
     return dt.date.fromisoformat(s)
 
 
+# report -> (function of headway.operators.departures, reads events, by stop, arguments it takes beside date and env)
+DEPARTURE_REPORTS = {
+    "unpredicted-summary": ("unpredicted_summary", True, False, []),
+    "unpredicted-by-stop": ("unpredicted_by_stop", True, True, ["route_id"]),
+    "unpredicted-detail": ("unpredicted_detail", True, False, ["route_id", "stop_id"]),
+    "missed-summary": ("missed_summary", False, False, []),
+    "missed-by-stop": ("missed_by_stop", False, True, ["route_id"]),
+    "missed-detail": ("missed_detail", False, False, ["route_id", "stop_id"]),
+}
+
+
+def _departures(spark, a) -> None:
+    from headway.operators import departures as DP
+    from headway.operators import matching as M
+    from headway.operators import stops as SP
+    from headway.sources import schemas as SC
+    from headway.streaming.jobs import stored_predictions
+
+    name, events, by_stop, takes = DEPARTURE_REPORTS[a.report]
+    lo, hi = DP.service_day_window(a.date)
+    # an event of the day may have been predicted a match window and a dwell before it
+    predictions = stored_predictions(spark, a.predictions, lo - 7200, hi + 1)
+    matched = M.with_matches(predictions, spark.read.parquet(a.matches).drop("file_date"))
+    args = ([spark.read.parquet(a.events)] if events else []) + [matched]
+    if by_stop:
+        docs = spark.read.schema(SC.STOPS).json(a.stops) if a.stops else spark.createDataFrame([], SC.STOPS)
+        args.append(SP.stop_dim(SP.stops_from_feed(docs)))
+    more = {k: getattr(a, k.removesuffix("_id")) for k in takes}
+    out = getattr(DP, name)(*args, date=a.date, env=a.env, **more)
+    out.coalesce(1).write.mode("overwrite").option("header", True).csv(a.out)  # a report: one row per route, stop or departure of a day
+
+
 def main(argv: list[str] | None = None) -> int:
     ap = argparse.ArgumentParser(prog="headway")
     sub = ap.add_subparsers(dest="cmd", required=True)
@@ -67,6 +101,22 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--checkpoint", required=True)
     p.add_argument("--continuous", action="store_true")
 
+    p = sub.add_parser("match")
+    for opt in ["transitions", "predictions", "events", "matches"]:
+        p.add_argument("--" + opt, required=True)
+    p.add_argument("--first", type=_date, required=True)
+    p.add_argument("--last", type=_date)
+
+    p = sub.add_parser("departures")
+    for opt in ["events", "predictions", "matches", "out"]:
+        p.add_argument("--" + opt, required=True)
+    p.add_argument("--report", required=True, choices=sorted(DEPARTURE_REPORTS))
+    p.add_argument("--date", type=_date, required=True)
+    p.add_argument("--env", default="prod")
+    p.add_argument("--route")
+    p.add_argument("--stop")
+    p.add_argument("--stops", help="landed stops documents (JSON) for the descriptions of the by-stop reports")
+
     p = sub.add_parser("report")
     p.add_argument("--accuracy", required=True)
     p.add_argument("--out", required=True)
@@ -121,6 +171,12 @@ def main(argv: list[str] | None = None) -> int:
         start_block_scorer(
             spark, a.predictions, a.transitions, a.out, a.checkpoint, available_now=not a.continuous
         ).awaitTermination()
+    elif a.cmd == "match":
+        from headway.streaming.jobs import run_matching
+
+        run_matching(spark, a.transitions, a.predictions, a.events, a.matches, a.first, a.last or a.first)
+    elif a.cmd == "departures":
+        _departures(spark, a)
     elif a.cmd == "report":
         from headway.operators import filters as FL
         from headway.operators import stats as ST

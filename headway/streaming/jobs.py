@@ -153,6 +153,28 @@ def run_scoring(spark: SparkSession, transitions_path: str, predictions_path: st
     write_accuracy(acc, out_path)
 
 
+def run_matching(spark: SparkSession, transitions_path: str, predictions_path: str, events_path: str, matches_path: str,
+                 first: _dt.date, last: _dt.date) -> None:
+    """Store the vehicle events that arrive, and the matches of the predictions
+    filed, on the UTC dates ``first`` to ``last``: each date's partition is
+    written anew.  Transitions are read for as long before and after as a dwell
+    or a match can reach, so days may be run one by one in any order."""
+    day = lambda d: int(_dt.datetime.combine(d, _dt.time(), _dt.timezone.utc).timestamp())
+    lo, hi = day(first), day(last + _dt.timedelta(days=1))
+    reach = 2 * MAX_DWELL_S + TERMINAL_MATCH_WINDOW_S
+    t = spark.read.parquet(transitions_path).filter(F.col("transition") != "dropped")
+    t = t.filter((F.col("snapshot_time") >= lo - reach) & (F.col("snapshot_time") < hi + reach))
+    events = E.vehicle_events(t)
+    p = stored_predictions(spark, predictions_path, lo, hi)
+    filed = p.select(F.col("id").alias("prediction_id"), F.to_date(epoch_to_utc_ntz("file_timestamp")).alias("file_date"))
+    matches = M.match_all(p, E.event_touches(events)).join(filed, "prediction_id")
+    own = events.filter((F.col("arrival_snapshot") >= lo) & (F.col("arrival_snapshot") < hi))
+    own = own.withColumn("event_date", F.to_date(epoch_to_utc_ntz("arrival_snapshot")))
+    for rows, key, path in ((own, "event_date", events_path), (matches, "file_date", matches_path)):
+        out = rows.hint("rebalance", key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        out.partitionBy(key).parquet(path)
+
+
 def service_day_start(epoch_s: int) -> int:
     """Epoch of 03:00 local on the service date holding ``epoch_s``."""
     from zoneinfo import ZoneInfo

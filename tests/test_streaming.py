@@ -206,3 +206,39 @@ def test_commuter_rail_streams_equal_batch(spark, tmp_path):
     exp = IN.flatten_cr_predictions(docs).select(cols)
     assert got.count() == exp.count() == got.select("id").distinct().count() > 0
     assert got.select(cols).exceptAll(exp).count() == 0
+
+
+def test_matching_day_by_day_equals_the_whole_history(spark, tmp_path):
+    import datetime as dt
+
+    from headway import cli
+    from headway.plans import domain as D
+
+    tr, pr, ev, ma = (str(tmp_path / n) for n in ("tr", "pr", "ev", "ma"))
+    D.transitions(spark, SF).write.parquet(tr)
+    D.predictions(spark, SF).write.partitionBy("file_date").parquet(pr)
+    for n in (2, 0, 1, 0):  # any order, and one day twice
+        first = dt.date(2024, 1, 16) + dt.timedelta(days=10 * n)
+        assert cli.main(["match", "--transitions", tr, "--predictions", pr, "--events", ev, "--matches", ma,
+                         "--first", str(first), "--last", str(first + dt.timedelta(days=9))]) == 0
+    cols = ["environment", "vehicle_id", "stop_id", "arrival_snapshot", "departure_snapshot", "closed_with"]
+    got, exp = (sorted(map(tuple, x.select(cols).collect()), key=str) for x in (spark.read.parquet(ev), D.vehicle_events(spark, SF)))
+    assert got == exp and got
+    cols = ["prediction_id", "match_type", "touch_time", "ev_vehicle_id", "ev_arrival_snapshot"]
+    got, exp = (sorted(map(tuple, x.select(cols).collect()), key=str) for x in (spark.read.parquet(ma), D.matches(spark, SF)))
+    assert got == exp and got
+    # and the reports of one day from the stored tables
+    days = [r.service_day for r in catalog_rows(spark, "unpredicted_summary") if r.environment == "prod"]
+    day = max(set(days), key=days.count)
+    for report, name in (("unpredicted-summary", "unpredicted_summary"), ("missed-summary", "missed_summary")):
+        out = str(tmp_path / report)
+        assert cli.main(["departures", "--events", ev, "--predictions", pr, "--matches", ma, "--report", report, "--date", str(day), "--out", out]) == 0
+        rows = spark.read.csv(out, header=True).collect()
+        want = [r for r in catalog_rows(spark, name) if r.environment == "prod" and r.service_day == day]
+        assert [r.route_id for r in rows] == [r.route_id for r in want] and rows
+
+
+def catalog_rows(spark, name):
+    from headway.plans import catalog
+
+    return catalog.REGISTRY[name][0](spark, SF).collect()
