@@ -15,11 +15,13 @@ all pairs:
   entries times the expected list length) is least.
 
 Copies of one set are one node.  Inside a list, members are first compared to
-one member only; when these links join a whole list, as in groups of copies,
-none of its pairs are formed.  Lists that still hold members of different
-components then give the pairs across components.  So a group of n near
-copies costs about n comparisons and every component is exact: each pair that
-was never compared shares no list, or lies inside one component already.
+the nearest of a few leaders only; when these links join a whole list, as in
+groups of copies, none of its pairs are formed.  Lists that still hold members of different
+components then give the pairs across components, less those whose parity maps
+(a small bit map of each set, tested inside the join) differ in more bits than
+linked sets can differ in shingles.  So a group of n near copies costs about n
+comparisons and every component is exact: each pair that was never compared
+shares no list, lies inside one component already, or is proven apart.
 Every candidate is verified on the full sets.
 
 Sets are compared by 64-bit shingle hashes.
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -43,6 +45,10 @@ SHINGLE = 5
 NUM, DEN = 80, 100  # link: DEN * intersection >= NUM * union
 SKETCH_BITS = 20
 CHUNKS = 64
+MAP_WORDS = 16  # 64-bit words of a set's parity map
+LEADERS = 8  # members of a list of as many or more that the others are compared with first
+NEAREST = 3  # of them, for each member, that are verified
+MAP = [f"m{i}" for i in range(MAP_WORDS)]
 
 
 def need(s):
@@ -86,11 +92,21 @@ def set_hash(row: np.ndarray, win: np.ndarray, count: np.ndarray) -> np.ndarray:
     return X.mix(one ^ X.mix(two + count.astype(np.uint64)))
 
 
+def parity_maps(row: np.ndarray, win: np.ndarray, rows: int) -> list[np.ndarray]:
+    """Per row MAP_WORDS words of bits: bit ``h % 1024`` of a set tells whether an odd number of its hashes fall there.
+
+    Two maps differ in no more bits than the sets differ in elements."""
+    bits = 64 * MAP_WORDS
+    odd = np.bincount(row * bits + (win & X.U64(bits - 1)).astype(np.int64), minlength=rows * bits) & 1
+    words = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).reshape(rows, MAP_WORDS)
+    return [np.ascontiguousarray(words[:, i]) for i in range(MAP_WORDS)]
+
+
 # ---- passes over the texts ---------------------------------------------------------------
 
 
 def profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, set size, node (set hash); and per task the count sketch in chunks."""
+    """Per row: id, set size, node (set hash) and parity map; and per task the count sketch in chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
@@ -100,14 +116,15 @@ def profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 np.add.at(sketch, (win >> X.U64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
                 node = X.signed(set_hash(row, win, count))
                 n = s.hi - s.lo
-                yield pa.record_batch([b.column(0).slice(s.lo, n), pa.array(count, pa.int64()), pa.array(node, mask=count == 0), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+                maps = [pa.array(m) for m in parity_maps(row, win, n)]
+                yield pa.record_batch([b.column(0).slice(s.lo, n), pa.array(count, pa.int64()), pa.array(node, mask=count == 0), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *maps], names=names)
         parts = sketch.reshape(CHUNKS, -1)
         used = np.flatnonzero(parts.any(axis=1))
         n = len(used)
-        yield pa.record_batch([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary())], names=names)
+        yield pa.record_batch([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary()), *[pa.nulls(n, pa.int64())] * MAP_WORDS], names=names)
 
-    names = ["doc_id", "n", "node", "chunk", "counts"]
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n long, node long, chunk int, counts binary")
+    names = ["doc_id", "n", "node", "chunk", "counts", *MAP]
+    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n long, node long, chunk int, counts binary, " + ", ".join(f"{m} long" for m in MAP))
 
 
 def sum_chunks(parts: DataFrame) -> DataFrame:
@@ -276,29 +293,40 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sketch = spark.sparkContext.broadcast(table.tobytes())
 
     k = keys(docs, id_col, text_col, sketch, cut)
-    shared = k.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader != other").select("key", "leader")
+    shared = k.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other"), F.count("*").alias("size")).where("leader != other").select("key", "leader", "size")
     # stored, so that the join deals both sides out anew and Spark can split the rows of a very long list
     shared = stored(shared, "shared")
     lists = stored(k.join(shared, "key"), "lists")
 
-    # one comparison a member: with the leader it meets in most lists
-    meet = lists.where("node != leader").groupBy("node", "leader", "n").agg(F.count("*").alias("c"))
-    meet = meet.join(nodes.select(F.col("node").alias("leader"), F.col("n").alias("ln")), "leader").where(may_link("n", "ln", "c", cut))
-    star = meet.groupBy("node").agg(F.max_by("leader", F.struct("c", "leader")).alias("b")).select(F.col("node").alias("a"), "b")
+    # a few comparisons a member: with the nearest, by parity map, of its lists' leaders.  A long list has several
+    # leaders, the least members by different hashes, so that a large group does not hang on one member that few others link to.
+    # Sets that link differ in at most a ninth of their summed sizes, and so do their maps.
+    long_ = lists.where(F.col("size") >= LEADERS)
+    leaders = long_.groupBy("key").agg(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(1, LEADERS)]).alias("leaders"))
+    more = long_.select("key", "node").join(leaders, "key").select("node", F.explode(F.array_distinct("leaders")).alias("leader"))
+    meet = lists.select("node", "leader").unionByName(more).where("node != leader").distinct()
+    maps = base.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), *[F.first(m).alias(m) for m in MAP])
+    apart = F.expr(" + ".join(f"bit_count(x{m} ^ y{m})" for m in MAP))
+    near = apart * (NUM + DEN) <= (F.col("na") + F.col("nb")) * (DEN - NUM)
+    sizes_ok = (F.col("na") * DEN >= F.col("nb") * NUM) & (F.col("nb") * DEN >= F.col("na") * NUM)
+    x = maps.select(F.col("node").alias("a"), F.col("n").alias("na"), *[F.col(m).alias(f"x{m}") for m in MAP])
+    y = maps.select(F.col("node").alias("b"), F.col("n").alias("nb"), *[F.col(m).alias(f"y{m}") for m in MAP])
+    meet = meet.withColumnsRenamed({"node": "a", "leader": "b"}).join(x, "a").join(y, "b").where(sizes_ok & near)
+    nearest = Window.partitionBy("a").orderBy(apart, "b")
+    star = meet.withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= NEAREST).select("a", "b")
     links = stored(verify(star, docs, nodes, id_col, text_col), "star")
     comp = components(links)
 
     # what is left: lists with members of different components
     of = lists.join(comp, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("comp")).distinct()
     mixed = of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-    left = stored(of.join(mixed, "key", "left_semi"), "mixed")
-    x = left.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    y = left.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    cross = x.join(y, "key").where((F.col("ca") < F.col("cb")) & (F.col("na") * DEN >= F.col("nb") * NUM) & (F.col("nb") * DEN >= F.col("na") * NUM))
+    left = stored(of.join(mixed, "key", "left_semi").join(maps.drop("n"), "node"), "mixed")
+    x = left.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), *[F.col(m).alias(f"x{m}") for m in MAP])
+    y = left.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), *[F.col(m).alias(f"y{m}") for m in MAP])
+    cross = x.join(y, "key").where((F.col("ca") < F.col("cb")) & sizes_ok & near)
     cross = cross.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).where(may_link("na", "nb", "c", cut)).select("a", "b")
     cross = stored(cross.join(links, ["a", "b"], "left_anti"), "cross")
-    more = verify(cross, docs, nodes, id_col, text_col)
-    final = components(links.unionByName(more))
+    final = components(links.unionByName(verify(cross, docs, nodes, id_col, text_col)))
     return rows.join(final, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("root", "node").alias("component"))
 
 
