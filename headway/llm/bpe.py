@@ -18,6 +18,7 @@ Special tokens in the raw text stand for themselves.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -35,9 +36,9 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from .tables import small_batches, texts
 
-CACHE_PIECES = 400_000  # pieces in each of the two generations a worker remembers; longer ones than CACHE_CHARS are never kept
+CACHE_PIECES = 150_000  # pieces in each of the two generations a worker remembers; longer ones than CACHE_CHARS are never kept
 CACHE_CHARS = 40
-PAIRS = 2_000_000  # remembered compatibilities
+PAIRS = 300_000  # remembered compatibilities
 NEVER = 1 << 60
 END = 0x10000  # added to the code of a piece's last character: it stands for "character and end of word"
 
@@ -116,6 +117,7 @@ class Vocabulary:
             if i not in self.parts or self._reachable(i):
                 self.auto.add_word(text, (len(text), i))
         self.auto.make_automaton()
+        self._spine.clear()  # of all tokens now; few are asked for again
         self.pieces = Pieces(self)
         # offset table for decoding: every token's text and the space after it
         raw = [t.encode() + b" " for t in self.names]
@@ -315,6 +317,13 @@ def encoded(docs: DataFrame, path: str | None = None, text_col: str = "text", id
                 if decoded_col:
                     cols.append(pa.array([v.decode(x).decode("utf-8", "replace") for x in ids], pa.string()))
                 yield pa.record_batch([*part.columns, *cols], names=[*part.schema.names, *new])
+        # a worker serves the tasks of other stages as well: it does not keep what it remembered for this one
+        v.pieces.clear()
+        v.pieces.old = {}
+        v._fits.clear()
+        vocabulary.cache_clear()
+        del v
+        gc.collect()
 
     schema = StructType(keep.schema.fields.copy()).add(ids_col, ArrayType(IntegerType()))
     return keep.mapInArrow(run, schema.add(decoded_col, "string") if decoded_col else schema)
