@@ -113,11 +113,11 @@ class Vocabulary:
         self._spine: dict[tuple[int, bool], list[tuple[int, int]]] = {}
         self._fits: dict[tuple[int, int], bool] = {}
         self.auto = ahocorasick.Automaton()
+        whole = self._reachable()
         for text, i in self.ids.items():
-            if i not in self.parts or self._reachable(i):
+            if i in whole:
                 self.auto.add_word(text, (len(text), i))
         self.auto.make_automaton()
-        self._spine.clear()  # of all tokens now; few are asked for again
         self.pieces = Pieces(self)
         # offset table for decoding: every token's text and the space after it
         raw = [t.encode() + b" " for t in self.names]
@@ -179,17 +179,17 @@ class Vocabulary:
             else:
                 j += 1
 
-    def _reachable(self, token: int) -> bool:
-        """Whether the merges turn the token's own text into it."""
-        todo = [token]
-        while todo:
-            t = todo.pop()
-            if t in self.parts:
-                a, b = self.parts[t]
-                if self._crossing(a, b) != self.born[t] or self.rank[a, b] != self.born[t]:
-                    return False
-                todo += [a, b]
-        return True
+    def _reachable(self) -> set[int]:
+        """The tokens that the merges make of the token's own text."""
+        out = {i for i in self.ids.values() if i not in self.parts}
+        for n, (token, born) in enumerate(sorted(self.born.items(), key=lambda x: x[1])):
+            a, b = self.parts[token]
+            if a in out and b in out and self._crossing(a, b) == born == self.rank[a, b]:
+                out.add(token)
+            if n % 1000 == 0:
+                self._spine.clear()  # few are asked for again, and all together are large
+        self._spine.clear()
+        return out
 
     def fits(self, a: int, b: int) -> bool:
         known = self._fits.get((a, b))
