@@ -1,18 +1,17 @@
 """Licence scan with a positional rare-token index.
 
-The index lists, for each word of the licence templates, the templates and
-places where it stands.  Inverse document frequencies come from one counting
-pass over all texts.  For a file only its rarest licence words are looked up;
-each posting votes for (template, start of the template in the file), and the
-votes of different words must meet at one start.  There the template's key
-phrases are verified word by word.  The three base phrases are templates of
-their own of which every place is reported.
+The index holds the words of the licence templates and the places of their
+key phrases.  Inverse document frequencies come from one counting pass over all
+texts.  Of each key phrase the rarest word is looked up at every place where it
+stands in a file, however many licences the file or the corpus has: a template
+cannot stand without its key phrases, so no other word need vote.  The place
+gives the start of the template in the file, where its key phrases are verified
+word by word.  The three base phrases are reported at every place.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -43,7 +42,6 @@ TEMPLATES = (
     ("proprietary", "all rights reserved no part of this publication may be reproduced", ("all rights reserved",)),
 )
 
-RAREST = 12  # distinct licence words of a file that are looked up
 SHARE = 0.6  # of a template's words that must stand at the meeting place
 
 
@@ -53,7 +51,6 @@ class Index(NamedTuple):
     templates: list[np.ndarray]  # word numbers
     labels: list[str]
     phrases: list[list[tuple[int, int]]]  # (start, length) inside the template
-    postings: dict[int, list[tuple[int, int]]]  # word number -> (template, place)
     base: list[tuple[np.ndarray, str]]
 
 
@@ -70,19 +67,17 @@ def build_index() -> Index:
         known |= dict(zip(map(int, hash_words(text)[0]), hash_words(text)[1], strict=True))
     hashes = np.sort(np.array(list(known), dtype=np.uint64))
     number = lambda text: np.searchsorted(hashes, hash_words(text)[0])
-    templates, labels, phrases, postings = [], [], [], defaultdict(list)
+    templates, labels, phrases = [], [], []
     for label, text, keys in TEMPLATES:
         t = number(text)
         spans = []
         for k in map(number, keys):
             at = next(i for i in range(len(t) - len(k) + 1) if (t[i : i + len(k)] == k).all())
             spans.append((at, len(k)))
-        for place, w in enumerate(t):
-            postings[int(w)].append((len(templates), place))
         templates.append(t)
         labels.append(label)
         phrases.append(spans)
-    return Index([known[int(h)] for h in hashes], hashes, templates, labels, phrases, dict(postings), [(number(p), label) for p, label in BASE])
+    return Index([known[int(h)] for h in hashes], hashes, templates, labels, phrases, [(number(p), label) for p, label in BASE])
 
 
 INDEX = build_index()
@@ -118,46 +113,30 @@ def document_frequencies(docs: DataFrame, id_col: str, text_col: str) -> tuple[i
     return got.get(-1, 0), np.array([got.get(i, 0) for i in range(n)], dtype=np.int64)
 
 
-def base_places(v: np.ndarray, row: np.ndarray, rank: np.ndarray) -> list[tuple[np.ndarray, str]]:
-    """Word numbers in the slice at which each base phrase starts, found from its rarest word."""
-    out = []
-    for phrase, label in INDEX.base:
-        k = int(np.argmin(rank[phrase]))
-        at = np.flatnonzero(v == phrase[k]) - k
-        at = at[(at >= 0) & (at + len(phrase) <= len(v))]
-        ok = row[at] == row[np.minimum(at + len(phrase) - 1, len(v) - 1)] if len(at) else np.zeros(0, bool)
-        for j, w in enumerate(phrase):
-            ok = ok & (v[at + j] == w)
-        out.append((at[ok], label))
-    return out
-
-
-def templates_in(v: np.ndarray, rank: np.ndarray, rare: np.ndarray) -> list[tuple[str, float, int]]:
-    """``(label, share, start)`` of every template found in a file's words ``v``."""
-    at = np.flatnonzero(v >= 0)
-    distinct = np.unique(v[at])
-    distinct = distinct[rare[distinct]]
-    chosen = distinct[np.argsort(rank[distinct], kind="stable")][:RAREST]
-    votes: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for w in chosen.tolist():
-        places = at[v[at] == w].tolist()
-        for t, place in INDEX.postings.get(w, ()):
-            for p in places:
-                votes[t, p - place].add(w)
-    out = []
-    for (t, start), words in votes.items():
-        template = INDEX.templates[t]
-        wanted = min(2, len(np.intersect1d(template, chosen)))
-        if len(words) < wanted:
-            continue
-        lo, hi = max(0, start), min(len(v), start + len(template))
-        share = float((v[lo:hi] == template[lo - start : hi - start]).sum()) / len(template)
-        if share < SHARE:
-            continue
-        keys = all(start + a >= 0 and start + a + n <= len(v) and (v[start + a : start + a + n] == template[a : a + n]).all() for a, n in INDEX.phrases[t])
-        if keys:
-            out.append((INDEX.labels[t], share, start))
-    return out
+def places(v: np.ndarray, row: np.ndarray, phrase: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Word numbers in the slice at which a phrase starts, found from every place of its rarest word."""
+    k = int(np.argmin(rank[phrase]))
+    at = np.flatnonzero(v == phrase[k]) - k
+    at = at[(at >= 0) & (at + len(phrase) <= len(v))]
+    ok = row[at] == row[at + len(phrase) - 1]
+    for j, w in enumerate(phrase):
+        ok &= v[at + j] == w
+    return at[ok]
+
+
+def templates_in(v: np.ndarray, row: np.ndarray, first: np.ndarray, rank: np.ndarray) -> Iterator[tuple[int, str, float]]:
+    """``(row, label, share)`` of every template that stands in the slice's words ``v``."""
+    for t, template in enumerate(INDEX.templates):
+        a, n = INDEX.phrases[t][0]
+        for p in places(v, row, template[a : a + n], rank).tolist():
+            i = int(row[p])
+            file, start = v[first[i] : first[i + 1]], p - a - int(first[i])
+            lo, hi = max(0, start), min(len(file), start + len(template))
+            share = float((file[lo:hi] == template[lo - start : hi - start]).sum()) / len(template)
+            if share < SHARE:
+                continue
+            if all(start + a >= 0 and start + a + n <= len(file) and (file[start + a : start + a + n] == template[a : a + n]).all() for a, n in INDEX.phrases[t]):
+                yield i, INDEX.labels[t], share
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,11 +147,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     n_texts, df = document_frequencies(docs, id_col, text_col)
     idf = np.array([math.log((1 + n_texts) / (1 + int(x))) for x in df])
     rank = np.argsort(np.argsort(-idf, kind="stable"), kind="stable")
-    rare = df <= max(1, n_texts // 10)  # words in more than a tenth of all texts tell nothing
-    # every template keeps at least its two rarest words
-    for t in INDEX.templates:
-        u = np.unique(t)
-        rare[u[np.argsort(rank[u])][:2]] = True
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +158,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 n = np.zeros(rows, dtype=np.int64)
                 lo, hi = np.full(rows, np.iinfo(np.int64).max), np.full(rows, -1, dtype=np.int64)
                 base = [set() for _ in range(rows)]
-                for at, label in base_places(v, w.row, rank):
+                for phrase, label in INDEX.base:
+                    at = places(v, w.row, phrase, rank)
                     r = w.row[at]
                     n += np.bincount(r, minlength=rows)
                     np.minimum.at(lo, r, at - first[r])
@@ -192,11 +167,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                     for i in np.unique(r).tolist():
                         base[i].add(label)
                 labels, score = [set(x) for x in base], np.where(n > 0, 0.5, 0.0)
-                hit = np.flatnonzero(v >= 0)
-                for i in np.unique(w.row[hit[rare[v[hit]]]]).tolist():
-                    for label, share, _ in templates_in(v[first[i] : first[i + 1]], rank, rare):
-                        labels[i].add(label)
-                        score[i] = max(score[i], share)
+                for i, label, share in templates_in(v, w.row, first, rank):
+                    labels[i].add(label)
+                    score[i] = max(score[i], share)
                 yield pa.record_batch(
                     [b.column(0).slice(s.lo, rows), pa.array(w.count, pa.int64()), pa.array(n), pa.array(lo, mask=n == 0), pa.array(hi, mask=n == 0)]
                     + [pa.array([",".join(sorted(x)) for x in col], pa.string()) for col in (base, labels)]

@@ -145,3 +145,15 @@ def test_licence_templates_are_found(docs):
     for i, (label, _, _) in enumerate(licences.TEMPLATES):
         assert label in found[i][0] and found[i][1] == 1.0
     assert found[100] == ({""}, 0.0) and found[101] == ({""}, 0.0)
+
+
+def test_no_template_is_lost_in_long_files_or_common_ones(docs):
+    """One file with all templates, and a licence that a third of the texts carry."""
+    text = {label: t for label, t, _ in licences.TEMPLATES}
+    every = "\n".join(t for _, t, _ in licences.TEMPLATES)
+    rows = {0: every, 1: text["mit"] + "\n" + text["bsd"] + "\n" + text["gpl"]}
+    rows |= {i: text["mit"] if i % 3 == 0 else f"note {i}" for i in range(2, 92)}
+    found = {r.doc_id: (set(r.labels.split(",")), r.score) for r in licences.scan(docs(rows)).collect()}
+    assert found[0] == (set(text), 1.0)
+    assert found[1] == ({"mit", "bsd", "gpl"}, 1.0)
+    assert all(found[i] == (({"mit"}, 1.0) if i % 3 == 0 else ({""}, 0.0)) for i in range(2, 92))
