@@ -4,9 +4,10 @@ The index holds the words of the licence templates and the places of their
 key phrases.  Inverse document frequencies come from one counting pass over all
 texts.  Of each key phrase the rarest word is looked up at every place where it
 stands in a file, however many licences the file or the corpus has: a template
-cannot stand without its key phrases, so no other word need vote.  The place
-gives the start of the template in the file, where its key phrases are verified
-word by word.  The three base phrases are reported at every place.
+cannot stand without its key phrases, so no other word need vote.  Around the
+place the template's words are aligned in order; each key phrase is verified
+word by word at a shift of its own, so words inserted between (a version number,
+a comment sign) lose nothing.  The three base phrases are reported at every place.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ TEMPLATES = (
     ("proprietary", "all rights reserved no part of this publication may be reproduced", ("all rights reserved",)),
 )
 
-SHARE = 0.6  # of a template's words that must stand at the meeting place
+SHARE = 0.6  # of a template's words that must stand there in order
 
 
 class Index(NamedTuple):
@@ -124,18 +125,48 @@ def places(v: np.ndarray, row: np.ndarray, phrase: np.ndarray, rank: np.ndarray)
     return at[ok]
 
 
+def in_order(a: list[int], b: list[int]) -> int:
+    """Length of the longest common subsequence."""
+    best = [0] * (len(b) + 1)
+    for x in a:
+        diagonal = 0
+        for j, y in enumerate(b, 1):
+            above = best[j]
+            best[j] = diagonal + 1 if x == y else max(above, best[j - 1])
+            diagonal = above
+    return best[-1]
+
+
+def standing(file: list[int], t: int, p: int, key: int = 0) -> int:
+    """Most words of template ``t`` that stand in order in ``file``, its key phrase number ``key`` at ``p``.
+
+    Each later key phrase may stand at a shift of its own, and words may be
+    inserted, changed or missing between, up to half a template's length in one
+    place; 0 if a key phrase is missing."""
+    template, phrases = INDEX.templates[t].tolist(), INDEX.phrases[t]
+    slack = len(template) // 2
+    a, n = phrases[key]
+    before = 0 if key else in_order(template[:a], file[max(0, p - a - slack) : p])
+    if key + 1 == len(phrases):
+        return before + n + in_order(template[a + n :], file[p + n : p + len(template) - a + slack])
+    a2, n2 = phrases[key + 1]
+    best = 0
+    for q in range(p + n, min(p + a2 - a + slack, len(file) - n2) + 1):
+        if file[q : q + n2] == template[a2 : a2 + n2]:
+            rest = standing(file, t, q, key + 1)
+            best = max(best, before + n + in_order(template[a + n : a2], file[p + n : q]) + rest)
+    return best
+
+
 def templates_in(v: np.ndarray, row: np.ndarray, first: np.ndarray, rank: np.ndarray) -> Iterator[tuple[int, str, float]]:
     """``(row, label, share)`` of every template that stands in the slice's words ``v``."""
     for t, template in enumerate(INDEX.templates):
         a, n = INDEX.phrases[t][0]
         for p in places(v, row, template[a : a + n], rank).tolist():
             i = int(row[p])
-            file, start = v[first[i] : first[i + 1]], p - a - int(first[i])
-            lo, hi = max(0, start), min(len(file), start + len(template))
-            share = float((file[lo:hi] == template[lo - start : hi - start]).sum()) / len(template)
-            if share < SHARE:
-                continue
-            if all(start + a >= 0 and start + a + n <= len(file) and (file[start + a : start + a + n] == template[a : a + n]).all() for a, n in INDEX.phrases[t]):
+            lo, hi = max(int(first[i]), p - 2 * len(template)), min(int(first[i + 1]), p + 3 * len(template))
+            share = standing(v[lo:hi].tolist(), t, p - lo) / len(template)
+            if share >= SHARE:
                 yield i, INDEX.labels[t], share
 
 

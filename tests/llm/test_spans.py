@@ -157,3 +157,22 @@ def test_no_template_is_lost_in_long_files_or_common_ones(docs):
     assert found[0] == (set(text), 1.0)
     assert found[1] == ({"mit", "bsd", "gpl"}, 1.0)
     assert all(found[i] == (({"mit"}, 1.0) if i % 3 == 0 else ({""}, 0.0)) for i in range(2, 92))
+
+
+def test_licence_headers_with_inserted_words(docs):
+    """The usual headers name a version, and comment signs may stand inside a template."""
+    text = {label: t for label, t, _ in licences.TEMPLATES}
+    lgpl = "under the terms of the GNU Lesser General Public License version 2.1 as published by the Free Software Foundation"
+    rows = {
+        0: lgpl,
+        1: "under the terms of the GNU Affero General Public License version 3 as published by the Free Software Foundation",
+        2: text["mit"].replace("obtaining", "dnl obtaining").replace("software and", "software dnl and"),
+        3: text["bsd"].replace("permitted", "hereby permitted"),
+        4: text["gpl"].replace("as published", "version 2 as published"),
+        5: "x " * 40 + lgpl.replace("License", "Licence") + " y" * 40,
+        6: "free of charge " + "x " * 60 + "associated documentation files",
+    }
+    found = {r.doc_id: (set(r.labels.split(",")), r.score) for r in licences.scan(docs(rows)).collect()}
+    for i, label in enumerate(("lgpl", "agpl", "mit", "bsd", "gpl")):
+        assert label in found[i][0] and found[i][1] == 1.0, label
+    assert "lgpl" not in found[5][0] and found[6] == ({""}, 0.0)
