@@ -4,8 +4,11 @@ Key words, access-key prefixes and long hex runs give the base spans.  The
 test adds what no pattern names: runs of key characters that a public BPE
 vocabulary can only spell in short pieces.  Text of any natural language, and
 code, needs few tokens for its characters; random strings need about one for
-every one and a half.  Before the test, known digests (by length or label),
-UUIDs, numbers and dotted or worded identifiers are excluded.
+every one and a half.  A run is tested as a whole, then, since words before or
+behind a secret hide it, by its least efficient stretches of whole parts between
+separators.  Before the test, known digests (by length or label), UUIDs, numbers
+and dotted or worded identifiers are excluded; a long part of letters of one case
+is left to the vocabulary.
 """
 
 from __future__ import annotations
@@ -39,6 +42,9 @@ _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _LABELLED = re.compile(r"(?:sha-?(?:1|224|256|384|512)|md5|integrity|checksum|digest|etag|commit|rev)[\x20:=\"'-]{1,3}\Z", re.IGNORECASE)
 _PREFIXED = re.compile(r"(?:sha-?(?:1|224|256|384|512)|md5)[-_=]", re.IGNORECASE)
 _WORDED = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[-_/=+](?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*")
+_LONG = re.compile(r"[A-Za-z]{%d,}" % MIN_RANDOM)
+_PART = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9]+")
+_PUBLIC = re.compile(r"(?<![A-Za-z0-9])(?:%s|%s)(?![A-Za-z0-9])" % (_UUID.pattern, _DIGEST.pattern))
 _KINDS_OF_CHARS = (re.compile("[a-z]"), re.compile("[A-Z]"), re.compile("[0-9]"))
 
 
@@ -58,17 +64,52 @@ def encoding(path: str) -> tiktoken.Encoding:
 def known(text: str, start: int, end: int) -> bool:
     """Digests and identifiers that look random but are public."""
     s = text[start:end]
-    if _DIGEST.fullmatch(s) or _UUID.fullmatch(s) or _WORDED.fullmatch(s) or s.strip("=_-+/").isdigit():
+    if _DIGEST.fullmatch(s) or _UUID.fullmatch(s) or s.strip("=_-+/").isdigit() or _WORDED.fullmatch(s) and not _LONG.search(s):
         return True
     return bool(_LABELLED.search(text, max(0, start - 16), start) or _PREFIXED.match(s))
 
 
 def random_looking(s: str, path: str) -> bool:
-    if sum(bool(k.search(s)) for k in _KINDS_OF_CHARS) < 2:
+    if sum(bool(k.search(s)) for k in _KINDS_OF_CHARS) < 2 and not _LONG.search(s):
         return False
     return len(s) < MAX_RATIO * len(encoding(path).encode_ordinary(s))
 
 
+def outside(spans: list[tuple[int, int]], start: int, end: int) -> Iterator[tuple[int, int]]:
+    """What sorted ``spans`` leave of ``start`` to ``end``."""
+    for x, y in spans:
+        if x < end and start < y:
+            if start < x:
+                yield start, x
+            start = y
+    if start < end:
+        yield start, end
+
+
+def stretches(text: str, start: int, end: int, path: str) -> Iterator[tuple[int, int]]:
+    """Stretches of whole parts, ``MIN_RANDOM`` characters or more, that the vocabulary spells worst; the worst first, then beside it.
+
+    The encoding never joins letters, digits and separators, so the tokens of the parts add up."""
+    parts = [m.span() for m in _PART.finditer(text, start, end)]
+    worse = [0.0]  # by part: tokens above those of language, summed
+    for a, b in parts:
+        worse.append(worse[-1] + MAX_RATIO * len(encoding(path).encode_ordinary(text[a:b])) - (b - a))
+    todo = [(0, len(parts))]
+    while todo:
+        lo, hi = todo.pop()
+        best, found, least, i = 0.0, None, None, lo
+        for j in range(lo, hi):
+            while i <= j and parts[j][1] - parts[i][0] >= MIN_RANDOM:
+                if text[parts[i][0]].isalnum() and (least is None or worse[i] < worse[least]):
+                    least = i
+                i += 1
+            if least is not None and text[parts[j][0]].isalnum() and worse[j + 1] - worse[least] > best:
+                best, found = worse[j + 1] - worse[least], (least, j)
+        if found:
+            yield parts[found[0]][0], parts[found[1]][1]
+            todo += [(lo, found[0]), (found[1] + 1, hi)]
+
+
 def find(text: str, path: str) -> list[Span]:
     """All spans by start, then kind as listed (code points, end exclusive)."""
     out: list[Span] = []
@@ -80,11 +121,16 @@ def find(text: str, path: str) -> list[Span]:
     out += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
     base = sorted((a, b) for _, a, b in out)
     for m in _RUN.finditer(text):
-        a, b = m.span()
-        if any(x < b and a < y for x, y in base) or known(text, a, b):
-            continue
-        if random_looking(text[a:b], path):
-            out.append(("random", a, b))
+        for a, b in outside(base, *m.span()):
+            if b - a < MIN_RANDOM or known(text, a, b):
+                continue
+            if random_looking(text[a:b], path):
+                out.append(("random", a, b))
+                continue
+            public = [p.span() for p in _PUBLIC.finditer(text, a, b)]
+            for x, y in (s for c, d in outside(public, a, b) for s in stretches(text, c, d, path)):
+                if not known(text, x, y) and random_looking(text[x:y], path):
+                    out.append(("random", x, y))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
