@@ -1,28 +1,23 @@
-"""Stateful vehicle tracker for Structured Streaming.
+"""Vehicle tracker: transitions of stored vehicle snapshots.
 
-State is kept per feed, keyed by (environment, mode): the vehicles of the
-last processed snapshot (a map vehicle id -> record) and that snapshot's
-time.  Each micro-batch processes its snapshots in time order and emits the
-same transition rows as the batch ``vehicle_transitions`` (plus one
-``dropped`` row per vehicle that left the feed).  A feed holds a few hundred
-vehicles, so the state per key stays small however long the stream runs.
+The same transition rows as the batch ``vehicle_transitions``, plus one
+``dropped`` row per vehicle that left the feed, from equi-joins on
+(environment, mode, vehicle, previous snapshot); Spark deals out the vehicles
+of a feed, however many they are.
 
-Every processed snapshot must reach the processor even when it has no valid
-vehicle (then everything drops): the input carries one heartbeat row per
-snapshot with a null vehicle id.  Snapshots older than the one in state are
-ignored (late duplicates).
+Every snapshot must reach the tracker even when it has no valid vehicle (then
+everything drops): the input carries one heartbeat row per snapshot, or more,
+with a null vehicle id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from headway.functions.constants import STATUS_STOPPED
+from headway.operators import events as E
+from headway.operators import ingest as IN
 
 RECORD_COLS = ["label", "is_deleted", "trip_id", "route_id", "direction_id", "current_status", "stop_id", "timestamp"]
 RECORD_SCHEMA = (
@@ -54,65 +49,6 @@ def classify(new: dict, old: dict | None) -> str:
     return "none"
 
 
-class VehicleTracker(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.vehicles = handle.getMapState("vehicles", "id string", RECORD_SCHEMA)
-        self.last = handle.getValueState("last_snapshot", "snapshot_time long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        env, mode = key
-        batch = pd.concat(list(rows), ignore_index=True)
-        last = self.last.get()[0] if self.last.exists() else None
-        prev = {k[0]: dict(zip(RECORD_COLS, v)) for k, v in self.vehicles.iterator()} if self.vehicles.exists() else {}
-        out = []
-        for snap, recs in sorted(batch.groupby("snapshot_time"), key=lambda x: x[0]):
-            snap = int(snap)
-            if last is not None and snap <= last:
-                continue
-            cur: dict[str, dict] = {}
-            for r in recs.sort_values("pos", kind="stable").itertuples(index=False):
-                if r.id is None or (isinstance(r.id, float) and pd.isna(r.id)):
-                    continue  # heartbeat
-                cur[r.id] = {c: getattr(r, c) for c in RECORD_COLS}
-            for vid, rec in cur.items():
-                old = prev.get(vid)
-                row = {"environment": env, "mode": mode, "id": vid, "snapshot_time": snap,
-                       "prev_snapshot_time": last, "transition": classify(rec, old), **rec}
-                for c in ["label", "trip_id", "route_id", "stop_id", "current_status", "timestamp"]:
-                    row["old_" + c] = old[c] if old else None
-                out.append(row)
-            for vid in prev.keys() - cur.keys():
-                old = prev[vid]
-                row = {c: None for c in _OUT_COLS}
-                row.update({"environment": env, "mode": mode, "id": vid, "snapshot_time": snap,
-                            "prev_snapshot_time": last, "transition": "dropped", "old_label": old["label"]})
-                out.append(row)
-            prev, last = cur, snap
-        self.vehicles.clear()
-        for vid, rec in prev.items():
-            self.vehicles.updateValue((vid,), tuple(_py(rec[c]) for c in RECORD_COLS))
-        if last is not None:
-            self.last.update((int(last),))
-        if out:
-            df = pd.DataFrame(out, columns=_OUT_COLS)
-            for c in ["snapshot_time", "prev_snapshot_time", "timestamp", "old_timestamp"]:
-                df[c] = df[c].astype("Int64")
-            df["direction_id"] = df["direction_id"].astype("Int32")
-            df["is_deleted"] = df["is_deleted"].astype("boolean")
-            yield df
-
-    def close(self) -> None:
-        pass
-
-
-def _py(v):
-    if v is None:
-        return None
-    if isinstance(v, float) and pd.isna(v):
-        return None
-    return v.item() if hasattr(v, "item") else v
-
-
 def tracker_input(records: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Valid vehicle records plus one heartbeat row (null id) per snapshot."""
     cols = ["environment", "mode", "snapshot_time", "pos", "id", *RECORD_COLS]
@@ -123,19 +59,21 @@ def tracker_input(records: DataFrame, snapshots: DataFrame) -> DataFrame:
     return records.select(*cols).unionByName(hb.select(*cols))
 
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
 def track(inputs: DataFrame) -> DataFrame:
-    """Apply the tracker to (streaming or batch) tracker input rows.
-
-    The processor's state needs the RocksDB state store; a batch run also
-    needs the driver's state-store coordinator, which exists once the
-    streaming query manager does."""
-    spark = inputs.sparkSession
-    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    spark.streams.active  # noqa: B018 - instantiates the state-store coordinator
-    return inputs.groupBy("environment", "mode").transformWithStateInPandas(
-        statefulProcessor=VehicleTracker(), outputStructType=OUTPUT_SCHEMA, outputMode="Append", timeMode="None"
-    )
+    """Transitions of tracker input rows, which hold whole snapshots."""
+    snaps = inputs.select(*E.FEED_KEYS, "snapshot_time")
+    recs = IN.last_record_per_vehicle(inputs.filter(F.col("id").isNotNull()))
+    seq = E.snapshot_sequence(snaps)
+    moved = E.vehicle_transitions(recs, snaps, seq).select(*_OUT_COLS)
+    nxt = recs.select(*E.FEED_KEYS, "id", F.col("snapshot_time").alias("next_snapshot_time"))
+    lost = recs.join(seq.filter(F.col("next_snapshot_time").isNotNull()), [*E.FEED_KEYS, "snapshot_time"])
+    lost = lost.join(nxt, [*E.FEED_KEYS, "id", "next_snapshot_time"], "left_anti")
+    told = {"snapshot_time": "next_snapshot_time", "prev_snapshot_time": "snapshot_time", "old_label": "label"}
+    same = ("environment", "mode", "id")
+    dropped = lost.select(*[
+        F.lit("dropped").alias(n) if n == "transition"
+        else F.col(told.get(n, n)).alias(n) if n in told or n in same
+        else F.lit(None).cast(t).alias(n)
+        for n, t in (f.split() for f in OUTPUT_SCHEMA.split(", "))
+    ])
+    return moved.unionByName(dropped)

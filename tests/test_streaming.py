@@ -160,6 +160,28 @@ def test_pages_of_one_snapshot_in_two_batches_rank_together(spark, tmp_path):
     assert len({r.id for r in rows}) == 3
 
 
+def test_pages_of_one_vehicle_snapshot_in_two_batches(spark, tmp_path):
+    """One file a run; the second page of each snapshot lands apart, one only after the next snapshot."""
+
+    def doc(t, page, ids):
+        ent = [{"is_deleted": False, "vehicle": {"current_status": "IN_TRANSIT_TO", "stop_id": "70061", "timestamp": t,
+                "trip": {"direction_id": 0, "route_id": "Red", "trip_id": "t" + i}, "vehicle": {"id": i, "label": "l" + i}}} for i in ids]
+        return {"entity": ent, "environment": "prod", "mode": "subway", "snapshot_time": t, "page": page}
+
+    pages = [(3590, 0, "ab"), (3590, 1, "cd"), (3605, 0, "ab"), (3605, 1, "c"), (3620, 0, "a"), (7210, 0, "ab"), (3620, 1, "bc"), (7210, 1, "e")]
+    landing, out, ckpt = tmp_path / "l", str(tmp_path / "o"), str(tmp_path / "c")
+    landing.mkdir()
+    for n, (t, page, ids) in enumerate(pages):
+        (landing / f"{n}.json").write_text(json.dumps(doc(t, page, ids)))
+        J.start_vehicle_tracker(spark, str(landing), out, ckpt, watermark="2 hours").awaitTermination(300)
+    got = sorted((r.snapshot_time, r.id, r.prev_snapshot_time, r.transition) for r in spark.read.parquet(out).collect())
+    new = [(3590, i, None, "new") for i in "abcd"]
+    second = [(3605, i, 3590, "none") for i in "abc"] + [(3605, "d", 3590, "dropped")]
+    third = [(3620, i, 3605, "none") for i in "abc"]
+    last = [(7210, "a", 3620, "none"), (7210, "b", 3620, "none"), (7210, "c", 3620, "dropped"), (7210, "e", 3620, "new")]
+    assert got == new + second + third + last
+
+
 def test_stream_keeps_snapshots_without_last_modified(spark, tmp_path):
     def doc(t, told):
         d = {"entity": [], "environment": "prod", "mode": "subway", "snapshot_time": t, "page": 0}
