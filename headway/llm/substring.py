@@ -9,12 +9,14 @@ steps that each shuffle only what is left:
    seen in one text only proves its windows unshared.
 2. Windows with a shared anchor become edge rows, keyed by 80 bits of hash,
    with source coordinates (document, word position).  A grouped minimum finds
-   the smallest document of each edge, its source; an edge that has a larger
-   document too is repeated.
-3. Joined back on the edge, every later occurrence knows its source.  Edges
-   that follow each other in a document and have one source lie on one path
-   without a branch between them, and compact into one span.
-4. The spans' words are cut from the text at their own coordinates.
+   each edge's place in its smallest document, its source; an edge that has a
+   larger document too is repeated.
+3. Repeated edges that follow each other at the source and have equally many
+   occurrences have no branch between them and compact into one path.
+4. Joined back on the edge, every later occurrence knows its path.  Those that
+   follow each other along one path are a span, with the place of its source.
+5. A span's words are compared with those at its source, by digest, and then cut
+   from the text at their own coordinates; a difference ends the job.
 
 Texts with equal word sequences are one text up to step 2; a later copy is
 removed whole without any edge row.
@@ -39,12 +41,8 @@ EMPTY = hashlib.sha256(b"").hexdigest()
 _BASE2 = 0xA0761D6478BD642F | 1
 
 
-def joined_digests(s: X.Slice, w: X.Words, keep: np.ndarray | None = None) -> list[bytes]:
-    """Per row: SHA-256 of its (kept) words joined by one space."""
-    start, end, row = w.start, w.end, w.row
-    if keep is not None:
-        start, end, row = start[keep], end[keep], row[keep]
-    rows = len(w.count)
+def joined(s: X.Slice, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """Words of the slice, those of one row joined by one space, and by word the length with its space."""
     delta = np.zeros(len(s.buf) + 2, dtype=np.int8)
     last = np.ones(len(row), dtype=bool)
     last[:-1] = row[1:] != row[:-1]
@@ -54,12 +52,30 @@ def joined_digests(s: X.Slice, w: X.Words, keep: np.ndarray | None = None) -> li
     take = np.cumsum(delta[: len(s.buf)], dtype=np.int8) > 0
     buf = s.buf.copy()
     buf[end[~last]] = 0x20
+    return memoryview(np.ascontiguousarray(buf[take])), stop - start
+
+
+def joined_digests(s: X.Slice, w: X.Words, keep: np.ndarray | None = None) -> list[bytes]:
+    """Per row: SHA-256 of its (kept) words joined by one space."""
+    start, end, row = w.start, w.end, w.row
+    if keep is not None:
+        start, end, row = start[keep], end[keep], row[keep]
+    rows = len(w.count)
+    data, length = joined(s, start, end, row)
     size = np.zeros(rows + 1, dtype=np.int64)
-    np.cumsum(np.bincount(row, weights=stop - start, minlength=rows).astype(np.int64), out=size[1:])
-    data = memoryview(np.ascontiguousarray(buf[take]))
+    np.cumsum(np.bincount(row, weights=length, minlength=rows).astype(np.int64), out=size[1:])
     return [hashlib.sha256(data[size[i] : size[i + 1]]).digest() for i in range(rows)]
 
 
+def span_digests(s: X.Slice, w: X.Words, word: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """128-bit digest of the ``n`` words from each word number ``word`` of the slice."""
+    data, length = joined(s, w.start, w.end, w.row)
+    at = np.zeros(len(length) + 1, dtype=np.int64)
+    np.cumsum(length, out=at[1:])
+    stop = at[word + n - 1] + (w.end - w.start)[word + n - 1]
+    return [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(at[word].tolist(), stop.tolist(), strict=True)]
+
+
 def nodes_of(digests: list[bytes]) -> np.ndarray:
     return np.array([int.from_bytes(d[:8], "little", signed=True) for d in digests], dtype=np.int64)
 
@@ -141,8 +157,34 @@ def edges(texts_: DataFrame, k: int) -> DataFrame:
     return texts_.mapInArrow(run, "e1 long, e2 int, doc_id long, part int, pos int")
 
 
-def kept(texts_: DataFrame, k: int) -> DataFrame:
-    """``(doc_id, node, n_removed, n_spans, sha)`` of rows ``(doc_id, node, text, hits)``; a hit is (position, source) of a repeated edge."""
+def listed(s: X.Slice, lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Row of the slice for each struct in its ``lists``, and the structs."""
+    lists = lists.slice(s.lo, s.hi - s.lo)
+    return np.repeat(np.arange(s.hi - s.lo), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)), lists.flatten()
+
+
+def numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def sources(texts_: DataFrame) -> DataFrame:
+    """``(doc_id, part, pos, want)`` of rows ``(node, text, wanted)``: the digest at the source of each span wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in X.slices(b.column(1)):
+                w = X.split(s)
+                own = nodes_of(joined_digests(s, w)) == b.column(0).slice(s.lo, s.hi - s.lo).to_numpy(zero_copy_only=False)
+                of, spans = listed(s, b.column(2))
+                spans, of = spans.filter(pa.array(own[of])), of[own[of]]
+                sha = span_digests(s, w, X.first_of_row(w.count)[of] + numbers(spans.field(3)), numbers(spans.field(4)))
+                yield pa.record_batch([*(spans.field(i) for i in range(3)), pa.array(sha, pa.binary())], names=["doc_id", "part", "pos", "want"])
+
+    return texts_.mapInArrow(run, "doc_id long, part int, pos int, want binary")
+
+
+def kept(texts_: DataFrame) -> DataFrame:
+    """``(doc_id, node, n_removed, n_spans, sha)`` of rows ``(doc_id, node, text, spans)``; a span is (position, words, digest at its source)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,35 +192,29 @@ def kept(texts_: DataFrame, k: int) -> DataFrame:
                 w = X.split(s)
                 n = s.hi - s.lo
                 own = nodes_of(joined_digests(s, w)) == b.column(1).slice(s.lo, n).to_numpy(zero_copy_only=False)
-                lists = b.column(3).slice(s.lo, n)
-                of = np.repeat(np.arange(n), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
-                pos, source = (lists.flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                order = np.lexsort((pos, of))
-                order = order[own[of[order]]]
-                of, pos, source = of[order], pos[order].astype(np.int64), source[order]
-                # path compaction: edges that follow each other and have one source
-                new = np.ones(len(of), dtype=bool)
-                new[1:] = (of[1:] != of[:-1]) | (pos[1:] != pos[:-1] + 1) | (source[1:] != source[:-1])
-                lo = np.flatnonzero(new)
-                hi = np.append(lo[1:], len(of))[: len(lo)] - 1
-                first = X.first_of_row(w.count)
+                of, spans = listed(s, b.column(3))
+                spans, of = spans.filter(pa.array(own[of])), of[own[of]]
+                at, words = X.first_of_row(w.count)[of] + numbers(spans.field(0)), numbers(spans.field(1))
+                if span_digests(s, w, at, words) != spans.field(2).to_pylist():
+                    raise ValueError("the words of a span are not those at its source")
                 cover = np.zeros(len(w.row) + 1, dtype=np.int64)
-                np.add.at(cover, first[of[lo]] + pos[lo], 1)
-                np.add.at(cover, first[of[hi]] + pos[hi] + k, -1)
+                np.add.at(cover, at, 1)
+                np.add.at(cover, at + words, -1)
                 gone = np.cumsum(cover[:-1]) > 0
                 sha = joined_digests(s, w, ~gone)
                 removed = np.bincount(w.row[gone], minlength=n)
                 yield pa.record_batch(
-                    [b.column(0).slice(s.lo, n), b.column(1).slice(s.lo, n), pa.array(removed, pa.int64()), pa.array(np.bincount(of[lo], minlength=n), pa.int64()), pa.array([x.hex() for x in sha], pa.string())],
+                    [b.column(0).slice(s.lo, n), b.column(1).slice(s.lo, n), pa.array(removed, pa.int64()), pa.array(np.bincount(of, minlength=n), pa.int64()), pa.array([x.hex() for x in sha], pa.string())],
                     names=["doc_id", "node", "n_removed", "n_spans", "sha"],
                 ).filter(pa.array(own))
 
     return texts_.mapInArrow(run, "doc_id long, node long, n_removed long, n_spans long, sha string")
 
 
-def repeated_edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, rows: DataFrame | None = None) -> DataFrame:
-    """``(doc_id, node, hits)``: for each text (the first of equal ones) the positions of its edges that also start in a
-    document with a smaller id, and the smallest such document."""
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, part, pos, n_words, path_doc, path_part, path_pos, n_edges)``: the spans of each text (the first of equal
+    ones) whose edges also start in a document with a smaller id, from word ``path_pos`` of part ``path_part`` of
+    ``path_doc``; and ``(doc_id, part, node)`` of the texts."""
     rows = rows if rows is not None else profile(docs, id_col, text_col)
     a = anchors(docs, id_col, text_col, k)
     shared = a.groupBy("anchor").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("anchor")
@@ -190,12 +226,29 @@ def repeated_edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     text = texts(docs, id_col, text_col)
     e = stored(edges(marked(text, "doc_id", lists, "doc_id").join(lists, "doc_id").select("doc_id", "node", "part", "text", "anchors"), k), "edges")
+    # the place (part and position in one number) in the smallest document, without a sort of the edges
+    place = F.shiftleft(F.col("part").cast("long"), 32) + F.col("pos")
+    r = e.groupBy("e1", "e2").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("last"), F.min_by(place, "doc_id").alias("p0"), F.count(F.lit(1)).alias("c"))
+    r = r.where("d0 < last").drop("last")
+    w = Window.partitionBy("d0").orderBy("p0")
+    on = (F.lag("p0").over(w) + 1 == F.col("p0")) & (F.lag("c").over(w) == F.col("c"))
+    start = F.max(F.when(~F.coalesce(on, F.lit(False)), F.col("p0"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    path = r.select("e1", "e2", F.col("d0").alias("path_doc"), start.alias("path"), F.col("p0").alias("at"))
     # stored, so that the join deals both sides out anew and Spark can split the rows of a very common edge
-    r = e.groupBy("e1", "e2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"))
-    r = stored(r.where("source < last").select("e1", "e2", "source"), "repeats")
-    hit = stored(e.join(r, ["e1", "e2"]).where("doc_id > source").select("doc_id", "part", "pos", "source"), "occurrences")
-    hits = hit.groupBy("doc_id", "part").agg(F.collect_list(F.struct("pos", "source")).alias("hits"))
-    return hits.join(lists.select("doc_id", "part", "node"), ["doc_id", "part"]).select("doc_id", "node", "hits")
+    path = stored(path, "paths")
+    hit = e.join(path, ["e1", "e2"]).where("doc_id > path_doc").select("doc_id", "part", "pos", "path_doc", "path", "at")
+    hit = stored(hit, "occurrences")  # so that the shuffled edges go before the occurrences are dealt out by document
+    v = Window.partitionBy("doc_id", "part").orderBy("pos")
+    on = F.lit(True)
+    for c, step in (("pos", 1), ("path_doc", 0), ("path", 0), ("at", 1)):
+        on &= F.lag(c).over(v) + step == F.col(c)
+    start = F.max(F.when(~F.coalesce(on, F.lit(False)), F.col("pos"))).over(v.rowsBetween(Window.unboundedPreceding, 0))
+    spans = hit.withColumn("start", start).groupBy("doc_id", "part", F.col("start").alias("pos")).agg(
+        F.count(F.lit(1)).alias("n_edges"), F.min("path_doc").alias("path_doc"), F.min("at").alias("at"))
+    spans = spans.select(
+        "doc_id", "part", "pos", (F.col("n_edges") + k - 1).alias("n_words"), "path_doc",
+        F.shiftright("at", 32).cast("int").alias("path_part"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("path_pos"), "n_edges")
+    return stored(spans, "spans"), lists.select("doc_id", "part", "node")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
@@ -206,9 +259,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     neither smaller nor larger than others, so its row is kept whole and takes
     nothing from others; rows with one id are one document's."""
     rows = stored(profile(docs, id_col, text_col), "words")
-    hits = stored(repeated_edges(docs, id_col, text_col, k, rows), "hits")
-    text = marked(texts(docs, id_col, text_col), "doc_id", hits, "doc_id")
-    new = kept(text.join(hits, "doc_id").select("doc_id", "node", "text", "hits"), k).dropDuplicates(["doc_id", "node"])
+    spans, parts = repeated_spans(docs, id_col, text_col, k, rows)
+    text = texts(docs, id_col, text_col)
+    wanted = spans.groupBy(F.col("path_doc").alias("of"), F.col("path_part").alias("p")).agg(F.collect_list(F.struct("doc_id", "part", "pos", "path_pos", "n_words")).alias("wanted"))
+    wanted = wanted.join(parts.select(F.col("doc_id").alias("of"), F.col("part").alias("p"), "node"), ["of", "p"]).select(F.col("of").alias("doc_id"), "node", "wanted")
+    want = sources(marked(text, "doc_id", spans, "path_doc").join(wanted, "doc_id").select("node", "text", "wanted")).dropDuplicates(["doc_id", "part", "pos"])
+    # left: a span whose source was not found stays, without a digest, and ends the job
+    cut = spans.select("doc_id", "part", "pos", "n_words").join(want, ["doc_id", "part", "pos"], "left")
+    cut = cut.groupBy("doc_id", "part").agg(F.collect_list(F.struct("pos", "n_words", "want")).alias("spans"))
+    cut = stored(cut.join(parts, ["doc_id", "part"]).select("doc_id", "node", "spans"), "cut")
+    text = marked(text, "doc_id", cut, "doc_id")
+    new = kept(text.join(cut, "doc_id").select("doc_id", "node", "text", "spans")).dropDuplicates(["doc_id", "node"])
     first = rows.where("doc_id is not null").groupBy(F.col("sha").alias("k_sha")).agg(F.min("doc_id").alias("first"))
     out = rows.join(first, rows.sha == first.k_sha, "left").drop("k_sha")
     copy = F.coalesce((F.col("first") < F.col("doc_id")) & (F.col("n_words") >= k), F.lit(False))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 from tests.llm.conftest import SPACE_WORDS
 
@@ -69,3 +70,25 @@ def test_nulls_empties_ties_repeats_and_extra_columns(docs):
 
 def test_empty_table(docs):
     assert substring.substring_dedup(docs([])).count() == 0
+
+
+def test_spans_follow_paths_and_know_their_source(docs):
+    """A branch ends a path: the words after it go on in one of the later documents only."""
+    w = [f"w{i}" for i in range(60)]
+    rows = {1: " ".join(w), 2: "a b " + " ".join(w[5:45]), 3: " ".join(w[10:30]) + " z", 4: "q " + " ".join(w[50:])}
+    spans, _ = substring.repeated_spans(docs(rows))
+    got = sorted((r.doc_id, r.part, r.pos, r.n_words, r.path_doc, r.path_part, r.path_pos) for r in spans.collect())
+    # windows 10 to 17 stand in three documents, 5 to 9 and 18 to 32 in two
+    assert got == [(2, 0, 2, 17, 1, 0, 5), (2, 0, 7, 20, 1, 0, 10), (2, 0, 15, 27, 1, 0, 18), (3, 0, 0, 20, 1, 0, 10)]
+
+
+def test_a_span_unlike_its_source_ends_the_job(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    sha = substring.hashlib.sha256(text.encode()).digest()
+    node = int(substring.nodes_of([sha])[0])
+    want = substring.hashlib.blake2b(" ".join(f"w{i}" for i in range(13)).encode(), digest_size=16).digest()
+    shape = "doc_id long, node long, text string, spans array<struct<pos int, n_words long, want binary>>"
+    run = lambda at: substring.kept(spark.createDataFrame([(1, node, text, [(at, 13, want)])], shape)).collect()
+    assert run(0)[0].n_removed == 13
+    with pytest.raises(Exception, match="not those at its source"):
+        run(1)
