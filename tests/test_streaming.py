@@ -182,6 +182,14 @@ def test_pages_of_one_vehicle_snapshot_in_two_batches(spark, tmp_path):
     assert got == new + second + third + last
 
 
+def test_tracker_deals_out_the_vehicles_of_a_feed(spark):
+    docs = A.vehicle_feed_docs(spark, SF)
+    recs = IN.parse_vehicle_feed(docs).filter(F.col("parse_status") == "valid")
+    plan = track(tracker_input(recs, docs.select("environment", "mode", "snapshot_time")))._jdf.queryExecution().toString()
+    assert "TransformWithState" not in plan and "Python" not in plan
+    assert "SortMergeJoin [environment" in plan or "HashJoin [environment" in plan
+
+
 def test_stream_keeps_snapshots_without_last_modified(spark, tmp_path):
     def doc(t, told):
         d = {"entity": [], "environment": "prod", "mode": "subway", "snapshot_time": t, "page": 0}
