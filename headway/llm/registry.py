@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, licences, pii, quality, secret_scan, substring, topk, warc
+from . import bpe, decontaminate, jaccard, licences, manifest, mixing, pii, quality, secret_scan, spelling, substring, topk, warc
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,7 +68,25 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.pages_audit(table(spark, sf_dir, "pages"))
 
 
+@query
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.source_mix(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest_audit(table(spark, sf_dir, "documents"))
+
+
 ORACLE["op3_warc"] = warc.PAGES_AUDIT_SQL
+ORACLE["op11_spelling"] = spelling.SPELLING_SQL
+ORACLE["op12_mixing"] = mixing.SOURCE_MIX_SQL
+ORACLE["op13_manifest"] = manifest.MANIFEST_SQL
 
 _WORDS = "regexp_extract_all(coalesce({}, ''), '[^\\x20\\x09-\\x0D]+')"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
