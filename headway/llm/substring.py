@@ -7,7 +7,7 @@ steps that each shuffle only what is left:
 1. Every window has an anchor, its least 4-gram by hash, the same wherever the
    window stands.  Anchors are about a sixth as many as windows.  An anchor
    seen in one text only proves its windows unshared.
-2. Windows with a shared anchor become edge rows, keyed by 80 bits of hash,
+2. Windows with a shared anchor become edge rows, keyed by 96 bits of hash,
    with source coordinates (document, word position).  A grouped minimum finds
    each edge's place in its smallest document, its source; an edge that has a
    larger document too is repeated.
@@ -16,7 +16,8 @@ steps that each shuffle only what is left:
 4. Joined back on the edge, every later occurrence knows its path.  Those that
    follow each other along one path are a span, with the place of its source.
 5. A span's words are compared with those at its source, by digest, and then cut
-   from the text at their own coordinates; a difference ends the job.
+   from the text at their own coordinates; a difference ends the job.  A source
+   digests each of its stretches once, however many documents repeat it.
 
 Texts with equal word sequences are one text up to step 2; a later copy is
 removed whole without any edge row.
@@ -76,8 +77,11 @@ def span_digests(s: X.Slice, w: X.Words, word: np.ndarray, n: np.ndarray) -> lis
     return [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(at[word].tolist(), stop.tolist(), strict=True)]
 
 
-def nodes_of(digests: list[bytes]) -> np.ndarray:
-    return np.array([int.from_bytes(d[:8], "little", signed=True) for d in digests], dtype=np.int64)
+def nodes_of(w: X.Words, h: np.ndarray) -> np.ndarray:
+    """64-bit identity of each row's sequence of words, given by their hashes ``h``."""
+    place = np.arange(len(h)) - X.first_of_row(w.count)[w.row]
+    total = X.row_sums(X.mix(h ^ X.mix(place.astype(np.uint64) * X.U64(0x9E3779B97F4A7C15))), w.row, len(w.count))
+    return X.signed(X.mix(total + w.count.astype(np.uint64)))
 
 
 def least_anchor(h: np.ndarray, k: int) -> np.ndarray:
@@ -97,32 +101,32 @@ def profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for s in X.slices(b.column(1)):
                 w = X.split(s)
                 d = joined_digests(s, w)
-                yield pa.record_batch([b.column(0).slice(s.lo, s.hi - s.lo), pa.array(w.count, pa.int64()), pa.array(nodes_of(d)), pa.array([x.hex() for x in d], pa.string())], names=["doc_id", "n_words", "node", "sha"])
+                node = nodes_of(w, X.word_hashes(s.buf, w))
+                yield pa.record_batch([b.column(0).slice(s.lo, s.hi - s.lo), pa.array(w.count, pa.int64()), pa.array(node), pa.array([x.hex() for x in d], pa.string())], names=["doc_id", "n_words", "node", "sha"])
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_words long, node long, sha string")
 
 
 def anchors(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """``(anchor, node, doc_id)`` for every anchor of every text with an id."""
+    """``(anchor, node)`` for every anchor of every text with an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            for s in X.slices(b.column(1)):
+            for s in X.slices(b.column(0)):
                 w = X.split(s)
                 at = X.window_starts(w.row, k)
                 if not len(at):
                     continue
-                node = nodes_of(joined_digests(s, w))
-                a = least_anchor(X.word_hashes(s.buf, w), k)[at]
+                h = X.word_hashes(s.buf, w)
+                a = least_anchor(h, k)[at]
                 row = w.row[at]
                 new = np.ones(len(a), dtype=bool)
                 new[1:] = (a[1:] != a[:-1]) | (row[1:] != row[:-1])
                 a, row = a[new], row[new]
-                yield pa.record_batch([pa.array(X.signed(a)), pa.array(node[row]), pa.array(ids[s.lo + row], pa.int64())], names=["anchor", "node", "doc_id"])
+                yield pa.record_batch([pa.array(X.signed(a)), pa.array(nodes_of(w, h)[row])], names=["anchor", "node"])
 
-    rows = texts(docs, id_col, text_col).where("doc_id is not null")
-    return rows.mapInArrow(run, "anchor long, node long, doc_id long")
+    rows = texts(docs, id_col, text_col).where("doc_id is not null").select("text")
+    return rows.mapInArrow(run, "anchor long, node long")
 
 
 def edges(texts_: DataFrame, k: int) -> DataFrame:
@@ -136,11 +140,11 @@ def edges(texts_: DataFrame, k: int) -> DataFrame:
                 at = X.window_starts(w.row, k)
                 if not len(at):
                     continue
-                node = nodes_of(joined_digests(s, w))
+                h = X.word_hashes(s.buf, w)
+                node = nodes_of(w, h)
                 lists = b.column(4).slice(s.lo, s.hi - s.lo)
                 of = np.repeat(np.arange(s.hi - s.lo), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
                 shared = np.sort(X.mix(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64) + of.astype(np.uint64) * X.U64(0x9E3779B97F4A7C15)))
-                h = X.word_hashes(s.buf, w)
                 row = w.row[at]
                 mine = X.mix(least_anchor(h, k)[at] + row.astype(np.uint64) * X.U64(0x9E3779B97F4A7C15))
                 hit = np.searchsorted(shared, mine)
@@ -148,7 +152,7 @@ def edges(texts_: DataFrame, k: int) -> DataFrame:
                 ok = (shared[hit] == mine) & (node[row] == want[s.lo + row])
                 at, row = at[ok], row[ok]
                 first = X.first_of_row(w.count)
-                check = (X.rolling(X.mix(h), k, _BASE2)[at] >> X.U64(48)).astype(np.int32)
+                check = (X.rolling(X.mix(h), k, _BASE2)[at] >> X.U64(32)).astype(np.uint32).view(np.int32)
                 yield pa.record_batch(
                     [pa.array(X.signed(X.rolling(h, k)[at])), pa.array(check), pa.array(ids[s.lo + row], pa.int64()), pa.array(part[s.lo + row], pa.int32()), pa.array((at - first[row]).astype(np.int32))],
                     names=["e1", "e2", "doc_id", "part", "pos"],
@@ -168,19 +172,22 @@ def numbers(column: pa.Array) -> np.ndarray:
 
 
 def sources(texts_: DataFrame) -> DataFrame:
-    """``(doc_id, part, pos, want)`` of rows ``(node, text, wanted)``: the digest at the source of each span wanted."""
+    """``(path_doc, path_part, path_pos, n_words, want)`` of rows ``(doc_id, part, node, text, wanted)``: the digest of each stretch (position, words) wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in X.slices(b.column(1)):
+            ids, part = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for s in X.slices(b.column(3)):
                 w = X.split(s)
-                own = nodes_of(joined_digests(s, w)) == b.column(0).slice(s.lo, s.hi - s.lo).to_numpy(zero_copy_only=False)
-                of, spans = listed(s, b.column(2))
+                own = nodes_of(w, X.word_hashes(s.buf, w)) == b.column(2).slice(s.lo, s.hi - s.lo).to_numpy(zero_copy_only=False)
+                of, spans = listed(s, b.column(4))
                 spans, of = spans.filter(pa.array(own[of])), of[own[of]]
-                sha = span_digests(s, w, X.first_of_row(w.count)[of] + numbers(spans.field(3)), numbers(spans.field(4)))
-                yield pa.record_batch([*(spans.field(i) for i in range(3)), pa.array(sha, pa.binary())], names=["doc_id", "part", "pos", "want"])
+                sha = span_digests(s, w, X.first_of_row(w.count)[of] + numbers(spans.field(0)), numbers(spans.field(1)))
+                yield pa.record_batch(
+                    [pa.array(ids[s.lo + of], pa.int64()), pa.array(part[s.lo + of], pa.int32()), spans.field(0), spans.field(1), pa.array(sha, pa.binary())],
+                    names=["path_doc", "path_part", "path_pos", "n_words", "want"])
 
-    return texts_.mapInArrow(run, "doc_id long, part int, pos int, want binary")
+    return texts_.mapInArrow(run, "path_doc long, path_part int, path_pos int, n_words long, want binary")
 
 
 def kept(texts_: DataFrame) -> DataFrame:
@@ -191,7 +198,7 @@ def kept(texts_: DataFrame) -> DataFrame:
             for s in X.slices(b.column(2)):
                 w = X.split(s)
                 n = s.hi - s.lo
-                own = nodes_of(joined_digests(s, w)) == b.column(1).slice(s.lo, n).to_numpy(zero_copy_only=False)
+                own = nodes_of(w, X.word_hashes(s.buf, w)) == b.column(1).slice(s.lo, n).to_numpy(zero_copy_only=False)
                 of, spans = listed(s, b.column(3))
                 spans, of = spans.filter(pa.array(own[of])), of[own[of]]
                 at, words = X.first_of_row(w.count)[of] + numbers(spans.field(0)), numbers(spans.field(1))
@@ -221,8 +228,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # rows with one id and different texts are parts of one document
     firsts = rows.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.first("node").alias("node"))
     firsts = firsts.select("doc_id", "node", (F.row_number().over(Window.partitionBy("doc_id").orderBy("node")) - 1).alias("part"))
-    lists = a.join(shared, "anchor").groupBy("doc_id", "node").agg(F.collect_set("anchor").alias("anchors"))
-    lists = stored(lists.join(firsts, ["doc_id", "node"]), "anchors")
+    lists = a.join(shared, "anchor").groupBy("node").agg(F.collect_set("anchor").alias("anchors"))
+    lists = stored(firsts.join(lists, "node"), "anchors")
 
     text = texts(docs, id_col, text_col)
     e = stored(edges(marked(text, "doc_id", lists, "doc_id").join(lists, "doc_id").select("doc_id", "node", "part", "text", "anchors"), k), "edges")
@@ -251,6 +258,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return stored(spans, "spans"), lists.select("doc_id", "part", "node")
 
 
+PLACE = ["path_doc", "path_part", "path_pos", "n_words"]
+
+
+def stretches(spans: DataFrame) -> DataFrame:
+    """``(doc_id, part, wanted)``: by source text the different stretches (position, words) that spans repeat; how many documents repeat one makes no difference."""
+    of = spans.select(*PLACE).distinct().groupBy(F.col("path_doc").alias("doc_id"), F.col("path_part").alias("part"))
+    return of.agg(F.collect_list(F.struct("path_pos", "n_words")).alias("wanted"))
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_sha256, n_spans)`` for every row of ``docs``.
 
@@ -261,11 +277,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = stored(profile(docs, id_col, text_col), "words")
     spans, parts = repeated_spans(docs, id_col, text_col, k, rows)
     text = texts(docs, id_col, text_col)
-    wanted = spans.groupBy(F.col("path_doc").alias("of"), F.col("path_part").alias("p")).agg(F.collect_list(F.struct("doc_id", "part", "pos", "path_pos", "n_words")).alias("wanted"))
-    wanted = wanted.join(parts.select(F.col("doc_id").alias("of"), F.col("part").alias("p"), "node"), ["of", "p"]).select(F.col("of").alias("doc_id"), "node", "wanted")
-    want = sources(marked(text, "doc_id", spans, "path_doc").join(wanted, "doc_id").select("node", "text", "wanted")).dropDuplicates(["doc_id", "part", "pos"])
+    wanted = stored(stretches(spans).join(parts, ["doc_id", "part"]), "wanted")
+    want = sources(marked(text, "doc_id", wanted, "doc_id").join(wanted, "doc_id").select("doc_id", "part", "node", "text", "wanted"))
+    want = stored(want.dropDuplicates(PLACE), "source-digests")
     # left: a span whose source was not found stays, without a digest, and ends the job
-    cut = spans.select("doc_id", "part", "pos", "n_words").join(want, ["doc_id", "part", "pos"], "left")
+    cut = spans.select("doc_id", "part", "pos", *PLACE).join(want, PLACE, "left")
     cut = cut.groupBy("doc_id", "part").agg(F.collect_list(F.struct("pos", "n_words", "want")).alias("spans"))
     cut = stored(cut.join(parts, ["doc_id", "part"]).select("doc_id", "node", "spans"), "cut")
     text = marked(text, "doc_id", cut, "doc_id")

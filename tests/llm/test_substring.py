@@ -3,11 +3,13 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tests.llm.conftest import SPACE_WORDS
 
 from headway.llm import substring
+from headway.llm import textcore as X
 
 
 def brute(rows, k=13):
@@ -82,10 +84,28 @@ def test_spans_follow_paths_and_know_their_source(docs):
     assert got == [(2, 0, 2, 17, 1, 0, 5), (2, 0, 7, 20, 1, 0, 10), (2, 0, 15, 27, 1, 0, 18), (3, 0, 0, 20, 1, 0, 10)]
 
 
+def test_a_common_passage_is_one_stretch_at_its_source(docs):
+    """A header in every document: its source is asked for it once, not once for each of them."""
+    header = " ".join(f"h{i}" for i in range(30))
+    rows = [(i, f"a{i} b{i} {header} " + " ".join(f"own{i}x{j}" for j in range(5))) for i in range(3000)]
+    spans, _ = substring.repeated_spans(docs(rows, 6))
+    assert spans.count() == 2999
+    assert [(r.doc_id, [tuple(x) for x in r.wanted]) for r in substring.stretches(spans).collect()] == [(0, [(2, 30)])]
+    assert {(r.doc_id > 0, r.n_removed) for r in substring.substring_dedup(docs(rows, 6)).collect()} == {(False, 0), (True, 30)}
+
+
+def test_words_in_another_order_are_another_text(docs):
+    s = next(X.slices(pa.array(["a b c", "c b a", "a b", "a b c ", "", None, "a b  c"])))
+    w = X.split(s)
+    n = substring.nodes_of(w, X.word_hashes(s.buf, w)).tolist()
+    assert n[0] == n[3] == n[6] and n[4] == n[5] and len(set(n)) == 4
+
+
 def test_a_span_unlike_its_source_ends_the_job(spark):
     text = " ".join(f"w{i}" for i in range(20))
-    sha = substring.hashlib.sha256(text.encode()).digest()
-    node = int(substring.nodes_of([sha])[0])
+    s = next(X.slices(pa.array([text])))
+    w = X.split(s)
+    node = int(substring.nodes_of(w, X.word_hashes(s.buf, w))[0])
     want = substring.hashlib.blake2b(" ".join(f"w{i}" for i in range(13)).encode(), digest_size=16).digest()
     shape = "doc_id long, node long, text string, spans array<struct<pos int, n_words long, want binary>>"
     run = lambda at: substring.kept(spark.createDataFrame([(1, node, text, [(at, 13, want)])], shape)).collect()
