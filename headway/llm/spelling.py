@@ -2,24 +2,32 @@
 
 The words of the vocabulary make a trie, kept as a table: one record for each
 node, with its children.  A state ``(word, pos, node, edits)`` says that
-the first ``pos`` letters of ``word``, with so many edits, spell ``node``.  All
-words start at the root; a level of the frontier is one join of the states with
-the records of their nodes, and gives the states one level deeper:
+the first ``pos`` letters of ``word``, with so many edits, spell ``node``.  A
+level of the frontier is one join of the states with the records of their
+nodes, and gives the states one level deeper:
 
 * the next letter is the child's: the state goes on;
 * without an edit so far: the child's letter replaces the next one, or the next
   letter is left out and the one after it is the child's.
 
 A state whose letters are used up with one edit, on a node that is a word, is a
-pair of neighbours.  The relation is symmetric, so each pair is sought in one
-direction: replaced letters only by later ones, left-out ones but not added
-ones (an added letter is one left out in the other word).  A node below which
-there is one word only needs no further level: what is left of both words is
-compared at once, so the levels are as many as two words have first letters in
-common.
+pair of neighbours.  Two things keep the frontier narrow:
 
-Nodes near the root have many states.  A record tells how many words lie below
-it, and where they are many its states and its copies are dealt out by salt.
+* The relation is symmetric, so each pair is sought in one direction: replaced
+  letters only by later ones, left-out ones but not added ones (an added letter
+  is one left out in the other word).
+* There are two tries, of the words and of the words read backward.  An edit is
+  allowed in the second half of a word only; one in its first half is in the
+  second half backward.  So no word is edited near a root, where every node has
+  many children, and all words start below it.
+
+A node below which there is one word only needs no further level: what is left
+of both words is compared at once, so the levels are as many as two words have
+first letters in common.
+
+A node that many words share has many states.  A record tells how many words
+lie below it, and where they are many its states and its copies are dealt out
+by salt.
 
 Words of more than ``LONG`` letters, which are rare, would need as many levels.
 They leave out each letter in turn, and meet where what remains is the same;
@@ -85,36 +93,41 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return texts(docs, id_col, text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def trie(words: DataFrame) -> DataFrame:
-    """Records ``(depth, node, salt, kids)`` of the nodes with two words or more below; a child is (letter, node, words below, the least of them, is a word)."""
-    at = words.select("word", F.explode(F.sequence(F.lit(0), F.length("word"))).alias("depth"))
+def trie(words: DataFrame, start: int) -> tuple[DataFrame, DataFrame]:
+    """The nodes from depth ``start``, ``(depth, node, words, only, is_word)`` (words below, the least of them), and the
+    records ``(depth, node, salt, kids)`` of those with two words or more below; a child is (letter, node, words, only, is_word)."""
+    at = words.select("word", F.explode(F.sequence(F.lit(start), F.length("word"))).alias("depth"))
     nodes = at.groupBy("depth", F.expr("substring(word, 1, depth)").alias("node")).agg(
         F.count(F.lit(1)).alias("words"), F.min("word").alias("only"), F.max(F.length("word") == F.col("depth")).alias("is_word"))
     nodes = stored(nodes, "trie")
     kid = F.struct(F.expr("substring(node, depth, 1)").alias("letter"), F.col("node").alias("child"), "words", "only", "is_word")
-    up = nodes.where("depth > 0").select((F.col("depth") - 1).alias("depth"), F.expr("substring(node, 1, depth - 1)").alias("node"), kid.alias("kid"))
-    up = up.groupBy("depth", "node").agg(F.collect_list("kid").alias("kids"))  # no more than there are letters
-    up = up.join(nodes.where("words > 1").select("depth", "node", "words"), ["depth", "node"])
-    return up.select("depth", "node", F.explode(F.expr(f"sequence(0, cast(words div {HEAVY} as int))")).alias("salt"), "kids")
+    up = nodes.where(F.col("depth") > start).select((F.col("depth") - 1).alias("depth"), F.expr("substring(node, 1, depth - 1)").alias("node"), kid.alias("kid"))
+    up = up.join(nodes.where("words > 1").select("depth", "node", F.col("words").alias("n")), ["depth", "node"])
+    up = up.groupBy("depth", "node").agg(F.collect_list("kid").alias("kids"), F.first("n").alias("n"))  # no more than there are letters
+    return nodes, stored(up.select("depth", "node", F.explode(F.expr(f"sequence(0, cast(n div {HEAVY} as int))")).alias("salt"), "kids"), "records")
 
 
 def _letter(word: str, pos: str):
     return F.expr(f"substring({word}, {pos} + 1, 1)")
 
 
-def descended(words: DataFrame) -> DataFrame:
-    """``(a, b)``: the pairs of ``words`` one edit apart, each in one direction or both, by the trie."""
-    count = words.count()
-    records = stored(trie(words), "records")
+def descended(words: DataFrame, half: str) -> DataFrame | None:
+    """``(a, b)``: the pairs of ``words`` of which one edit of ``a`` at ``half`` (an SQL expression of ``word``) or later makes ``b``, by replacing letters with later ones or leaving one out."""
+    least = words.agg(F.min(F.length("word"))).first()[0]
+    if least is None:
+        return None
+    start = least // 2 if least > 2 else 0
+    nodes, records = trie(words, start)
     salt = F.expr(f"pmod(xxhash64(word), words div {HEAVY} + 1)").cast("int")
-    states = words.select("word", F.lit(0).alias("pos"), F.lit("").alias("node"), F.lit(0).alias("edits"), F.lit(count).cast("long").alias("words"))
-    pairs, depth = None, 0
+    first = words.withColumn("node", F.expr(f"substring(word, 1, {start})")).join(nodes.where(F.col("depth") == start).select("node", "words"), "node")
+    states = first.where("words > 1").select("word", F.lit(start).alias("pos"), "node", F.lit(0).alias("edits"), "words")
+    pairs, depth = None, start
     while True:
         here = records.where(F.col("depth") == depth).drop("depth")
         moved = states.withColumn("salt", salt).join(here, ["node", "salt"]).select("word", "pos", "edits", F.explode("kids").alias("kid"))
         moved = moved.select("word", "pos", "edits", "kid.*").withColumns({"next": _letter("word", "pos"), "after": _letter("word", "pos + 1")})
         step = lambda letters, edits: F.struct(F.lit(letters).alias("letters"), F.lit(edits).alias("edits"))
-        fresh = F.col("edits") == 0
+        fresh = (F.col("edits") == 0) & (F.col("pos") >= F.expr(half))
         same = F.when(F.col("letter") == F.col("next"), F.struct(F.lit(1).alias("letters"), F.col("edits").alias("edits")))
         replaced = F.when(fresh & (F.col("next") != "") & (F.col("letter") > F.col("next")), step(1, 1))
         # of equal letters in a row, the last is the one left out
@@ -177,7 +190,13 @@ def left_out(words: DataFrame) -> DataFrame:
 def neighbours(words: DataFrame) -> DataFrame:
     """``(word, near)``: all pairs of different ``words`` that one inserted, deleted or replaced letter parts, in both directions."""
     words = stored(words.select("word"), "vocabulary")
-    pairs = descended(words.where(F.length("word") <= LONG))
+    short = words.where(F.length("word") <= LONG)
+    pairs = descended(short, "length(word) div 2")
+    if pairs is None:
+        pairs = words.select(F.col("word").alias("a"), F.col("word").alias("b")).limit(0)
+    else:
+        back = descended(short.select(F.reverse("word").alias("word")), "length(word) - length(word) div 2")
+        pairs = pairs.unionByName(back.select(F.reverse("a").alias("a"), F.reverse("b").alias("b")))
     long_ = words.where(F.length("word") >= LONG)  # those of just LONG letters may have neighbours of either kind
     if not long_.where(F.length("word") > LONG).isEmpty():
         pairs = pairs.unionByName(left_out(long_))
