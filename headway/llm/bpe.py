@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from .tables import small_batches, texts
+from .tables import lean, small_batches, texts
 
 CACHE_PIECES = 150_000  # pieces in each of the two generations a worker remembers; longer ones than CACHE_CHARS are never kept
 CACHE_CHARS = 40
@@ -323,10 +323,9 @@ def encoded(docs: DataFrame, path: str | None = None, text_col: str = "text", id
         v._fits.clear()
         vocabulary.cache_clear()
         del v
-        gc.collect()
 
     schema = StructType(keep.schema.fields.copy()).add(ids_col, ArrayType(IntegerType()))
-    return keep.mapInArrow(run, schema.add(decoded_col, "string") if decoded_col else schema)
+    return keep.mapInArrow(lean(run), schema.add(decoded_col, "string") if decoded_col else schema)
 
 
 def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as X
-from .tables import small_batches, stored, texts
+from .tables import lean, small_batches, stored, texts
 
 EDITS = 0.2
 RECALL = 0.99
@@ -268,7 +268,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                     r, i, at, d = leaks_in(block, s)
                     yield pa.record_batch([b.column(0).take(pa.array(s.lo + r)), pa.array(block.ids[i], pa.int64()), pa.array(at, pa.int64()), pa.array(d, pa.int64())], names=names)
 
-        out = out.unionByName(rows.mapInArrow(run, schema))
+        out = out.unionByName(rows.mapInArrow(lean(run), schema))
     return out
 
 
@@ -288,5 +288,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
                     keep[s.lo + leaks_in(block, s)[0]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

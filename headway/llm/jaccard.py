@@ -39,7 +39,7 @@ from pyspark.sql.types import StructType
 
 from . import textcore as X
 from .graph import components
-from .tables import marked, stored, texts
+from .tables import lean, marked, stored, texts
 
 SHINGLE = 5
 NUM, DEN = 80, 100  # link: DEN * intersection >= NUM * union
@@ -124,7 +124,7 @@ def profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         yield pa.record_batch([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary()), *[pa.nulls(n, pa.int64())] * MAP_WORDS], names=names)
 
     names = ["doc_id", "n", "node", "chunk", "counts", *MAP]
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n long, node long, chunk int, counts binary, " + ", ".join(f"{m} long" for m in MAP))
+    return texts(docs, id_col, text_col).mapInArrow(lean(run), "doc_id long, n long, node long, chunk int, counts binary, " + ", ".join(f"{m} long" for m in MAP))
 
 
 def sum_chunks(parts: DataFrame) -> DataFrame:
@@ -205,7 +205,7 @@ def keys(docs: DataFrame, id_col: str, text_col: str, sketch, cut: int) -> DataF
                 k = np.concatenate([x[1] for x in out])
                 yield pa.record_batch([pa.array(X.signed(k)), pa.array(X.signed(node)[r]), pa.array(count[r], pa.int32())], names=["key", "node", "n"])
 
-    return texts(docs, id_col, text_col).select("text").mapInArrow(run, "key long, node long, n int")
+    return texts(docs, id_col, text_col).select("text").mapInArrow(lean(run), "key long, node long, n int")
 
 
 # ---- verification ------------------------------------------------------------------------
@@ -230,7 +230,7 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, tex
     wanted = stored(wanted, "wanted")
     text = marked(text, "doc_id", wanted, "doc_id")
     found = text.join(wanted, text.doc_id.eqNullSafe(wanted.doc_id)).select("node", "text")
-    sets = stored(found.mapInArrow(one_per_node, "node long, members binary").dropDuplicates(["node"]), "sets")
+    sets = stored(found.mapInArrow(lean(one_per_node), "node long, members binary").dropDuplicates(["node"]), "sets")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -251,7 +251,7 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, tex
 
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
     full = left.join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
-    return full.mapInArrow(linked, "a long, b long")
+    return full.mapInArrow(lean(linked), "a long, b long")
 
 
 def may_link(n: str, m: str, keys: str, cut: int):
@@ -363,7 +363,7 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 parts.append(pa.array(X.signed(set_hash(row, win, count)), mask=count == 0))
             yield b.append_column("__node", pa.concat_arrays(parts) if parts else pa.nulls(0, pa.int64()))
 
-    maybe = maybe.mapInArrow(add_node, StructType(docs.schema.fields.copy()).add("__node", "long"))
+    maybe = maybe.mapInArrow(lean(add_node), StructType(docs.schema.fields.copy()).add("__node", "long"))
     same = F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("m.doc_id")) & (F.col("__node") == F.col("m.node"))
     found = maybe.alias("d").join(members.alias("m"), same, "left").where("__keep or __keep is null")
     once = F.when(F.col("__keep"), F.lit(-1)).otherwise(F.monotonically_increasing_id())

@@ -153,7 +153,7 @@ def mixed(docs: DataFrame, members: Column, id_col: str = "doc_id", text_col: st
     # only patterns of which a part of a copy is taken are put in order
     some = rows.withColumn("key", seeded(seed, F.col("doc_id"))).join(plan.where("rest > 0"), "members").select("pattern", "key", "size", "row", "rest")
     some = numbered(some, ["pattern", "key", "size", "row"], "seeded", weight="size")
-    start = some.groupBy("pattern").agg(F.min("before").alias("start"))
+    start = stored(some.groupBy("pattern").agg(F.min("before").alias("start")), "starts")
     some = some.join(start, "pattern").withColumn("end", F.col("before") - F.col("start") + F.col("size"))
     some = some.withColumn("inside", F.col("end") <= F.col("rest"))
     lacks = F.max("rest") - F.coalesce(F.max(F.when(F.col("inside"), F.col("end"))), F.lit(0))

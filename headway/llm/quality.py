@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import textcore as X
-from .tables import small_batches, texts
+from .tables import lean, small_batches, texts
 
 SAMPLE = 20_000  # labelled rows the trees are grown on, at most
 FOLDS = 5
@@ -209,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 n = s.hi - s.lo
                 yield pa.record_batch([b.column(0).slice(s.lo, n), b.column(1).slice(s.lo, n), pa.ListArray.from_arrays(off, pa.array(x.ravel()))], names=["doc_id", "y", "x"])
 
-    got = text.join(F.broadcast(some), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y double, x array<double>")
+    got = text.join(F.broadcast(some), "doc_id").select("doc_id", "y", "text").mapInArrow(lean(run), "doc_id long, y double, x array<double>")
     got = got.groupBy("doc_id").agg(F.min(F.struct("y", "x")).alias("r")).select("doc_id", "r.y", "r.x").toArrow().sort_by("doc_id")
     x = got["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
     return grow(x, got["y"].to_numpy())
@@ -227,7 +227,7 @@ def scored(docs: DataFrame, trees: Trees, text_col: str = "text", score_col: str
             score = [predict(sent.value, statistics(s)) for s in X.slices(b.column(at))]
             yield b.append_column(score_col, pa.array(np.concatenate(score) if score else np.zeros(0)))
 
-    return keep.mapInArrow(run, StructType(keep.schema.fields.copy()).add(score_col, "double"))
+    return keep.mapInArrow(lean(run), StructType(keep.schema.fields.copy()).add(score_col, "double"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

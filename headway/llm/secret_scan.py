@@ -23,7 +23,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
-from .tables import small_batches, texts
+from .tables import lean, small_batches, texts
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "random")
@@ -166,7 +166,7 @@ def masked(docs: DataFrame, text_col: str = "text", chars_col: str | None = None
                 b = b.set_column(n_at, b.schema.field(n_at), pa.array(n, b.schema.field(n_at).type))
             yield b
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:

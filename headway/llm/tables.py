@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +15,23 @@ from pyspark.sql import functions as F
 from headway.session import shared_path
 
 
+def lean(run):
+    """``run`` for ``mapInArrow``, giving free memory back to the system when a task ends.
+
+    Spark's Python workers serve the tasks of later stages too, and would keep
+    what the largest of all tasks needed."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+        if trim is not None:
+            trim(0)
+
+    return task
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -80,4 +99,4 @@ def marked(rows: DataFrame, id_col: str, wanted: DataFrame, wanted_col: str, inv
             if hit.any():
                 yield b.filter(pa.array(hit)).drop_columns(["__bit"])
 
-    return rows.withColumn("__bit", _bit(id_col)).mapInArrow(run, rows.schema)
+    return rows.withColumn("__bit", _bit(id_col)).mapInArrow(lean(run), rows.schema)
