@@ -79,22 +79,22 @@ def attach_matches(scorable: DataFrame, matches: DataFrame | None, visibility_la
     )
 
 
-def score(predictions: DataFrame, matches: DataFrame | None, visibility_lag_s: int | None = VISIBILITY_LAG_S) -> DataFrame:
-    """prediction_accuracy rows for every 5-minute block present in ``predictions``.
-
-    Signed error = actual - predicted, graded on arrival when the prediction
-    has one, else on departure; accurate when strictly inside the bin's
-    tolerance.  Unmatched predictions count in num_predictions only."""
-    s = attach_matches(scorable_predictions(predictions), matches, visibility_lag_s)
+def graded(rows: DataFrame) -> DataFrame:
+    """Signed error = actual - predicted, graded on arrival when the prediction
+    has one, else on departure; accurate when strictly inside the bin's tolerance."""
     err = F.when(
         F.col("arrival_time").isNotNull(), F.col("ve_arrival_time") - F.col("arrival_time")
     ).otherwise(F.col("ve_departure_time") - F.col("departure_time"))
     emin, emax = bin_error_bounds("bin")
-    s = s.withColumn("err", err).withColumn(
+    return rows.withColumn("err", err).withColumn(
         "accurate", F.when((F.col("err") > emin) & (F.col("err") < emax), 1).otherwise(0)
     )
+
+
+def accuracy_rows(rows: DataFrame, *more_keys) -> DataFrame:
+    """prediction_accuracy rows of graded predictions (``more_keys``: a stream's event-time window)."""
     keys = ["environment", "block_start", "route_id", "stop_id", "direction_id", "bin", "kind", "in_next_two"]
-    agg = s.groupBy(*keys).agg(
+    agg = rows.groupBy(*keys, *more_keys).agg(
         F.count(F.lit(1)).cast("int").alias("num_predictions"),
         F.sum("accurate").cast("int").alias("num_accurate_predictions"),
         F.avg("err").alias("mean_error"),
@@ -119,6 +119,13 @@ def score(predictions: DataFrame, matches: DataFrame | None, visibility_lag_s: i
     )
 
 
+def score(predictions: DataFrame, matches: DataFrame | None, visibility_lag_s: int | None = VISIBILITY_LAG_S) -> DataFrame:
+    """prediction_accuracy rows for every 5-minute block present in ``predictions``.
+
+    Unmatched predictions count in num_predictions only."""
+    return accuracy_rows(graded(attach_matches(scorable_predictions(predictions), matches, visibility_lag_s)))
+
+
 def score_block(predictions: DataFrame, matches: DataFrame | None, block_start_s: int, **kw) -> DataFrame:
     """Score one block (the scheduled 5-minute run): prune to the block first
     so the file-time predicate reaches the scan."""
