@@ -170,8 +170,9 @@ def flatten_cr_predictions(docs: DataFrame) -> DataFrame:
 # ---- S3 / P7 / W3: subway vehicle positions -----------------------------------
 
 
-def parse_vehicle_feed(docs: DataFrame) -> DataFrame:
-    """Vehicle snapshots -> records with ``parse_status`` valid / ignore / error.
+def parse_vehicle_feed(docs: DataFrame, raw: bool = False) -> DataFrame:
+    """Vehicle snapshots -> records with ``parse_status`` valid / ignore / error;
+    with ``raw`` also the ``entity`` they were parsed from, as JSON.
 
     error: a required field is missing or has a bad value or type; ignore: the
     record is well formed but its stop id is no string.  A document without
@@ -196,6 +197,7 @@ def parse_vehicle_feed(docs: DataFrame) -> DataFrame:
         generic_stop_id(_text(ent, v + "stop_id")).alias("stop_id"),
         F.col(v + "timestamp").alias("timestamp"),
         _present(ent, v + "stop_id").alias("_stop"),
+        *([F.to_json("e").alias("entity")] if raw else []),
     )
     well_formed = (
         F.col("is_deleted").isNotNull()
@@ -257,10 +259,10 @@ def parse_cr_vehicles(docs: DataFrame, environment: str = "prod") -> DataFrame:
     return last_record_per_vehicle(cr_vehicle_records(docs, environment))
 
 
-def cr_vehicle_records(docs: DataFrame, environment: str = "prod") -> DataFrame:
-    """Valid records of commuter-rail vehicles: only the prod tracker reads them.  Records
-    missing any required key, or whose stop relationship has no data, are rejected."""
-    ent = docs.filter(F.col("data").isNotNull()).select(
+def parse_cr_feed(docs: DataFrame, environment: str = "prod", raw: bool = False) -> DataFrame:
+    """Records of commuter-rail vehicles with ``parse_status`` valid / error (and ``raw`` their ``entity``): only the prod tracker
+    reads them.  Records missing any required key, or whose stop relationship has no data, are errors."""
+    ent = docs.filter(F.col("data").isNotNull() & F.lit(environment == "prod")).select(
         "snapshot_time", F.posexplode("data").alias("pos", "d")
     )
     a, r = "d.attributes.", "d.relationships."
@@ -280,12 +282,18 @@ def cr_vehicle_records(docs: DataFrame, environment: str = "prod") -> DataFrame:
         iso8601_to_epoch(F.col(a + "updated_at")).alias("timestamp"),
         F.col(a + "updated_at").alias("_updated_at"),
         F.col(r + "stop.data").isNotNull().alias("_stop"),
+        *([F.to_json("d").alias("entity")] if raw else []),
     )
     ok = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("_updated_at").isNotNull() & F.col(
         "current_status"
     ).isin(VEHICLE_STATUSES) & F.col("route_id").isNotNull() & F.col("trip_id").isNotNull() & F.col("_stop")
-    keep = F.coalesce(ok, F.lit(False)) & F.lit(environment == "prod")
-    return recs.filter(keep).drop("_updated_at", "_stop")
+    status = F.when(F.coalesce(ok, F.lit(False)), F.lit("valid")).otherwise(F.lit("error"))
+    return recs.withColumn("parse_status", status).drop("_updated_at", "_stop")
+
+
+def cr_vehicle_records(docs: DataFrame, environment: str = "prod") -> DataFrame:
+    """The valid records of ``parse_cr_feed``."""
+    return parse_cr_feed(docs, environment).filter(F.col("parse_status") == "valid").drop("parse_status")
 
 
 # ---- S6: snapshot dedupe ----------------------------------------------------

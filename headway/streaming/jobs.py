@@ -1,9 +1,8 @@
 """Structured Streaming jobs over landed feed files.
 
-* vehicle tracker: vehicle snapshots (JSON files) -> deduped -> records stored
-  by feed and hour -> transitions table by hour (``foreachBatch``).  The pages
-  of one snapshot may land in different batches: a snapshot whose rows are out
-  already is written anew, with its whole hour, when more of it lands;
+* vehicle tracker: vehicle snapshots (JSON files) -> deduped -> records,
+  quarantine, counts and transitions by feed and hour, published together
+  (``foreachBatch``, see ``snapshots``);
 * prediction ingest: trip-update snapshots -> flattened rows -> predictions
   table by file date and environment (``foreachBatch``: every batch
   overwrites its own ``batch_id=`` folder, so replays are idempotent).  The
@@ -21,7 +20,6 @@ Checkpoint folders must live in shared storage (the cluster's
 from __future__ import annotations
 
 import datetime as _dt
-from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,9 +32,7 @@ from headway.operators import matching as M
 from headway.operators import scoring as S
 from headway.operators.maintenance import write_accuracy
 from headway.sources import schemas as SC
-from headway.streaming.tracker import OUTPUT_SCHEMA, RECORD_SCHEMA, track, tracker_input
-
-HOUR_S = 3600
+from headway.streaming.snapshots import store_batch, stored_transitions
 
 
 def read_feed(spark: SparkSession, landing: str, schema, max_files: int | None = None,
@@ -53,7 +49,8 @@ def dedupe_stream(docs: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     """Drop re-fetched snapshots (same Last-Modified for the same feed); of a
     snapshot landed in pages every page counts for itself.  A snapshot without
     the header is kept.  ``watermark``: how late a snapshot may land behind the
-    newest one; later ones are not processed, since their vehicles have moved on."""
+    newest one of any feed; later ones are dropped.  The tracker has no such
+    limit: it looks its snapshots up among those it has stored."""
     told = F.coalesce("last_modified", F.concat(F.lit("snapshot "), F.col("snapshot_time").cast("string")))
     page = F.coalesce("page", F.lit(0)) if "page" in docs.columns else F.lit(0)
     return (
@@ -64,85 +61,22 @@ def dedupe_stream(docs: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     )
 
 
-def _hours(spark: SparkSession, path: str, below: str = "") -> dict[str, list[int]]:
-    """Feed folder -> the hours stored in it, ascending."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/environment=*/mode=*/feed_hour=*{below}")
-    out: dict[str, list[int]] = {}
-    for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []:
-        feed, hour = s.getPath().toString().removesuffix(below).rsplit("/feed_hour=", 1)
-        out.setdefault(feed, []).append(int(hour))
-    return {feed: sorted(hours) for feed, hours in out.items()}
-
-
-def _with_hour(df: DataFrame) -> DataFrame:
-    return df.withColumn("feed_hour", F.col("snapshot_time") - F.pmod("snapshot_time", F.lit(HOUR_S)))
-
-
-def store_transitions(rows: DataFrame, records: str, out_path: str, epoch_id: int) -> None:
-    """Store one micro-batch of tracker input rows under ``records``, and write
-    the transitions of its snapshots.  They are appended if the snapshots are
-    the newest of their feeds; else (a later page of a snapshot, a late
-    snapshot, a replayed batch) their hours and the feed's next ones are
-    written anew."""
-    spark = rows.sparkSession
-    rows = _with_hour(rows).withColumn("batch_id", F.lit(epoch_id).cast("long"))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*E.FEED_KEYS, "feed_hour", "batch_id").parquet(records)
-    landed = _hours(spark, records, f"/batch_id={epoch_id}")
-    if not landed:
-        return
-    hours = _hours(spark, records)
-    touched = {h for new in landed.values() for h in new}
-    for feed, new in landed.items():
-        # an hour's first snapshot follows the last one of the feed's hour before
-        touched |= {h for i in (bisect_right(hours[feed], h) for h in new) for h in hours[feed][i : i + 1]}
-    need = []
-    for feed, have in hours.items():
-        use = (touched & set(have)) | {have[i - 1] for i in (bisect_left(have, h) for h in touched) if i}
-        need += [f"{feed}/feed_hour={h}" for h in sorted(use)]
-    schema = f"environment string, mode string, snapshot_time long, pos int, id string, {RECORD_SCHEMA}, feed_hour long, batch_id long"
-    stored = spark.read.schema(schema).option("basePath", records).parquet(*need)
-    t = _with_hour(track(stored.drop("feed_hour", "batch_id"))).filter(F.col("feed_hour").isin(sorted(touched)))
-
-    own = F.col("batch_id") == epoch_id
-    new = stored.filter(own).select(*E.FEED_KEYS, "snapshot_time").distinct()
-    span = stored.groupBy(*E.FEED_KEYS).agg(
-        F.min(F.when(own, F.col("snapshot_time"))).alias("first"), F.max(F.when(~own, F.col("snapshot_time"))).alias("before"))
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    folders = {h: hadoop.Path(f"{out_path}/feed_hour={h}") for h in sorted(touched)}
-    fs = hadoop.Path(out_path).getFileSystem(spark._jsc.hadoopConfiguration())
-    exist = [h for h, p in folders.items() if fs.exists(p)]
-    out = spark.read.schema(OUTPUT_SCHEMA).parquet(*[folders[h].toString() for h in exist]) if exist else None
-    again = out is not None and not out.join(new, [*E.FEED_KEYS, "snapshot_time"], "left_semi").isEmpty()
-    if not again and span.filter(F.col("before") >= F.col("first")).isEmpty():
-        t.join(new, [*E.FEED_KEYS, "snapshot_time"], "left_semi").write.mode("append").partitionBy("feed_hour").parquet(out_path)
-        return
-    t = t.persist()
-    t.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("feed_hour").parquet(out_path)
-    full = {r.feed_hour for r in t.select("feed_hour").distinct().collect()}
-    for h in exist:
-        if h not in full:  # an overwrite leaves a partition without rows alone
-            fs.delete(folders[h], True)
-    t.unpersist()
-
-
 def start_vehicle_tracker(spark: SparkSession, landing: str, out_path: str, checkpoint: str,
                           available_now: bool = True, processing_time: str = "1 second",
-                          one_doc_per_file: bool = True, max_files: int = 500, watermark: str = "10 minutes",
-                          mode: str = "subway"):
-    """``max_files`` bounds a micro-batch, so a backlog is worked off in steps.
-    The records are kept beside the checkpoint, by feed and hour."""
-    rail = mode == "commuter_rail"
-    docs = read_feed(spark, landing, SC.CR_VEHICLES if rail else SC.VEHICLE_FEED, max_files, one_doc_per_file)
-    if rail:  # which one (the prod) feed reports
+                          one_doc_per_file: bool = True, max_files: int = 500, mode: str = "subway", facts_path: str | None = None):
+    """Publish the transitions of the landed vehicle snapshots, and what they come from, under ``out_path`` (see ``snapshots``).
+
+    ``max_files`` bounds a micro-batch, so a backlog is worked off in steps.
+    ``facts_path``: where to append what is seen of vehicle events, for the
+    streams of ``live``."""
+    docs = read_feed(spark, landing, SC.CR_VEHICLES if mode == "commuter_rail" else SC.VEHICLE_FEED, max_files, one_doc_per_file)
+    if mode == "commuter_rail":  # which one (the prod) feed reports
         docs = docs.withColumns({"environment": F.lit("prod"), "mode": F.lit("commuter_rail")})
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        batch.persist()
-        recs = IN.cr_vehicle_records(batch) if rail else IN.parse_vehicle_feed(batch).filter(F.col("parse_status") == "valid")
-        store_transitions(tracker_input(recs, batch.select(*E.FEED_KEYS, "snapshot_time")), f"{checkpoint}-records", out_path, epoch_id)
-        batch.unpersist()
+        store_batch(batch, out_path, epoch_id, writer=f"tracker {checkpoint}", rail=mode == "commuter_rail", facts_path=facts_path)
 
-    w = dedupe_stream(docs, watermark).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    w = docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
     return w.start()
 
@@ -209,7 +143,8 @@ def run_scoring(spark: SparkSession, transitions_path: str, predictions_path: st
     since = service_day_start(now_s - VISIBILITY_LAG_S) if since_s is None else since_s
     since -= since % BLOCK_S  # whole blocks only: a block is replaced as a whole
     predictions = stored_predictions(spark, predictions_path, since, now_s)
-    acc = score_closed_blocks(spark.read.parquet(transitions_path), predictions, now_s, since_s=since)
+    transitions = stored_transitions(spark, transitions_path, since - MAX_DWELL_S - TERMINAL_MATCH_WINDOW_S, now_s)
+    acc = score_closed_blocks(transitions, predictions, now_s, since_s=since)
     write_accuracy(acc, out_path)
 
 
@@ -222,7 +157,7 @@ def run_matching(spark: SparkSession, transitions_path: str, predictions_path: s
     day = lambda d: int(_dt.datetime.combine(d, _dt.time(), _dt.timezone.utc).timestamp())
     lo, hi = day(first), day(last + _dt.timedelta(days=1))
     reach = 2 * MAX_DWELL_S + TERMINAL_MATCH_WINDOW_S
-    t = spark.read.parquet(transitions_path).filter(F.col("transition") != "dropped")
+    t = stored_transitions(spark, transitions_path, lo - reach, hi + reach).filter(F.col("transition") != "dropped")
     t = t.filter((F.col("snapshot_time") >= lo - reach) & (F.col("snapshot_time") < hi + reach))
     events = E.vehicle_events(t)
     p = stored_predictions(spark, predictions_path, lo, hi)

@@ -47,7 +47,7 @@ def test_streaming_micro_batches_equal_batch(spark, tmp_path):
                     f.write(json.dumps(d.asDict(recursive=True)) + "\n")
         q = J.start_vehicle_tracker(spark, str(landing), out, ckpt, available_now=True, one_doc_per_file=False)
         q.awaitTermination(300)
-    got_rows = spark.read.parquet(out).collect()
+    got_rows = J.stored_transitions(spark, out).collect()
     got = {tuple(r[k] for k in KEY): r.transition for r in got_rows if r.transition != "dropped"}
     assert got == _batch(spark)
 
@@ -173,8 +173,8 @@ def test_pages_of_one_vehicle_snapshot_in_two_batches(spark, tmp_path):
     landing.mkdir()
     for n, (t, page, ids) in enumerate(pages):
         (landing / f"{n}.json").write_text(json.dumps(doc(t, page, ids)))
-        J.start_vehicle_tracker(spark, str(landing), out, ckpt, watermark="2 hours").awaitTermination(300)
-    got = sorted((r.snapshot_time, r.id, r.prev_snapshot_time, r.transition) for r in spark.read.parquet(out).collect())
+        J.start_vehicle_tracker(spark, str(landing), out, ckpt).awaitTermination(300)
+    got = sorted((r.snapshot_time, r.id, r.prev_snapshot_time, r.transition) for r in J.stored_transitions(spark, out).collect())
     new = [(3590, i, None, "new") for i in "abcd"]
     second = [(3605, i, 3590, "none") for i in "abc"] + [(3605, "d", 3590, "dropped")]
     third = [(3620, i, 3605, "none") for i in "abc"]
@@ -222,7 +222,7 @@ def test_commuter_rail_streams_equal_batch(spark, tmp_path):
         part = set(times[i * len(times) // 3 : (i + 1) * len(times) // 3])
         (landing / f"{i}.json").write_text("".join(json.dumps(r.asDict(recursive=True)) + "\n" for r in rows if r.snapshot_time in part))
         J.start_vehicle_tracker(spark, str(landing), out, ckpt, one_doc_per_file=False, mode="commuter_rail").awaitTermination(300)
-    got = {tuple(r[k] for k in KEY): r.transition for r in spark.read.parquet(out).collect() if r.transition != "dropped"}
+    got = {tuple(r[k] for k in KEY): r.transition for r in J.stored_transitions(spark, out).collect() if r.transition != "dropped"}
     snaps = docs.select(F.lit("prod").alias("environment"), F.lit("commuter_rail").alias("mode"), "snapshot_time").distinct()
     exp = E.vehicle_transitions(IN.parse_cr_vehicles(docs), snaps).collect()
     assert got == {tuple(r[k] for k in KEY): r.transition for r in exp} and len(got) > 100
