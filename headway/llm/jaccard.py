@@ -293,7 +293,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sketch = spark.sparkContext.broadcast(table.tobytes())
 
     k = keys(docs, id_col, text_col, sketch, cut)
-    shared = k.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other"), F.count("*").alias("size")).where("leader != other").select("key", "leader", "size")
+    shared = k.groupBy("key").agg(F.min(F.struct("node", "n")).alias("l"), F.max("node").alias("other"), F.count("*").alias("size")).where("l.node != other")
+    shared = shared.select("key", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n"), "size")
     # stored, so that the join deals both sides out anew and Spark can split the rows of a very long list
     shared = stored(shared, "shared")
     lists = stored(k.join(shared, "key"), "lists")
@@ -302,9 +303,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # leaders, the least members by different hashes, so that a large group does not hang on one member that few others link to.
     # Sets that link differ in at most a ninth of their summed sizes, and so do their maps.
     long_ = lists.where(F.col("size") >= LEADERS)
-    leaders = long_.groupBy("key").agg(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(1, LEADERS)]).alias("leaders"))
-    more = long_.select("key", "node").join(leaders, "key").select("node", F.explode(F.array_distinct("leaders")).alias("leader"))
-    meet = lists.select("node", "leader").unionByName(more).where("node != leader").distinct()
+    leaders = long_.groupBy("key").agg(F.array(*[F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(i))) for i in range(1, LEADERS)]).alias("leaders"))
+    more = long_.select("key", "node", "n").join(leaders, "key").select("node", "n", F.explode(F.array_distinct("leaders")).alias("l"))
+    more = more.select("node", "n", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n"))
+    # sizes first, so that the maps are fetched for pairs that may link only
+    near_size = (F.col("n") * DEN >= F.col("leader_n") * NUM) & (F.col("leader_n") * DEN >= F.col("n") * NUM)
+    meet = lists.select("node", "n", "leader", "leader_n").unionByName(more).where((F.col("node") != F.col("leader")) & near_size).select("node", "leader").distinct()
     maps = base.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), *[F.first(m).alias(m) for m in MAP])
     apart = F.expr(" + ".join(f"bit_count(x{m} ^ y{m})" for m in MAP))
     near = apart * (NUM + DEN) <= (F.col("na") + F.col("nb")) * (DEN - NUM)

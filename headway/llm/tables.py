@@ -7,7 +7,6 @@ import gc
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,15 +36,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 BATCH_ROWS = 512
+BATCH_BYTES = 4 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows: texts are long, and Spark's default of 10,000 rows can take a gigabyte in a task.
+    """Arrow batches of few rows and bytes: texts are long, and Spark's default of 10,000 rows can take a gigabyte in a task.
 
     A setting that is not the default is left alone."""
     if spark.conf.get(_BATCH) == "10000":
         spark.conf.set(_BATCH, str(BATCH_ROWS))
+        spark.conf.set(_BYTES, str(BATCH_BYTES))
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -81,22 +83,12 @@ def marked(rows: DataFrame, id_col: str, wanted: DataFrame, wanted_col: str, inv
     """The rows of ``rows`` whose id may be one of ``wanted``: all that are and, by hash, a few others.
 
     With ``inverse`` the rest: rows whose id is certainly not one of them.  A filter before a join on the id, so that a join with few ids does not
-    shuffle every text.  What goes through the driver is a bit table of fixed
-    size (1 MB), whatever the number of ids; a full table lets every row pass."""
-    spark = rows.sparkSession
+    shuffle every text.  What is broadcast is a bit table of fixed size (at most
+    131,072 rows of 64 bits), whatever the number of ids; a full table lets
+    every row pass."""
     bit = wanted.select(_bit(wanted_col).alias("b"))
-    words = bit.groupBy(F.expr("b div 32").alias("w")).agg(F.expr("bit_or(shiftleft(1L, b % 32))").alias("x"))
-    table_ = np.zeros(BITS // 32, dtype=np.uint32)
-    for batch in words.toArrow().to_batches():
-        table_[batch.column(0).to_numpy()] = batch.column(1).to_numpy().astype(np.uint32)
-    shared = spark.sparkContext.broadcast(table_.tobytes())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = np.frombuffer(shared.value, dtype=np.uint32)
-        for b in batches:
-            at = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)
-            hit = ((t[at >> 5] >> (at & 31).astype(np.uint32)) & 1).astype(bool) != inverse
-            if hit.any():
-                yield b.filter(pa.array(hit)).drop_columns(["__bit"])
-
-    return rows.withColumn("__bit", _bit(id_col)).mapInArrow(lean(run), rows.schema)
+    words = bit.groupBy(F.expr("b div 64").alias("__word")).agg(F.expr("bit_or(shiftleft(1L, b % 64))").alias("__bits"))
+    words = stored(words, "bit-table")
+    out = rows.withColumn("__bit", _bit(id_col)).withColumn("__word", F.expr("__bit div 64")).join(F.broadcast(words), "__word", "left")
+    hit = F.coalesce(F.expr("bit_get(__bits, __bit % 64) = 1"), F.lit(False))
+    return out.where(~hit if inverse else hit).drop("__word", "__bit", "__bits")
