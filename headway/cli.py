@@ -1,14 +1,15 @@
 """Command-line entry points for the scheduled jobs (spark-submit friendly).
 
-  python -m headway.cli track-vehicles  --landing L --out T --checkpoint C [--mode commuter_rail] [--continuous]
+  python -m headway.cli track-vehicles  --landing L --out T --checkpoint C [--mode commuter_rail] [--facts F] [--continuous]
   python -m headway.cli ingest-predictions --landing L --out P --checkpoint C [--mode commuter_rail] [--continuous]
   python -m headway.cli score           --transitions T --predictions P --out A --now EPOCH [--since EPOCH]
   python -m headway.cli score-blocks    --predictions P --transitions T --out A --checkpoint C [--continuous]
   python -m headway.cli match           --transitions T --predictions P --events E --matches M --first DATE [--last DATE]
   python -m headway.cli departures      --events E --predictions P --matches M --report R --date DATE --out CSV [--env prod] [--route R] [--stop S] [--stops DOCS]
   python -m headway.cli report          --accuracy A --out CSV --chart-range Hourly --service-date 2024-01-15 [filters]
-  python -m headway.cli prune           --predictions P --events E --out-predictions P2 --out-events E2 --as-of EPOCH
-  python -m headway.cli backfill        --source A --dest B --cursor 2024-01-01 [--today 2024-03-01]
+  python -m headway.cli prune           --predictions P --events E --as-of EPOCH [--transitions T] [--out-predictions P2 --out-events E2]
+  python -m headway.cli backfill        --source A --dest B [--cursor 2024-01-01] [--today 2024-03-01]
+  python -m headway.cli live            --predictions P --facts F --out A --checkpoint C --what score|match --env prod [--continuous]
   python -m headway.cli reconcile       --a A --b B [--key id]
   python -m headway.cli drops           --accuracy A --today 2024-01-16
 
@@ -78,6 +79,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--out", required=True)
     p.add_argument("--checkpoint", required=True)
     p.add_argument("--mode", default="subway", choices=["subway", "commuter_rail"])
+    p.add_argument("--facts", help="also append what is seen of vehicle events here, for `live`")
     p.add_argument("--continuous", action="store_true")
 
     p = sub.add_parser("ingest-predictions")
@@ -101,6 +103,13 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--checkpoint", required=True)
     p.add_argument("--continuous", action="store_true")
 
+    p = sub.add_parser("live")
+    for opt in ["predictions", "facts", "out", "checkpoint"]:
+        p.add_argument("--" + opt, required=True)
+    p.add_argument("--what", default="score", choices=["score", "match"])
+    p.add_argument("--env", default="prod", help="a watermark is a stream's: one run for each environment")
+    p.add_argument("--continuous", action="store_true")
+
     p = sub.add_parser("match")
     for opt in ["transitions", "predictions", "events", "matches"]:
         p.add_argument("--" + opt, required=True)
@@ -131,14 +140,15 @@ def main(argv: list[str] | None = None) -> int:
     p = sub.add_parser("prune")
     p.add_argument("--predictions", required=True)
     p.add_argument("--events", required=True)
-    p.add_argument("--out-predictions", required=True)
-    p.add_argument("--out-events", required=True)
+    p.add_argument("--out-predictions", help="write the kept rows here; default: drop expired days in place")
+    p.add_argument("--out-events")
+    p.add_argument("--transitions", help="a tracker's root, pruned and compacted in place")
     p.add_argument("--as-of", type=int, required=True)
 
     p = sub.add_parser("backfill")
     p.add_argument("--source", required=True)
     p.add_argument("--dest", required=True)
-    p.add_argument("--cursor", type=_date, required=True)
+    p.add_argument("--cursor", type=_date, help="copy from here into a plain table; default: the cursor stored in the published table --dest")
     p.add_argument("--today", type=_date, default=dt.datetime.now(dt.timezone.utc).date())
 
     p = sub.add_parser("reconcile")
@@ -156,7 +166,7 @@ def main(argv: list[str] | None = None) -> int:
     if a.cmd == "track-vehicles":
         from headway.streaming.jobs import start_vehicle_tracker
 
-        start_vehicle_tracker(spark, a.landing, a.out, a.checkpoint, available_now=not a.continuous, mode=a.mode).awaitTermination()
+        start_vehicle_tracker(spark, a.landing, a.out, a.checkpoint, available_now=not a.continuous, mode=a.mode, facts_path=a.facts).awaitTermination()
     elif a.cmd == "ingest-predictions":
         from headway.streaming.jobs import start_prediction_ingest
 
@@ -171,6 +181,13 @@ def main(argv: list[str] | None = None) -> int:
         start_block_scorer(
             spark, a.predictions, a.transitions, a.out, a.checkpoint, available_now=not a.continuous
         ).awaitTermination()
+    elif a.cmd == "live":
+        from headway.streaming import live as L
+
+        of = F.col("environment") == a.env
+        p, f = (spark.readStream.schema(spark.read.parquet(x).schema).parquet(x).filter(of) for x in (a.predictions, a.facts))
+        out = (L.score_stream if a.what == "score" else L.match_stream)(p, f)
+        L.start_live(out, a.out, a.checkpoint, available_now=not a.continuous).awaitTermination()
     elif a.cmd == "match":
         from headway.streaming.jobs import run_matching
 
@@ -201,11 +218,30 @@ def main(argv: list[str] | None = None) -> int:
     elif a.cmd == "prune":
         from headway.operators import maintenance as MT
 
-        MT.prune_predictions(spark.read.parquet(a.predictions), a.as_of).write.mode("overwrite").parquet(a.out_predictions)
-        MT.prune_events(spark.read.parquet(a.events), a.as_of).write.mode("overwrite").parquet(a.out_events)
+        if a.out_predictions:
+            MT.prune_predictions(spark.read.parquet(a.predictions), a.as_of).write.mode("overwrite").parquet(a.out_predictions)
+        else:
+            print(json.dumps({"predictions": MT.prune_stored_predictions(spark, a.predictions, a.as_of)}))
+        if a.out_events:
+            MT.prune_events(spark.read.parquet(a.events), a.as_of).write.mode("overwrite").parquet(a.out_events)
+        else:
+            print(json.dumps({"events": MT.prune_stored_events(spark, a.events, a.as_of)}))
+        if a.transitions:
+            from headway.functions.constants import MAX_DWELL_S, PRUNE_LOOKBACK_S
+            from headway.streaming import snapshots as SN
+            from headway.streaming.published import Published
+
+            SN.prune_tracker(spark, a.transitions, a.as_of - PRUNE_LOOKBACK_S - MAX_DWELL_S)
+            SN.compact_tracker(spark, a.transitions, a.as_of - 86400)
+            Published(spark, a.transitions).vacuum()
     elif a.cmd == "backfill":
         from headway.operators import maintenance as MT
 
+        if a.cursor is None:
+            from headway.streaming.backfill import run_backfill
+
+            print(json.dumps(run_backfill(spark, spark.read.parquet(a.source), a.dest, a.today)))
+            return 0
         rows, report = MT.backfill_run(spark.read.parquet(a.source), a.cursor, a.today)
         first, last, status, nxt = MT.backfill_window(a.cursor, a.today)
         if status == "copied":

@@ -1,15 +1,15 @@
 """Retention, weekly partitioning, windowed backfill and reconciliation.
 
-Tables are Parquet datasets; "deleting" is writing the kept rows (a
-partition-level overwrite) and "partitions" are a derived ``week_start``
-column used with ``partitionBy``, so a new week needs no DDL.
+Tables are Parquet datasets; stored ones are pruned by dropping the folders of
+expired dates, and "partitions" are a derived ``week_start`` column used with
+``partitionBy``, so a new week needs no DDL.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headway.functions.constants import MATTAPAN_MAX_DWELL_S, MAX_DWELL_S, PRUNE_LOOKBACK_S
@@ -28,6 +28,56 @@ def prune_events(events: DataFrame, as_of: int, lookback_s: int = PRUNE_LOOKBACK
     return events.filter(F.col("arrival_time").isNull() | (F.col("arrival_time") >= cutoff))
 
 
+def expired_folders(spark: SparkSession, path: str, column: str, cutoff_s: int, slack_s: int = 0) -> list[str]:
+    """The ``column=date`` folders, at any depth of one or two below ``path``, whose UTC day ended ``slack_s`` before ``cutoff_s``."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    out = []
+    for pattern in (f"{path}/{column}=*", f"{path}/*/{column}=*"):
+        p = fs.Path(pattern)
+        for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []:
+            name = s.getPath().toString()
+            day = name.rsplit("=", 1)[1]
+            if day.startswith("__HIVE"):  # rows without a date are never pruned
+                continue
+            end = _dt.datetime.combine(_dt.date.fromisoformat(day), _dt.time(), _dt.timezone.utc).timestamp() + 86400
+            if end + slack_s <= cutoff_s:
+                out.append(name)
+    return sorted(out)
+
+
+def _delete(spark: SparkSession, folders: list[str]) -> None:
+    for f in folders:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def prune_stored_predictions(spark: SparkSession, path: str, as_of: int, lookback_s: int = PRUNE_LOOKBACK_S) -> list[str]:
+    """Drop the ``file_date`` folders of which ``prune_predictions`` would keep no row.  No row is read: those of the
+    cutoff's own day go with their day."""
+    folders = expired_folders(spark, path, "file_date", as_of - lookback_s)
+    _delete(spark, folders)
+    return folders
+
+
+def prune_stored_events(spark: SparkSession, path: str, as_of: int, lookback_s: int = PRUNE_LOOKBACK_S) -> list[str]:
+    """Drop the ``event_date`` folders that hold only events which ``prune_events`` would drop.
+
+    An event's day is that of its arrival's snapshot, so a day has another day
+    of grace for the vehicle's own clock.  A folder with an open record, which
+    has no arrival time, stays; to find them only that column is read, of the
+    expired folders alone."""
+    cutoff = as_of - lookback_s - max(MAX_DWELL_S, MATTAPAN_MAX_DWELL_S)
+    folders = expired_folders(spark, path, "event_date", cutoff, slack_s=86400)
+    if not folders:
+        return []
+    rows = spark.read.option("basePath", path).parquet(*folders)
+    kept = rows.filter(F.col("arrival_time").isNull() | (F.col("arrival_time") >= cutoff)).select("event_date").distinct().collect()  # a row a day
+    stay = {str(r.event_date) for r in kept}
+    gone = [f for f in folders if f.rsplit("=", 1)[1] not in stay]
+    _delete(spark, gone)
+    return gone
+
+
 def with_week_partition(acc: DataFrame) -> DataFrame:
     """Add ``week_start`` (Monday) and the partition label ``week_of_YYYY_MM_DD``."""
     return acc.withColumn("week_start", week_start("service_date")).withColumn("week_label", week_label("service_date"))
@@ -113,11 +163,37 @@ def backfill_run(source: DataFrame, cursor: _dt.date, today: _dt.date) -> tuple[
     return rows, report
 
 
+def date_digests(copy: DataFrame, key: str = "id") -> DataFrame:
+    """One row for each service date: the number of rows, and order-free digests of their keys."""
+    h = F.xxhash64(key)
+    return copy.groupBy("service_date").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col(key).isNull()).alias("no_key"),
+        F.bit_xor(h).alias("xor"),
+        F.sum(F.pmod(F.xxhash64(h, F.lit("sum")), F.lit(1 << 31))).alias("sum"),
+    )
+
+
+def differing_dates(a: DataFrame, b: DataFrame, key: str = "id") -> DataFrame:
+    """The service dates on which the copies do not hold the same keys (or hold rows without one)."""
+    x, y = date_digests(a, key).alias("x"), date_digests(b, key).alias("y")
+    j = x.join(y, F.col("x.service_date").eqNullSafe(F.col("y.service_date")), "full_outer")
+    same = F.lit(True)
+    for c in ("n", "xor", "sum"):
+        same = same & F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
+    return j.filter(~same | (F.col("x.no_key") > 0)).select(F.coalesce("x.service_date", "y.service_date").alias("service_date"))
+
+
 def unmatched_rows(a: DataFrame, b: DataFrame, key: str = "id") -> DataFrame:
-    """Full outer join of two copies on the id; rows present on one side only,
-    with the side they come from."""
-    x = a.select(F.col(key).alias("_a"), F.col("service_date").alias("_sa"))
-    y = b.select(F.col(key).alias("_b"), F.col("service_date").alias("_sb"))
+    """Rows present in one copy only, with the side they come from; an id stands once in each copy.
+
+    Only the rows of dates whose digests differ are shuffled into the full
+    outer join on the id: of equal copies, none.  The dates are broadcast; there
+    is one row for each day of the history."""
+    dates = F.broadcast(differing_dates(a, b, key).withColumnRenamed("service_date", "_date"))
+    only = lambda t: t.join(dates, F.col("service_date").eqNullSafe(F.col("_date")), "left_semi")
+    x = only(a).select(F.col(key).alias("_a"), F.col("service_date").alias("_sa"))
+    y = only(b).select(F.col(key).alias("_b"), F.col("service_date").alias("_sb"))
     j = x.join(y, F.col("_a") == F.col("_b"), "full_outer").filter(F.col("_a").isNull() | F.col("_b").isNull())
     return j.select(
         F.when(F.col("_b").isNull(), F.lit("monolithic")).otherwise(F.lit("partitioned")).alias("side"),

@@ -211,7 +211,7 @@ def prune_tracker(spark: SparkSession, path: str, before_s: int) -> Version:
         env, mode, hour = feed_of(q)
         return 0 <= hour and hour + HOUR_S <= before_s and not (table == "records" and hour == newest[env, mode])
 
-    drop = {t: [q for q in parts if old(t, q)] for t, parts in base.tables.items()}
+    drop = {t: [q for q in base.tables.get(t, {}) if old(t, q)] for t in SCHEMAS}
     return p.commit(base, drop=drop) if any(drop.values()) else base
 
 
