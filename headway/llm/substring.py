@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textcore as X
-from .tables import marked, stored, texts
+from .tables import discard, marked, stored, texts
 
 K = 13
 ANCHOR = 4
@@ -245,6 +245,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     path = stored(path, "paths")
     hit = e.join(path, ["e1", "e2"]).where("doc_id > path_doc").select("doc_id", "part", "pos", "path_doc", "path", "at")
     hit = stored(hit, "occurrences")  # so that the shuffled edges go before the occurrences are dealt out by document
+    discard(e, path)
     v = Window.partitionBy("doc_id", "part").orderBy("pos")
     on = F.lit(True)
     for c, step in (("pos", 1), ("path_doc", 0), ("path", 0), ("at", 1)):
@@ -255,7 +256,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = spans.select(
         "doc_id", "part", "pos", (F.col("n_edges") + k - 1).alias("n_words"), "path_doc",
         F.shiftright("at", 32).cast("int").alias("path_part"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("path_pos"), "n_edges")
-    return stored(spans, "spans"), lists.select("doc_id", "part", "node")
+    spans, parts = stored(spans, "spans"), stored(lists.select("doc_id", "part", "node"), "parts")
+    discard(hit, lists)
+    return spans, parts
 
 
 PLACE = ["path_doc", "path_part", "path_pos", "n_words"]

@@ -68,10 +68,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(spark, "headway-llm", f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
     spark.sparkContext._jvm.System.gc()
     return out
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete ``stored`` tables that nothing reads any more: what was made of them is a stored table itself."""
+    for t in tables:
+        path = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 BITS = 1 << 23
 
 
