@@ -2,8 +2,8 @@
 
   python -m headway.cli track-vehicles  --landing L --out T --checkpoint C [--mode commuter_rail] [--facts F] [--continuous]
   python -m headway.cli ingest-predictions --landing L --out P --checkpoint C [--mode commuter_rail] [--continuous]
-  python -m headway.cli score           --transitions T --predictions P --out A --now EPOCH [--since EPOCH]
-  python -m headway.cli score-blocks    --predictions P --transitions T --out A --checkpoint C [--continuous]
+  python -m headway.cli score           --transitions T --predictions P --out A --now EPOCH [--since EPOCH] [--publish]
+  python -m headway.cli score-blocks    --predictions P --transitions T --out A --checkpoint C [--publish] [--continuous]
   python -m headway.cli match           --transitions T --predictions P --events E --matches M --first DATE [--last DATE]
   python -m headway.cli departures      --events E --predictions P --matches M --report R --date DATE --out CSV [--env prod] [--route R] [--stop S] [--stops DOCS]
   python -m headway.cli report          --accuracy A --out CSV --chart-range Hourly --service-date 2024-01-15 [filters]
@@ -70,6 +70,14 @@ def _departures(spark, a) -> None:
     out.coalesce(1).write.mode("overwrite").option("header", True).csv(a.out)  # a report: one row per route, stop or departure of a day
 
 
+def _accuracy(spark, path: str):
+    """A published accuracy table at its latest version, or a plain one."""
+    from headway.streaming.accuracy import accuracy
+    from headway.streaming.published import Published
+
+    return accuracy(spark, path) if Published(spark, path).numbers() else spark.read.parquet(path)
+
+
 def main(argv: list[str] | None = None) -> int:
     ap = argparse.ArgumentParser(prog="headway")
     sub = ap.add_subparsers(dest="cmd", required=True)
@@ -95,6 +103,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--out", required=True)
     p.add_argument("--now", type=int, required=True)
     p.add_argument("--since", type=int, help="first block to score; default: start of the service day of the last closed block")
+    p.add_argument("--publish", action="store_true", help="publish the run and its report sums in one version of --out")
 
     p = sub.add_parser("score-blocks")
     p.add_argument("--predictions", required=True)
@@ -102,6 +111,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--out", required=True)
     p.add_argument("--checkpoint", required=True)
     p.add_argument("--continuous", action="store_true")
+    p.add_argument("--publish", action="store_true", help="publish the runs and their report sums in versions of --out")
 
     p = sub.add_parser("live")
     for opt in ["predictions", "facts", "out", "checkpoint"]:
@@ -174,12 +184,12 @@ def main(argv: list[str] | None = None) -> int:
     elif a.cmd == "score":
         from headway.streaming.jobs import run_scoring
 
-        run_scoring(spark, a.transitions, a.predictions, a.out, a.now, a.since)
+        run_scoring(spark, a.transitions, a.predictions, a.out, a.now, a.since, a.publish)
     elif a.cmd == "score-blocks":
         from headway.streaming.jobs import start_block_scorer
 
         start_block_scorer(
-            spark, a.predictions, a.transitions, a.out, a.checkpoint, available_now=not a.continuous
+            spark, a.predictions, a.transitions, a.out, a.checkpoint, available_now=not a.continuous, publish=a.publish
         ).awaitTermination()
     elif a.cmd == "live":
         from headway.streaming import live as L
@@ -203,7 +213,7 @@ def main(argv: list[str] | None = None) -> int:
             "date_end": a.date_end, "route_ids": a.route_ids, "mode": a.mode, "direction_id": a.direction_id,
             "bin": a.bin, "in_next_two": a.in_next_two, "stop_ids": a.stop_ids, "kinds": a.kinds,
         }
-        q, err = FL.filter_accuracy(spark.read.parquet(a.accuracy), params)
+        q, err = FL.filter_accuracy(_accuracy(spark, a.accuracy), params)
         if err:
             print(json.dumps({"error": err}))
             return 2
@@ -255,7 +265,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.cmd == "drops":
         from headway.operators import monitoring as MO
 
-        out = MO.check_accuracy(spark.read.parquet(a.accuracy), a.today).filter(F.col("drop"))
+        out = MO.check_accuracy(_accuracy(spark, a.accuracy), a.today).filter(F.col("drop"))
         print(json.dumps([r.asDict() for r in out.collect()], default=str))  # at most one row per subway route
     return 0
 

@@ -32,6 +32,7 @@ from headway.operators import matching as M
 from headway.operators import scoring as S
 from headway.operators.maintenance import write_accuracy
 from headway.sources import schemas as SC
+from headway.streaming.accuracy import publish_accuracy
 from headway.streaming.snapshots import store_batch, stored_transitions
 
 
@@ -135,17 +136,22 @@ def score_closed_blocks(transitions: DataFrame, predictions: DataFrame, now_s: i
 
 
 def run_scoring(spark: SparkSession, transitions_path: str, predictions_path: str, out_path: str, now_s: int,
-                since_s: int | None = None) -> None:
+                since_s: int | None = None, publish: bool = False) -> None:
     """One scheduled scoring run: score every block closed at ``now_s`` that
     starts at or after ``since_s`` (by default: the current service day) and
     overwrite exactly these blocks.  Re-running it, or running it after a
-    failure, writes the same rows; blocks it does not score stay."""
+    failure, writes the same rows; blocks it does not score stay.  With
+    ``publish`` the run and its report sums appear at once, in one version of
+    the table (see ``accuracy``); without, partition by partition."""
     since = service_day_start(now_s - VISIBILITY_LAG_S) if since_s is None else since_s
     since -= since % BLOCK_S  # whole blocks only: a block is replaced as a whole
     predictions = stored_predictions(spark, predictions_path, since, now_s)
     transitions = stored_transitions(spark, transitions_path, since - MAX_DWELL_S - TERMINAL_MATCH_WINDOW_S, now_s)
     acc = score_closed_blocks(transitions, predictions, now_s, since_s=since)
-    write_accuracy(acc, out_path)
+    if publish:
+        publish_accuracy(spark, acc, out_path)
+    else:
+        write_accuracy(acc, out_path)
 
 
 def run_matching(spark: SparkSession, transitions_path: str, predictions_path: str, events_path: str, matches_path: str,
@@ -194,7 +200,7 @@ def _horizon(spark: SparkSession, path: str, before: int) -> int | None:
 
 
 def start_block_scorer(spark: SparkSession, predictions_path: str, transitions_path: str, out_path: str,
-                       checkpoint: str, lag_s: int = VISIBILITY_LAG_S, available_now: bool = True):
+                       checkpoint: str, lag_s: int = VISIBILITY_LAG_S, available_now: bool = True, publish: bool = False):
     """Event-time scoring trigger: each micro-batch of new prediction files
     advances "now" to the newest file time seen.  Scored are all blocks that
     closed since the last run's horizon and all older ones that the batch
@@ -212,7 +218,7 @@ def start_block_scorer(spark: SparkSession, predictions_path: str, transitions_p
         # a block is open until block_start + lag, so the first one not yet scored starts after this
         since = first if before is None else min(first, before - lag_s)
         now = max(now, before or now)
-        run_scoring(spark, transitions_path, predictions_path, out_path, int(now), int(since))
+        run_scoring(spark, transitions_path, predictions_path, out_path, int(now), int(since), publish)
         done = spark.createDataFrame([(int(now), int(epoch_id))], "now long, epoch long")
         done.write.mode("overwrite").parquet(f"{horizons}/batch={epoch_id}")
 
