@@ -19,7 +19,8 @@ pair of neighbours.  Two things keep the frontier narrow:
 * There are two tries, of the words and of the words read backward.  An edit is
   allowed in the second half of a word only; one in its first half is in the
   second half backward.  So no word is edited near a root, where every node has
-  many children, and all words start below it.
+  many children: a word starts at its middle, and only if another word has the
+  same first half.
 
 A node below which there is one word only needs no further level: what is left
 of both words is compared at once, so the levels are as many as two words have
@@ -116,22 +117,30 @@ def descended(words: DataFrame, half: str) -> DataFrame | None:
     least = words.agg(F.min(F.length("word"))).first()[0]
     if least is None:
         return None
-    start = least // 2 if least > 2 else 0
-    nodes, records = trie(words, start)
+    nodes, records = trie(words, least // 2 if least > 3 else max(least // 2 - 1, 0))
+    # a word starts where its edits are allowed (short ones a letter before, to be left a letter there), and only if other words start so as well
+    first = words.withColumn("pos", F.expr(f"if(length(word) > 3, {half}, greatest({half} - 1, 0))").cast("int")).withColumn("node", F.expr("substring(word, 1, pos)"))
+    first = first.join(nodes.where("words > 1").select(F.col("depth").alias("pos"), "node", "words"), ["pos", "node"])
+    first = stored(first.select("word", "pos", "node", F.lit(0).alias("edits"), "words"), "starts")
+    depth, last = first.agg(F.min("pos"), F.max("pos")).first()
+    if depth is None:
+        return words.select(F.col("word").alias("a"), F.col("word").alias("b")).limit(0)
     salt = F.expr(f"pmod(xxhash64(word), words div {HEAVY} + 1)").cast("int")
-    first = words.withColumn("node", F.expr(f"substring(word, 1, {start})")).join(nodes.where(F.col("depth") == start).select("node", "words"), "node")
-    states = first.where("words > 1").select("word", F.lit(start).alias("pos"), "node", F.lit(0).alias("edits"), "words")
-    pairs, depth = None, start
+    pairs, live_states = None, None
     while True:
+        states = first.where(F.col("pos") == depth)
+        states = states if live_states is None else states.unionByName(live_states)
         here = records.where(F.col("depth") == depth).drop("depth")
-        moved = states.withColumn("salt", salt).join(here, ["node", "salt"]).select("word", "pos", "edits", F.explode("kids").alias("kid"))
-        moved = moved.select("word", "pos", "edits", "kid.*").withColumns({"next": _letter("word", "pos"), "after": _letter("word", "pos + 1")})
+        at = states.withColumn("salt", salt).join(here, ["node", "salt"]).withColumns({"next": _letter("word", "pos"), "after": _letter("word", "pos + 1")})
+        fresh = (F.col("edits") == 0) & (F.col("pos") >= F.expr(half)) & (F.col("next") != "")
+        # of equal letters in a row, the last is the one left out
+        may_leave = fresh & (F.col("next") != F.col("after"))
+        some = F.filter("kids", lambda k: (k["letter"] == F.col("next")) | (fresh & (k["letter"] > F.col("next"))) | (may_leave & (k["letter"] == F.col("after"))))
+        moved = at.select("word", "pos", "edits", "next", "after", F.explode(some).alias("kid")).select("word", "pos", "edits", "next", "after", "kid.*")
         step = lambda letters, edits: F.struct(F.lit(letters).alias("letters"), F.lit(edits).alias("edits"))
-        fresh = (F.col("edits") == 0) & (F.col("pos") >= F.expr(half))
         same = F.when(F.col("letter") == F.col("next"), F.struct(F.lit(1).alias("letters"), F.col("edits").alias("edits")))
-        replaced = F.when(fresh & (F.col("next") != "") & (F.col("letter") > F.col("next")), step(1, 1))
-        # of equal letters in a row, the last is the one left out
-        left_out = F.when(fresh & (F.col("letter") == F.col("after")) & (F.col("next") != F.col("after")), step(2, 1))
+        replaced = F.when(fresh & (F.col("letter") > F.col("next")), step(1, 1))
+        left_out = F.when(may_leave & (F.col("letter") == F.col("after")), step(2, 1))
         moved = moved.withColumn("step", F.explode(F.array_compact(F.array(same, replaced, left_out))))
         moved = moved.select("word", (F.col("pos") + F.col("step.letters")).alias("pos"), F.col("child").alias("node"), F.col("step.edits").alias("edits"), "words", "only", "is_word")
         rest = F.expr("length(word) - pos")
@@ -143,10 +152,10 @@ def descended(words: DataFrame, half: str) -> DataFrame | None:
         moved = stored(moved.withColumns({"found": found, "live": live}).where("live or found is not null").drop("only", "is_word"), f"frontier-{depth}")
         new = moved.where("found is not null").select(F.col("word").alias("a"), F.col("found").alias("b"))
         pairs = new if pairs is None else pairs.unionByName(new)
-        states = moved.where("live").select("word", "pos", "node", "edits", "words")
-        if states.isEmpty():
-            return pairs
+        live_states = moved.where("live").select("word", "pos", "node", "edits", "words")
         depth += 1
+        if depth > last and live_states.isEmpty():
+            return pairs
 
 
 def left_out(words: DataFrame) -> DataFrame:
