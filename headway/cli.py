@@ -4,7 +4,7 @@
   python -m headway.cli ingest-predictions --landing L --out P --checkpoint C [--mode commuter_rail] [--continuous]
   python -m headway.cli score           --transitions T --predictions P --out A --now EPOCH [--since EPOCH] [--publish]
   python -m headway.cli score-blocks    --predictions P --transitions T --out A --checkpoint C [--publish] [--continuous]
-  python -m headway.cli match           --transitions T --predictions P --events E --matches M --first DATE [--last DATE]
+  python -m headway.cli match           --transitions T --predictions P --events E --matches M --first DATE [--last DATE] [--rejects R]
   python -m headway.cli departures      --events E --predictions P --matches M --report R --date DATE --out CSV [--env prod] [--route R] [--stop S] [--stops DOCS]
   python -m headway.cli report          --accuracy A --out CSV --chart-range Hourly --service-date 2024-01-15 [filters]
   python -m headway.cli prune           --predictions P --events E --as-of EPOCH [--transitions T] [--out-predictions P2 --out-events E2]
@@ -123,6 +123,7 @@ def main(argv: list[str] | None = None) -> int:
     p = sub.add_parser("match")
     for opt in ["transitions", "predictions", "events", "matches"]:
         p.add_argument("--" + opt, required=True)
+    p.add_argument("--rejects", help="store the arrivals that make no event here, with what they lack")
     p.add_argument("--first", type=_date, required=True)
     p.add_argument("--last", type=_date)
 
@@ -201,7 +202,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.cmd == "match":
         from headway.streaming.jobs import run_matching
 
-        run_matching(spark, a.transitions, a.predictions, a.events, a.matches, a.first, a.last or a.first)
+        print(json.dumps(run_matching(spark, a.transitions, a.predictions, a.events, a.matches, a.first, a.last or a.first, a.rejects)))
     elif a.cmd == "departures":
         _departures(spark, a)
     elif a.cmd == "report":

@@ -61,34 +61,43 @@ def vehicle_transitions(positions: DataFrame, snapshots: DataFrame, sequence: Da
     return j.withColumn("transition", kind)
 
 
-def _valid_event(df: DataFrame) -> DataFrame:
-    """Changeset check of a new event: required fields present, blank strings
-    count as missing; arrival_time is optional."""
-    req = F.lit(True)
-    for c in ["vehicle_id", "environment", "vehicle_label", "route_id", "trip_id", "stop_id"]:
-        req = req & blank_to_null(F.col(c)).isNotNull()
-    req = req & F.col("is_deleted").isNotNull() & F.col("direction_id").isNotNull()
-    return df.filter(F.coalesce(req, F.lit(False)))
+REQUIRED_TEXT = ["vehicle_id", "environment", "vehicle_label", "route_id", "trip_id", "stop_id"]
+REQUIRED = [*REQUIRED_TEXT, "is_deleted", "direction_id"]
 
 
-def arrivals(transitions: DataFrame) -> DataFrame:
+def arrival_rows(transitions: DataFrame) -> DataFrame:
+    """The event that each arrival would make, whether it can be stored or not."""
     a = transitions.filter(F.col("transition").isin("new_arrival", "arrival", "departure_arrival"))
-    return _valid_event(
-        a.select(
-            "environment",
-            F.col("id").alias("vehicle_id"),
-            F.col("label").alias("vehicle_label"),
-            "is_deleted",
-            "route_id",
-            "direction_id",
-            "trip_id",
-            "stop_id",
-            F.col("timestamp").alias("arrival_time"),
-            F.col("snapshot_time").alias("arrival_snapshot"),
-        )
+    return a.select(
+        "environment",
+        F.col("id").alias("vehicle_id"),
+        F.col("label").alias("vehicle_label"),
+        "is_deleted",
+        "route_id",
+        "direction_id",
+        "trip_id",
+        "stop_id",
+        F.col("timestamp").alias("arrival_time"),
+        F.col("snapshot_time").alias("arrival_snapshot"),
     )
 
 
+def missing_fields():
+    """Changeset check of a new event: the required fields it lacks, joined (empty: it is valid).  Blank strings count as
+    missing; arrival_time is optional."""
+    lacks = [F.when(blank_to_null(F.col(c)).isNull() if c in REQUIRED_TEXT else F.col(c).isNull(), F.lit(c)) for c in REQUIRED]
+    return F.concat_ws(",", *lacks)
+
+
+def arrivals(transitions: DataFrame) -> DataFrame:
+    return arrival_rows(transitions).filter(missing_fields() == "")
+
+
+def rejected_arrivals(transitions: DataFrame) -> DataFrame:
+    """The arrivals that make no event, with what they lack (``missing``)."""
+    return arrival_rows(transitions).withColumn("missing", missing_fields()).filter(F.col("missing") != "")
+
+
 def departures(transitions: DataFrame) -> DataFrame:
     """A departure is recorded against the *old* record (its stop, route,
     trip) with the *new* record's timestamp."""

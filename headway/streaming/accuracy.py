@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headway.functions.times import week_start
+from headway.operators import scoring as S
 from headway.streaming.published import Published, Version
 
 WRITER = "scoring"
@@ -59,7 +60,8 @@ def merged(*sums: DataFrame) -> DataFrame:
 def publish_accuracy(spark: SparkSession, acc: DataFrame, root: str) -> Version:
     """Replace the blocks of ``acc`` (rows of ``scoring.score``) in the table at ``root``, and bring its sums up to date.
 
-    A run that is repeated, or was killed, does no harm; of two runs that score
+    Rows that the insert check refuses (``scoring.validate_accuracy``) are kept
+    in the table ``rejected``.  A run that is repeated, or was killed, does no harm; of two runs that score
     the same hour at once the second to publish fails."""
     p = Published(spark, root)
     base = p.latest()
@@ -67,13 +69,20 @@ def publish_accuracy(spark: SparkSession, acc: DataFrame, root: str) -> Version:
     # partition names of the scored hours and days: a few for a run
     hours = {f"service_date={r.service_date}/block_hour={r.block_hour}" for r in new.select("service_date", "block_hour").distinct().collect()}
     days = {h.split("/")[0] for h in hours}
-    old = p.read("rows", ROWS_SCHEMA, base, keep=hours.__contains__)
+    new = S.validate_accuracy(new)
     blocks = new.select("service_date", "block_start").distinct()
-    gone = old.join(blocks, ["service_date", "block_start"], "left_semi")
-    stay = old.join(blocks, ["service_date", "block_start"], "left_anti")
-    rows = new.unionByName(stay.select(_ROWS)).repartition("service_date", "block_hour").sortWithinPartitions("service_date", "block_hour", "route_id", "environment")
-    sums = merged(p.read("sums", SUMS_SCHEMA, base, keep=days.__contains__), sums_of(new), sums_of(gone, -1))
-    replace = {"rows": p.write(rows, "rows", ["service_date", "block_hour"]), "sums": p.write(sums.repartition("service_date"), "sums", ["service_date"])}
+    replace = {}
+    for table, of in (("rows", F.col("is_valid")), ("rejected", ~F.col("is_valid"))):
+        mine = new.filter(of).drop("is_valid")
+        old = p.read(table, ROWS_SCHEMA, base, keep=hours.__contains__)
+        gone = old.join(blocks, ["service_date", "block_start"], "left_semi")
+        stay = old.join(blocks, ["service_date", "block_start"], "left_anti")
+        rows = mine.unionByName(stay.select(_ROWS)).repartition("service_date", "block_hour").sortWithinPartitions("service_date", "block_hour", "route_id", "environment")
+        # hours that nothing is left of have no folder
+        replace[table] = {h: [] for h in hours if h in base.tables.get(table, {})} | p.write(rows, table, ["service_date", "block_hour"])
+        if table == "rows":
+            sums = merged(p.read("sums", SUMS_SCHEMA, base, keep=days.__contains__), sums_of(mine), sums_of(gone, -1))
+            replace["sums"] = {d: [] for d in days if d in base.tables.get("sums", {})} | p.write(sums.repartition("service_date"), "sums", ["service_date"])
     new.unpersist()
     return p.commit(base, replace=replace, writer=WRITER, batch=base.writers.get(WRITER, 0) + 1)
 
@@ -83,6 +92,11 @@ def accuracy(spark: SparkSession, root: str, version: Version | None = None) ->
     return Published(spark, root).read("rows", ROWS_SCHEMA, version).drop("block_hour").withColumn("week_start", week_start("service_date"))
 
 
+def rejected(spark: SparkSession, root: str, version: Version | None = None) -> DataFrame:
+    """The rows that were scored and not stored."""
+    return Published(spark, root).read("rejected", ROWS_SCHEMA, version).drop("block_hour")
+
+
 def report_rows(spark: SparkSession, root: str, first=None, last=None) -> DataFrame:
     """Rows for the hourly, daily and station reports of the service dates ``first`` to ``last``, one for each hour and key
     instead of one for each block: ``stats.stats_by_chart_range`` gives the same of them."""

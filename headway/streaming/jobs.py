@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from headway.functions.constants import BLOCK_S, MAX_DWELL_S, TERMINAL_MATCH_WINDOW_S, VISIBILITY_LAG_S
@@ -155,11 +155,15 @@ def run_scoring(spark: SparkSession, transitions_path: str, predictions_path: st
 
 
 def run_matching(spark: SparkSession, transitions_path: str, predictions_path: str, events_path: str, matches_path: str,
-                 first: _dt.date, last: _dt.date) -> None:
+                 first: _dt.date, last: _dt.date, rejects_path: str | None = None) -> dict[str, int]:
     """Store the vehicle events that arrive, and the matches of the predictions
     filed, on the UTC dates ``first`` to ``last``: each date's partition is
     written anew.  Transitions are read for as long before and after as a dwell
-    or a match can reach, so days may be run one by one in any order."""
+    or a match can reach, so days may be run one by one in any order.
+
+    Arrivals that make no event are stored at ``rejects_path`` with what they
+    lack; how many arrivals were stored and rejected is returned, counted while
+    they are written."""
     day = lambda d: int(_dt.datetime.combine(d, _dt.time(), _dt.timezone.utc).timestamp())
     lo, hi = day(first), day(last + _dt.timedelta(days=1))
     reach = 2 * MAX_DWELL_S + TERMINAL_MATCH_WINDOW_S
@@ -171,9 +175,16 @@ def run_matching(spark: SparkSession, transitions_path: str, predictions_path: s
     matches = M.match_all(p, E.event_touches(events)).join(filed, "prediction_id")
     own = events.filter((F.col("arrival_snapshot") >= lo) & (F.col("arrival_snapshot") < hi))
     own = own.withColumn("event_date", F.to_date(epoch_to_utc_ntz("arrival_snapshot")))
-    for rows, key, path in ((own, "event_date", events_path), (matches, "file_date", matches_path)):
+    rejected = E.rejected_arrivals(t.filter((F.col("snapshot_time") >= lo) & (F.col("snapshot_time") < hi)))
+    rejected = rejected.withColumn("event_date", F.to_date(epoch_to_utc_ntz("arrival_snapshot")))
+    seen = {"stored": Observation(), "rejected": Observation()}
+    tables = [(own.observe(seen["stored"], F.count(F.lit(1)).alias("n")), "event_date", events_path), (matches, "file_date", matches_path)]
+    if rejects_path:
+        tables.append((rejected.observe(seen["rejected"], F.count(F.lit(1)).alias("n")), "event_date", rejects_path))
+    for rows, key, path in tables:
         out = rows.hint("rebalance", key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         out.partitionBy(key).parquet(path)
+    return {what: o.get["n"] for what, o in seen.items() if what == "stored" or rejects_path}
 
 
 def service_day_start(epoch_s: int) -> int:

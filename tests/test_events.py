@@ -127,3 +127,12 @@ def test_hot_vehicle_stop_pairs_stay_bounded(spark):
     # two 40-minute buckets of touches per prediction, not the key's 2000 touches
     assert cands <= 60 * preds.count()
     assert M.match_standard(preds, touches).count() == 1000
+
+
+def test_rejected_arrivals_say_what_they_lack(spark):
+    t = spark.createDataFrame(
+        [("prod", "v1", "l", False, "t", "Red", 0, "s", 10, 10, "arrival"), ("prod", "v2", " ", False, None, "Red", 0, "s", 10, 10, "new_arrival"),
+         ("prod", "v3", "l", None, "t", "Red", None, "s", None, 10, "departure_arrival"), ("prod", "v4", "l", False, "t", "Red", 0, "", 10, 10, "none")],
+        "environment string, id string, label string, is_deleted boolean, trip_id string, route_id string, direction_id int, stop_id string, timestamp long, snapshot_time long, transition string")
+    assert [r.vehicle_id for r in E.arrivals(t).collect()] == ["v1"]
+    assert sorted((r.vehicle_id, r.missing) for r in E.rejected_arrivals(t).collect()) == [("v2", "vehicle_label,trip_id"), ("v3", "is_deleted,direction_id")]

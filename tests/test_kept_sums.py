@@ -57,3 +57,14 @@ def test_two_runs_over_one_hour_at_once(spark, tmp_path, monkeypatch):
         with pytest.raises(StaleVersion):
             AC.publish_accuracy(spark, rows(2), root)
     assert rounded(AC.report_rows(spark, root).orderBy(*AC.KEYS)) == before
+
+
+def test_rows_that_the_insert_check_refuses_are_kept_apart(spark, tmp_path):
+    root = str(tmp_path / "a")
+    good = [r for r in block(random.Random(3), 4)][:1]
+    bad = [(*good[0][:4], None, *good[0][5:]), (*good[0][:7], "never", *good[0][8:])]  # no route, no such bin
+    AC.publish_accuracy(spark, spark.createDataFrame(good + bad, SCHEMA), root)
+    assert AC.accuracy(spark, root).count() == 1 and AC.report_rows(spark, root).count() == 1
+    assert sorted((r.route_id is None, r.bin == "never") for r in AC.rejected(spark, root).collect()) == [(False, True), (True, False)]
+    AC.publish_accuracy(spark, spark.createDataFrame(bad[:1], SCHEMA), root)  # the block again: what it had goes
+    assert (AC.accuracy(spark, root).count(), AC.report_rows(spark, root).count(), AC.rejected(spark, root).count()) == (0, 0, 1)
