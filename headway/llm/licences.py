@@ -1,13 +1,22 @@
 """Licence scan with a positional rare-token index.
 
-The index holds the words of the licence templates and the places of their
-key phrases.  Inverse document frequencies come from one counting pass over all
-texts.  Of each key phrase the rarest word is looked up at every place where it
-stands in a file, however many licences the file or the corpus has: a template
-cannot stand without its key phrases, so no other word need vote.  Around the
-place the template's words are aligned in order; each key phrase is verified
-word by word at a shift of its own, so words inserted between (a version number,
-a comment sign) lose nothing.  The three base phrases are reported at every place.
+The index holds postings: for each licence word, the templates and the places in
+them where it stands.  Inverse document frequencies come from one counting pass
+over all texts.
+
+* A file's licence words of highest IDF are looked up: of every template so many
+  of its rarest places (``rarest``) that a file with enough of the template
+  cannot lack more than all but ``VOTES`` of them.  The choice is made for each
+  template, so no licence crowds out another in a long file.
+* Each posting met tells where the template would start (place in the file less
+  place in the template).  Postings are intersected by this relative position:
+  a template is a candidate where ``VOTES`` of its places agree, but for what
+  insertions can shift them.
+* In a candidate's stretch the key phrases are verified word by word, each at a
+  shift of its own, and the template's other words are aligned in order, so
+  words inserted between (a version number, a comment sign) lose nothing.
+
+The three base phrases are reported at every place.
 """
 
 from __future__ import annotations
@@ -44,6 +53,7 @@ TEMPLATES = (
 )
 
 SHARE = 0.6  # of a template's words that must stand there in order
+VOTES = 3  # rare places of a template that agree where it starts
 
 
 class Index(NamedTuple):
@@ -158,12 +168,77 @@ def standing(file: list[int], t: int, p: int, key: int = 0) -> int:
     return best
 
 
-def templates_in(v: np.ndarray, row: np.ndarray, first: np.ndarray, rank: np.ndarray) -> Iterator[tuple[int, str, float]]:
+def rarest(rank: np.ndarray) -> list[np.ndarray]:
+    """For each template the places of its words that are looked up, rarest first.
+
+    A file may lack ``1 - SHARE`` of a template's words.  Of these places and
+    ``VOTES`` more, at least ``VOTES`` stand in it."""
+    out = []
+    for t in INDEX.templates:
+        spare = len(t) - math.ceil(SHARE * len(t))
+        out.append(np.argsort(rank[t], kind="stable")[: spare + VOTES])
+    return out
+
+
+def spread(t: int) -> int:
+    """How far the start that the words of template ``t`` tell can differ where it stands: see ``standing``."""
+    return (len(INDEX.templates[t]) // 2) * (len(INDEX.phrases[t]) + 1)
+
+
+class Postings(NamedTuple):
+    """By word number: ``at[word] : at[word + 1]`` are its postings' templates and places."""
+
+    at: np.ndarray
+    template: np.ndarray
+    place: np.ndarray
+
+
+def postings(looked_up: list[np.ndarray]) -> Postings:
+    rows = sorted((int(INDEX.templates[t][p]), t, int(p)) for t, places_ in enumerate(looked_up) for p in places_)
+    word, template, place = (np.array(c, dtype=np.int64) for c in zip(*rows, strict=True))
+    return Postings(np.searchsorted(word, np.arange(len(INDEX.words) + 1)), template, place)
+
+
+def candidates(v: np.ndarray, row: np.ndarray, index: Postings) -> Iterator[tuple[int, int, int, int]]:
+    """``(template, row, lo, hi)``: stretches of the slice's words ``v`` in which a template's postings agree."""
+    hit = np.flatnonzero(v >= 0)
+    n = index.at[v[hit] + 1] - index.at[v[hit]]
+    at = np.repeat(hit, n)
+    which = np.repeat(index.at[v[hit]], n) + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+    template, place = index.template[which], index.place[which]
+    start = at - place
+    order = np.lexsort((start, template, row[at]))
+    at, template, place, start = at[order], template[order], place[order], start[order]
+    key = row[at] * len(INDEX.templates) + template
+    edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    for lo, hi in zip(edge, np.append(edge[1:], len(key)), strict=True):
+        if hi - lo < VOTES:
+            continue
+        t, i = int(template[lo]), int(row[at[lo]])
+        s, p, f = start[lo:hi], place[lo:hi], at[lo:hi]
+        far = np.searchsorted(s, s + spread(t), side="right")
+        # places that agree with the posting, counted once each; a place that stands often may hide others no more than that
+        enough = [a for a, z in enumerate(far.tolist()) if z - a >= VOTES and len(set(p[a:z].tolist())) >= VOTES]
+        reach = len(INDEX.templates[t]) + spread(t)
+        begin = end = None
+        for a in enough:
+            x, y = int(f[a : far[a]].min()) - reach, int(f[a : far[a]].max()) + reach
+            if begin is None or x > end:
+                if begin is not None:
+                    yield t, i, begin, end
+                begin, end = x, y
+            begin, end = min(begin, x), max(end, y)
+        if begin is not None:
+            yield t, i, begin, end
+
+
+def templates_in(v: np.ndarray, row: np.ndarray, first: np.ndarray, rank: np.ndarray, index: Postings) -> Iterator[tuple[int, str, float]]:
     """``(row, label, share)`` of every template that stands in the slice's words ``v``."""
-    for t, template in enumerate(INDEX.templates):
+    for t, i, x, y in candidates(v, row, index):
+        template = INDEX.templates[t]
         a, n = INDEX.phrases[t][0]
-        for p in places(v, row, template[a : a + n], rank).tolist():
-            i = int(row[p])
+        x, y = max(x, int(first[i])), min(y + 1, int(first[i + 1]))
+        for p in (x + places(v[x:y], row[x:y], template[a : a + n], rank)).tolist():
             lo, hi = max(int(first[i]), p - 2 * len(template)), min(int(first[i + 1]), p + 3 * len(template))
             share = standing(v[lo:hi].tolist(), t, p - lo) / len(template)
             if share >= SHARE:
@@ -178,6 +253,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     n_texts, df = document_frequencies(docs, id_col, text_col)
     idf = np.array([math.log((1 + n_texts) / (1 + int(x))) for x in df])
     rank = np.argsort(np.argsort(-idf, kind="stable"), kind="stable")
+    index = postings(rarest(rank))
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +274,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                     for i in np.unique(r).tolist():
                         base[i].add(label)
                 labels, score = [set(x) for x in base], np.where(n > 0, 0.5, 0.0)
-                for i, label, share in templates_in(v, w.row, first, rank):
+                for i, label, share in templates_in(v, w.row, first, rank, index):
                     labels[i].add(label)
                     score[i] = max(score[i], share)
                 yield pa.record_batch(

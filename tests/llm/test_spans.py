@@ -200,3 +200,56 @@ def test_words_beside_a_secret_do_not_hide_it():
     assert [s[0] for s in secret_scan.find("key qzxkvjwplmtrbnchgdsfqwxz", path)] == ["random"]
     for t in ("/orders/items/550e8400-e29b-41d4-a716-446655440000/environments/production", "/archive/2024/01/15/10/30/22/environments/production", "files/" + "0123456789ABCDEF" * 2 + "/production/environment"):
         assert not secret_scan.find(t, path), t
+
+
+def everywhere(v, row, first):
+    """Labels and shares without postings: each template at every place of its first key phrase."""
+    out = set()
+    for t, template in enumerate(licences.INDEX.templates):
+        a, n = licences.INDEX.phrases[t][0]
+        for p in range(len(v) - n + 1):
+            i = int(row[p])
+            if (v[p : p + n] == template[a : a + n]).all() and row[p + n - 1] == i:
+                lo, hi = max(int(first[i]), p - 2 * len(template)), min(int(first[i + 1]), p + 3 * len(template))
+                share = licences.standing(v[lo:hi].tolist(), t, p - lo) / len(template)
+                if share >= licences.SHARE:
+                    out.add((i, licences.INDEX.labels[t], round(share, 9)))
+    return out
+
+
+def test_postings_find_what_a_search_everywhere_finds():
+    import numpy as np
+    import pyarrow as pa
+
+    from headway.llm import textcore as X
+
+    rng = random.Random(11)
+    texts = []
+    for _ in range(300):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            t = rng.choice(licences.TEMPLATES)[1].split()
+            drop, add = rng.choice([(0, 0), (0.1, 0), (0.3, 0.1), (0.45, 0), (0, 0.4), (0.2, 0.3)])
+            for w in t:
+                if rng.random() >= drop:
+                    words.append(w)
+                while rng.random() < add:
+                    words.append(rng.choice(["new", "the", "license", "of", "software", "2"]))
+            words += [rng.choice(["filler", "the", "and", "public", "free"]) for _ in range(rng.randint(0, 30))]
+        texts.append(" ".join(words))
+    texts += ["", None, "the " * 3000, "free of charge " * 400, " ".join(t for _, t, _ in licences.TEMPLATES) * 3]
+    n = len(licences.INDEX.words)
+    ranks = [np.array(rng.sample(range(n), n)) for _ in range(3)]
+    looked_up = [[tuple(p) for p in licences.rarest(r)] for r in ranks]
+    assert looked_up[0] != looked_up[1] != looked_up[2]  # the frequencies choose what is looked up, not what is found
+    found = 0
+    for s in X.slices(pa.array(texts, pa.string())):
+        w, v = licences.licence_words(s)
+        first = X.first_of_row(w.count)
+        exp = everywhere(v, w.row, first)
+        for rank in ranks:
+            index = licences.postings(licences.rarest(rank))
+            got = {(i, label, round(share, 9)) for i, label, share in licences.templates_in(v, w.row, first, rank, index)}
+            assert got == exp
+        found += len(exp)
+    assert found > 200
