@@ -38,7 +38,8 @@ EDITS = 0.2
 RECALL = 0.99
 SAMPLED = 6  # places of the walk in one table's key
 WALKS = 8
-MOST_TABLES = 512
+MOST_TABLES = 512  # items of a length that needs more are compared at all windows a part of theirs points to
+CALIBRATED = 128  # items of each length (by powers of two) that the tables are tried on
 BLOCK_WORDS = 1 << 18
 PAD = np.uint64(0)
 
@@ -51,6 +52,7 @@ class Block(NamedTuple):
     seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # length -> sorted hashes, item, place
     tables: list[tuple[int, np.ndarray]]  # walk, sampled fractions of its length
     keys: np.ndarray  # items by tables
+    direct: np.ndarray  # whether an item is compared at all its windows, since no tables reach its length's recall
 
 
 def words_of(s: X.Slice) -> tuple[X.Words, np.ndarray]:
@@ -143,18 +145,21 @@ def build_block(ids: np.ndarray, texts: pa.Array, seed: int = 7) -> Block | None
     for q, rows_ in found.items():
         rows_.sort()
         seeds[q] = (np.array([r[0] for r in rows_], dtype=np.uint64), np.array([r[1] for r in rows_]), np.array([r[2] for r in rows_]))
-    # as many tables as the target recall takes on perturbed items
+    # as many tables as the target recall takes on perturbed items of every length; half of what may be missed is left as a margin
     rng = random.Random(seed)
-    some = np.array(sorted(rng.sample(range(len(keep)), min(len(keep), 128))))
+    kind = np.floor(np.log2(size)).astype(np.int64)
+    some = np.concatenate([rng.sample(of.tolist(), min(len(of), CALIBRATED)) for of in (np.flatnonzero(kind == c) for c in np.unique(kind))]).astype(np.int64)
     copies = [perturbed(words[some], size[some], edits[some], rng) for _ in range(2)]
     tables: list[tuple[int, np.ndarray]] = []
-    while len(tables) < MOST_TABLES:
-        tables += [(t % WALKS, np.array([rng.random() for _ in range(SAMPLED)])) for t in range(len(tables), len(tables) + 32)]
-        own = keys_of(words[some], size[some], tables)
-        met = [(keys_of(c, size[some], tables) == own).any(axis=1).mean() for c, _ in copies]
-        if min(met) >= RECALL:
-            break
-    return Block(ids[keep], words, size, edits, seeds, tables, keys_of(words, size, tables))
+    met = [np.zeros(len(some), dtype=bool) for _ in copies]
+    missed = np.unique(kind)
+    while len(missed) and len(tables) < MOST_TABLES:
+        new = [(t % WALKS, np.array([rng.random() for _ in range(SAMPLED)])) for t in range(len(tables), len(tables) + 32)]
+        tables += new
+        own = keys_of(words[some], size[some], new)
+        met = [m | (keys_of(c, size[some], new) == own).any(axis=1) for m, (c, _) in zip(met, copies, strict=True)]
+        missed = np.array([c for c in np.unique(kind) if min(m[kind[some] == c].mean() for m in met) < 1 - (1 - RECALL) / 2], dtype=np.int64)
+    return Block(ids[keep], words, size, edits, seeds, tables, keys_of(words, size, tables), np.isin(kind, missed))
 
 
 def windows(block: Block, w: X.Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +217,7 @@ def leaks_in(block: Block, s: X.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarr
             todo = todo[[(a, b) not in exact for a, b in zip(r[todo].tolist(), i[todo].tolist(), strict=True)]]
         if len(todo):
             met = (keys_of(own[todo], n[todo], block.tables) == block.keys[i[todo]]).any(axis=1)
-            todo = todo[met]
+            todo = todo[met | block.direct[i[todo]]]
         if len(todo):
             wide = cut(h, first[r[todo]], first[r[todo] + 1], at[todo] - k[todo], n[todo] + 2 * k[todo])
             distance[todo] = edit_distance(block.words[i[todo]], n[todo], wide)

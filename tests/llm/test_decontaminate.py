@@ -3,10 +3,14 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 from tests.llm.conftest import LOWER
 
 from headway.llm import decontaminate
+from headway.llm import textcore as X
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -91,3 +95,35 @@ def test_empty_tables(spark, docs):
     assert decontaminate.leaks(docs([]), bench(spark, [(1, "a b c")])).count() == 0
     assert decontaminate.leaks(docs({1: "a b c"}), bench(spark, [])).count() == 0
     assert decontaminate.clean(docs({1: "a b c"}), bench(spark, [])).count() == 1
+
+
+@pytest.mark.parametrize("sizes", [[(1000, 10), (50, 200)], [(1000, 8), (50, 100), (20, 600)]])
+def test_recall_holds_for_every_length(sizes):
+    """Items of one length in a block do not set the number of tables for those of another."""
+    rng = random.Random(13)
+    word = lambda: f"w{rng.randrange(30000)}"
+    items = [[word() for _ in range(n)] for many, n in sizes for _ in range(many)]
+    block = decontaminate.build_block(np.arange(len(items)), pa.array([" ".join(w) for w in items]))
+    texts, of = [], []
+    for i, w in enumerate(items):
+        for _ in range((i % 10 == 0) if len(w) < 50 else 2):
+            t = list(w)
+            for _ in range(len(w) // 5):
+                at, kind = rng.randrange(len(t)), rng.randrange(3)
+                if kind == 0:
+                    t.insert(at, word())
+                elif kind == 1:
+                    del t[at]
+                else:
+                    t[at] = word()
+            texts.append(" ".join([word() for _ in range(20)] + t + [word() for _ in range(20)]))
+            of.append(i)
+    found, tried = {}, {}
+    for s in X.slices(pa.array(texts)):
+        row, hit, _, _ = decontaminate.leaks_in(block, s)
+        got = set(zip((s.lo + row).tolist(), hit.tolist()))
+        for r in range(s.lo, s.hi):
+            n = len(items[of[r]])
+            tried[n] = tried.get(n, 0) + 1
+            found[n] = found.get(n, 0) + ((r, of[r]) in got)
+    assert all(found[n] >= 0.99 * tried[n] for n in tried), (found, tried, len(block.tables), block.direct.sum())
