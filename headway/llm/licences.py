@@ -204,13 +204,15 @@ def candidates(v: np.ndarray, row: np.ndarray, index: Postings) -> Iterator[tupl
     hit = np.flatnonzero(v >= 0)
     n = index.at[v[hit] + 1] - index.at[v[hit]]
     at = np.repeat(hit, n)
+    if not len(at):
+        return
     which = np.repeat(index.at[v[hit]], n) + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
     template, place = index.template[which], index.place[which]
     start = at - place
     order = np.lexsort((start, template, row[at]))
     at, template, place, start = at[order], template[order], place[order], start[order]
     key = row[at] * len(INDEX.templates) + template
-    edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     for lo, hi in zip(edge, np.append(edge[1:], len(key)), strict=True):
         if hi - lo < VOTES:
             continue

@@ -243,7 +243,8 @@ def test_postings_find_what_a_search_everywhere_finds():
     looked_up = [[tuple(p) for p in licences.rarest(r)] for r in ranks]
     assert looked_up[0] != looked_up[1] != looked_up[2]  # the frequencies choose what is looked up, not what is found
     found = 0
-    for s in X.slices(pa.array(texts, pa.string())):
+    slices = [*X.slices(pa.array(texts, pa.string())), *X.slices(pa.array(["", None])), *X.slices(pa.array(["nothing here"]))]
+    for s in slices:
         w, v = licences.licence_words(s)
         first = X.first_of_row(w.count)
         exp = everywhere(v, w.row, first)
