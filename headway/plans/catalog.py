@@ -20,6 +20,7 @@ from headway.operators import stats as ST
 from headway.operators import filters as FL
 from headway.plans import domain as D
 from headway.plans.oracle import r6, with_ctes
+from headway.session import materialize
 
 Builder = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Builder, str | None]] = {}
@@ -692,9 +693,19 @@ SELECT environment, service_date, hour_of_day, minute_of_hour, route_id, stop_id
 FROM """
 
 
-def _score_feeds(predictions: DataFrame, positions: DataFrame, snapshots: DataFrame) -> DataFrame:
-    ev = E.vehicle_events(E.vehicle_transitions(positions, snapshots))
-    acc = S.score(predictions, M.match_all(predictions, E.event_touches(ev)))
+def _score_feeds(spark, d: str, feed: str, predictions: DataFrame, positions: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Scores from parsed feeds.  Matching and scoring read the predictions, the transitions and the events several times,
+    so each is stored once; the documents are parsed once for each."""
+
+    def stored(name: str, build) -> DataFrame:
+        return materialize(spark, build, f"{feed}_{name}", (d,))
+
+    pos = stored("positions", lambda: positions)
+    log = stored("snapshot_log", lambda: E.snapshot_sequence(snapshots))
+    tr = stored("transitions", lambda: E.vehicle_transitions(pos, None, sequence=log))
+    ev = stored("events", lambda: E.vehicle_events(tr))
+    p = stored("predictions", lambda: predictions)
+    acc = S.score(p, M.match_all(p, E.event_touches(ev)))
     return acc.withColumns(r6c("mean_error", "root_mean_squared_error"))
 
 
@@ -702,11 +713,12 @@ def _score_feeds(predictions: DataFrame, positions: DataFrame, snapshots: DataFr
 def q_score_subway_feeds(spark, d):
     p = IN.flatten_trip_updates(D.landed(spark, d, "trip_updates")).withColumn("id", IN.prediction_id())
     docs = D.landed(spark, d, "vehicle_feed")
-    return _score_feeds(p, IN.vehicle_positions_from_feed(docs), IN.snapshots_of(docs))
+    return _score_feeds(spark, d, "subway", p, IN.vehicle_positions_from_feed(docs), IN.snapshots_of(docs))
 
 
 @register("score_cr_feeds", with_ctes(["accuracy_cr"], _SCORE_SELECT + "accuracy_cr"))
 def q_score_cr_feeds(spark, d):
     docs = D.landed(spark, d, "cr_vehicles")
     snaps = docs.select(F.lit("prod").alias("environment"), F.lit("commuter_rail").alias("mode"), "snapshot_time").distinct()
-    return _score_feeds(IN.flatten_cr_predictions(D.landed(spark, d, "cr_predictions")), IN.parse_cr_vehicles(docs), snaps)
+    p = IN.flatten_cr_predictions(D.landed(spark, d, "cr_predictions"))
+    return _score_feeds(spark, d, "commuter_rail", p, IN.parse_cr_vehicles(docs), snaps)
