@@ -86,8 +86,8 @@ def accuracy_hist(spark: SparkSession, d: str) -> DataFrame:
 
 
 def landed(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """Feed snapshots landed once as JSON Lines files and read back through the
-    JSON source with the feed's explicit schema (no inference)."""
+    """Feed snapshots landed once as gzipped JSON Lines files and read back through
+    the JSON source with the feed's explicit schema (no inference)."""
     builders = {
         "trip_updates": (A.trip_update_docs, SC.TRIP_UPDATES),
         "cr_predictions": (A.cr_prediction_docs, SC.CR_PREDICTIONS),
@@ -96,4 +96,4 @@ def landed(spark: SparkSession, d: str, name: str) -> DataFrame:
         "stops": (A.stops_docs, SC.STOPS),
     }
     build, schema = builders[name]
-    return materialize(spark, lambda: build(spark, d), "landed_" + name, (d,), fmt="json", schema=schema)
+    return materialize(spark, lambda: build(spark, d), "landed_" + name, (d,), fmt="json", schema=schema, compression="gzip")

@@ -67,7 +67,7 @@ _LOCK = threading.RLock()
 
 
 def materialize(spark: SparkSession, build, name: str, key: tuple = (), partition_by: list[str] | None = None,
-                fmt: str = "parquet", schema=None):
+                fmt: str = "parquet", schema=None, compression: str | None = None):
     """Write ``build()`` once as a Parquet table under the shared checkpoint folder
     and return a DataFrame reading it back.
 
@@ -79,10 +79,10 @@ def materialize(spark: SparkSession, build, name: str, key: tuple = (), partitio
     app = spark.sparkContext.applicationId
     k = (app, name, *key)
     with _LOCK:
-        return _materialize_locked(spark, build, k, name, partition_by, fmt, schema)
+        return _materialize_locked(spark, build, k, name, partition_by, fmt, schema, compression)
 
 
-def _materialize_locked(spark, build, k, name, partition_by, fmt, schema):
+def _materialize_locked(spark, build, k, name, partition_by, fmt, schema, compression):
     app = k[0]
     df = _MATERIALIZED.get(k)
     if df is None:
@@ -93,6 +93,8 @@ def _materialize_locked(spark, build, k, name, partition_by, fmt, schema):
         w = build().write.mode("overwrite")
         if partition_by:
             w = w.partitionBy(*partition_by)
+        if compression:
+            w = w.option("compression", compression)
         w.format(fmt).save(path)
         # keep the DataFrame: its file index (partition listing) is reused
         r = spark.read.format(fmt)

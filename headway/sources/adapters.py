@@ -108,7 +108,10 @@ def vehicle_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predictions_raw(spark: SparkSession, sf_dir: str, keep_k: bool = False) -> DataFrame:
     """Flat prediction rows before the P2 filter and the nth-at-stop rank."""
-    b = base_events(spark, sf_dir)
+    return _prediction_rows(base_events(spark, sf_dir), *(["k"] if keep_k else []))
+
+
+def _prediction_rows(b: DataFrame, *more: str) -> DataFrame:
     v, t, k = F.col("v"), F.col("t"), F.col("k")
     ft = t - F.pmod(t, F.lit(60))
     lead = F.floor(F.col("value") * 12).cast("long")
@@ -138,7 +141,7 @@ def predictions_raw(spark: SparkSession, sf_dir: str, keep_k: bool = False) -> D
         F.when(F.pmod(k, F.lit(11)) == 0, F.lit(None).cast("int")).otherwise(F.pmod(k, F.lit(4))).cast("int").alias("stops_away"),
         F.pmod(v, F.lit(2)).cast("int").alias("direction_id"),
         kind.alias("kind"),
-        *([k.alias("k")] if keep_k else []),
+        *more,
     )
 
 
@@ -222,8 +225,17 @@ def trip_update_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     platform id on every third row, and a kind is encoded as its uncertainty
     (rows without a kind carry 90 s or nothing, which maps to no kind).  A
     snapshot is landed in pages of at most ``PAGE_ROWS`` consecutive rows, and
-    some files are fetched twice."""
-    raw = predictions_raw(spark, sf_dir, keep_k=True)
+    some files are fetched twice.
+
+    The events are dealt by document while they are narrow; updates, entities
+    and documents are then built where they are, without a further exchange."""
+    paged = base_events(spark, sf_dir).withColumns({
+        "env_no": F.pmod(F.col("v"), F.lit(len(ENV))),
+        "file_time": F.col("t") - F.pmod(F.col("t"), F.lit(60)),
+        "page": idiv(F.col("event_id"), PAGE_ROWS).cast("int"),
+    })
+    doc_keys = ["env_no", "file_time", "page"]
+    raw = _prediction_rows(paged.repartition(*doc_keys), "k", *doc_keys)
     unc = F.when(F.col("kind").isNull(), F.when(F.pmod(F.col("k"), F.lit(2)) == 0, F.lit(90)))
     for kind, u in KIND_UNCERTAINTY.items():
         unc = unc.when(F.col("kind") == kind, F.lit(u))
@@ -234,7 +246,7 @@ def trip_update_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit(prefix), (F.lit(1) + F.pmod(F.col("k"), F.lit(2))).cast("string")),
         ).otherwise(raw_stop)
     upd = raw.select(
-        "environment", "file_timestamp", "trip_id", "vehicle_id", "route_id", "direction_id", "id",
+        *doc_keys, "trip_id", "vehicle_id", "route_id", "direction_id", "id",
         F.struct(
             F.when(F.col("arrival_time").isNotNull(), F.struct(F.col("arrival_time").alias("time"), unc.cast("int").alias("uncertainty"))).alias("arrival"),
             F.when(F.col("departure_time").isNotNull(), F.struct(F.col("departure_time").alias("time"), unc.cast("int").alias("uncertainty"))).alias("departure"),
@@ -245,14 +257,13 @@ def trip_update_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("stops_away"),
         ).alias("u"),
     )
-    upd = upd.withColumn("page", idiv(F.col("id"), PAGE_ROWS).cast("int"))
-    trip_keys = ["environment", "file_timestamp", "page", "trip_id", "vehicle_id", "route_id", "direction_id"]
+    trip_keys = [*doc_keys, "trip_id", "vehicle_id", "route_id", "direction_id"]
     ent = upd.groupBy(*trip_keys).agg(
         F.min("id").alias("first_id"),
         F.transform(F.array_sort(F.collect_list(F.struct("id", "u"))), lambda x: x["u"]).alias("updates"),
     )
     ent = ent.select(
-        "environment", "file_timestamp", "page", "first_id",
+        *doc_keys, "first_id",
         F.struct(
             F.concat(F.lit("E"), F.col("first_id").cast("string")).alias("id"),
             F.lit(False).alias("is_deleted"),
@@ -263,13 +274,16 @@ def trip_update_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
             ).alias("trip_update"),
         ).alias("e"),
     )
-    docs = ent.groupBy("environment", "file_timestamp", "page").agg(
+    docs = ent.groupBy(*doc_keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("first_id", "e"))), lambda x: x["e"]).alias("entity")
     )
     # files of every tenth minute are fetched twice
-    ft = F.col("file_timestamp")
+    ft = F.col("file_time")
     fetches = F.when(F.pmod(idiv(ft, 60), F.lit(10)) == 0, F.array(ft + 10, ft + 70)).otherwise(F.array(ft + 10))
-    return docs.select(F.struct(ft.alias("timestamp")).alias("header"), "entity", "environment", "page", F.explode(fetches).alias("fetched_at"))
+    return docs.select(
+        F.struct(ft.alias("timestamp")).alias("header"), "entity", pick(ENV, F.col("env_no")).alias("environment"), "page",
+        F.explode(fetches).alias("fetched_at"),
+    )
 
 
 def accuracy_copies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
