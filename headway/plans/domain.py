@@ -73,11 +73,13 @@ def matches(spark: SparkSession, d: str) -> DataFrame:
 def accuracy_hist(spark: SparkSession, d: str) -> DataFrame:
     """The stored prediction_accuracy history: partitioned by week (the
     service's weekly range partitions), clustered by (route, environment)
-    inside each file; large weeks are split over several."""
+    inside each file; large weeks are split over several.  The lines are dealt
+    by week before their texts are made."""
 
     def build() -> DataFrame:
-        h = A.prediction_accuracy_hist(spark, d).withColumn("week_start", week_start("service_date"))
-        return h.hint("rebalance", "week_start").sortWithinPartitions("week_start", "route_id", "environment", "service_date")
+        lines = A.accuracy_lines(spark, d).withColumn("week_start", week_start("service_date")).hint("rebalance", "week_start")
+        h = A.accuracy_rows_of(lines, "week_start")
+        return h.sortWithinPartitions("week_start", "route_id", "environment", "service_date")
 
     return materialize(spark, build, "prediction_accuracy", (d,), partition_by=["week_start"])
 

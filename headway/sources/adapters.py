@@ -152,33 +152,51 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prediction_accuracy_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A many-day accuracy table derived from lineitem joined to orders."""
+    return accuracy_rows_of(accuracy_lines(spark, sf_dir))
+
+
+def accuracy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem joined to orders with what the accuracy rows need and no more: small numbers in place of keys and
+    texts, so that few bytes a row are shuffled."""
     li = _table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus",
+        "l_orderkey",
+        F.pmod("l_partkey", F.lit(192)).cast("short").alias("part"),  # 192: the hours (24) and 8 stops of 8 routes
+        F.pmod("l_suppkey", F.lit(12)).cast("byte").alias("supp"),
+        F.col("l_linenumber").alias("line"),
+        F.col("l_quantity").cast("int").alias("num_predictions"),
+        F.floor(F.col("l_quantity") * (F.lit(1.0) - F.col("l_discount") * 5)).cast("int").alias("num_accurate_predictions"),
+        (F.col("l_extendedprice") % 200).alias("error"),
+        F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).cast("byte").alias("flag"),
+        (F.col("l_linestatus") == "O").alias("in_next_two"),
     )
-    od = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    j = li.join(od, li.l_orderkey == od.o_orderkey, "inner")
+    od = _table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("service_date"))
+    return li.join(od, li.l_orderkey == od.o_orderkey, "inner").drop("l_orderkey", "o_orderkey")
+
+
+def accuracy_rows_of(lines: DataFrame, *more: str) -> DataFrame:
+    """The accuracy rows of ``accuracy_lines`` (and the columns ``more`` of theirs)."""
     kind = (
-        F.when(F.col("l_returnflag") == "A", F.lit("at_terminal"))
-        .when(F.col("l_returnflag") == "N", F.lit("mid_trip"))
+        F.when(F.col("flag") == 1, F.lit("at_terminal"))
+        .when(F.col("flag") == 2, F.lit("mid_trip"))
         .otherwise(F.lit(None).cast("string"))
     )
-    part, supp = F.col("l_partkey"), F.col("l_suppkey")
-    return j.select(
+    part, supp = F.col("part").cast("long"), F.col("supp").cast("long")
+    return lines.select(
         pick(ENV, F.pmod(supp, F.lit(3))).alias("environment"),
-        F.to_date("o_orderdate").alias("service_date"),
+        "service_date",
         (F.lit(3) + F.pmod(part, F.lit(24))).cast("int").alias("hour_of_day"),
         (F.pmod(supp, F.lit(12)) * 5).cast("int").alias("minute_of_hour"),
         pick(ROUTE, F.pmod(part, F.lit(8))).alias("route_id"),
         pick(STOP, F.pmod(idiv(part, 8), F.lit(8))).alias("stop_id"),
-        F.pmod(F.col("l_linenumber"), F.lit(2)).cast("int").alias("direction_id"),
-        pick(HIST_BINS, F.col("l_linenumber") - 1).alias("bin"),
+        F.pmod(F.col("line"), F.lit(2)).cast("int").alias("direction_id"),
+        pick(HIST_BINS, F.col("line") - 1).alias("bin"),
         kind.alias("kind"),
-        (F.col("l_linestatus") == "O").alias("in_next_two"),
-        F.col("l_quantity").cast("int").alias("num_predictions"),
-        F.floor(F.col("l_quantity") * (F.lit(1.0) - F.col("l_discount") * 5)).cast("int").alias("num_accurate_predictions"),
-        (F.col("l_extendedprice") % 200 - 100).alias("mean_error"),
-        (F.col("l_extendedprice") % 200).alias("root_mean_squared_error"),
+        "in_next_two",
+        "num_predictions",
+        "num_accurate_predictions",
+        (F.col("error") - 100).alias("mean_error"),
+        F.col("error").alias("root_mean_squared_error"),
+        *more,
     )
 
 
