@@ -23,24 +23,25 @@ from pyspark.sql import functions as F
 
 from headway.functions.columns import pct_of, route_rank
 from headway.functions.constants import TERMINALS, TIMEZONE
-from headway.functions.times import epoch_to_utc_ntz, format_unix, local_wall_clock, ntz_to_epoch, service_day_window
+from headway.functions.times import epoch_to_utc_ntz, format_unix, service_day_window
 from headway.operators.events import EVENT_KEY
 
 MATCH_KEY = ["ev_environment", "ev_vehicle_id", "ev_stop_id", "ev_arrival_snapshot"]
 
 
-def _local_epoch(day: Column, hour: int) -> Column:
-    """Epoch of ``hour``:00 local time on date ``day`` (a gap resolves forward)."""
-    ntz = F.timestamp_add("HOUR", F.lit(hour), F.to_timestamp_ntz(day))
-    return ntz_to_epoch(F.convert_timezone(F.lit(TIMEZONE), F.lit("UTC"), ntz))
-
-
 def departure_service_day(x: Column | str) -> Column:
     """Service day of a departure instant: 04:00 local of D to 02:00 local of
-    D+1 inclusive is day D; instants after 02:00 and before 04:00 have none."""
+    D+1 inclusive is day D; instants after 02:00 and before 04:00 have none.
+
+    One zone conversion: the wall clock of the second before, counted from
+    04:00 (a second early, so that the instant 02:00 of a night without that
+    hour, which shows 03:00, still counts)."""
     c = F.col(x) if isinstance(x, str) else x
-    d = F.to_date(local_wall_clock(c))
-    return F.when(c >= _local_epoch(d, 4), d).when(c <= _local_epoch(d, 2), F.date_sub(d, 1))
+    # the UTC fields of this timestamp are the local ones: no part of it depends on the session time zone
+    wall = F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(c - 1), TIMEZONE))
+    since = wall + (1 - 4 * 3600)
+    day = F.date_from_unix_date(F.floor(since / 86400).cast("int"))
+    return F.when(F.pmod(since, F.lit(86400)) <= 22 * 3600, day)
 
 
 def _day_filter(df: DataFrame, time_col: str, date: _dt.date | None, env: str | None) -> DataFrame:

@@ -40,13 +40,14 @@ def vehicle_transitions(positions: DataFrame, snapshots: DataFrame, sequence: Da
     ``sequence`` may pass a precomputed ``snapshot_sequence(snapshots)``."""
     seq = snapshot_sequence(snapshots) if sequence is None else sequence
     cur = positions.join(seq, [*FEED_KEYS, "snapshot_time"], "inner")
+    # here and in the joins below the keys of most values come first: the joins sort by them
     old = positions.select(
         *FEED_KEYS,
         "id",
         F.col("snapshot_time").alias("prev_snapshot_time"),
         *[F.col(c).alias("old_" + c) for c in VEHICLE_COLS],
     )
-    j = cur.join(old, [*FEED_KEYS, "id", "prev_snapshot_time"], "left")
+    j = cur.join(old, ["id", "prev_snapshot_time", *FEED_KEYS], "left")
     new = F.col("old_timestamp").isNull()
     stopped, was_stopped = is_stopped("current_status"), is_stopped("old_current_status")
     same_stop = F.col("stop_id").eqNullSafe(F.col("old_stop_id"))
@@ -141,7 +142,8 @@ def vehicle_events(transitions: DataFrame, bucket_s: int = MAX_DWELL_S) -> DataF
     # open dwells (no departure) never share one window partition
     w = Window.partitionBy("environment", "vehicle_id", "stop_id", "departure_snapshot")
     first = first.withColumn("closed_with", F.count(F.lit(1)).over(w).cast("int"))
-    return arr.join(first, EVENT_KEY, "left")
+    j = arr.join(first, EVENT_KEY[::-1], "left")
+    return j.select(*EVENT_KEY, *[c for c in j.columns if c not in EVENT_KEY])
 
 
 def dwell_candidates(arr: DataFrame, dep: DataFrame, bucket_s: int = MAX_DWELL_S) -> DataFrame:
@@ -159,7 +161,7 @@ def dwell_candidates(arr: DataFrame, dep: DataFrame, bucket_s: int = MAX_DWELL_S
         floor_div("departure_snapshot", bucket_s).alias("bucket"),
         F.col("route_id").alias("dep_route_id"), "departure_time", "departure_snapshot",
     )
-    return arr_b.join(dep_b, ["environment", "vehicle_id", "stop_id", "bucket"], "inner")
+    return arr_b.join(dep_b, ["bucket", "vehicle_id", "stop_id", "environment"], "inner")
 
 
 def departure_anomalies(events: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def rank_at_stop(df: DataFrame, tie_break: list[str]) -> DataFrame:
     The window partition is one snapshot at one stop, so it is bounded by the
     feed size, not by the data volume."""
     fetch = ["fetched_at"] if "fetched_at" in df.columns else []
-    w = Window.partitionBy("environment", "file_timestamp", *fetch, "stop_id").orderBy(
+    w = Window.partitionBy("file_timestamp", "environment", *fetch, "stop_id").orderBy(
         F.when(F.col("stops_away") == 0, 0).otherwise(1),
         F.coalesce("arrival_time", "departure_time").asc_nulls_last(),
         *[F.col(c) for c in tie_break],

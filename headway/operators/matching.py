@@ -86,7 +86,7 @@ def standard_candidates(predictions: DataFrame, touches: DataFrame) -> DataFrame
         "id", "environment", F.col("vehicle_id").alias("ev_vehicle_id"), "stop_id", "file_timestamp"
     )
     return _bucketed(p, STANDARD_MATCH_WINDOW_S).join(
-        _touch_side(touches), ["environment", "ev_vehicle_id", "stop_id", "bucket"], "inner"
+        _touch_side(touches), ["bucket", "ev_vehicle_id", "stop_id", "environment"], "inner"
     )
 
 
@@ -106,7 +106,7 @@ def match_terminal(predictions: DataFrame, touches: DataFrame) -> DataFrame:
     t = _touch_side(touches)
     c = (
         _bucketed(p, TERMINAL_MATCH_WINDOW_S)
-        .join(t, ["environment", "ev_trip_id", "ev_direction_id", "stop_id", "bucket"], "inner")
+        .join(t, ["bucket", "ev_trip_id", "stop_id", "ev_direction_id", "environment"], "inner")
         .filter(
             (F.col("file_timestamp") <= F.col("touch_time"))
             & (F.col("file_timestamp") >= F.col("touch_time") - TERMINAL_MATCH_WINDOW_S)

@@ -19,13 +19,19 @@ from headway.sources import adapters as A
 from headway.sources import schemas as SC
 
 
+def events(spark: SparkSession, d: str) -> DataFrame:
+    """The driver's events with their times and JSON properties parsed, stored once per session: a filter over columns
+    of theirs would else parse each of them anew."""
+    return materialize(spark, lambda: A.base_events(spark, d), "events", (d,))
+
+
 def positions(spark: SparkSession, d: str) -> DataFrame:
     """The landed vehicle-position records (one per vehicle and snapshot)."""
-    return materialize(spark, lambda: A.vehicle_positions(spark, d), "vehicle_positions", (d,))
+    return materialize(spark, lambda: A.vehicle_positions(spark, d, events(spark, d)), "vehicle_positions", (d,))
 
 
 def snapshots(spark: SparkSession, d: str) -> DataFrame:
-    return A.vehicle_snapshots(spark, d)
+    return A.vehicle_snapshots(spark, d, events(spark, d))
 
 
 def snapshot_log(spark: SparkSession, d: str) -> DataFrame:
@@ -51,11 +57,12 @@ def vehicle_events(spark: SparkSession, d: str) -> DataFrame:
 def predictions(spark: SparkSession, d: str) -> DataFrame:
     """The stored predictions table (flattened, ranked), written once per
     session, partitioned by the UTC date of the file time and sorted by
-    (environment, file time) inside files, so day and block filters prune."""
+    (file time, environment) inside files, the order in which they are ranked,
+    so day and block filters prune."""
 
     def build() -> DataFrame:
-        p = A.predictions(spark, d).withColumn("file_date", F.to_date(epoch_to_utc_ntz("file_timestamp")))
-        return p.sortWithinPartitions("file_date", "environment", "file_timestamp")
+        p = A.predictions(spark, d, events(spark, d)).withColumn("file_date", F.to_date(epoch_to_utc_ntz("file_timestamp")))
+        return p.sortWithinPartitions("file_date", "file_timestamp", "environment")
 
     return materialize(spark, build, "predictions", (d,), partition_by=["file_date"])
 

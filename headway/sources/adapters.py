@@ -51,9 +51,11 @@ def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def vehicle_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One vehicle record per (v, 5-minute slot): the latest event by (t, event_id)."""
-    b = base_events(spark, sf_dir)
+def vehicle_positions(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """One vehicle record per (v, 5-minute slot): the latest event by (t, event_id).
+
+    Here and below, ``events`` may pass stored ``base_events``."""
+    b = base_events(spark, sf_dir) if events is None else events
     latest = (
         b.groupBy("v", idiv(F.col("t"), 300).alias("slot"))
         .agg(F.max(F.struct("t", "event_id", "k", "event_type")).alias("r"))
@@ -92,9 +94,9 @@ def _position_rows(rows: DataFrame, *more: Column) -> DataFrame:
     )
 
 
-def vehicle_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vehicle_snapshots(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Every environment's feed is polled at every snapshot time seen in the data."""
-    b = base_events(spark, sf_dir)
+    b = base_events(spark, sf_dir) if events is None else events
     return (
         b.select((idiv(F.col("t"), 300) * 300 + 300).alias("snapshot_time"))
         .distinct()
@@ -111,9 +113,13 @@ def predictions_raw(spark: SparkSession, sf_dir: str, keep_k: bool = False) -> D
     return _prediction_rows(base_events(spark, sf_dir), *(["k"] if keep_k else []))
 
 
+def _file_time() -> Column:
+    return F.col("t") - F.pmod(F.col("t"), F.lit(60))
+
+
 def _prediction_rows(b: DataFrame, *more: str) -> DataFrame:
     v, t, k = F.col("v"), F.col("t"), F.col("k")
-    ft = t - F.pmod(t, F.lit(60))
+    ft = F.col("file_time") if "file_time" in b.columns else _file_time()
     lead = F.floor(F.col("value") * 12).cast("long")
     kind = (
         F.when(F.col("event_type") == "click", F.lit("mid_trip"))
@@ -145,9 +151,13 @@ def _prediction_rows(b: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored predictions: P2 filter, then nth_at_stop within each snapshot."""
-    return rank_at_stop(keep_scorable_updates(predictions_raw(spark, sf_dir)), tie_break=["id"])
+def predictions(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """Stored predictions: P2 filter, then nth_at_stop within each snapshot.  The
+    events are dealt by file time while they are narrow, so the rank needs no
+    further exchange."""
+    b = base_events(spark, sf_dir) if events is None else events
+    dealt = b.withColumn("file_time", _file_time()).repartition("file_time")
+    return rank_at_stop(keep_scorable_updates(_prediction_rows(dealt)), tie_break=["id"])
 
 
 def prediction_accuracy_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,7 +259,7 @@ def trip_update_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     and documents are then built where they are, without a further exchange."""
     paged = base_events(spark, sf_dir).withColumns({
         "env_no": F.pmod(F.col("v"), F.lit(len(ENV))),
-        "file_time": F.col("t") - F.pmod(F.col("t"), F.lit(60)),
+        "file_time": _file_time(),
         "page": idiv(F.col("event_id"), PAGE_ROWS).cast("int"),
     })
     doc_keys = ["env_no", "file_time", "page"]
