@@ -40,7 +40,7 @@ def vehicle_transitions(positions: DataFrame, snapshots: DataFrame, sequence: Da
     ``sequence`` may pass a precomputed ``snapshot_sequence(snapshots)``."""
     seq = snapshot_sequence(snapshots) if sequence is None else sequence
     cur = positions.join(seq, [*FEED_KEYS, "snapshot_time"], "inner")
-    # here and in the joins below the keys of most values come first: the joins sort by them
+    # the join sorts by its keys, so the one of most values comes first
     old = positions.select(
         *FEED_KEYS,
         "id",
@@ -142,8 +142,7 @@ def vehicle_events(transitions: DataFrame, bucket_s: int = MAX_DWELL_S) -> DataF
     # open dwells (no departure) never share one window partition
     w = Window.partitionBy("environment", "vehicle_id", "stop_id", "departure_snapshot")
     first = first.withColumn("closed_with", F.count(F.lit(1)).over(w).cast("int"))
-    j = arr.join(first, EVENT_KEY[::-1], "left")
-    return j.select(*EVENT_KEY, *[c for c in j.columns if c not in EVENT_KEY])
+    return arr.join(first, EVENT_KEY, "left")
 
 
 def dwell_candidates(arr: DataFrame, dep: DataFrame, bucket_s: int = MAX_DWELL_S) -> DataFrame:
@@ -161,7 +160,7 @@ def dwell_candidates(arr: DataFrame, dep: DataFrame, bucket_s: int = MAX_DWELL_S
         floor_div("departure_snapshot", bucket_s).alias("bucket"),
         F.col("route_id").alias("dep_route_id"), "departure_time", "departure_snapshot",
     )
-    return arr_b.join(dep_b, ["bucket", "vehicle_id", "stop_id", "environment"], "inner")
+    return arr_b.join(dep_b, ["environment", "vehicle_id", "stop_id", "bucket"], "inner")
 
 
 def departure_anomalies(events: DataFrame) -> DataFrame:
